@@ -34,6 +34,12 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it several times in ``body`` (lambda
+    binding) instead of copying the expression tree into every use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ipv4_to_long(ip) -> Column:
     ip = _c(ip)
     parts = F.split(ip, r"\.")
@@ -48,21 +54,28 @@ def _v4_mapped(ip: Column) -> Column:
     return F.when(low.startswith("::ffff:") & low.substr(8, 15).rlike(IPV4_RE), low.substr(8, 15))
 
 
+def _expand_v6(s: Column) -> Column:
+    """lower-case text containing ':' -> 8 hextet strings (or a wrong-sized array)."""
+    def parts(dc):
+        n_dc = F.size(dc) - 1
+        head, tail = dc.getItem(0), dc.getItem(1)
+        hs = F.when(head == "", F.array().cast("array<string>")).otherwise(F.split(head, ":"))
+        ts = F.when(tail.isNull() | (tail == ""), F.array().cast("array<string>")).otherwise(F.split(tail, ":"))
+        missing = 8 - F.size(hs) - F.size(ts)
+        return F.when(n_dc == 0, F.split(s, ":")).when(
+            (n_dc == 1) & (missing >= 1),
+            F.concat(hs, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), ts))
+    return _let(F.split(s, "::"), parts)
+
+
 def ipv6_hextets(ip) -> Column:
     """IPv6 text -> array<int>(8) or null when not a valid pure-hex IPv6 literal."""
-    s = F.lower(_c(ip))
-    n_dc = F.size(F.split(s, "::")) - 1
-    head = F.split(s, "::").getItem(0)
-    tail = F.split(s, "::").getItem(1)
-    hs = F.when(head == "", F.array().cast("array<string>")).otherwise(F.split(head, ":"))
-    ts = F.when(tail.isNull() | (tail == ""), F.array().cast("array<string>")).otherwise(F.split(tail, ":"))
-    missing = 8 - F.size(hs) - F.size(ts)
-    full = F.when(n_dc == 0, F.split(s, ":")).when(
-        (n_dc == 1) & (missing >= 1),
-        F.concat(hs, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), ts))
-    ok = (s.contains(":") & (n_dc <= 1) & (F.size(full) == 8)
-          & F.forall(full, lambda h: h.rlike(_HEX_RE)))
-    return F.when(ok, F.transform(full, lambda h: F.conv(h, 16, 10).cast("int")))
+    ip = _c(ip)
+
+    def check(full):
+        ok = (F.size(full) == 8) & F.forall(full, lambda h: h.rlike(_HEX_RE))
+        return F.when(ok, F.transform(full, lambda h: F.conv(h, 16, 10).cast("int")))
+    return F.when(ip.contains(":"), _let(_expand_v6(F.lower(ip)), check))
 
 
 def _v6_net_test(h: Column, net: ipaddress.IPv6Network) -> Column:
@@ -83,24 +96,32 @@ def _v6_net_test(h: Column, net: ipaddress.IPv6Network) -> Column:
 
 
 def in_networks(ip, cidrs: list[str]) -> Column:
-    """True if ``ip`` lies in any of ``cidrs``; null when ``ip`` is not an address."""
+    """True if ``ip`` lies in any of ``cidrs``; null when ``ip`` is not an address.
+
+    IPv4 text (the common case) is tested on its integer value; only text with
+    a ':' goes down the IPv6 path.
+    """
     ip = _c(ip)
-    v4 = F.coalesce(ipv4_to_long(ip), ipv4_to_long(_v4_mapped(ip)))
-    h = ipv6_hextets(ip)
-    v4_tests, v6_tests = [], []
-    for c in cidrs:
-        net = ipaddress.ip_network(c, strict=False)
-        if net.version == 4:
-            v4_tests.append(v4.between(int(net.network_address), int(net.broadcast_address)))
-        else:
-            v6_tests.append(_v6_net_test(h, net))
-    any_v4 = F.lit(False)
-    for t in v4_tests:
-        any_v4 = any_v4 | t
-    any_v6 = F.lit(False)
-    for t in v6_tests:
-        any_v6 = any_v6 | t
-    return F.when(v4.isNotNull(), any_v4).when(h.isNotNull(), any_v6)
+    nets = [ipaddress.ip_network(c, strict=False) for c in cidrs]
+
+    def v4_test(v4):
+        t = F.lit(False)
+        for n in nets:
+            if n.version == 4:
+                t = t | v4.between(int(n.network_address), int(n.broadcast_address))
+        return F.when(v4.isNotNull(), t)
+
+    def v6_test(h):
+        t = F.lit(False)
+        for n in nets:
+            if n.version == 6:
+                t = t | _v6_net_test(h, n)
+        return F.when(h.isNotNull(), t)
+
+    v4_direct = _let(ipv4_to_long(ip), v4_test)
+    colon = F.when(ip.contains(":"), F.coalesce(_let(ipv4_to_long(_v4_mapped(ip)), v4_test),
+                                                _let(ipv6_hextets(ip), v6_test)))
+    return F.coalesce(v4_direct, colon)
 
 
 def is_valid_ip(ip) -> Column:
@@ -140,7 +161,7 @@ def parse_cidr(text) -> tuple[Column, Column]:
     bits = F.when(plen.isNull(), F.lit(32)).when(plen.rlike(r"^([0-9]|[12][0-9]|3[0-2])$"),
                                                   plen.cast("int"))
     base = ipv4_to_long(addr)
-    size = F.shiftleft(F.lit(1).cast("bigint"), 32 - bits)
+    size = F.pow(F.lit(2), 32 - bits).cast("bigint")  # exact for 0..32
     lo = F.when(base.isNotNull() & bits.isNotNull(), base - F.pmod(base, size))
     return lo, lo + size - 1
 

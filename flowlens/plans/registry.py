@@ -6,7 +6,7 @@ import importlib
 
 from flowlens.plans.catalog import CATALOG, Entry
 
-MODULES = ["q_analytics"]
+MODULES = ["q_analytics", "q_flows"]
 
 
 def catalog() -> dict[str, Entry]:

@@ -63,7 +63,8 @@ FROM (SELECT *, CAST(REGEXP_EXTRACT(props, '([0-9]+)', 1) AS BIGINT) AS k FROM {
 # blank version (the flow-driven upsert of the reference writes blanks).
 AGENTS_SQL = """
 SELECT CONCAT('agent-', CAST(user_id % 8 AS STRING)) AS agent_id,
-  CONCAT('host-', CAST(user_id % 8 AS STRING)) AS hostname,
+  CASE WHEN event_id % 5 = 0 THEN CONCAT('10.0.', CAST(user_id % 8 AS STRING), '.', CAST(user_id % 8 AS STRING))
+       ELSE CONCAT('host-', CAST(user_id % 8 AS STRING)) END AS hostname,
   CASE WHEN event_id % 4 = 0 THEN '' ELSE CONCAT('v0.', CAST(event_id % 3 AS STRING)) END AS version,
   CASE WHEN event_id % 4 = 0 THEN '' WHEN user_id % 2 = 0 THEN 'linux' ELSE 'darwin' END AS os,
   CASE user_id % 8 WHEN 0 THEN 'prod-eu' WHEN 1 THEN 'prod-eu' WHEN 2 THEN 'staging' ELSE '' END AS cluster,
@@ -107,6 +108,52 @@ SELECT event_id AS seq, user_id AS conn_id, CAST(ts AS TIMESTAMP) AS ts,
 FROM {events}
 """
 
+# org members version log (one upsert per customer row), teams, memberships
+MEMBERS_SQL = """
+SELECT CONCAT('u-', CAST(c_custkey % 300 AS STRING)) AS user_id,
+  CONCAT('user', CAST(c_custkey % 300 AS STRING), '@example.com') AS email,
+  c_name AS display_name,
+  CASE c_mktsegment WHEN 'BUILDING' THEN 'admin' WHEN 'MACHINERY' THEN 'analyst' ELSE 'viewer' END AS role,
+  (c_custkey % 11 != 0) AS is_active,
+  TIMESTAMP '2023-10-01 00:00:00' + CAST(c_custkey % 120 AS INT) * INTERVAL '1' DAY AS created_at,
+  TIMESTAMP '2023-10-01 00:00:00' + CAST(c_custkey % 120 + c_nationkey AS INT) * INTERVAL '1' DAY AS last_seen,
+  c_custkey AS version
+FROM {customer}
+"""
+
+TEAMS_SQL = """
+SELECT CONCAT('t-', CAST(n_nationkey AS STRING)) AS team_id, n_name AS name,
+  TIMESTAMP '2023-01-01 00:00:00' + CAST(n_nationkey AS INT) * INTERVAL '1' DAY AS created_at
+FROM {nation}
+"""
+
+TEAM_MEMBERS_SQL = """
+SELECT CONCAT('t-', CAST(c_nationkey AS STRING)) AS team_id, CONCAT('u-', CAST(c_custkey % 300 AS STRING)) AS user_id,
+  TIMESTAMP '2023-06-01 00:00:00' + CAST(c_custkey % 90 AS INT) * INTERVAL '1' DAY AS added_at
+FROM {customer} WHERE c_custkey % 3 = 0
+"""
+
+SAVED_QUERIES_SQL = """
+SELECT CONCAT('sq-', CAST(n_regionkey AS STRING)) AS id, CONCAT('query ', n_name) AS name,
+  CASE n_nationkey % 3 WHEN 0 THEN '{{"protocol":"HTTP","src_ip":"10.0.1.1"}}' WHEN 1 THEN '{{"protocol":"DNS"}}'
+       ELSE '{{"dst_ip":"8.8.8.4","from":"2024-01-10T00:00"}}' END AS filters,
+  (n_nationkey % 5 = 4) AS deleted, CAST(n_nationkey AS BIGINT) AS version
+FROM {nation}
+"""
+
+# ICMP echo traffic: requests from hosts to a gateway and replies back
+ICMP_SQL = """
+SELECT event_id AS seq, CAST(ts AS TIMESTAMP) AS ts,
+  CAST(CASE WHEN event_type IN ('view', 'click', 'signup') THEN 8 ELSE 0 END AS INT) AS icmp_type,
+  CASE WHEN event_type IN ('view', 'click', 'signup') THEN CONCAT('10.0.', CAST(user_id % 4 AS STRING), '.1')
+       ELSE '10.255.0.1' END AS src_ip,
+  CASE WHEN event_type IN ('view', 'click', 'signup') THEN '10.255.0.1'
+       ELSE CONCAT('10.0.', CAST(user_id % 4 AS STRING), '.1') END AS dst_ip,
+  CAST(user_id % 16 AS INT) AS echo_id,
+  CAST(CAST(FLOOR(value) AS BIGINT) % 8 AS INT) AS echo_seq
+FROM {events}
+"""
+
 # Fixed rule/config tables used together with the derived flows.
 # fixed values: blocklist networks (net, lo, hi) with IPv4 bounds as integers
 BLOCKLIST_ROWS = [("185.220.101.0/24", 3118228736, 3118228991),
@@ -141,6 +188,26 @@ def packet_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, PACKETS_SQL, "events")
 
 
+def members(spark, sf_dir):
+    return _derive(spark, sf_dir, MEMBERS_SQL, "customer")
+
+
+def teams(spark, sf_dir):
+    return _derive(spark, sf_dir, TEAMS_SQL, "nation")
+
+
+def team_members(spark, sf_dir):
+    return _derive(spark, sf_dir, TEAM_MEMBERS_SQL, "customer")
+
+
+def saved_queries(spark, sf_dir):
+    return _derive(spark, sf_dir, SAVED_QUERIES_SQL, "nation")
+
+
+def icmp_events(spark, sf_dir):
+    return _derive(spark, sf_dir, ICMP_SQL, "events")
+
+
 def duck(sql: str) -> str:
     """The same derivation text for DuckDB's pre-registered views."""
     return sql.format(**{t: t for t in TABLES})
