@@ -176,9 +176,9 @@ def q_evaluate_alerts(spark, sf):
 @register("rule_port_scan", W(f"""
 SELECT src_ip, count(DISTINCT dst_port) AS port_count, min(ts) AS first_seen FROM flows
 WHERE ts > {NOW} - INTERVAL 43200 MINUTES AND protocol IN ('TCP', 'UDP')
-GROUP BY src_ip HAVING count(DISTINCT dst_port) > 20"""))
+GROUP BY src_ip HAVING count(DISTINCT dst_port) > 9"""))
 def q_rule_port_scan(spark, sf):
-    return D.rule_port_scan(td.flows(spark, sf), window_minutes=43200, min_ports=20)
+    return D.rule_port_scan(td.flows(spark, sf), window_minutes=43200, min_ports=9)
 
 
 @register("rule_dns_tunnel", W(f"""
