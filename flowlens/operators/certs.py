@@ -40,7 +40,7 @@ def extract_certs(flows: DataFrame, ts: str = "ts") -> DataFrame:
 
 def days_left(expiry: Column, as_of: Column) -> Column:
     """int(hours until expiry-date midnight / 24), truncated toward zero like Go."""
-    exp = F.to_timestamp(expiry, "yyyy-MM-dd")
+    exp = F.try_to_timestamp(expiry, F.lit("yyyy-MM-dd"))
     hours = (F.unix_micros(exp) - F.unix_micros(as_of)) / F.lit(3_600_000_000.0)
     return F.when(exp.isNotNull(), (hours / 24).cast("int"))
 
