@@ -6,7 +6,7 @@ import importlib
 
 from flowlens.plans.catalog import CATALOG, Entry
 
-MODULES = ["q_analytics", "q_flows", "q_detect", "q_compliance", "q_sessions"]
+MODULES = ["q_analytics", "q_flows", "q_detect", "q_compliance", "q_sessions", "q_io"]
 
 
 def catalog() -> dict[str, Entry]:
