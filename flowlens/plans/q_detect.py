@@ -336,3 +336,80 @@ def q_anomaly_stats(spark, sf):
     f = td.flows(spark, sf)
     an = D.detect_anomalies_history(f, baselines(spark, sf))
     return D.severity_counts(an, "window_start", as_of_col(f), hours=168)
+
+
+# ---- dashboards and digests -------------------------------------------------------
+
+DASH_SPEC = ('[{"id": "stats", "type": "stat", "config": {"metric": "total_bytes"}},'
+             ' {"id": "ts", "type": "timeseries", "config": {"window": "6h"}},'
+             ' {"id": "pie", "type": "protocol_pie"},'
+             ' {"id": "talk", "type": "top_talkers", "config": {"window": "7d", "by": "bytes", "limit": 5}},'
+             ' {"id": "alerts", "type": "alert_feed", "config": {"limit": 5}},'
+             ' {"id": "anoms", "type": "anomaly_feed", "config": {"limit": 20, "severity": "high"}}]')
+
+
+def _dash_inputs(spark, sf):
+    from flowlens.plans.dashboard import Inputs
+    f = td.flows(spark, sf)
+    an = D.detect_anomalies_history(f, baselines(spark, sf)).withColumnRenamed("window_start", "detected_at")
+    return Inputs(flows=f, as_of=as_of_col(f), agents=td.agents(spark, sf), anomalies=an,
+                  alert_events=spark.sql(EVENTS_SQL, flows=f))
+
+
+@register("dashboard_stats", W(BASELINE_CTE + f"""
+, obs AS (SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, agent_id, hostname, protocol,
+            count(*) AS flow_count FROM flows WHERE agent_id != '' GROUP BY 1, 2, 3, 4),
+j AS (SELECT o.*, b.flow_count_mean, b.flow_count_std FROM obs o JOIN bl b
+      ON o.agent_id = b.agent_id AND o.protocol = b.protocol
+      AND CAST((isodow(o.window_start) - 1) * 24 + hour(o.window_start) AS INTEGER) = b.hour_of_week
+      WHERE b.sample_count >= 3),
+s AS (SELECT window_start, {_duck_score('12.0')} FROM j),
+ev AS ({EVENTS_SQL.format(flows='flows')})
+SELECT (SELECT count(*) FROM flows) AS total_flows,
+  (SELECT CAST(COALESCE(sum(bytes_in + bytes_out), 0) AS BIGINT) FROM flows WHERE ts >= {NOW} - INTERVAL 24 HOURS) AS total_bytes,
+  (SELECT count(DISTINCT agent_id) FROM agents WHERE last_seen > {NOW} - INTERVAL 5 MINUTES) AS active_agents,
+  (SELECT count(*) FROM s WHERE abs(z_score) >= 3 AND window_start >= {NOW} - INTERVAL 24 HOURS) AS anomaly_count,
+  (SELECT count(*) FROM ev WHERE fired_at > {NOW} - INTERVAL 24 HOURS) AS alert_count""", agents=td.AGENTS_SQL))
+def q_dashboard_stats(spark, sf):
+    from flowlens.plans.dashboard import stat_metrics
+    return stat_metrics(_dash_inputs(spark, sf))
+
+
+@register("dashboard_widgets")
+def q_dashboard_widgets(spark, sf):
+    from flowlens.plans.dashboard import dashboard_widgets
+    ws = dashboard_widgets(DASH_SPEC, _dash_inputs(spark, sf))
+    out = None
+    for wid, df in ws.items():
+        part = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(wid).alias("widget"), "rows")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("digest_daily", W(f"""
+SELECT (SELECT count(*) FROM flows WHERE ts >= {NOW} - INTERVAL 7 DAYS) AS flows,
+  (SELECT count(DISTINCT agent_id) FROM flows WHERE ts >= {NOW} - INTERVAL 7 DAYS) AS active_agents,
+  (SELECT count(*) FROM ({EVENTS_SQL.format(flows='flows')}) e WHERE fired_at >= {NOW} - INTERVAL 7 DAYS) AS alerts"""))
+def q_digest_daily(spark, sf):
+    from flowlens.operators.aggregate import digest
+    f = td.flows(spark, sf)
+    head, _, _ = digest(f, spark.sql(EVENTS_SQL, flows=f), period="weekly")
+    return head
+
+
+@register("digest_top_sources", W(f"""
+SELECT src_ip, CAST(sum(bytes_in + bytes_out) AS BIGINT) AS bytes FROM flows WHERE ts >= {NOW} - INTERVAL 7 DAYS
+GROUP BY src_ip ORDER BY bytes DESC, src_ip LIMIT 5"""))
+def q_digest_top_sources(spark, sf):
+    from flowlens.operators.aggregate import digest
+    _, talkers, _ = digest(td.flows(spark, sf), None, period="weekly")
+    return talkers
+
+
+@register("digest_protocols", W(f"""
+SELECT protocol, count(*) AS flows FROM flows WHERE ts >= {NOW} - INTERVAL 24 HOURS
+GROUP BY protocol ORDER BY flows DESC, protocol LIMIT 6"""))
+def q_digest_protocols(spark, sf):
+    from flowlens.operators.aggregate import digest
+    _, _, protos = digest(td.flows(spark, sf), None, period="daily")
+    return protos
