@@ -228,3 +228,66 @@ SELECT cn, count(*) AS seen_count, min(ts) AS first_seen, max(ts) AS last_seen F
     certs=td.TLS_CERTS_SQL))
 def q_cert_sightings(spark, sf):
     return C.cert_sightings(cert_flows(spark, sf))
+
+
+# ---- weak ciphers and rule seeding --------------------------------------------------
+
+def hello_flows(spark, sf):
+    """TLS ClientHello / ServerHello flows: offered suite lists and chosen suites
+    drawn from strong and weak names by event id."""
+    ev = td.read_table(spark, sf, "events")
+    strong = F.lit("TLS_AES_128_GCM_SHA256")
+    weak = F.element_at(F.array(*[F.lit(w) for w in C.WEAK_CIPHERS]), (F.col("event_id") % 11 + 1).cast("int"))
+    offered = F.when(F.col("event_id") % 3 == 0, F.array(strong, weak)).otherwise(F.array(strong))
+    chosen = F.when(F.col("event_id") % 5 == 0, weak).otherwise(strong)
+    client = F.col("event_id") % 2 == 0
+    tls = F.struct(F.when(client, "ClientHello").otherwise("ServerHello").alias("record_type"),
+                   F.when(client, F.concat(F.lit("svc"), (F.col("user_id") % 9).cast("string"), F.lit(".example.com")))
+                   .alias("sni"),
+                   F.when(client, offered).alias("cipher_suites"), F.when(~client, chosen).alias("chosen_cipher"),
+                   F.lit(False).alias("has_weak_cipher"))
+    return ev.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"),
+                     F.concat(F.lit("198.51.100."), (F.col("user_id") % 50).cast("string")).alias("dst_ip"),
+                     F.concat(F.lit("host-"), (F.col("user_id") % 8).cast("string")).alias("hostname"), tls.alias("tls"))
+
+
+WEAK_LIST = ", ".join(f"'{w}'" for w in C.WEAK_CIPHERS)
+
+
+@register("weak_cipher_audit", f"""
+WITH h AS (SELECT event_id % 2 = 0 AS client, CAST(ts AS TIMESTAMP) AS ts,
+             'svc' || CAST(user_id % 9 AS VARCHAR) || '.example.com' AS sni,
+             '198.51.100.' || CAST(user_id % 50 AS VARCHAR) AS dst_ip, 'host-' || CAST(user_id % 8 AS VARCHAR) AS hostname,
+             event_id % 3 = 0 AS offers_weak, event_id % 5 = 0 AS chooses_weak FROM events),
+w AS (SELECT CASE WHEN client THEN sni ELSE dst_ip END AS server, hostname, ts,
+        client AND offers_weak AS offered, NOT client AND chooses_weak AS chosen FROM h)
+SELECT server, hostname, count(*) AS flows, count(*) FILTER (WHERE offered) AS offered_weak,
+  count(*) FILTER (WHERE chosen) AS chose_weak, max(ts) AS last_seen
+FROM w WHERE offered OR chosen GROUP BY 1, 2""")
+def q_weak_cipher_audit(spark, sf):
+    return C.weak_cipher_audit(hello_flows(spark, sf))
+
+
+# fixed config: built-in detection rules (id, title, severity, tags) seeded when absent
+BUILTIN_RULES = [("builtin-001", "Port Scan Detection", "high", '["recon","portscan"]'),
+                 ("builtin-002", "DNS Tunneling Indicator", "medium", '["dns","exfiltration"]'),
+                 ("builtin-003", "Cleartext Credential Submission", "high", '["credentials","http"]'),
+                 ("builtin-004", "Unexpected Outbound High Port", "medium", '["c2","beaconing"]'),
+                 ("builtin-005", "Privileged Process Network Activity", "critical", '["process","shell"]')]
+
+
+@register("seed_if_absent", """
+WITH existing AS (SELECT CASE WHEN r_regionkey = 0 THEN 'builtin-002' ELSE 'custom-' || CAST(r_regionkey AS VARCHAR) END AS id,
+                    r_name AS title FROM region),
+b AS (SELECT * FROM (VALUES ('builtin-001', 'Port Scan Detection'), ('builtin-002', 'DNS Tunneling Indicator'),
+        ('builtin-003', 'Cleartext Credential Submission'), ('builtin-004', 'Unexpected Outbound High Port'),
+        ('builtin-005', 'Privileged Process Network Activity')) t(id, title))
+SELECT id, title FROM existing UNION ALL SELECT id, title FROM b WHERE id NOT IN (SELECT id FROM existing)""")
+def q_seed_if_absent(spark, sf):
+    from flowlens.operators.latest import seed_if_absent
+    region = td.read_table(spark, sf, "region")
+    existing = region.select(F.when(F.col("r_regionkey") == 0, F.lit("builtin-002"))
+                             .otherwise(F.concat(F.lit("custom-"), F.col("r_regionkey").cast("string"))).alias("id"),
+                             F.col("r_name").alias("title"))
+    builtins = spark.createDataFrame(BUILTIN_RULES, "id string, title string, severity string, tags string")
+    return seed_if_absent(existing, builtins.select("id", "title"))
