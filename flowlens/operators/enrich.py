@@ -25,14 +25,16 @@ DESKTOP_TOR_PORTS = [9001, 9030, 9150]
 DESKTOP_TELNET_PORT = 23
 
 
-def blocklist_from_lines(lines: DataFrame, col: str = "value") -> DataFrame:
+def blocklist_from_lines(lines: DataFrame, col: str = "value", order_col: str | None = None) -> DataFrame:
     """Text lines -> (net, lo, hi, ord): one CIDR or IP per line, '#' comments and
-    unparsable lines skipped; ``ord`` keeps file order (first listed wins)."""
-    t = lines.select(F.trim(F.col(col)).alias("net"),
-                     F.monotonically_increasing_id().alias("ord"))
+    unparsable lines skipped.  ``ord`` decides between overlapping entries: the
+    given list position, else the most specific network first."""
+    t = lines.select(F.trim(F.col(col)).alias("net"), *([F.col(order_col)] if order_col else []))
     t = t.filter((F.col("net") != "") & ~F.col("net").startswith("#"))
     lo, hi = parse_cidr(F.col("net"))
-    return t.select("net", lo.alias("lo"), hi.alias("hi"), "ord").filter(F.col("lo").isNotNull())
+    t = t.select("net", lo.alias("lo"), hi.alias("hi"), *([F.col(order_col)] if order_col else []))
+    order = F.col(order_col).cast("bigint") if order_col else (F.col("hi") - F.col("lo"))
+    return t.select("net", "lo", "hi", order.alias("ord")).filter(F.col("lo").isNotNull())
 
 
 def load_blocklist(spark: SparkSession, path: str) -> DataFrame:
@@ -41,7 +43,7 @@ def load_blocklist(spark: SparkSession, path: str) -> DataFrame:
 
 def builtin_blocklist(spark: SparkSession, nets: list[str] = HUB_BUILTIN_BLOCKLIST) -> DataFrame:
     df = spark.createDataFrame([(n, i) for i, n in enumerate(nets)], "value string, i long")
-    return blocklist_from_lines(df.orderBy("i").coalesce(1).select("value"))
+    return blocklist_from_lines(df, order_col="i")
 
 
 def _level(score: Column, high: int, medium: int, low: int) -> Column:

@@ -46,17 +46,18 @@ def get_spark(master: str | None = None, app: str = "flowlens",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting must point at shared storage and is only read.
-    When it is unset (local tests) a private folder is created and set.
+    On a cluster the setting must point at shared storage and is only read
+    (it is a static setting).  When it is unset (local tests) a private folder
+    is created and registered on the SparkContext.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    current = sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        current = current.get() if current.isDefined() else None
+        jdir = sc._jsc.sc().getCheckpointDir()
+        current = jdir.get() if jdir.isDefined() else None
     if not current:
         current = tempfile.mkdtemp(prefix="flowlens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    sc.setCheckpointDir(current)
     return current
 
 
