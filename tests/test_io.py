@@ -72,8 +72,9 @@ def test_stream_ingest_files(spark, tmp_path):
               "http": {"method": "GET", "path": "/x", "status": 200}} for i in range(4)]
     (src / "b1.json").write_text("\n".join(json.dumps(x) for x in flows) + "\n")
     stream = IN.read_flow_stream(spark, fmt="json", path=str(src))
+    import uuid
     q = J.stream_ingest(stream, str(tmp_path / "flows"), str(tmp_path / "agents"), trigger={"availableNow": True},
-                        blocklist=td_blocklist(spark))
+                        blocklist=td_blocklist(spark), name=f"ingest_{uuid.uuid4().hex[:8]}")
     q.awaitTermination()
     out = spark.read.parquet(str(tmp_path / "flows"))
     assert out.count() == 4
