@@ -7,9 +7,10 @@ in.  ``get_spark`` is a convenience for scripts, tests and the bench.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def get_spark(master: str | None = None, app: str = "flowlens",
@@ -46,22 +47,20 @@ def get_spark(master: str | None = None, app: str = "flowlens",
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting must point at shared storage and is only read
-    (it is a static setting).  When it is unset (local tests) a private folder
-    is created and registered on the SparkContext.
+    On a cluster the setting must point at shared storage; it is only read here.
+    Where it is unset a private folder is made for a local master (tests); any
+    other master fails, since executors could not see the driver's folder.
     """
     sc = spark.sparkContext
     current = sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
         jdir = sc._jsc.sc().getCheckpointDir()
-        current = jdir.get() if jdir.isDefined() else None
+        if jdir.isDefined():
+            return jdir.get()
     if not current:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="flowlens-ckpt-")
-    sc.setCheckpointDir(current)
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(current)
     return current
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
