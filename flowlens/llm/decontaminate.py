@@ -4,7 +4,9 @@ Spark counts the postings of the test items.  Every training document is cut int
 overlapping passages, long enough that any item lies whole in one of them, and
 each passage is a query: block-max WAND finds all items whose BM25 score, as a
 share of the item's score against itself, reaches the threshold.  What it finds
-is verified by the word n-grams of the item's question and answer.
+is verified by the word n-grams of the item's question and answer.  A bound per
+passage and item (its rare terms there plus all its frequent ones) spares WAND the
+passages that can't hold any.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -76,15 +79,41 @@ class Shard:
             self.block_last[t] = [docs[min(s + BLOCK, len(docs)) - 1] for s in starts]
             self.block_max[t] = [max(impacts[s:s + BLOCK]) for s in starts]
             self.peak[t] = max(self.block_max[t])
-        # frequent terms: no item gets more than `common` of its score from all of them together
-        often = max(4, len(self.items) // 20)
-        mass: dict[int, float] = defaultdict(float)
-        for docs, impacts in self.postings.values():
+        # frequent terms are bounded per item: what all of them together give it
+        n = len(self.items)
+        often = max(4, n // 20)
+        self.rest, self.rare = np.zeros(n), {}
+        docs_of, impacts_of = [], []
+        for t, (docs, impacts) in self.postings.items():
             if len(docs) > often:
-                for d, x in zip(docs, impacts, strict=True):
-                    mass[d] += x
-        self.common = max(mass.values(), default=0.0)
-        self.rare = {t: self.peak[t] for t, (docs, _) in self.postings.items() if len(docs) <= often}
+                self.rest[docs] += impacts
+            else:
+                self.rare[t] = len(self.rare)
+                docs_of.append(docs)
+                impacts_of.append(impacts)
+        self.start = np.cumsum([0, *map(len, docs_of)])
+        self.rare_item = np.array([d for x in docs_of for d in x], np.int64)
+        self.rare_impact = np.array([x for y in impacts_of for x in y])
+
+    def hopeful(self, words: list[bytes], passages: int, threshold: float) -> np.ndarray:
+        """Passages in which some item may reach the threshold: its rare terms there, plus
+        all that its frequent terms could add."""
+        term = np.fromiter(map(self.rare.get, words, repeat(-1)), np.int64, len(words))
+        at = np.nonzero(term >= 0)[0]
+        if not len(at):
+            return np.arange(passages if self.rest.max(initial=0.0) >= threshold else 0)
+        # a word lies in the passage that starts in its stride and in the one before
+        term, stride = term[at], at // self.stride
+        key = np.unique(np.concatenate([stride, stride - 1]) * len(self.rare) + np.concatenate([term, term]))
+        passage, term = key // len(self.rare), key % len(self.rare)
+        inside = (passage >= 0) & (passage < passages)
+        passage, term = passage[inside], term[inside]
+        count = self.start[term + 1] - self.start[term]
+        entry = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.start[term], count)
+        pair, which = np.unique(np.repeat(passage, count) * len(self.items) + self.rare_item[entry], return_inverse=True)
+        score = np.bincount(which, self.rare_impact[entry]) + self.rest[pair % len(self.items)]
+        found = np.unique(pair[score >= threshold] // len(self.items))
+        return np.arange(passages) if self.rest.max(initial=0.0) >= threshold else found
 
     def wand(self, terms: list[bytes], threshold: float) -> list[tuple[int, float]]:
         """(item, score) of every item that reaches the threshold: block-max WAND."""
@@ -134,12 +163,10 @@ class Shard:
         words = words_of(text)
         if not words or not self.postings:
             return []
-        rare = self.rare
-        sums = np.concatenate([[0.0], np.cumsum(np.fromiter((rare.get(w, 0.0) for w in words), float, len(words)))])
         starts = np.arange(0, max(1, len(words) - self.stride), self.stride)
         ends = np.minimum(starts + 2 * self.stride, len(words))
         eps = 1e-9
-        hopeful = np.nonzero(sums[ends] - sums[starts] + self.common >= threshold - eps)[0]
+        hopeful = self.hopeful(words, len(starts), threshold - eps)
         best: dict[int, dict] = {}
         for k in hopeful:
             passage = words[starts[k]:ends[k]]

@@ -22,14 +22,14 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.common import cut, fold, small_batches, with_columns
 
-WORD = re.compile(r"[^\W\d_]+")
-#: Longest piece and longest run of letters segmented as one word; longer runs are cut into several.
+#: Longest piece, and longest run of letters segmented as one word; longer runs are cut into several.
 PIECE_CHARS, WORD_CHARS = 8, 32
+WORD = re.compile(rf"[^\W\d_]{{1,{WORD_CHARS}}}")
 BEGIN = "▁"
 #: Probability of a letter that no piece covers, the same in every language.
 UNKNOWN = 1e-7
 UNDETERMINED = "und"
-_CACHE = 200_000
+_CACHE = 300_000
 
 
 def vocabulary(path: str | None = None) -> dict[str, int]:
@@ -49,13 +49,61 @@ def vocabulary(path: str | None = None) -> dict[str, int]:
 
 
 def words_of(text: str | None) -> list[str]:
-    out = []
-    for w in WORD.findall((text or "").lower()):
-        if len(w) <= WORD_CHARS:
-            out.append(w)
-        else:
-            out += [w[i:i + WORD_CHARS] for i in range(0, len(w), WORD_CHARS)]
-    return out
+    return WORD.findall((text or "").lower())
+
+
+class PieceTable:
+    """Numbers of pieces by the hash of their letters, looked up for whole arrays.
+
+    Two direct-addressed levels: a piece whose slot is taken goes to the second,
+    whose seed is chosen so that nothing collides there.
+    """
+
+    BITS, BASE = 18, np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, vocab: dict[str, int], none: int):
+        keys = np.array([self._hash(np.array([[ord(c) for c in p]]))[0, 0] for p in vocab] or [0], np.uint64)
+        ids = np.array(list(vocab.values()) or [none], np.int32)
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("two pieces share a hash")
+        left, self.levels, seed = np.arange(len(keys)), [], 0
+        while len(self.levels) < 2:
+            odd = np.uint64((2 * seed + 1) * 0xD1342543DE82EF95 % 2**64)
+            slot = self._slot(keys[left], odd)
+            first = np.unique(slot, return_index=True)[1]
+            seed += 1
+            if self.levels and len(first) < len(left):
+                continue
+            table_key, table_id = np.zeros(1 << self.BITS, np.uint64), np.full(1 << self.BITS, none, np.int32)
+            table_key[slot[first]], table_id[slot[first]] = keys[left[first]], ids[left[first]]
+            self.levels.append((odd, table_key, table_id))
+            left = np.delete(left, first)
+        self.none = none
+
+    @classmethod
+    def _hash(cls, codes: np.ndarray) -> np.ndarray:
+        """Hash of whole rows of letters, as (n, 1)."""
+        h = np.zeros((len(codes), 1), np.uint64)
+        for i in range(codes.shape[1]):
+            h = (h + codes[:, i:i + 1].astype(np.uint64) + np.uint64(1)) * cls.BASE
+        return h
+
+    def _slot(self, keys: np.ndarray, odd: np.uint64) -> np.ndarray:
+        return ((keys ^ (keys >> np.uint64(29))) * odd) >> np.uint64(64 - self.BITS)
+
+    def spans(self, words: list[str], n: int) -> np.ndarray:
+        """ids[word, end, length]: the piece of that length that ends there; words of n letters."""
+        ids = np.full((len(words), n + 1, PIECE_CHARS + 1), self.none, np.int32)
+        codes = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), n).astype(np.uint64)
+        h = np.zeros((len(words), n + 1), np.uint64)
+        for k in range(1, min(n, PIECE_CHARS) + 1):
+            h = (h[:, :n - k + 1] + codes[:, k - 1:] + np.uint64(1)) * self.BASE
+            found = ids[:, k:, k]
+            for odd, table_key, table_id in self.levels:
+                slot = self._slot(h, odd)
+                hit = table_key[slot] == h
+                found[hit] = table_id[slot[hit]]
+        return ids
 
 
 class Segmenter:
@@ -63,21 +111,14 @@ class Segmenter:
 
     def __init__(self, vocab: dict[str, int], probs: np.ndarray):
         # the last two rows: a letter without a piece, and no piece at all
-        self.vocab, self.unknown, self.none = vocab, len(vocab), len(vocab) + 1
+        self.unknown, self.none = len(vocab), len(vocab) + 1
+        self.table = PieceTable(vocab, self.none)
         tail = np.zeros((2, probs.shape[1]))
         tail[0] = UNKNOWN
         self.probs = np.concatenate([probs, tail])
 
     def _ids(self, words: list[str], n: int) -> np.ndarray:
-        """ids[w, end, length]: the piece of that length that ends there."""
-        ids = np.full((len(words), n + 1, PIECE_CHARS + 1), self.none, np.int32)
-        get = self.vocab.get
-        for k, w in enumerate(words):
-            for end in range(1, n + 1):
-                for length in range(1, min(end, PIECE_CHARS) + 1):
-                    p = get(w[end - length:end])
-                    if p is not None:
-                        ids[k, end, length] = p
+        ids = self.table.spans(words, n)
         one = ids[:, 1:, 1]
         one[one == self.none] = self.unknown
         return ids
@@ -104,7 +145,8 @@ class Segmenter:
 
     def expected(self, words: list[str], counts: np.ndarray, langs: np.ndarray) -> np.ndarray:
         """Expected pieces (vocabulary x languages) of words counted in one language each."""
-        total = np.zeros_like(self.probs)
+        n_langs = self.probs.shape[1]
+        total = np.zeros(self.probs.size)
         by: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by.setdefault(len(w) + 1, []).append(i)
@@ -125,8 +167,9 @@ class Segmenter:
                 for end in range(1, n + 1):
                     for k in range(1, min(end, PIECE_CHARS) + 1):
                         post = alpha[:, end - k] * p[:, end, k] * beta[:, end] * weight
-                        np.add.at(total, (ids[:, end, k], lang), post)
-        return total[:-2]
+                        seen = np.nonzero(post)[0]
+                        total += np.bincount(ids[seen, end, k] * n_langs + lang[seen], post[seen], total.size)
+        return total.reshape(-1, n_langs)[:-2]
 
 
 @dataclass
@@ -137,23 +180,28 @@ class LanguageModel:
     prior: np.ndarray  #: log share of the training documents
 
     def predictor(self):
-        seg, langs, prior, cache = Segmenter(self.vocab, self.probs), self.langs, self.prior, {}
+        seg, langs, prior = Segmenter(self.vocab, self.probs), self.langs, self.prior
+        place: dict[str, int] = {}
+        known = np.zeros((_CACHE, len(langs)))
 
         def predict(texts: list[str | None]) -> list[tuple[str, float]]:
+            nonlocal known
             counted = [Counter(words_of(t)) for t in texts]
-            fresh = list({w for c in counted for w in c if w not in cache})
-            if len(cache) + len(fresh) > _CACHE:
-                cache.clear()
-                fresh = list({w for c in counted for w in c})
-            for lo in range(0, len(fresh), 16384):
-                part = fresh[lo:lo + 16384]
-                cache.update(zip(part, seg.forward(part), strict=True))
+            fresh = list(dict.fromkeys(w for c in counted for w in c if w not in place))
+            if len(place) + len(fresh) > len(known):
+                place.clear()
+                fresh = list(dict.fromkeys(w for c in counted for w in c))
+                known = np.zeros((max(_CACHE, len(fresh)), len(langs)))
+            at = len(place)
+            known[at:at + len(fresh)] = seg.forward(fresh)
+            place.update(zip(fresh, range(at, at + len(fresh)), strict=True))
             out = []
-            for t, c in zip(texts, counted, strict=True):
+            for c in counted:
                 if not langs or not any(ch.isalpha() for w in c for ch in w):
                     out.append((UNDETERMINED, 0.0))
                     continue
-                score = prior + np.array(list(c.values()), float) @ np.array([cache[w] for w in c])
+                rows = np.fromiter(map(place.__getitem__, c), np.int64, len(c))
+                score = prior + np.fromiter(c.values(), float, len(c)) @ known[rows]
                 post = np.exp(score - score.max())
                 best = int(post.argmax())
                 out.append((langs[best], float(post[best] / post.sum())))
@@ -187,7 +235,7 @@ def _expectation(vocab: dict[str, int], probs: np.ndarray, langs: list[str]):
     return run
 
 
-def train(docs: DataFrame, docs_per_lang: int = 1500, rounds: int = 3, smoothing: float = 0.02,
+def train(docs: DataFrame, docs_per_lang: int = 600, rounds: int = 3, smoothing: float = 0.02,
           vocab_path: str | None = None, max_langs: int = 500) -> LanguageModel:
     """Fit piece probabilities on text and lang of `docs` (columns doc_id, text, lang).
 
