@@ -1,23 +1,28 @@
-"""IP address expressions, all JVM-side (no Python UDF on the hot path).
-
-* IPv4 text -> BIGINT (null when invalid: wrong shape, octet > 255, leading zero).
-* IPv6 text -> array of 8 hextet ints, ``::`` expanded with string/array
-  functions, so private/loopback/link-local checks stay inside codegen.
-* ``is_private`` / ``is_external`` follow Go's ``net.ParseIP`` + CIDR lists.
-* ``cidr_match`` for a short parameter list of networks (OR of BETWEENs);
-  a large network *table* goes through ``flowlens.operators.rangejoin``.
+"""IP address expressions.  On flow rows they are built-in functions without lambdas,
+so they stay in codegen; tables of networks and of distinct addresses are parsed
+by an Arrow function.
+
+* ``ip_key``: address text -> 32 hex digits that sort as the address does; IPv4
+  is held as its mapped form (``::ffff:a.b.c.d``), as Go's ``net.ParseIP`` does.
+* ``is_private`` / ``is_external`` / ``cidr_match`` match the text (or the key) with one pattern
+  made of a short parameter list of networks; a large network *table* goes through ``flowlens.operators.rangejoin``.
+* ``with_cidr`` / ``mask_key``: network text -> prefix length and masked key.
 """
 
 from __future__ import annotations
 
 import ipaddress
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OCT = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4_RE = rf"^{_OCT}\.{_OCT}\.{_OCT}\.{_OCT}$"
-_HEX_RE = r"^[0-9a-f]{1,4}$"
+_V6_FULL = r"^([0-9a-f]{1,4}:){7}[0-9a-f]{1,4}$"
+#: Key digits before the 32 bits of an IPv4 address.
+MAPPED = "0" * 20 + "ffff"
 
 # fixed values: private networks of the connection audit (is_external)
 AUDIT_PRIVATE = ["10.0.0.0/8", "172.16.0.0/12", "192.168.0.0/16", "127.0.0.0/8",
@@ -30,14 +35,26 @@ LIKE_PRIVATE_PREFIXES = ["10.", "172.16.", "172.17.", "172.18.", "172.19.", "172
                          "172.30.", "172.31.", "192.168.", "127."]
 
 
-def _c(c) -> Column:
-    return F.col(c) if isinstance(c, str) else c
+_GROUP = "[0-9a-f]{1,4}"
+_MAPPED_TEXT = "(?:(?:::|(?:0{1,4}:){5})ffff:)?"
+
 
+def _address_pattern() -> str:
+    """All spellings of an address in lower case: dotted, eight groups, groups around
+    one run of zeros, and the dotted mapped form."""
+    forms = [IPV4_RE[1:-1], f"{_GROUP}(?::{_GROUP}){{7}}", _MAPPED_TEXT[:-1] + IPV4_RE[1:-1]]
+    for n in range(8):  # groups before the zeros
+        left = f"{_GROUP}(?::{_GROUP}){{{n - 1}}}" if n else ""
+        right = f"(?:{_GROUP}(?::{_GROUP}){{0,{6 - n}}})?" if n < 7 else ""
+        forms.append(f"{left}::{right}")
+    return "^(?:" + "|".join(forms) + ")$"
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body`` (lambda
-    binding) instead of copying the expression tree into every use."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+
+ADDRESS_RE = _address_pattern()
+
+
+def _c(c) -> Column:
+    return F.col(c) if isinstance(c, str) else c
 
 
 def ipv4_to_long(ip) -> Column:
@@ -48,85 +65,102 @@ def ipv4_to_long(ip) -> Column:
     return F.when(ip.rlike(IPV4_RE), val)
 
 
-def _v4_mapped(ip: Column) -> Column:
-    """'::ffff:a.b.c.d' (Go treats it as IPv4) -> 'a.b.c.d', else null."""
-    low = F.lower(ip)
-    return F.when(low.startswith("::ffff:") & low.substr(8, 15).rlike(IPV4_RE), low.substr(8, 15))
+def _hex8(n: Column) -> Column:
+    return F.lower(F.lpad(F.hex(n), 8, "0"))
 
 
-def _expand_v6(s: Column) -> Column:
-    """lower-case text containing ':' -> 8 hextet strings (or a wrong-sized array)."""
-    def parts(dc):
-        n_dc = F.size(dc) - 1
-        head, tail = dc.getItem(0), dc.getItem(1)
-        hs = F.when(head == "", F.array().cast("array<string>")).otherwise(F.split(head, ":"))
-        ts = F.when(tail.isNull() | (tail == ""), F.array().cast("array<string>")).otherwise(F.split(tail, ":"))
-        missing = 8 - F.size(hs) - F.size(ts)
-        return F.when(n_dc == 0, F.split(s, ":")).when(
-            (n_dc == 1) & (missing >= 1),
-            F.concat(hs, F.array_repeat(F.lit("0"), F.greatest(missing, F.lit(0))), ts))
-    return _let(F.split(s, "::"), parts)
+_PAD = r"(?<![0-9a-f])([0-9a-f]{1,3})(?![0-9a-f])"
 
 
-def ipv6_hextets(ip) -> Column:
-    """IPv6 text -> array<int>(8) or null when not a valid pure-hex IPv6 literal."""
-    ip = _c(ip)
+def _v6_key(t: Column) -> Column:
+    """Key of lower-case hex groups; null when they aren't an IPv6 address.
 
-    def check(full):
-        ok = (F.size(full) == 8) & F.forall(full, lambda h: h.rlike(_HEX_RE))
-        return F.when(ok, F.transform(full, lambda h: F.conv(h, 16, 10).cast("int")))
-    return F.when(ip.contains(":"), _let(_expand_v6(F.lower(ip)), check))
-
-
-def _v6_net_test(h: Column, net: ipaddress.IPv6Network) -> Column:
-    """hextet array in network?  (prefix tested hextet by hextet)."""
-    words = [int(net.network_address) >> (112 - 16 * i) & 0xFFFF for i in range(8)]
-    bits, conds = net.prefixlen, []
-    for i in range(8):
-        if bits <= 0:
-            break
-        take = min(16, bits)
-        mask = (0xFFFF << (16 - take)) & 0xFFFF
-        conds.append(F.element_at(h, i + 1).bitwiseAND(F.lit(mask)) == F.lit(words[i] & mask))
-        bits -= take
-    out = conds[0]
-    for c in conds[1:]:
-        out = out & c
-    return out
+    A run of zeros is written out by the number of colons; what isn't eight
+    groups of one to four digits then fails the pattern.
+    """
+    colons = F.length(t) - F.length(F.replace(t, F.lit(":")))
+    more = F.lit(7) - colons + t.startswith("::").cast("int") + t.endswith("::").cast("int")
+    spread = F.trim(F.replace(t, F.lit("::"), F.concat(F.lit(":0"), F.repeat(F.lit(":0"), more), F.lit(":"))), F.lit(":"))
+    padded = F.when(t.contains("::"), spread).otherwise(t)
+    for _ in range(3):  # a leading zero to each group of less than four digits
+        padded = F.regexp_replace(padded, _PAD, "0$1")
+    key = F.regexp_extract(padded, "^" + ":".join(["([0-9a-f]{4})"] * 8) + "$", 0)
+    return F.when(F.length(key) == 39, F.replace(key, F.lit(":")))
 
 
-def in_networks(ip, cidrs: list[str]) -> Column:
-    """True if ``ip`` lies in any of ``cidrs``; null when ``ip`` is not an address.
+_DOTTED = r"^(?:::|(?:0{1,4}:){5})ffff:[0-9.]+$"
 
-    IPv4 text (the common case) is tested on its integer value; only text with
-    a ':' goes down the IPv6 path.
-    """
-    ip = _c(ip)
-    nets = [ipaddress.ip_network(c, strict=False) for c in cidrs]
 
-    def v4_test(v4):
-        t = F.lit(False)
-        for n in nets:
-            if n.version == 4:
-                t = t | v4.between(int(n.network_address), int(n.broadcast_address))
-        return F.when(v4.isNotNull(), t)
+def ip_key(ip) -> Column:
+    """32 hex digits of an address, null when the text is none.  IPv4 (the common
+    case) never enters the IPv6 branches; of dotted forms the mapped one counts."""
+    ip = _c(ip)
+    low = F.lower(ip)
+    v4 = _hex8(ipv4_to_long(F.when(low.rlike(_DOTTED), F.substring_index(ip, ":", -1)).otherwise(ip)))
+    return F.when(ip.contains(":") & ~ip.contains("."), _v6_key(low)).otherwise(F.concat(F.lit(MAPPED), v4))
+
+
+def is_v4_key(key: Column) -> Column:
+    return key.startswith(MAPPED)
+
+
+def _net_pattern(cidr: str) -> str:
+    """Regular expression for the keys of a network parameter; an IPv6 network holds
+    no IPv4 address."""
+    net = ipaddress.ip_network(cidr, strict=False)
+    bits = net.prefixlen + (96 if net.version == 4 else 0)
+    first = (MAPPED if net.version == 4 else "") + f"{int(net.network_address):0{8 if net.version == 4 else 32}x}"
+    whole, part = divmod(bits, 4)
+    text = first[:whole]
+    if part:
+        low = int(first[whole], 16)
+        text += "[" + "".join(f"{d:x}" for d in range(low, low + (1 << (4 - part)))) + "]"
+    return text if net.version == 4 or bits >= 96 else f"(?!{MAPPED}){text}"
+
+
+def key_in_networks(key: Column, cidrs: list[str]) -> Column:
+    """True if the key lies in any of ``cidrs``; null for a null key.  The key stands
+    here once."""
+    return key.rlike("^(?:" + "|".join(map(_net_pattern, cidrs)) + ")")
+
+
+def _text_pattern(cidr: str) -> str | None:
+    """Pattern over the lower-case text of valid addresses for a network parameter;
+    None where the text has too many forms (an IPv6 network within its groups)."""
+    net = ipaddress.ip_network(cidr, strict=False)
+    if net.version == 4:
+        whole, part = divmod(net.prefixlen, 8)
+        octets = net.network_address.packed
+        text = "".join(f"{o}\\." for o in octets[:whole])
+        if part:
+            text += "(?:" + "|".join(map(str, range(octets[whole], octets[whole] + (1 << (8 - part))))) + ")(?:\\.|$)"
+        return _MAPPED_TEXT + (text if whole < 4 else text[:-2] + "$")
+    if int(net.network_address) == 1 and net.prefixlen == 128:
+        return "[0:]*:0{0,3}1$"
+    first = f"{int(net.network_address) >> 112:04x}"
+    whole, part = divmod(net.prefixlen, 4)
+    if first[0] == "0" or net.prefixlen > 16 or not net.prefixlen:
+        return None
+    low = int(first[whole], 16) if part else 0
+    some = "[" + "".join(f"{d:x}" for d in range(low, low + (1 << (4 - part)))) + "]" if part else ""
+    return f"{first[:whole]}{some}[0-9a-f]{{{4 - whole - bool(part)}}}:"
 
-    def v6_test(h):
-        t = F.lit(False)
-        for n in nets:
-            if n.version == 6:
-                t = t | _v6_net_test(h, n)
-        return F.when(h.isNotNull(), t)
 
-    v4_direct = _let(ipv4_to_long(ip), v4_test)
-    colon = F.when(ip.contains(":"), F.coalesce(_let(ipv4_to_long(_v4_mapped(ip)), v4_test),
-                                                _let(ipv6_hextets(ip), v6_test)))
-    return F.coalesce(v4_direct, colon)
+def in_networks(ip, cidrs: list[str]) -> Column:
+    """True if ``ip`` lies in any of ``cidrs``; null when ``ip`` is not an address.
+    Networks whose text has a plain form are matched on the text, the others on
+    the key."""
+    low = F.lower(_c(ip))
+    plain = [p for p in map(_text_pattern, cidrs) if p]
+    other = [c for c in cidrs if not _text_pattern(c)]
+    inside = low.rlike("^(?:" + "|".join(plain) + ")") if plain else F.lit(False)
+    if other:
+        inside = inside | F.coalesce(key_in_networks(ip_key(ip), other), F.lit(False))
+    return F.when(low.rlike(ADDRESS_RE), inside)
 
 
 def is_valid_ip(ip) -> Column:
-    ip = _c(ip)
-    return ip.rlike(IPV4_RE) | _v4_mapped(ip).isNotNull() | ipv6_hextets(ip).isNotNull()
+    return F.coalesce(F.lower(_c(ip)).rlike(ADDRESS_RE), F.lit(False))
 
 
 def is_private(ip, cidrs: list[str] = SCORER_PRIVATE) -> Column:
@@ -153,17 +187,61 @@ def cidr_match(ip, cidrs: list[str]) -> Column:
     return F.coalesce(in_networks(ip, cidrs), F.lit(False))
 
 
-def parse_cidr(text) -> tuple[Column, Column]:
-    """CIDR or bare IPv4 text -> (lo, hi) BIGINT bounds, null when unparsable."""
-    t = F.trim(_c(text))
-    addr = F.split(t, "/").getItem(0)
-    plen = F.when(t.contains("/"), F.split(t, "/").getItem(1))
-    bits = F.when(plen.isNull(), F.lit(32)).when(plen.rlike(r"^([0-9]|[12][0-9]|3[0-2])$"),
-                                                  plen.cast("int"))
-    base = ipv4_to_long(addr)
-    size = F.pow(F.lit(2), 32 - bits).cast("bigint")  # exact for 0..32
-    lo = F.when(base.isNotNull() & bits.isNotNull(), base - F.pmod(base, size))
-    return lo, lo + size - 1
+_DIGITS = "0123456789abcdef"
+#: A hex digit with its lower bits cleared, by the number of bits kept.
+_CLEARED = {1: "0000000088888888", 2: "000044448888cccc", 3: "0022446688aaccee"}
+
+
+def mask_key(key: Column, bits: Column) -> Column:
+    """Key with all but its first ``bits`` (0 to 128) cleared."""
+    whole, part = F.floor(bits / 4).cast("int"), F.pmod(bits, F.lit(4))
+    digit = F.substring(key, whole + 1, F.lit(1))
+    masked = F.when(part == 0, "")
+    for n, to in _CLEARED.items():
+        masked = masked.when(part == n, F.translate(digit, _DIGITS, to))
+    return F.rpad(F.concat(F.substring(key, F.lit(1), whole), masked), 32, "0")
+
+
+def _key_of(address) -> str:
+    return f"{int(address):032x}" if address.version == 6 else f"{MAPPED}{int(address):08x}"
+
+
+def _address(text: str):
+    try:
+        return None if "%" in text else ipaddress.ip_address(text)
+    except ValueError:
+        return None
+
+
+@F.pandas_udf(T.StringType())
+def address_key(text: pd.Series) -> pd.Series:
+    """``ip_key`` for tables of distinct addresses: all spellings, one Arrow call a batch."""
+    return text.map(lambda t: _key_of(a) if t and (a := _address(t)) else None).astype(object)
+
+
+_BOUNDS = T.StructType([T.StructField("lo", T.StringType()), T.StructField("hi", T.StringType()),
+                        T.StructField("bits", T.IntegerType())])
+
+
+@F.pandas_udf(_BOUNDS)
+def cidr_bounds(text: pd.Series) -> pd.DataFrame:
+    """Key bounds and key prefix length of CIDR or bare address text; nulls when it is
+    neither.  IPv4 prefixes count from the mapped form, so /24 is 120."""
+    def parse(t: str | None):
+        address, slash, length = (t or "").strip().partition("/")
+        a = _address(address)
+        if a is None or (slash and not (length.isascii() and length.isdigit() and int(length) <= a.max_prefixlen)):
+            return None, None, None
+        net = ipaddress.ip_network((a, int(length) if slash else a.max_prefixlen), strict=False)
+        return _key_of(net.network_address), _key_of(net.broadcast_address), net.prefixlen + 128 - net.max_prefixlen
+    out = pd.DataFrame([parse(t) for t in text], columns=["lo", "hi", "bits"], dtype=object)
+    return out.astype({"bits": "Int32"})
+
+
+def with_cidr(df, col: str, prefix: str = ""):
+    """Add ``<prefix>lo``, ``hi`` and ``bits`` of a column of network text (rules, lists)."""
+    out = df.withColumn("_cidr", cidr_bounds(col))
+    return out.withColumns({f"{prefix}{n}": F.col(f"_cidr.{n}") for n in ("lo", "hi", "bits")}).drop("_cidr")
 
 
 # ---- DuckDB text of the same tests, for oracle SQL ---------------------------

@@ -69,9 +69,14 @@ def classify_protocol(protocol, src_port, dst_port) -> Column:
             .otherwise(_c(protocol)))
 
 
-def ebpf_tls_protocol(dst_port, has_http_payload) -> Column:
-    """eBPF TLS capture: HTTPS on well-known TLS ports or with a decoded payload, else TLS."""
-    return F.when(_c(dst_port).isin(HTTPS_PORTS) | _c(has_http_payload), "HTTPS").otherwise("TLS")
+def grpc_target(http) -> tuple[Column, Column]:
+    """(service, method) of a call whose content type is application/grpc; else null."""
+    h = _c(http)
+    is_grpc = F.exists(h["headers"], lambda x: (F.lower(x["name"]) == "content-type")
+                       & F.lower(x["value"]).startswith("application/grpc"))
+    part = F.split(h["path"], "/")
+    ok = is_grpc & (F.size(part) == 3)
+    return F.when(ok, F.get(part, 1)), F.when(ok, F.get(part, 2))
 
 
 def flow_info(protocol="protocol", http="http", dns="dns", tls="tls", icmp="icmp",

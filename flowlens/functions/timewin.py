@@ -1,9 +1,10 @@
 """Time helpers: look-back windows relative to an explicit ``as_of``.
 
 Every reference query is relative to ``now()``; here ``as_of`` is a parameter
-so results are reproducible.  ``as_of=None`` means "latest ts of the input",
-expressed as a scalar subquery: Spark runs it once as its own small job and
-inlines the value, so the main plan still pushes the ts bound into the scan.
+so results are reproducible.  A literal ``as_of`` gives literal bounds on ``ts`` and,
+for the stored flow table, on its month partition.  ``as_of=None`` means "latest ts
+of the input", a scalar subquery; over the stored table it reads the newest month
+only.
 """
 
 from __future__ import annotations
@@ -33,9 +34,19 @@ def interval(text: str) -> Column:
     return F.expr(f"INTERVAL {text}")
 
 
+#: Partition column of the stored flow table.
+MONTH = "yyyymm"
+
+
+def month_of(ts: Column) -> Column:
+    return (F.year(ts) * 100 + F.month(ts)).cast("int")
+
+
 def as_of_col(df: DataFrame, as_of=None, ts: str = "ts") -> Column:
     """Column holding the reference instant."""
     if as_of is None:
+        if MONTH in df.columns:
+            df = df.filter(F.col(MONTH) == df.select(F.max(MONTH)).scalar())
         return df.select(F.max(ts)).scalar()
     if isinstance(as_of, Column):
         return as_of
@@ -44,12 +55,24 @@ def as_of_col(df: DataFrame, as_of=None, ts: str = "ts") -> Column:
     return F.to_timestamp(F.lit(str(as_of)))
 
 
+def bounded(df: DataFrame, lo: Column, hi: Column | None = None, ts: str = "ts") -> DataFrame:
+    """Rows with ``ts >= lo`` (and ``ts <= hi``), with the month bounds where the
+    table has months, so other partitions aren't listed."""
+    out = df.filter(F.col(ts) >= lo)
+    if MONTH in df.columns:
+        out = out.filter(F.col(MONTH) >= month_of(lo))
+    if hi is not None:
+        out = out.filter(F.col(ts) <= hi)
+        if MONTH in df.columns:
+            out = out.filter(F.col(MONTH) <= month_of(hi))
+    return out
+
+
 def since(df: DataFrame, window: str = "24h", as_of=None, ts: str = "ts",
           dashboard: bool = False, upper: bool = False) -> DataFrame:
     """Rows with ``ts >= as_of - window`` (and ``ts <= as_of`` when ``upper``)."""
     now = as_of_col(df, as_of, ts)
-    out = df.filter(F.col(ts) >= now - interval(window_interval(window, dashboard)))
-    return out.filter(F.col(ts) <= now) if upper else out
+    return bounded(df, now - interval(window_interval(window, dashboard)), now if upper else None, ts)
 
 
 def duck_since(window: str = "24h", table: str = "flows", ts: str = "ts",

@@ -10,7 +10,7 @@ full tie-break so results are deterministic.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.ip import is_external_like
@@ -19,7 +19,26 @@ from flowlens.functions.timewin import as_of_col, interval, since, window_interv
 
 def _top(df: DataFrame, k: int | None, *order: Column) -> DataFrame:
     out = df.orderBy(*order)
-    return out.limit(k) if k else out
+    return out.limit(positive("k", k)) if k is not None else out
+
+
+def positive(name: str, value: int) -> int:
+    """A count parameter as given; anything below one is an error, nothing is clamped."""
+    if int(value) < 1:
+        raise ValueError(f"{name} must be at least 1, not {value}")
+    return int(value)
+
+
+def smallest_values(df: DataFrame, keys: list[str], value: str, n: int, out: str) -> DataFrame:
+    """(keys, out): the ``n`` smallest distinct values of each key, nulls left out.
+
+    Values are made distinct first, so a hot key is spread over its values; the
+    rank limit then runs before the shuffle, and an array holds ``n`` at most.
+    """
+    v = df.filter(F.col(value).isNotNull()).select(*keys, value).distinct()
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
+    v = v.withColumn("_nth", nth).filter(F.col("_nth") <= n)
+    return v.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(out))
 
 
 def _pct(c: str, p: float, exact: bool) -> Column:
@@ -28,7 +47,7 @@ def _pct(c: str, p: float, exact: bool) -> Column:
     return F.percentile(c, p) if exact else F.percentile_approx(c, p, 10000).cast("double")
 
 
-def endpoint_stats(flows: DataFrame, window: str = "1h", as_of=None, k: int = 100,
+def endpoint_stats(flows: DataFrame, window: str = "1h", as_of=None, k: int | None = None,
                    exact: bool = True) -> DataFrame:
     """Per (method, path) of HTTP/HTTPS flows: counts, error rate, latency percentiles."""
     f = since(flows, window, as_of).filter(
@@ -49,7 +68,8 @@ def endpoint_stats(flows: DataFrame, window: str = "1h", as_of=None, k: int = 10
 
 
 def endpoint_summary(endpoints: DataFrame) -> DataFrame:
-    """Page header over ``endpoint_stats``: totals, mean error rate, count-weighted latency.
+    """Page header over all of ``endpoint_stats`` (taken before any top-k): totals, mean
+    error rate, count-weighted latency.
 
     Also returns the unweighted means used by the desktop pane.
     """
@@ -62,20 +82,33 @@ def endpoint_summary(endpoints: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("endpoints"))
 
 
+def nearest_rank_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
+    """(keys, one column per point): the value at rank ceil(p * n) of each group.
+
+    Rows are counted per (group, value) first; the running count over a group's
+    distinct values is what the ranks are read from, so a group's size in rows
+    doesn't matter.
+    """
+    c = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    up_to = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    c = c.withColumn("_upto", F.sum("_n").over(up_to)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    at = {n: F.greatest(F.ceil(F.col("_all") * F.lit(p)), F.lit(1)) for n, p in points.items()}
+    return c.groupBy(*keys).agg(*[F.min(F.when(F.col("_upto") >= r, F.col(value))).cast("double").alias(n)
+                                  for n, r in at.items()])
+
+
 def endpoint_stats_nearest_rank(flows: DataFrame, latency: str = "duration_ms") -> DataFrame:
     """Desktop variant: per host+method+path, host falls back to dst_ip;
     nearest-rank percentiles (index ceil(p*n)-1); null latency only excluded
     from the percentiles."""
+    keys = ["host", "http_method", "http_path"]
     f = flows.filter(F.col("http_method") != "").withColumn(
         "host", F.coalesce(F.nullif(F.col("hostname"), F.lit("")), F.col("dst_ip")))
-    # percentile_disc is exactly the nearest-rank definition
-    return f.groupBy("host", "http_method", "http_path").agg(
-        F.count(F.lit(1)).alias("count"),
-        F.count_if(F.col("http_status") >= 400).alias("errors"),
-        F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {latency})").cast("double").alias("p50"),
-        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {latency})").cast("double").alias("p95"),
-        F.expr(f"percentile_disc(0.99) WITHIN GROUP (ORDER BY {latency})").cast("double").alias("p99"),
+    counts = f.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("count"), F.count_if(F.col("http_status") >= 400).alias("errors"),
         F.avg(latency).alias("avg_latency"))
+    ranks = nearest_rank_percentiles(f, keys, latency, {"p50": 0.5, "p95": 0.95, "p99": 0.99})
+    return counts.join(ranks, keys, "left").select(*keys, "count", "errors", "p50", "p95", "p99", "avg_latency")
 
 
 def traffic_stats(flows: DataFrame, agents: DataFrame | None = None, as_of=None,
@@ -91,10 +124,10 @@ def traffic_stats(flows: DataFrame, agents: DataFrame | None = None, as_of=None,
 
 
 def top_protocols(flows: DataFrame, k: int = 5, hours: int | None = None, as_of=None) -> DataFrame:
-    """Flow count per protocol, with share %; ``hours`` clamps to 1..168 like the metrics API."""
+    """Flow count per protocol, with share %, over the last ``hours`` or all rows."""
     f = flows
     if hours is not None:
-        h = max(1, min(int(hours), 168))
+        h = positive("hours", hours)
         f = f.filter(F.col("ts") >= as_of_col(flows, as_of) - interval(f"{h} HOURS"))
     agg = f.groupBy("protocol").agg(F.count(F.lit(1)).alias("cnt"))
     total = agg.agg(F.sum("cnt").alias("all_cnt"))
@@ -110,8 +143,7 @@ def top_sources(flows: DataFrame, k: int = 5) -> DataFrame:
 def top_talkers(flows: DataFrame, window: str = "1h", by: str = "flows", k: int = 10,
                 as_of=None) -> DataFrame:
     """Dashboard top talkers: window in {1h,6h,24h,7d} (else 1h), strict ``ts >``,
-    by flows|bytes, k in 1..50 (else 10)."""
-    k = k if 1 <= k <= 50 else 10
+    by flows|bytes, the first ``k``."""
     iv = {"6h": "6 HOURS", "24h": "24 HOURS", "7d": "7 DAYS"}.get(window, "1 HOUR")
     f = flows.filter(F.col("ts") > as_of_col(flows, as_of) - interval(iv))
     agg = f.groupBy("src_ip").agg(F.count(F.lit(1)).alias("flow_count"),
@@ -139,8 +171,8 @@ def exfil_talkers(flows: DataFrame, window: str = "24h", as_of=None, k: int = 20
 
 
 def timeseries(flows: DataFrame, hours: int = 1, as_of=None, fill: bool = False) -> DataFrame:
-    """Per-minute count and bytes for the last ``hours`` (clamped 1..24)."""
-    h = max(1, min(int(hours), 24))
+    """Per-minute count and bytes for the last ``hours``; ``fill`` adds empty minutes."""
+    h = positive("hours", hours)
     now = as_of_col(flows, as_of)
     f = flows.filter(F.col("ts") >= now - interval(f"{h} HOURS"))
     agg = f.groupBy(F.date_trunc("minute", "ts").alias("minute")).agg(
@@ -154,7 +186,7 @@ def timeseries(flows: DataFrame, hours: int = 1, as_of=None, fill: bool = False)
     return agg.orderBy("minute")
 
 
-def service_edges(flows: DataFrame, window: str = "1h", as_of=None, k: int = 300) -> DataFrame:
+def service_edges(flows: DataFrame, window: str = "1h", as_of=None, k: int | None = 300) -> DataFrame:
     f = since(flows, window, as_of)
     agg = f.groupBy("src_ip", "dst_ip", "protocol").agg(
         F.count(F.lit(1)).alias("flow_count"),
@@ -172,7 +204,7 @@ def service_nodes(edges: DataFrame) -> DataFrame:
 
 def service_map_nodes(flows: DataFrame) -> DataFrame:
     """Desktop service map: per endpoint ip, bytes, flows, protocol set and the
-    first-seen non-blank country (looked up on the destination side)."""
+    first-seen non-blank country and AS organisation (of the destination side)."""
     src = flows.select(F.col("src_ip").alias("ip"), "ts", "protocol",
                        (F.col("bytes_in") + F.col("bytes_out")).alias("bytes"),
                        F.lit("").alias("country_code"), F.lit("").alias("as_org"))
@@ -180,11 +212,12 @@ def service_map_nodes(flows: DataFrame) -> DataFrame:
                        (F.col("bytes_in") + F.col("bytes_out")).alias("bytes"),
                        "country_code", "as_org")
     both = src.unionByName(dst).filter(F.col("ip") != "")
-    known = F.col("country_code") != ""
+    known, org = F.col("country_code") != "", F.col("as_org") != ""
     return both.groupBy("ip").agg(
         F.count(F.lit(1)).alias("flows"), F.sum("bytes").alias("bytes"),
         F.array_join(F.array_sort(F.collect_set("protocol")), ",").alias("protocols"),
-        F.min_by(F.when(known, F.col("country_code")), F.when(known, F.struct("ts", "country_code"))).alias("country_code"))
+        F.min_by(F.when(known, F.col("country_code")), F.when(known, F.struct("ts", "country_code"))).alias("country_code"),
+        F.min_by(F.when(org, F.col("as_org")), F.when(org, F.struct("ts", "as_org"))).alias("as_org"))
 
 
 def external_destinations(flows: DataFrame, window: str = "24h", as_of=None, k: int = 100,
@@ -197,9 +230,10 @@ def external_destinations(flows: DataFrame, window: str = "24h", as_of=None, k:
         F.max_by("protocol", F.struct("ts", "id")).alias("protocol"),
         F.count(F.lit(1)).alias("flow_count"),
         F.sum("bytes_out").alias("bytes_out"),
-        F.max("ts").alias("last_seen"),
-        F.slice(F.array_sort(F.collect_set("src_ip")), 1, max_sources).alias("src_ips"))
-    return _top(agg, k, F.desc("bytes_out"), "dst_ip")
+        F.max("ts").alias("last_seen"))
+    top = _top(agg, k, F.desc("bytes_out"), "dst_ip")
+    sources = smallest_values(f.join(top.select("dst_ip"), "dst_ip", "left_semi"), ["dst_ip"], "src_ip", max_sources, "src_ips")
+    return top.join(sources, "dst_ip", "left").withColumn("src_ips", F.coalesce("src_ips", F.array().cast("array<string>")))
 
 
 def geo_summary(flows: DataFrame, window: str = "24h", as_of=None, k: int = 50) -> DataFrame:
@@ -237,10 +271,12 @@ def threat_summary(flows: DataFrame, window: str = "24h", as_of=None, k: int = 5
         F.max_by("country_name", F.struct("ts", "id")).alias("country_name"),
         F.max_by("as_org", F.struct("ts", "id")).alias("as_org"),
         F.count(F.lit(1)).alias("flow_count"),
-        F.max("ts").alias("last_seen"),
-        F.slice(F.array_sort(F.collect_set(F.nullif(F.col("process_name"), F.lit("")))), 1,
-                max_processes).alias("processes"))
+        F.max("ts").alias("last_seen"))
     top = _top(per, k, F.desc("score"), F.desc("flow_count"), "dst_ip")
+    named = f.filter(F.col("process_name") != "").join(top.select("dst_ip"), "dst_ip", "left_semi")
+    processes = smallest_values(named, ["dst_ip"], "process_name", max_processes, "processes")
+    top = top.join(processes, "dst_ip", "left").withColumn(
+        "processes", F.coalesce("processes", F.array().cast("array<string>")))
     counts = per.agg(F.count(F.lit(1)).alias("total"),
                      F.count_if(F.col("level") == "high").alias("high"),
                      F.count_if(F.col("level") == "medium").alias("medium"),
@@ -254,10 +290,10 @@ def threat_offenders(flows: DataFrame, min_hits: int = 3, max_samples: int = 5)
     agg = f.groupBy("src_ip").agg(
         F.count(F.lit(1)).alias("hits"),
         F.count_distinct("dst_ip").alias("distinct_dsts"),
-        F.slice(F.array_sort(F.collect_set("dst_ip")), 1, max_samples).alias("sample_dsts"),
-        F.array_sort(F.collect_set("protocol")).alias("protocols"),
+        F.array_sort(F.collect_set("protocol")).alias("protocols"),  # protocol names: a handful
         F.sum(F.col("bytes_in") + F.col("bytes_out")).alias("total_bytes"))
     agg = agg.filter(F.col("hits") >= min_hits)
+    agg = agg.join(smallest_values(f, ["src_ip"], "dst_ip", max_samples, "sample_dsts"), "src_ip", "left")
     return agg.withColumn("priority", F.when(F.col("hits") >= 20, "P1")
                           .when(F.col("hits") >= 10, "P2").otherwise("P3"))
 

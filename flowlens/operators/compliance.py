@@ -52,16 +52,14 @@ def _recent(x: Inputs) -> DataFrame:
 def soc2_cc6_1(x: Inputs) -> DataFrame:
     f = _recent(x).filter(F.col("dst_port").isin(22, 3389, 5432, 6379, 27017) & _external_src())
     return f.groupBy("src_ip", "dst_ip", "dst_port").agg(
-        F.count(F.lit(1)).alias("attempts"), F.max("ts").alias("last_seen")) \
-        .orderBy(F.desc("attempts"), "src_ip", "dst_ip", "dst_port").limit(100)
+        F.count(F.lit(1)).alias("attempts"), F.max("ts").alias("last_seen"))
 
 
 def soc2_cc6_7(x: Inputs) -> DataFrame:
     f = _recent(x).filter((F.col("protocol") == "HTTP") & ~F.col("dst_port").isin(443, 8443)
                           & (F.col("bytes_out") > 512))
     return f.groupBy("dst_ip", "dst_port").agg(
-        F.count(F.lit(1)).alias("flow_count"), F.sum("bytes_out").alias("total_bytes")) \
-        .orderBy(F.desc("total_bytes"), "dst_ip", "dst_port").limit(50)
+        F.count(F.lit(1)).alias("flow_count"), F.sum("bytes_out").alias("total_bytes"))
 
 
 def _matches_with_rules(x: Inputs) -> DataFrame:
@@ -73,8 +71,7 @@ def _matches_with_rules(x: Inputs) -> DataFrame:
 
 
 def soc2_cc7_2(x: Inputs) -> DataFrame:
-    return _matches_with_rules(x).select("rule", "src_ip", "dst_ip", "severity", "fired_at") \
-        .orderBy(F.desc("fired_at"), "rule", "src_ip", "dst_ip").limit(200)
+    return _matches_with_rules(x).select("rule", "src_ip", "dst_ip", "severity", "fired_at")
 
 
 def soc2_cc8_1(x: Inputs) -> DataFrame:
@@ -83,7 +80,7 @@ def soc2_cc8_1(x: Inputs) -> DataFrame:
         F.min("registered_at").alias("registered_at"), F.max("last_seen").alias("last_seen"))
     a = a.filter((F.col("registered_at") >= x.since) | (F.col("last_seen") >= x.since))
     return a.withColumn("status", F.when(F.col("last_seen") < x.as_of - interval("1 HOUR"), "OFFLINE")
-                        .otherwise("ONLINE")).orderBy(F.desc("registered_at"), "agent_id")
+                        .otherwise("ONLINE"))
 
 
 def soc2_a1_1(x: Inputs) -> DataFrame:
@@ -94,15 +91,13 @@ def soc2_a1_1(x: Inputs) -> DataFrame:
 
 def pci_1_3(x: Inputs) -> DataFrame:
     f = _recent(x).filter(_external_src() & F.col("dst_port").isin(443, 8443, 3306, 5432, 1433, 6379, 27017))
-    return f.groupBy("src_ip", "dst_ip", "dst_port", "protocol").agg(F.count(F.lit(1)).alias("cnt")) \
-        .orderBy(F.desc("cnt"), "src_ip", "dst_ip", "dst_port", "protocol").limit(100)
+    return f.groupBy("src_ip", "dst_ip", "dst_port", "protocol").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def pci_2_2(x: Inputs) -> DataFrame:
     f = _recent(x).filter(F.col("protocol").isin("TELNET", "FTP", "HTTP") & F.col("dst_port").isin(21, 23, 80, 8080)
                           & ~F.col("dst_ip").startswith("192.168."))
-    return f.groupBy("src_ip", "dst_ip", "dst_port", "protocol").agg(F.count(F.lit(1)).alias("cnt")) \
-        .orderBy(F.desc("cnt"), "src_ip", "dst_ip", "dst_port", "protocol").limit(50)
+    return f.groupBy("src_ip", "dst_ip", "dst_port", "protocol").agg(F.count(F.lit(1)).alias("cnt"))
 
 
 def _audit_actions(x: Inputs) -> DataFrame:
@@ -113,21 +108,18 @@ def _audit_actions(x: Inputs) -> DataFrame:
 
 def pci_10_2(x: Inputs) -> DataFrame:
     return _audit_actions(x).groupBy("action").agg(
-        F.count(F.lit(1)).alias("event_count"), F.min("ts").alias("first"), F.max("ts").alias("last")) \
-        .orderBy(F.desc("event_count"), "action")
+        F.count(F.lit(1)).alias("event_count"), F.min("ts").alias("first"), F.max("ts").alias("last"))
 
 
 def pci_11_4(x: Inputs) -> DataFrame:
     m = _matches_with_rules(x).filter(F.col("tags").contains("portscan") | F.col("tags").contains("lateral"))
-    return m.groupBy("rule", "src_ip").agg(F.count(F.lit(1)).alias("fires"), F.max("fired_at").alias("last_fired")) \
-        .orderBy(F.desc("fires"), "rule", "src_ip").limit(100)
+    return m.groupBy("rule", "src_ip").agg(F.count(F.lit(1)).alias("fires"), F.max("fired_at").alias("last_fired"))
 
 
 def hipaa_312_e1(x: Inputs) -> DataFrame:
     f = _recent(x).filter((F.col("protocol") == "HTTP") & ~F.col("dst_port").isin(443, 8443))
     return f.groupBy("src_ip", "dst_ip", "dst_port").agg(
-        F.count(F.lit(1)).alias("cnt"), F.sum("bytes_out").alias("bytes")) \
-        .orderBy(F.desc("bytes"), "src_ip", "dst_ip", "dst_port").limit(100)
+        F.count(F.lit(1)).alias("cnt"), F.sum("bytes_out").alias("bytes"))
 
 
 # fixed values: authentication audit actions of the HIPAA audit-controls check
@@ -138,7 +130,7 @@ def hipaa_312_b(x: Inputs) -> DataFrame:
     a = _audit_actions(x).withColumn("action", F.element_at(F.split("path", "/"), -1))
     a = a.filter(F.col("action").isin(AUTH_ACTIONS))
     return a.groupBy("action", F.col("token_id").alias("actor")).agg(
-        F.count(F.lit(1)).alias("cnt"), F.max("ts").alias("last")).orderBy(F.desc("cnt"), "action", "actor").limit(200)
+        F.count(F.lit(1)).alias("cnt"), F.max("ts").alias("last"))
 
 
 def _active_members(x: Inputs) -> DataFrame:
@@ -148,24 +140,43 @@ def _active_members(x: Inputs) -> DataFrame:
 
 def hipaa_308_a1(x: Inputs) -> DataFrame:
     return _active_members(x).filter(F.col("created_at") >= x.since).select(
-        "email", "role", F.col("created_at").alias("joined_at"), "last_seen").orderBy(F.desc("joined_at"), "email")
+        "email", "role", F.col("created_at").alias("joined_at"), "last_seen")
 
 
 def hipaa_312_a1(x: Inputs) -> DataFrame:
     return _active_members(x).filter(F.col("last_seen") < x.as_of - interval("90 DAYS")).select(
-        "email", "role", "last_seen").orderBy("last_seen", "email").limit(50)
+        "email", "role", "last_seen")
+
+
+@dataclass(frozen=True)
+class Check:
+    """A check: its evidence, the order it is printed in, and how its row count is judged."""
+
+    name: str
+    fn: Callable[[Inputs], DataFrame]
+    order: tuple[str, ...]       # "-col" for descending
+    fail_on_rows: bool = False
+    pass_on_rows: bool = False
+    info_only: bool = False
+
+    def sort_columns(self) -> list[Column]:
+        return [F.desc(c[1:]) if c.startswith("-") else F.asc(c) for c in self.order]
 
 
-# (name, function, fail_on_rows, pass_on_rows, info_only)
-Check = tuple[str, Callable[[Inputs], DataFrame], bool, bool, bool]
 FRAMEWORKS: dict[str, list[Check]] = {
-    "soc2": [("CC6.1", soc2_cc6_1, True, False, False), ("CC6.7", soc2_cc6_7, False, False, False),
-             ("CC7.2", soc2_cc7_2, False, False, True), ("CC8.1", soc2_cc8_1, False, False, True),
-             ("A1.1", soc2_a1_1, False, True, True)],
-    "pci": [("Req 1.3", pci_1_3, True, False, False), ("Req 2.2", pci_2_2, False, False, False),
-            ("Req 10.2", pci_10_2, False, True, True), ("Req 11.4", pci_11_4, False, False, True)],
-    "hipaa": [("164.312(e)(1)", hipaa_312_e1, False, False, False), ("164.312(b)", hipaa_312_b, False, True, True),
-              ("164.308(a)(1)", hipaa_308_a1, False, False, True), ("164.312(a)(1)", hipaa_312_a1, False, False, False)],
+    "soc2": [Check("CC6.1", soc2_cc6_1, ("-attempts", "src_ip", "dst_ip", "dst_port"), fail_on_rows=True),
+             Check("CC6.7", soc2_cc6_7, ("-total_bytes", "dst_ip", "dst_port")),
+             Check("CC7.2", soc2_cc7_2, ("-fired_at", "rule", "src_ip", "dst_ip"), info_only=True),
+             Check("CC8.1", soc2_cc8_1, ("-registered_at", "agent_id"), info_only=True),
+             Check("A1.1", soc2_a1_1, ("first_flow",), pass_on_rows=True, info_only=True)],
+    "pci": [Check("Req 1.3", pci_1_3, ("-cnt", "src_ip", "dst_ip", "dst_port", "protocol"), fail_on_rows=True),
+            Check("Req 2.2", pci_2_2, ("-cnt", "src_ip", "dst_ip", "dst_port", "protocol")),
+            Check("Req 10.2", pci_10_2, ("-event_count", "action"), pass_on_rows=True, info_only=True),
+            Check("Req 11.4", pci_11_4, ("-fires", "rule", "src_ip"), info_only=True)],
+    "hipaa": [Check("164.312(e)(1)", hipaa_312_e1, ("-bytes", "src_ip", "dst_ip", "dst_port")),
+              Check("164.312(b)", hipaa_312_b, ("-cnt", "action", "actor"), pass_on_rows=True, info_only=True),
+              Check("164.308(a)(1)", hipaa_308_a1, ("-joined_at", "email"), info_only=True),
+              Check("164.312(a)(1)", hipaa_312_a1, ("last_seen", "email"))],
 }
 
 
@@ -179,43 +190,67 @@ def _status(n: Column, fail_on: bool, pass_on: bool, info: bool) -> Column:
     return F.when(n > 0, "warn").otherwise("pass")
 
 
-def compliance_report(framework: str, x: Inputs) -> DataFrame:
-    """(framework, check, status, row_count) for every check of a framework."""
-    parts = []
-    for name, fn, fail_on, pass_on, info in FRAMEWORKS[framework]:
-        n = fn(x).agg(F.count(F.lit(1)).alias("row_count"))
-        parts.append(n.select(F.lit(framework).alias("framework"), F.lit(name).alias("check_name"),
-                              _status(F.col("row_count"), fail_on, pass_on, info).alias("status"), "row_count"))
+def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def compliance_report(framework: str, x: Inputs) -> DataFrame:
+    """(framework, check_name, status, row_count); counts are taken over all evidence."""
+    parts = []
+    for c in FRAMEWORKS[framework]:
+        n = c.fn(x).agg(F.count(F.lit(1)).alias("row_count"))
+        parts.append(n.select(F.lit(framework).alias("framework"), F.lit(c.name).alias("check_name"),
+                              _status(F.col("row_count"), c.fail_on_rows, c.pass_on_rows, c.info_only).alias("status"),
+                              "row_count"))
+    return _union(parts)
+
+
 def report_evidence(framework: str, x: Inputs) -> DataFrame:
-    """Evidence rows of every check as (check_name, evidence JSON) — the CSV/PDF body."""
-    parts = [fn(x).select(F.lit(name).alias("check_name"), F.to_json(F.struct("*")).alias("evidence"))
-             for name, fn, *_ in FRAMEWORKS[framework]]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """All evidence rows of every check as (check_name, evidence JSON)."""
+    return _union([c.fn(x).select(F.lit(c.name).alias("check_name"), F.to_json(F.struct("*")).alias("evidence"))
+                   for c in FRAMEWORKS[framework]])
+
+
+def _csv_field(c: Column) -> Column:
+    """Text of a value, quoted where it holds a comma, a quote or a line end."""
+    t = F.coalesce(c.cast("string"), F.lit(""))
+    return F.when(t.rlike('[,"\\r\\n]'), F.concat(F.lit('"'), F.replace(t, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(t)
 
 
-def report_csv_lines(framework: str, x: Inputs) -> DataFrame:
-    """Report as ordered CSV lines: per check a header line, its evidence rows, a blank."""
+def report_csv_lines(framework: str, x: Inputs, limit: int | None = None) -> DataFrame:
+    """Report as (section, part, order key, line): sort by the first three to print it.
+
+    Per check a header line (part 0), its evidence rows (part 1) and a blank line
+    (part 2).  The order key is a struct of sort texts, so ordering stays a
+    distributed range sort; `limit` keeps the first rows of each check.
+    """
     parts = []
-    for i, (name, fn, *_) in enumerate(FRAMEWORKS[framework]):
-        ev = fn(x)
-        cols = ev.columns
-        head = ev.sparkSession.range(1).select(F.lit(i).alias("sec"), F.lit(0).alias("part"),
-                                               F.lit(f"{name}," + ",".join(cols)).alias("line"))
-        body = ev.select(F.lit(i).alias("sec"), F.lit(1).alias("part"),
-                         F.concat_ws(",", F.lit(""), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])
-                         .alias("line"))
-        blank = ev.sparkSession.range(1).select(F.lit(i).alias("sec"), F.lit(2).alias("part"), F.lit("").alias("line"))
-        parts += [head, body, blank]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    spark = x.flows.sparkSession
+    for i, c in enumerate(FRAMEWORKS[framework]):
+        ev = c.fn(x)
+        if limit is not None:
+            ev = ev.orderBy(*c.sort_columns()).limit(limit)
+        keys = [_sort_text(ev, o) for o in c.order]
+        pad = [F.lit("")] * (5 - len(keys))
+        body = ev.select(F.lit(i).alias("section"), F.lit(1).alias("part"), F.array(*keys, *pad).alias("order_key"),
+                         F.concat_ws(",", F.lit(""), *[_csv_field(F.col(k)) for k in ev.columns]).alias("line"))
+        blank = F.array_repeat(F.lit(""), 5)
+        for part, line in ((0, f"{c.name}," + ",".join(ev.columns)), (2, "")):
+            parts.append(spark.range(1).select(F.lit(i).alias("section"), F.lit(part).alias("part"),
+                                               blank.alias("order_key"), F.lit(line).alias("line")))
+        parts.append(body)
+    return _union(parts)
+
+
+def _sort_text(df: DataFrame, order: str) -> Column:
+    """A text that sorts as the column does: numbers and times padded, descending ones complemented."""
+    name = order.lstrip("-")
+    kind = dict(df.dtypes)[name]
+    if kind == "string":
+        return F.coalesce(F.col(name), F.lit(""))
+    n = F.unix_micros(name) if kind == "timestamp" else F.col(name).cast("long")
+    n = F.coalesce(n, F.lit(0))
+    return F.lpad((F.lit(2**62) - n if order.startswith("-") else F.lit(2**61) + n).cast("string"), 20, "0")

@@ -8,11 +8,16 @@ usable in batch or inside ``foreachBatch`` of a stream.
 
 from __future__ import annotations
 
+import logging
+
+from pyspark.errors import AnalysisException, ParseException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.functions.ip import parse_cidr, ipv4_to_long
-from flowlens.functions.timewin import as_of_col, hour_of_week, interval
+from flowlens.functions.ip import ip_key, is_v4_key, with_cidr
+from flowlens.functions.timewin import as_of_col, bounded, hour_of_week, interval
+
+LOG = logging.getLogger(__name__)
 
 # fixed values: anomaly detector constants
 Z_THRESHOLD = 3.0
@@ -56,7 +61,7 @@ def _score(obs: DataFrame, per_hour: float) -> DataFrame:
         "%s: %s traffic on agent %s is %.1fx %s than usual (observed: %.0f flows/hr, expected: ~%.0f, σ=%.1f)",
         F.initcap(F.col("anomaly_type")), F.col("protocol"), F.col("hostname"), F.bround(ratio, 1),
         F.when(F.col("anomaly_type") == "spike", "higher").otherwise("lower"),
-        F.bround("observed", 0), F.bround("flow_count_mean", 0), F.bround("z_score", 1))
+        F.bround("observed", 0), F.bround("flow_count_mean", 0), F.bround("z_score", 1) + F.lit(0.0))
     return out.withColumn("description", desc).withColumnRenamed("flow_count_mean", "expected")
 
 
@@ -100,46 +105,66 @@ METRICS = ("flows_per_minute", "http_error_rate", "dns_nxdomain_rate", "anomaly_
            "anomaly_http_latency")
 
 
-def alert_metrics(flows: DataFrame, windows: list[int], as_of=None,
-                  baseline_days: int = 7) -> DataFrame:
+def _web_latency() -> Column:
+    return F.when(F.col("protocol").isin("HTTP", "HTTPS") & (F.col("http_method") != ""), F.col("duration_ms"))
+
+
+def hourly_load(flows: DataFrame) -> DataFrame:
+    """(h, cnt, lat_sum, lat_n): flows and web latency per hour, mergeable by sums."""
+    lat = _web_latency()
+    return flows.groupBy(F.date_trunc("hour", "ts").alias("h")).agg(
+        F.count(F.lit(1)).alias("cnt"), F.coalesce(F.sum(lat), F.lit(0)).alias("lat_sum"), F.count(lat).alias("lat_n"))
+
+
+def alert_metrics(flows: DataFrame, windows: list[int], as_of=None, baseline_days: int = 7,
+                  hourly: DataFrame | None = None) -> DataFrame:
     """(window_minutes, metric, value) for every metric and requested window.
 
-    One scan: windowed counts are ``count_if`` columns of a single aggregate;
-    the two sigma metrics come from an hourly aggregate of the same scan range
-    (7 days, excluding the last hour) cross-joined as one-row frames.
+    One scan: an aggregate by hour carries the windowed counts and the load of
+    the baseline range (``baseline_days``, without the last hour), and a second
+    aggregate over its few rows gives all metrics.  With ``hourly`` (stored
+    ``hourly_load`` rows of whole hours) only the windows' rows are read.
     """
     now = as_of_col(flows, as_of)
     look = max(max(windows), 5)
-    recent = flows.filter(F.col("ts") > now - interval(f"{max(look, 60 * 24 * baseline_days)} MINUTES"))
-    http = F.col("protocol") == "HTTP"
-    dns = F.col("protocol") == "DNS"
-    web = F.col("protocol").isin("HTTP", "HTTPS") & (F.col("http_method") != "")
-    aggs = []
+    http, dns, lat = F.col("protocol") == "HTTP", F.col("protocol") == "DNS", _web_latency()
+    counts = {}
     for w in sorted(set(windows)):
         inw = F.col("ts") > now - interval(f"{w} MINUTES")
-        aggs += [F.count_if(inw).alias(f"n_{w}"),
-                 F.count_if(inw & http).alias(f"http_{w}"),
-                 F.count_if(inw & http & (F.col("http_status") >= 400)).alias(f"http_err_{w}"),
-                 F.count_if(inw & dns).alias(f"dns_{w}"),
-                 F.count_if(inw & dns & (F.col("dns_rcode") == 3)).alias(f"nx_{w}")]
+        counts |= {f"n_{w}": inw, f"http_{w}": inw & http, f"http_err_{w}": inw & http & (F.col("http_status") >= 400),
+                   f"dns_{w}": inw & dns, f"nx_{w}": inw & dns & (F.col("dns_rcode") == 3)}
     last5 = F.col("ts") >= now - interval("5 MINUTES")
-    aggs += [F.count_if(last5).alias("n_last5"),
-             F.avg(F.when(last5 & web, F.col("duration_ms"))).alias("lat_last5")]
-    cur = recent.agg(*aggs)
-    base_rng = recent.filter((F.col("ts") >= now - interval(f"{baseline_days} DAYS"))
-                             & (F.col("ts") < now - interval("1 HOUR")))
-    hourly = base_rng.groupBy(F.date_trunc("hour", "ts").alias("h")).agg(
-        F.count(F.lit(1)).alias("cnt"), F.avg(F.when(web, F.col("duration_ms"))).alias("avg_lat"))
-    base = hourly.agg(F.avg("cnt").alias("b_avg"), F.stddev_pop("cnt").alias("b_std"),
-                      F.avg("avg_lat").alias("l_avg"), F.stddev_pop("avg_lat").alias("l_std"))
-    row = cur.crossJoin(base)
+    counts["n_last5"] = last5
+    aggs = [F.count_if(c).alias(n) for n, c in counts.items()]
+    aggs += [F.sum(F.when(last5, lat)).alias("lat5_sum"), F.count(F.when(last5, lat)).alias("lat5_n")]
+    oldest, newest = now - interval(f"{baseline_days} DAYS"), now - interval("1 HOUR")
+    in_base = (F.col("ts") >= oldest) & (F.col("ts") < newest)
+    reach = look if hourly is not None else max(look, 60 * 24 * baseline_days)
+    recent = bounded(flows, now - interval(f"{reach} MINUTES"))
+    per_hour = recent.groupBy(F.date_trunc("hour", "ts").alias("h")).agg(
+        *aggs, F.count_if(in_base).alias("cnt"), F.sum(F.when(in_base, lat)).alias("lat_sum"),
+        F.count(F.when(in_base, lat)).alias("lat_n"))
+    whole = [*counts, "lat5_sum", "lat5_n"]
+    if hourly is not None:
+        whole_hour = (F.col("h") >= oldest) & (F.col("h") + interval("1 HOUR") <= newest)
+        stored = hourly.filter(whole_hour).groupBy("h").agg(
+            *[F.sum(c).alias(c) for c in ("cnt", "lat_sum", "lat_n")])
+        per_hour = per_hour.drop("cnt", "lat_sum", "lat_n").unionByName(stored, allowMissingColumns=True)
+    cnt = F.when(F.col("cnt") > 0, F.col("cnt"))
+    avg_lat = F.when(F.col("lat_n") > 0, F.col("lat_sum") / F.col("lat_n"))
+    row = per_hour.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in whole],
+                       F.avg(cnt).alias("b_avg"), F.stddev_pop(cnt).alias("b_std"),
+                       F.avg(avg_lat).alias("l_avg"), F.stddev_pop(avg_lat).alias("l_std"))
+    row = row.withColumn("lat_last5", F.when(F.col("lat5_n") > 0, F.col("lat5_sum") / F.col("lat5_n")))
     flow_sigma = F.when(F.coalesce(F.col("b_std"), F.lit(0.0)) < 1, F.lit(0.0)).otherwise(
         (F.col("n_last5") * 12.0 - F.col("b_avg")) / F.col("b_std"))
     lat_sigma = F.when(F.coalesce(F.col("l_std"), F.lit(0.0)) < 1, F.lit(0.0)).otherwise(
         (F.col("lat_last5") - F.col("l_avg")) / F.col("l_std"))
+
     def m(w, name, value):
         return F.struct(F.lit(w).alias("window_minutes"), F.lit(name).alias("metric"),
                         value.cast("double").alias("value"))
+
     stacks = []
     for w in sorted(set(windows)):
         stacks += [m(w, "flows_per_minute", F.col(f"n_{w}") / F.lit(float(w))),
@@ -177,7 +202,8 @@ def evaluate_alerts(rules: DataFrame, metrics: DataFrame, events: DataFrame | No
 # ---- detection rules --------------------------------------------------------
 
 def _since(flows: DataFrame, minutes: int, as_of) -> DataFrame:
-    return flows.filter(F.col("ts") > as_of_col(flows, as_of) - interval(f"{minutes} MINUTES"))
+    lo = as_of_col(flows, as_of) - interval(f"{minutes} MINUTES")
+    return bounded(flows, lo).filter(F.col("ts") > lo)
 
 
 def rule_port_scan(flows: DataFrame, window_minutes: int = 5, min_ports: int = 50, as_of=None) -> DataFrame:
@@ -191,70 +217,101 @@ def rule_port_scan(flows: DataFrame, window_minutes: int = 5, min_ports: int = 5
                                    F.min("ts").alias("first_seen")).filter(F.col("port_count") > min_ports)
 
 
-def rule_dns_tunnel(flows: DataFrame, window_minutes: int = 10, min_len: int = 60, as_of=None) -> DataFrame:
-    return _since(flows, window_minutes, as_of).filter(
-        (F.col("protocol") == "DNS") & (F.length("dns_query") > min_len)).select(
-        "src_ip", "hostname", "dns_query", "ts")
-
-
 # fixed values: authentication path fragments of the cleartext-credentials rule
 CRED_PATHS = ["/login", "/auth", "/signin", "/password"]
+# fixed values: shell / interpreter process names and the allowed ports
+SHELL_PROCESSES = ["bash", "sh", "zsh", "python", "python3", "powershell", "pwsh", "cmd", "perl", "ruby"]
+SHELL_ALLOWED_PORTS = [22, 80, 443]
 
 
-def rule_cleartext_creds(flows: DataFrame, window_minutes: int = 15, as_of=None) -> DataFrame:
+def is_dns_tunnel(min_len: int = 60) -> Column:
+    return (F.col("protocol") == "DNS") & (F.length("dns_query") > min_len)
+
+
+def is_cleartext_login() -> Column:
     path = F.lit(False)
     for p in CRED_PATHS:
         path = path | F.col("http_path").contains(p)
-    return _since(flows, window_minutes, as_of).filter(
-        (F.col("protocol") == "HTTP") & (F.col("http_method") == "POST") & path & (F.col("dst_port") != 443)
-    ).select("src_ip", "dst_ip", "dst_port", "http_path", "hostname", "ts")
+    return (F.col("protocol") == "HTTP") & (F.col("http_method") == "POST") & path & (F.col("dst_port") != 443)
+
+
+def is_high_port(min_port: int = 49151, min_bytes: int = 10000) -> Column:
+    return (F.col("dst_port") > min_port) & (F.col("protocol") == "TCP") & (F.col("bytes_out") > min_bytes)
+
+
+def is_shell_process() -> Column:
+    return ((F.col("protocol") == "TCP") & F.col("process_name").isin(SHELL_PROCESSES)
+            & ~F.col("dst_port").isin(SHELL_ALLOWED_PORTS))
+
+
+def row_rules() -> dict[str, Column]:
+    """The rules that look at one flow at a time."""
+    return {"dns_tunnel": is_dns_tunnel(), "cleartext_creds": is_cleartext_login(), "high_port": is_high_port(),
+            "shell_process": is_shell_process()}
+
+
+def rule_dns_tunnel(flows: DataFrame, window_minutes: int = 10, min_len: int = 60, as_of=None) -> DataFrame:
+    return _since(flows, window_minutes, as_of).filter(is_dns_tunnel(min_len)).select(
+        "src_ip", "hostname", "dns_query", "ts")
+
+
+def rule_cleartext_creds(flows: DataFrame, window_minutes: int = 15, as_of=None) -> DataFrame:
+    return _since(flows, window_minutes, as_of).filter(is_cleartext_login()).select(
+        "src_ip", "dst_ip", "dst_port", "http_path", "hostname", "ts")
 
 
 def rule_high_port(flows: DataFrame, window_minutes: int = 5, min_port: int = 49151,
                    min_bytes: int = 10000, as_of=None) -> DataFrame:
-    return _since(flows, window_minutes, as_of).filter(
-        (F.col("dst_port") > min_port) & (F.col("protocol") == "TCP") & (F.col("bytes_out") > min_bytes)
-    ).select("src_ip", "dst_ip", "dst_port", "protocol", "bytes_out", "hostname", "ts")
+    return _since(flows, window_minutes, as_of).filter(is_high_port(min_port, min_bytes)).select(
+        "src_ip", "dst_ip", "dst_port", "protocol", "bytes_out", "hostname", "ts")
 
 
-# fixed values: shell / interpreter process names and the allowed ports
-SHELL_PROCESSES = ["bash", "sh", "zsh", "python", "python3", "powershell", "pwsh", "cmd", "perl", "ruby"]
-SHELL_ALLOWED_PORTS = [22, 80, 443]
+def rule_shell_process(flows: DataFrame, window_minutes: int = 5, as_of=None) -> DataFrame:
+    return _since(flows, window_minutes, as_of).filter(is_shell_process()).select(
+        "process_name", "pid", "src_ip", "dst_ip", "dst_port", "hostname", "ts")
 
 
-def rule_shell_process(flows: DataFrame, window_minutes: int = 5, as_of=None) -> DataFrame:
-    return _since(flows, window_minutes, as_of).filter(
-        (F.col("protocol") == "TCP") & F.col("process_name").isin(SHELL_PROCESSES)
-        & ~F.col("dst_port").isin(SHELL_ALLOWED_PORTS)
-    ).select("process_name", "pid", "src_ip", "dst_ip", "dst_port", "hostname", "ts")
+MATCH_SCHEMA = "rule_id string, rule_title string, severity string, match_data string, fired_at timestamp"
+
 
+def rule_frame(spark: SparkSession, query: str, flows: DataFrame, as_of) -> DataFrame:
+    """Plan of one rule: a query over the table name ``flows``, ``:as_of`` bound.
 
-def run_rules(spark: SparkSession, rules: DataFrame, flows: DataFrame, as_of, limit: int | None = None,
-              view: str = "flows") -> DataFrame:
-    """Run custom SQL rules (SELECT only) over ``flows``; one match row per result row.
+    The text stands inside a subquery, where Spark's grammar takes queries only:
+    commands and inserts, also behind a WITH, fail to parse and never run.  The
+    name ``flows`` is a common table expression, so no view is made or replaced.
+    """
+    text = query.strip().rstrip(";").replace("{", "{{").replace("}", "}}")
+    return spark.sql(f"WITH flows AS (SELECT * FROM {{rule_flows}}) SELECT * FROM (\n{text}\n) AS rule_query",
+                     args={"as_of": as_of}, rule_flows=flows)
+
+
+def run_rules(spark: SparkSession, rules: DataFrame, flows: DataFrame, as_of, limit: int | None = None) -> DataFrame:
+    """Run the enabled custom SQL rules over ``flows``; one match row per result row.
 
     The loop runs over rule *definitions* (a small table read once on the
-    driver); each rule is one Spark SQL plan with ``:as_of`` bound as a
-    parameter.  ``match_data`` is the result row as JSON.
+    driver); each rule is one plan.  ``match_data`` is the result row as JSON.
+    Rules that aren't a query, or that don't resolve, are logged and skipped;
+    without a usable rule the result is empty.  ``limit`` keeps that many rows of
+    each rule.
     """
     from flowlens.operators.latest import latest_by_key
     defs = latest_by_key(rules, ["id"], "version").filter(F.col("enabled")) \
         .select("id", "title", "severity", "query").orderBy("id").collect()
-    flows.createOrReplaceTempView(view)
-    out = None
+    out = spark.createDataFrame([], MATCH_SCHEMA)
     for d in defs:
-        q = d["query"].strip().rstrip(";")
-        head = q.lstrip("(").upper()
-        if not (head.startswith("SELECT") or head.startswith("WITH")) or ";" in q:
-            continue  # only single SELECT statements are accepted
-        res = spark.sql(q, args={"as_of": as_of})
-        if limit:
+        try:
+            res = rule_frame(spark, d["query"], flows, as_of)
+        except (ParseException, AnalysisException) as e:
+            LOG.warning("rule %s is skipped: %s", d["id"], e.getCondition())
+            continue
+        if limit is not None:
             res = res.limit(limit)
-        m = res.select(F.lit(d["id"]).alias("rule_id"), F.lit(d["title"]).alias("rule_title"),
-                       F.lit(d["severity"]).alias("severity"),
-                       F.to_json(F.struct(*[F.col(f"`{c}`") for c in res.columns])).alias("match_data"))
-        out = m if out is None else out.unionByName(m)
-    return out.withColumn("fired_at", F.lit(as_of).cast("timestamp"))
+        out = out.unionByName(res.select(
+            F.lit(d["id"]).alias("rule_id"), F.lit(d["title"]).alias("rule_title"), F.lit(d["severity"]).alias("severity"),
+            F.to_json(F.struct(*[F.col(f"`{c}`") for c in res.columns])).alias("match_data"),
+            F.lit(as_of).cast("timestamp").alias("fired_at")))
+    return out
 
 
 def incidents_from_matches(matches: DataFrame) -> DataFrame:
@@ -267,62 +324,81 @@ def incidents_from_matches(matches: DataFrame) -> DataFrame:
         F.col("rule_id").alias("source_id"), F.col("fired_at").alias("created_at"))
 
 
+# fixed values: status an action sets
+ACTION_STATUS = {"create": "open", "ack": "ack", "resolve": "resolved"}
+
+
 def incident_state(log: DataFrame) -> DataFrame:
-    """Current state from an action log (id, action, title, severity, note, acted_at, version):
-    create sets title/severity/status=open, ack/resolve set the status, notes
-    (from ack/resolve/note actions with text) are appended in version order as
-    ``\\n[yyyy-MM-dd HH:mm] text``."""
-    status_of = F.when(F.col("action") == "create", "open").when(F.col("action") == "ack", "acknowledged") \
-                 .when(F.col("action") == "resolve", "resolved")
-    note = F.when((F.col("action") != "create") & (F.coalesce(F.col("note"), F.lit("")) != ""),
-                  F.struct("version", F.concat(F.lit("\n["), F.date_format("acted_at", "yyyy-MM-dd HH:mm"),
-                                               F.lit("] "), F.col("note")).alias("text")))
+    """Current state from an action log (id, action, title, severity, source,
+    source_id, note, ref, acted_at, version).
+
+    create sets title, severity, source and source_id and opens the incident, ack
+    and resolve set its status; notes of other actions are appended in version
+    order as ``\\n[yyyy-MM-dd HH:mm] text``, references of dispatch actions joined
+    by ', '.  The texts are one value of an incident by definition; rows reach
+    it already cut to (version, text) and only where there is a text.
+    """
+    status = F.coalesce(*[F.when(F.col("action") == a, F.lit(s)) for a, s in ACTION_STATUS.items()])
+    created = F.when(F.col("action") == "create", F.col("version"))
+
+    def at_creation(name: str) -> Column:
+        return F.max_by(name, created).alias(name)
+
+    def joined(when: Column, text: Column) -> Column:
+        return F.collect_list(F.when(when, F.struct("version", text.alias("text"))))
+
+    has_note = (F.col("action") != "create") & (F.coalesce(F.col("note"), F.lit("")) != "")
+    note = F.concat(F.lit("\n["), F.date_format("acted_at", "yyyy-MM-dd HH:mm"), F.lit("] "), F.col("note"))
+    has_ref = (F.col("action") == "dispatch") & (F.coalesce(F.col("ref"), F.lit("")) != "")
     agg = log.groupBy("id").agg(
-        F.max_by(F.when(F.col("action") == "create", F.col("title")),
-                 F.when(F.col("action") == "create", F.col("version"))).alias("title"),
-        F.max_by(F.when(F.col("action") == "create", F.col("severity")),
-                 F.when(F.col("action") == "create", F.col("version"))).alias("severity"),
-        F.max_by(status_of, F.when(status_of.isNotNull(), F.col("version"))).alias("status"),
-        F.array_sort(F.collect_list(note)).alias("_notes"),
-        F.min("acted_at").alias("created_at"), F.max("acted_at").alias("updated_at"),
-        F.max("version").alias("version"))
-    return agg.withColumn("notes", F.array_join(F.transform("_notes", lambda n: n["text"]), "")).drop("_notes")
+        *[at_creation(c) for c in ("title", "severity", "source", "source_id")],
+        F.max_by(status, F.when(status.isNotNull(), F.col("version"))).alias("status"),
+        joined(has_note, note).alias("_notes"), joined(has_ref, F.col("ref")).alias("_refs"),
+        F.min("acted_at").alias("created_at"), F.max("acted_at").alias("updated_at"), F.max("version").alias("version"))
+
+    def text(c: str, sep: str) -> Column:
+        return F.array_join(F.transform(F.array_sort(c), lambda n: n["text"]), sep)
+
+    return (agg.withColumn("notes", text("_notes", "")).withColumn("external_ref", text("_refs", ", "))
+            .drop("_notes", "_refs"))
 
 
 # ---- process policies -------------------------------------------------------
 
-def evaluate_policies(flows: DataFrame, policies: DataFrame, broadcast_max_rows: int = 100_000) -> DataFrame:
+def evaluate_policies(flows: DataFrame, policies: DataFrame) -> DataFrame:
     """Violations: enabled policy, same process name, destination in the policy
-    CIDR ('' = any) and port equal (0 = any).  Equi-join on process_name with
-    the range / port test as residual; the policy side is broadcast after a
-    size check, so a hot process name never lands in one task."""
-    lo, hi = parse_cidr(F.col("dst_ip_cidr"))
-    p = policies.filter(F.col("enabled")).select(
+    CIDR ('' = any; IPv4 or IPv6) and port equal (0 = any).  An equi-join on the
+    process name with the address and port tests as residual; Spark broadcasts
+    the policies when it knows them small, else the skew join splits a hot name."""
+    p = with_cidr(policies.filter(F.col("enabled")), "dst_ip_cidr", "p_").select(
         F.col("id").alias("policy_id"), F.col("name").alias("policy_name"),
         F.col("process_name").alias("p_process"), "action", F.col("dst_ip_cidr"),
-        F.col("dst_port").alias("p_port"), lo.alias("p_lo"), hi.alias("p_hi"))
-    if p.limit(broadcast_max_rows + 1).count() <= broadcast_max_rows:
-        p = F.broadcast(p)
-    ip = ipv4_to_long("dst_ip")
-    cond = ((F.col("process_name") == F.col("p_process"))
-            & ((F.col("dst_ip_cidr") == "") | ip.between(F.col("p_lo"), F.col("p_hi")))
+        F.col("dst_port").alias("p_port"), "p_lo", "p_hi",
+        (is_v4_key(F.col("p_lo")) & (F.col("p_bits") >= 96)).alias("p_v4"))
+    f = flows.withColumn("_key", ip_key("dst_ip"))
+    inside = F.col("_key").between(F.col("p_lo"), F.col("p_hi")) & (is_v4_key(F.col("_key")) == F.col("p_v4"))
+    cond = ((F.col("process_name") == F.col("p_process")) & ((F.col("dst_ip_cidr") == "") | inside)
             & ((F.col("p_port") == 0) | (F.col("dst_port") == F.col("p_port"))))
-    return flows.join(p, cond).select(
+    return f.join(p, cond).select(
         "policy_id", "policy_name", "action", F.col("id").alias("flow_id"), "agent_id", "hostname",
         "process_name", "pid", "src_ip", "dst_ip", "dst_port", "protocol", F.col("ts").alias("detected_at"))
 
 
 # ---- list views ---------------------------------------------------------------
 
-def newest(df: DataFrame, ts_col: str, limit: int | None = None, tie: str | None = "id",
+def newest(df: DataFrame, ts_col: str, limit: int | None = None, tie: str | tuple[str, ...] = "id",
            **equals) -> DataFrame:
-    """Filter by equality parameters, newest first, optional cap."""
+    """A list view: rows that equal the given parameters (blank ones don't filter).
+
+    With ``limit`` the newest rows, ties by ``tie`` downwards; without, all rows in
+    no order."""
     for k, v in equals.items():
         if v not in (None, ""):
             df = df.filter(F.col(k) == v)
-    order = [F.desc(ts_col)] + ([F.desc(tie)] if tie and tie in df.columns else [])
-    out = df.orderBy(*order)
-    return out.limit(limit) if limit else out
+    if limit is None:
+        return df
+    ties = (tie,) if isinstance(tie, str) else tie
+    return df.orderBy(F.desc(ts_col), *[F.desc(t) for t in ties if t in df.columns]).limit(limit)
 
 
 def severity_counts(df: DataFrame, ts_col: str, as_of, hours: int = 24,

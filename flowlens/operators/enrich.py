@@ -1,12 +1,12 @@
-"""Geo and threat enrichment of flows (range joins against network tables)."""
+"""Geo and threat enrichment of flows (joins with network tables, IPv4 and IPv6)."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.functions.ip import SCORER_PRIVATE, in_networks, ipv4_to_long, is_valid_ip, parse_cidr
-from flowlens.operators.rangejoin import disjoint_segments, range_lookup
+from flowlens.functions.ip import SCORER_PRIVATE, in_networks, with_cidr
+from flowlens.operators.rangejoin import lookup, network_table
 
 # fixed values: built-in blocklist of the hub scorer
 HUB_BUILTIN_BLOCKLIST = ["185.220.100.0/24", "185.220.101.0/24", "185.220.102.0/24",
@@ -26,15 +26,13 @@ DESKTOP_TELNET_PORT = 23
 
 
 def blocklist_from_lines(lines: DataFrame, col: str = "value", order_col: str | None = None) -> DataFrame:
-    """Text lines -> (net, lo, hi, ord): one CIDR or IP per line, '#' comments and
-    unparsable lines skipped.  ``ord`` decides between overlapping entries: the
-    given list position, else the most specific network first."""
+    """Text lines -> (net, ord): one CIDR or address per line (IPv4 or IPv6), '#'
+    comments and unparsable lines skipped.  ``ord`` decides between overlapping
+    entries: the given list position, else the most specific network first."""
     t = lines.select(F.trim(F.col(col)).alias("net"), *([F.col(order_col)] if order_col else []))
     t = t.filter((F.col("net") != "") & ~F.col("net").startswith("#"))
-    lo, hi = parse_cidr(F.col("net"))
-    t = t.select("net", lo.alias("lo"), hi.alias("hi"), *([F.col(order_col)] if order_col else []))
-    order = F.col(order_col).cast("bigint") if order_col else (F.col("hi") - F.col("lo"))
-    return t.select("net", "lo", "hi", order.alias("ord")).filter(F.col("lo").isNotNull())
+    t = with_cidr(t, "net", "_net_").filter(F.col("_net_bits").isNotNull())
+    return t.select("net", (F.col(order_col) if order_col else -F.col("_net_bits")).cast("bigint").alias("ord"))
 
 
 def load_blocklist(spark: SparkSession, path: str) -> DataFrame:
@@ -51,14 +49,13 @@ def _level(score: Column, high: int, medium: int, low: int) -> Column:
             .when(score >= low, "low").otherwise("clean"))
 
 
-def enrich_threat(flows: DataFrame, blocklist: DataFrame, **join_opts) -> DataFrame:
+def enrich_threat(flows: DataFrame, blocklist: DataFrame) -> DataFrame:
     """Hub scorer on the destination: blocklist hit (public valid IPs only) +75,
     port heuristics, cap 100, level, reasons.  Port points apply to any address."""
-    segs = disjoint_segments(blocklist.select("lo", "hi", "net", "ord"), priority=F.col("ord"))
-    j = range_lookup(flows, "dst_ip", segs.select("bucket", "seg_lo", "seg_hi", "net"),
-                     prefix="_bl_", **join_opts)
+    table = network_table(blocklist, priority=F.col("ord"), payload=["net"])
+    j = lookup(flows, ["dst_ip"], table, prefix="_bl_")
     private = F.coalesce(in_networks("dst_ip", SCORER_PRIVATE), F.lit(False))
-    hit = F.col("_bl_net").isNotNull() & ~private
+    hit = F.col("_bl_dst_ip_net").isNotNull() & ~private
     pts = F.lit(0)
     reason = F.lit(None).cast("string")
     for ports, p, why in reversed(HUB_PORT_RULES):
@@ -69,16 +66,15 @@ def enrich_threat(flows: DataFrame, blocklist: DataFrame, **join_opts) -> DataFr
              .withColumn("threat_level", _level(F.col("threat_score"), 75, 50, 20))
              .withColumn("threat_reasons", F.array_compact(F.array(
                  F.when(hit, F.lit("blocklist_hit")), reason)))
-             .drop("_bl_net"))
+             .drop("_bl_dst_ip_net"))
 
 
-def enrich_threat_bidirectional(flows: DataFrame, blocklist: DataFrame, **join_opts) -> DataFrame:
-    """Desktop scorer: src and dst each +75 on a blocklist hit (IPv4, no private
+def enrich_threat_bidirectional(flows: DataFrame, blocklist: DataFrame) -> DataFrame:
+    """Desktop scorer: src and dst each +75 on a blocklist hit (no private
     exemption), C2 port +40 / Tor +25 / telnet +20, cap 100; no indicator -> null."""
-    segs = disjoint_segments(blocklist.select("lo", "hi", "net", "ord"), priority=F.col("ord"))
-    segs = segs.select("bucket", "seg_lo", "seg_hi", "net")
-    j = range_lookup(flows, "src_ip", segs, prefix="_s_", **join_opts)
-    j = range_lookup(j, "dst_ip", segs, prefix="_d_", **join_opts)
+    table = network_table(blocklist, priority=F.col("ord"), payload=["net"])
+    j = lookup(flows, ["src_ip", "dst_ip"], table, prefix="_bl_").withColumnsRenamed(
+        {"_bl_src_ip_net": "_s_net", "_bl_dst_ip_net": "_d_net"})
     port = F.col("dst_port")
     pts = (F.when(port.isin(DESKTOP_C2_PORTS), 40).when(port.isin(DESKTOP_TOR_PORTS), 25)
            .when(port == DESKTOP_TELNET_PORT, 20).otherwise(0))
@@ -109,23 +105,23 @@ SAMPLE_GEO = [("185.220.100.0/22", "DE", "Germany", "Tor Exit Relays"),
 
 
 def geo_ranges(spark: SparkSession, rows=SAMPLE_GEO) -> DataFrame:
-    """(lo, hi, country_code, country_name, as_org) from CIDR rows."""
-    df = spark.createDataFrame(rows, "net string, country_code string, country_name string, as_org string")
-    lo, hi = parse_cidr(F.col("net"))
-    return df.select(lo.alias("lo"), hi.alias("hi"), "country_code", "country_name", "as_org")
+    """(net, country_code, country_name, as_org)."""
+    return spark.createDataFrame(rows, "net string, country_code string, country_name string, as_org string")
 
 
-def enrich_geo(flows: DataFrame, ranges: DataFrame, **join_opts) -> DataFrame:
-    """Destination geo: public valid IPv4 -> most specific covering range; a found
-    non-blank country overwrites code, name and AS org; otherwise unchanged."""
-    segs = disjoint_segments(ranges.select("lo", "hi", "country_code", "country_name", "as_org"))
-    j = range_lookup(flows, "dst_ip", segs, prefix="_g_", **join_opts)
+GEO_COLUMNS = ["country_code", "country_name", "as_org"]
+
+
+def enrich_geo(flows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Destination geo: public valid address -> most specific network that holds it; a
+    found non-blank country overwrites code, name and AS org; otherwise unchanged."""
+    j = lookup(flows, ["dst_ip"], network_table(ranges, payload=GEO_COLUMNS), prefix="_g_")
     private = F.coalesce(in_networks("dst_ip", SCORER_PRIVATE), F.lit(False))
-    found = (F.coalesce(F.col("_g_country_code"), F.lit("")) != "") & ~private
+    found = (F.coalesce(F.col("_g_dst_ip_country_code"), F.lit("")) != "") & ~private
     out = j
-    for c in ("country_code", "country_name", "as_org"):
-        out = out.withColumn(c, F.when(found, F.col("_g_" + c)).otherwise(F.col(c)))
-    return out.drop("_g_country_code", "_g_country_name", "_g_as_org")
+    for c in GEO_COLUMNS:
+        out = out.withColumn(c, F.when(found, F.col(f"_g_dst_ip_{c}")).otherwise(F.col(c)))
+    return out.drop(*[f"_g_dst_ip_{c}" for c in GEO_COLUMNS])
 
 
 def derived_columns(flows: DataFrame, online_seconds: int = 120) -> DataFrame:
@@ -138,7 +134,3 @@ def is_online(last_seen: Column, as_of: Column, seconds: int = 120) -> Column:
     """Agent online when seen within ``seconds`` of ``as_of``; never seen -> False."""
     return F.coalesce(last_seen > as_of - F.expr(f"INTERVAL {seconds} SECONDS"), F.lit(False))
 
-
-__all__ = ["enrich_threat", "enrich_threat_bidirectional", "enrich_geo", "load_blocklist",
-           "blocklist_from_lines", "builtin_blocklist", "geo_ranges", "derived_columns",
-           "is_online", "ipv4_to_long", "is_valid_ip"]

@@ -18,13 +18,28 @@ from flowlens.functions.timewin import interval
 VENDOR, PRODUCT, APP = "flowlens", "hub", "flowlens"
 
 
-def write_flows(df: DataFrame, path: str, mode: str = "append", max_records_per_file: int = 5_000_000) -> None:
-    """Append flows to the month-partitioned table, rows sorted by ts inside
-    each file so Parquet min/max statistics prune time ranges."""
+def write_flows(df: DataFrame, path: str, mode: str = "append", max_records_per_file: int = 5_000_000,
+                epoch: int | None = None) -> None:
+    """Write flows to the month-partitioned table, sorted by ts inside each file so
+    Parquet min/max statistics prune time ranges.
+
+    Rows are range-partitioned by (month, ts): a month is spread over as many
+    tasks as its rows need, and each task writes a time range of one month, or of
+    a few.  With ``epoch`` the rows go to a partition of that number which
+    replaces itself, so a replayed micro-batch changes nothing.
+    """
     out = df.withColumn("yyyymm", F.date_format("ts", "yyyyMM").cast("int"))
-    (out.repartition("yyyymm").sortWithinPartitions("ts")
-        .write.mode(mode).option("maxRecordsPerFile", max_records_per_file)
-        .partitionBy("yyyymm").parquet(path))
+    keys = ["yyyymm"]
+    w_mode, overwrite = mode, None
+    if epoch is not None:
+        out = out.withColumn("epoch", F.lit(epoch).cast("long"))
+        keys, w_mode, overwrite = ["epoch", "yyyymm"], "overwrite", "dynamic"
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    w = (out.repartitionByRange(n, "yyyymm", "ts").sortWithinPartitions("yyyymm", "ts")
+         .write.mode(w_mode).option("maxRecordsPerFile", max_records_per_file))
+    if overwrite:
+        w = w.option("partitionOverwriteMode", overwrite)
+    w.partitionBy(*keys).parquet(path)
 
 
 def read_flows(spark, path: str, start=None, end=None) -> DataFrame:
@@ -56,14 +71,24 @@ def export_frame(flows: DataFrame, start, end) -> DataFrame:
                     F.date_format("ts", "dd").alias("dd"), F.date_format("ts", "HH").alias("HH"))
 
 
+def export_log(frame: DataFrame, prefix: str = "flows", error: str = "") -> DataFrame:
+    """Log rows of an export: window_start, window_end, object key, row_count, error."""
+    hours = frame.groupBy("yyyy", "MM", "dd", "HH").agg(F.count(F.lit(1)).alias("row_count"))
+    start = F.to_timestamp(F.concat_ws(" ", F.concat_ws("-", "yyyy", "MM", "dd"), F.concat("HH", F.lit(":00:00"))))
+    key = F.concat(F.lit(f"{prefix}/yyyy="), "yyyy", F.lit("/MM="), "MM", F.lit("/dd="), "dd", F.lit("/HH="), "HH")
+    return hours.select(start.alias("window_start"), (start + interval("1 HOUR")).alias("window_end"), key.alias("key"),
+                        "row_count", F.lit(error).alias("error"))
+
+
 def export_window(flows: DataFrame, path: str, start, end) -> DataFrame:
     """gzip NDJSON under yyyy=/MM=/dd=/HH= for every hour of [start, end) in one
     job (dynamic partition overwrite: a re-run replaces only its hours).
-    Returns the audit rows (hour, row_count)."""
+    Returns the log rows; a caller that catches a failed write logs
+    ``export_log(frame, error=...)``."""
     f = export_frame(flows, start, end)
     (f.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "gzip")
       .partitionBy("yyyy", "MM", "dd", "HH").json(path))
-    return f.groupBy("yyyy", "MM", "dd", "HH").agg(F.count(F.lit(1)).alias("row_count"))
+    return export_log(f)
 
 
 def export_flows_csv(nested: DataFrame) -> DataFrame:
@@ -82,15 +107,17 @@ def cef_severity(status: Column) -> Column:
     return F.when(status >= 500, 7).when(status >= 400, 5).otherwise(3)
 
 
-def export_audit(audit: DataFrame, fmt: str = "json", start=None, end=None, limit: int = 50000) -> DataFrame:
-    """Audit events in [start, end), oldest first, capped at ``limit`` (<= 50,000),
-    as one text line per event (CEF, LEEF) or one JSON object per event."""
+def export_audit(audit: DataFrame, fmt: str = "json", start=None, end=None, limit: int | None = None) -> DataFrame:
+    """All audit events from ``start`` to ``end``, oldest first, as one text line per
+    event (CEF, LEEF) or one JSON object per event; ``limit`` keeps the oldest."""
     a = audit
     if start is not None:
         a = a.filter(F.col("ts") >= F.lit(start))
     if end is not None:
         a = a.filter(F.col("ts") <= F.lit(end))
-    a = a.orderBy("ts", "id").limit(min(limit, 50000))
+    a = a.orderBy("ts", "id")
+    if limit is not None:
+        a = a.limit(limit)
     if fmt == "cef":
         line = F.format_string(
             f"CEF:0|{VENDOR}|{PRODUCT}|1.0|%s|%s %s|%d|rt=%d src=%s requestMethod=%s request=%s outcome=%d "
@@ -154,15 +181,14 @@ def incremental_cursor(df: DataFrame, cursor_ts, cursor_id: str = "", batch: int
     return df.filter(after).orderBy("ts", "id").limit(batch)
 
 
-def to_otel_spans(flows: DataFrame, window: str = "1h", as_of=None, limit: int | None = 1000,
+def to_otel_spans(flows: DataFrame, window: str = "1h", as_of=None, limit: int | None = None,
                   prefix: str = APP) -> DataFrame:
     """HTTP(S) flows with a method -> OTLP spans (client kind, status 2 when
-    >= 400), newest first, ``limit`` spans."""
+    >= 400); ``limit`` keeps the newest."""
     from flowlens.functions.timewin import since
     f = since(flows, window, as_of).filter(F.col("protocol").isin("HTTP", "HTTPS") & (F.col("http_method") != ""))
-    f = f.orderBy(F.desc("ts"), F.desc("id"))
-    if limit:
-        f = f.limit(limit)
+    if limit is not None:
+        f = f.orderBy(F.desc("ts"), F.desc("id")).limit(limit)
     hexid = F.regexp_replace("id", "-", "")
     start_ns = F.unix_micros("ts") * 1000
     attrs = F.array(
@@ -187,16 +213,26 @@ def to_otel_spans(flows: DataFrame, window: str = "1h", as_of=None, limit: int |
         F.date_trunc("hour", "ts").alias("hour"))
 
 
-def otlp_documents(spans: DataFrame, service: str = "flowlens-hub") -> DataFrame:
-    """ResourceSpans JSON documents, one per hour of spans (bounded by the span
-    limit / export window, never the whole table in one group)."""
-    g = spans.groupBy("hour").agg(F.collect_list(F.struct(*[c for c in spans.columns if c != "hour"])).alias("spans"))
-    res = F.struct(F.array(F.struct(F.lit("service.name").alias("key"),
-                                    F.struct(F.lit(service).alias("stringValue")).alias("value"))).alias("attributes"))
-    doc = F.struct(F.array(F.struct(res.alias("resource"), F.array(F.struct(
-        F.struct(F.lit(APP).alias("name")).alias("scope"), F.col("spans").alias("spans"))).alias("scopeSpans")))
-        .alias("resourceSpans"))
-    return g.select("hour", F.to_json(doc, {"ignoreNullFields": "true"}).alias("document"))
+def otlp_documents(spans: DataFrame, service: str = APP, sdk: str = f"{APP}-{PRODUCT}", version: str = "0.1.0",
+                   spans_per_document: int = 1000) -> DataFrame:
+    """ResourceSpans JSON documents: (hour, part, n_spans, document).
+
+    The spans of an hour are dealt by their id over as many parts as it takes to
+    hold about ``spans_per_document`` each, so no hour is one group.
+    """
+    parts = (spans.groupBy("hour").agg(F.count(F.lit(1)).alias("_n"))
+             .select("hour", F.ceil(F.col("_n") / spans_per_document).alias("_parts")))
+    g = (spans.join(parts, "hour").withColumn("part", F.pmod(F.xxhash64("spanId", "traceId", "startTimeUnixNano"), F.col("_parts")))
+         .drop("_parts").groupBy("hour", "part")
+         .agg(F.count(F.lit(1)).alias("n_spans"),
+              F.collect_list(F.struct(*[c for c in spans.columns if c != "hour"])).alias("spans")))
+    attrs = [F.struct(F.lit(k).alias("key"), F.struct(F.lit(v).alias("stringValue")).alias("value"))
+             for k, v in (("service.name", service), ("telemetry.sdk.name", sdk))]
+    scope = F.struct(F.lit(sdk).alias("name"), F.lit(version).alias("version"))
+    doc = F.struct(F.array(F.struct(
+        F.struct(F.array(*attrs).alias("attributes")).alias("resource"),
+        F.array(F.struct(scope.alias("scope"), F.col("spans").alias("spans"))).alias("scopeSpans"))).alias("resourceSpans"))
+    return g.select("hour", "part", "n_spans", F.to_json(doc, {"ignoreNullFields": "true"}).alias("document"))
 
 
 def publish_frame(flows: DataFrame) -> DataFrame:

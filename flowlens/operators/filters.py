@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.ip import cidr_match, is_external
+from flowlens.operators.aggregate import positive
 from flowlens.functions.timewin import as_of_col, interval, since
 
 LIST_COLUMNS = ["id", "agent_id", "hostname", "ts", "protocol", "src_ip", "src_port", "dst_ip",
@@ -48,7 +49,7 @@ def query_flows(flows: DataFrame, protocol: str = "", src_ip: str = "", dst_ip:
                 hostname: str = "", trace_id: str = "", from_: str | None = None,
                 to: str | None = None, limit: int = 100, offset: int = 0,
                 columns: list[str] | None = LIST_COLUMNS) -> tuple[DataFrame, DataFrame]:
-    """(page newest first, total count).  limit capped at 1000."""
+    """(page of ``limit`` rows newest first, total count)."""
     f = flows
     for col, val in (("protocol", protocol), ("src_ip", src_ip), ("dst_ip", dst_ip),
                      ("hostname", hostname), ("trace_id", trace_id)):
@@ -63,7 +64,7 @@ def query_flows(flows: DataFrame, protocol: str = "", src_ip: str = "", dst_ip:
     page = newest_first(f.select(*columns) if columns else f)
     if offset:
         page = page.offset(offset)
-    return page.limit(min(limit, 1000)), total
+    return page.limit(positive("limit", limit)), total
 
 
 def _ip_filter(col: str, value: str) -> Column:
@@ -76,7 +77,7 @@ def _ip_filter(col: str, value: str) -> Column:
 def search_flows(flows: DataFrame, protocol: str | None = None, src_ip: str | None = None,
                  dst_ip: str | None = None, port: int | None = None, country: str | None = None,
                  threat_level: str | None = None, agent_id: str | None = None,
-                 hours: int | None = None, as_of=None, limit: int = 200,
+                 hours: int | None = None, as_of=None, limit: int | None = 200,
                  offset: int = 0) -> DataFrame:
     """SDK filter set: exact or CIDR ips, port on either side, country, level, agent."""
     f = flows
@@ -99,7 +100,7 @@ def search_flows(flows: DataFrame, protocol: str | None = None, src_ip: str | No
     page = newest_first(f)
     if offset:
         page = page.offset(offset)
-    return page.limit(min(limit, 10000)) if limit else page
+    return page.limit(positive("limit", limit)) if limit is not None else page
 
 
 def page_after(df: DataFrame, cursor_ts, cursor_id: str, n: int) -> DataFrame:
@@ -115,8 +116,9 @@ def page_after(df: DataFrame, cursor_ts, cursor_id: str, n: int) -> DataFrame:
 
 def connection_audit(flows: DataFrame, window: str = "24h", as_of=None, src_ip: str = "",
                      dst_ip: str = "", protocol: str = "", external_only: bool = False,
-                     limit: int = 200) -> DataFrame:
-    """Audit list with ``is_external``; external_only is applied before the limit."""
+                     limit: int | None = None) -> DataFrame:
+    """Audit list with ``is_external``, newest first where ``limit`` keeps a page;
+    external_only is applied before it."""
     f = since(flows, window, as_of)
     for col, val in (("src_ip", src_ip), ("dst_ip", dst_ip), ("protocol", protocol)):
         if val:
@@ -126,7 +128,7 @@ def connection_audit(flows: DataFrame, window: str = "24h", as_of=None, src_ip:
                  is_external("dst_ip").alias("is_external"))
     if external_only:
         f = f.filter("is_external")
-    return newest_first(f).limit(limit)
+    return newest_first(f).limit(positive("limit", limit)) if limit is not None else f
 
 
 # fixed values: named quick filters of the capture view

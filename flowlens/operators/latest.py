@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.functions.timewin import as_of_col, interval
+from flowlens.operators.aggregate import positive
 
 
 def _order(version: str | list[str]) -> Column:
@@ -114,7 +115,7 @@ def fleet_search(flows: DataFrame, agents: DataFrame, cluster: str = "", src_ip:
         "id", "agent_id", "hostname", "ts", "protocol", "src_ip", "src_port", "dst_ip", "dst_port",
         "bytes_in", "bytes_out", "duration_ms", "process_name",
         F.coalesce(F.col("agent_cluster"), F.lit("")).alias("cluster"))
-    return f.orderBy(F.desc("ts"), F.desc("id")).limit(min(limit, 1000))
+    return f.orderBy(F.desc("ts"), F.desc("id")).limit(positive("limit", limit))
 
 
 def enrich_graph_nodes(nodes: DataFrame, agents: DataFrame) -> DataFrame:

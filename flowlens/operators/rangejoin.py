@@ -1,96 +1,57 @@
-"""IPv4 range join: attach the network (blocklist / geo range) containing an address.
-
-Spark has no interval join, and a plain ``BETWEEN`` join is a nested loop.  The
-range table is therefore cut at /16 boundaries and keyed by the top 16 bits,
-so the join is an equi-join on ``bucket`` with a residual ``BETWEEN``.  A range
-wider than /16 becomes one row per /16 it covers (at most 65,536 rows for a /0,
-bounded).  Overlapping ranges are resolved once, on the small side, into
-disjoint segments labelled with the winning range (lowest ``priority``), so the
-flow side gets at most one match and a left join never duplicates flows.
-
-Physical strategy: the segment table is broadcast only after its row count was
-checked against ``broadcast_max_rows`` (a broadcast hash join does not shuffle
-the flows and is immune to hot addresses).  Above that bound both sides are
-shuffled on (bucket, salt): the flow side draws a salt from its row id, the
-segment side is replicated once per salt, so one hot /16 is split over
-``salt`` tasks.
+"""Network join: attach the network (blocklist / geo) that contains an address.
+
+A network is a masked key and a prefix length, so an address lies in it when the
+address, cut to that length, equals it.  Addresses are looked up once each: the
+distinct addresses of the flows are cut to every length that occurs in the
+network table (at most 129 per IP version) and joined on (version, length, masked
+key), an equi-join without ranges, whose rows grow with addresses times lengths.
+The winner of each address is joined back to the flows by the address text; a
+hot address is one row there, and its flows are split by the skew join.  Nothing
+is broadcast unless Spark sees it under its own size threshold, and IPv6 takes
+the same path as IPv4.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from flowlens.functions.ip import ipv4_to_long
-
-BUCKET = 65536
+from flowlens.functions.ip import address_key, is_v4_key, mask_key, with_cidr
 
 
-def disjoint_segments(ranges: DataFrame, lo: str = "lo", hi: str = "hi",
-                      priority: Column | None = None) -> DataFrame:
-    """(bucket, seg_lo, seg_hi, <payload of winning range>) with no overlaps.
+def network_table(networks: DataFrame, net: str = "net", priority: Column | None = None,
+                  payload: list[str] | None = None) -> DataFrame:
+    """(v4, bits, masked, payload struct): one row per distinct network, the entry
+    with the lowest ``priority`` (default: the longest prefix first).
 
-    Work happens per /16 bucket (window partitioned by bucket), never on one task.
+    Lines that aren't a network are skipped.  Build it once and store it where the
+    list is large; ``lookup`` takes it as it is.
     """
-    pr = priority if priority is not None else (F.col(hi) - F.col(lo))
-    payload = [c for c in ranges.columns if c not in (lo, hi)]
-    r = ranges.filter(F.col(lo).isNotNull() & F.col(hi).isNotNull() & (F.col(lo) <= F.col(hi)))
-    r = r.withColumn("_prio", pr)
-    # cut at /16 boundaries
-    r = r.withColumn("bucket", F.explode(F.sequence(F.floor(F.col(lo) / BUCKET).cast("bigint"),
-                                                     F.floor(F.col(hi) / BUCKET).cast("bigint"))))
-    r = r.withColumn("_lo", F.greatest(F.col(lo), F.col("bucket") * BUCKET)) \
-         .withColumn("_hi", F.least(F.col(hi), F.col("bucket") * BUCKET + (BUCKET - 1)))
-    # elementary segments between consecutive boundaries inside a bucket
-    bounds = r.select("bucket", F.col("_lo").alias("b")).unionByName(
-        r.select("bucket", (F.col("_hi") + 1).alias("b"))).distinct()
-    w = Window.partitionBy("bucket").orderBy("b")
-    segs = bounds.withColumn("nb", F.lead("b").over(w)).filter(F.col("nb").isNotNull()) \
-                 .select(F.col("bucket").alias("_sb"), F.col("b").alias("seg_lo"),
-                         (F.col("nb") - 1).alias("seg_hi"))
-    rr = r.select(F.col("bucket").alias("_rb"), "_lo", "_hi", "_prio", *payload)
-    cover = segs.join(rr, (F.col("_sb") == F.col("_rb")) & (F.col("_lo") <= F.col("seg_lo"))
-                      & (F.col("_hi") >= F.col("seg_hi"))) \
-                .select(F.col("_sb").alias("bucket"), "seg_lo", "seg_hi", "_prio", *payload)
-    win = F.struct("_prio", *payload)
-    return cover.groupBy("bucket", "seg_lo", "seg_hi").agg(
-        *[F.min_by(c, win).alias(c) for c in payload])
-
-
-def _fits_broadcast(df: DataFrame, max_rows: int) -> bool:
-    # size check on the (small) range side; one tiny job
-    return df.limit(max_rows + 1).count() <= max_rows
+    keep = payload if payload is not None else [c for c in networks.columns]
+    n = with_cidr(networks, net, "_net_")
+    n = n.select(F.col("_net_bits").alias("bits"), F.col("_net_lo").alias("masked"), *[F.col(c) for c in keep],
+                 (priority if priority is not None else -F.col("_net_bits")).cast("bigint").alias("_prio"))
+    n = n.filter(F.col("masked").isNotNull()).withColumn("v4", is_v4_key(F.col("masked")) & (F.col("bits") >= 96))
+    best = F.struct("_prio", *[F.col(c) for c in keep])
+    return n.groupBy("v4", "bits", "masked").agg(F.min(best).alias("entry"))
 
 
-def range_lookup(df: DataFrame, ip_col: str, segments: DataFrame, prefix: str = "",
-                 broadcast_max_rows: int = 2_000_000, salt: int = 16,
-                 id_col: str = "id") -> DataFrame:
-    """Left-join ``segments`` payload onto ``df`` where ``ip_col`` falls in a segment.
+def lookup(df: DataFrame, ip_cols: list[str], table: DataFrame, prefix: str = "") -> DataFrame:
+    """Left-join the winning entry of ``table`` for each column of ``ip_cols``.
 
-    Output columns of the payload get ``prefix``.  Rows with invalid / IPv6
-    addresses or no covering segment keep nulls.
+    Adds ``<prefix><column>_<payload>`` columns.  Rows whose text is no address, or
+    that no network holds, keep nulls.  All columns share one pass over the
+    distinct addresses.
     """
-    payload = [c for c in segments.columns if c not in ("bucket", "seg_lo", "seg_hi")]
-    # the segment table is small (it is the side we may broadcast): keep it
-    # cached so the size check and the join do not compute it twice
-    seg = segments.select(F.col("bucket").alias("_b"), F.col("seg_lo").alias("_slo"),
-                          F.col("seg_hi").alias("_shi"),
-                          *[F.col(c).alias(prefix + c) for c in payload]).cache()
-    ip = ipv4_to_long(ip_col)
-    left = df.withColumn("_ip", ip).withColumn("_b", F.floor(F.col("_ip") / BUCKET).cast("bigint"))
-    cond_cols = ["_b"]
-    if _fits_broadcast(seg, broadcast_max_rows):
-        right = F.broadcast(seg)
-    else:
-        key = F.col(id_col) if id_col in df.columns else F.monotonically_increasing_id()
-        left = left.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salt)))
-        right = seg.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1)))).hint("shuffle_hash")
-        cond_cols.append("_salt")
-    cond = [left[c] == right[c] for c in cond_cols] + [left["_ip"].between(right["_slo"], right["_shi"])]
-    cond_all = cond[0]
-    for c in cond[1:]:
-        cond_all = cond_all & c
-    out = left.join(right, cond_all, "left")
-    keep = [left[c] for c in df.columns] + [right[prefix + c] for c in payload]
-    return out.select(*keep)
+    payload = [f.name for f in table.schema["entry"].dataType.fields if f.name != "_prio"]
+    texts = df.select(F.explode(F.array_distinct(F.array(*ip_cols))).alias("_ip")).distinct()
+    ips = texts.withColumn("_key", address_key("_ip")).withColumn("v4", is_v4_key(F.col("_key")))
+    lengths = table.select("v4", "bits").distinct()
+    cut = ips.join(lengths, "v4").withColumn("masked", mask_key(F.col("_key"), F.col("bits")))
+    hits = cut.join(table, ["v4", "bits", "masked"]).groupBy("_ip").agg(F.min("entry").alias("_entry"))
+    out = df
+    for c in ip_cols:
+        side = hits.select(F.col("_ip").alias(f"_ip_{c}"),
+                           *[F.col(f"_entry.{p}").alias(f"{prefix}{c}_{p}") for p in payload])
+        out = out.join(side, F.col(c) == F.col(f"_ip_{c}"), "left").drop(f"_ip_{c}")
+    return out

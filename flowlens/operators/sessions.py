@@ -33,15 +33,15 @@ def running_count_before(df: DataFrame, keys: list[str], order: list[str], flag:
     return d.drop("_f", "_bk", "_off")
 
 
-def running_max_before(df: DataFrame, keys: list[str], order: list[str], value: Column,
-                       out: str, ts: str = "ts", bucket: str = "1 hour") -> DataFrame:
-    """max(value) over earlier rows within ``keys`` (null for the first row)."""
+def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
+                out: str, ts: str = "ts", bucket: str = "1 hour") -> DataFrame:
+    """sum(value) over the rows up to and including this one within ``keys``."""
     d = df.withColumn("_v", value).withColumn("_bk", _bucket(ts, bucket))
-    per = d.groupBy(*keys, "_bk").agg(F.max("_v").alias("_m"))
+    per = d.groupBy(*keys, "_bk").agg(F.sum("_v").alias("_n"))
     wb = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_off", F.max("_m").over(wb)).drop("_m")
-    wi = Window.partitionBy(*keys, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.join(per, keys + ["_bk"]).withColumn(out, F.greatest(F.col("_off"), F.max("_v").over(wi)))
+    per = per.withColumn("_off", F.coalesce(F.sum("_n").over(wb), F.lit(0))).drop("_n")
+    wi = Window.partitionBy(*keys, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.join(per, keys + ["_bk"]).withColumn(out, F.col("_off") + F.sum("_v").over(wi))
     return d.drop("_v", "_bk", "_off")
 
 
@@ -85,53 +85,101 @@ def icmp_rtt(icmp: DataFrame, bucket: str = "1 hour") -> DataFrame:
                     ((F.unix_micros("reply_ts") - F.unix_micros(F.col("r.ts"))) / 1000.0).alias("rtt_ms"))
 
 
+WRAP = 2 ** 32
+#: Sequence numbers of one span of a half-stream's ordered scan.
+SEQ_SPAN = 1 << 20
+
+
+def unwrap_sequence(segments: DataFrame, keys: list[str], order: list[str], bucket: str = "1 hour") -> DataFrame:
+    """``pos``: the 32-bit sequence number carried on past its wrap.
+
+    Each segment moves by the signed 32-bit distance from the one before it; the
+    distances are added up by a parallel prefix over time buckets.
+    """
+    k = list(keys)
+    bk = _bucket("ts", bucket)
+    # the segment before: inside its bucket, else the last one of the bucket before
+    d = segments.withColumn("_bk", bk)
+    last = d.groupBy(*k, "_bk").agg(F.max_by("tcp_seq", F.struct(*order)).alias("_last"))
+    last = last.withColumn("_prev", F.lag("_last").over(Window.partitionBy(*k).orderBy("_bk"))).drop("_last")
+    inside = F.lag("tcp_seq").over(Window.partitionBy(*k, "_bk").orderBy(*order))
+    d = d.join(last, k + ["_bk"]).withColumn("_before", F.coalesce(inside, F.col("_prev")))
+    step = F.pmod(F.col("tcp_seq") - F.col("_before") + F.lit(WRAP // 2), F.lit(WRAP)) - F.lit(WRAP // 2)
+    d = d.withColumn("_step", F.when(F.col("_before").isNull(), F.col("tcp_seq")).otherwise(step)).drop("_bk", "_before", "_prev")
+    return running_sum(d, k, order, F.col("_step"), "pos", bucket=bucket).drop("_step")
+
+
 def tcp_health(segments: DataFrame, keys=("conn_id", "direction"), bucket: str = "1 hour") -> DataFrame:
-    """Per half-stream: expected = highest (seq + len) seen so far (first
-    segment sets it); a later segment above it is out-of-order, below it a
-    retransmission.  Scalable running-max form; ``tcp_health_exact`` replays
-    the agent's pending-segment state machine."""
+    """Segments, retransmissions and out-of-order segments of each half-stream.
+
+    Reassembly holds a next expected position, first the position of the first
+    segment.  A segment at it moves it past itself and past the held segments
+    that follow on; one after it is out of order and held; one before it is a
+    retransmission.  Segments without payload don't count.
+
+    As tables: the stream advances through its distinct positions in order, and
+    passes one when it and all before it have come.  So a segment is out of
+    order if a position before its own is still missing then, else in order if
+    it is the first at its position, else a retransmission.  The times are a
+    running maximum over positions, taken in spans of the sequence.  Streams
+    whose segments overlap have no such order and are replayed one by one.
+    """
     k = list(keys)
-    s = segments.filter(F.col("length") > 0)
-    s = running_max_before(s, k, ["ts", "seg_id"], F.col("tcp_seq") + F.col("length"), "expected", bucket=bucket)
-    cls = (F.when(F.col("expected").isNull() | (F.col("tcp_seq") == F.col("expected")), "in_order")
-           .when(F.col("tcp_seq") > F.col("expected"), "out_of_order").otherwise("retransmit"))
-    s = s.withColumn("class", cls)
-    return s.groupBy(*k).agg(F.count(F.lit(1)).alias("segments"),
-                             F.count_if(F.col("class") == "retransmit").alias("retransmissions"),
-                             F.count_if(F.col("class") == "out_of_order").alias("out_of_order"))
-
-
-def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf[pdf["length"] > 0].sort_values(["ts", "seg_id"])
-    retrans = ooo = 0
-    nxt = None
-    pending: dict[int, int] = {}
-    for seq, ln in zip(pdf["tcp_seq"].tolist(), pdf["length"].tolist()):
-        if nxt is None:
-            nxt = seq
-        if seq == nxt:
-            nxt = seq + ln
-            while nxt in pending:
-                nxt += pending.pop(nxt)
-        elif seq > nxt:
-            ooo += 1
-            pending[seq] = ln
-        else:
-            retrans += 1
-    head = pdf.iloc[:1] if len(pdf) else None
-    return pd.DataFrame({"conn_id": [head["conn_id"].iloc[0] if head is not None else None],
-                         "direction": [head["direction"].iloc[0] if head is not None else None],
-                         "segments": [len(pdf)], "retransmissions": [retrans], "out_of_order": [ooo]})
-
-
-def tcp_health_exact(segments: DataFrame) -> DataFrame:
-    """Exact replay of the agent's counters (pending out-of-order segments are
-    drained when the gap fills).  Grouped map per half-stream: use when each
-    half-stream's segment headers fit one task (the running-max form above has
-    no such limit)."""
-    cols = segments.select("conn_id", "direction", "ts", "seg_id", "tcp_seq", "length")
-    return cols.groupBy("conn_id", "direction").applyInPandas(
-        _replay, "conn_id long, direction string, segments long, retransmissions long, out_of_order long")
+    order = ["ts", "seg_id"]
+    at = F.struct(*order)
+    s = unwrap_sequence(segments.filter(F.col("length") > 0).select(*k, *order, "tcp_seq", "length"), k, order, bucket)
+    first = s.groupBy(*k).agg(F.min_by("pos", at).alias("origin"))
+    pos = (s.groupBy(*k, "pos").agg(F.min(at).alias("came"), F.min(F.col("pos") + F.col("length")).alias("end"),
+                                    F.max(F.col("pos") + F.col("length")).alias("far"))
+           .join(first, k).filter(F.col("pos") >= F.col("origin"))
+           .withColumn("span", F.floor(F.col("pos") / SEQ_SPAN)))
+    by_span = pos.groupBy(*k, "span").agg(F.max("far").alias("_far"), F.max("came").alias("_came"))
+    up_to = Window.partitionBy(*k).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    by_span = by_span.select(*k, "span", F.max("_far").over(up_to).alias("_far"), F.max("_came").over(up_to).alias("_came"))
+    inside = Window.partitionBy(*k, "span").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    pos = (pos.join(by_span, k + ["span"])
+           .withColumn("reached", F.greatest("_far", F.max("far").over(inside)))
+           .withColumn("before", F.greatest("_came", F.max("came").over(inside))))
+    gap = F.col("reached") < F.col("pos")
+    overlap = (F.col("reached") > F.col("pos")) | (F.col("end") < F.col("far"))
+    odd = pos.filter(overlap).select(*k).distinct()
+    hole = pos.filter(gap).groupBy(*k).agg(F.min("pos").alias("hole"))
+    even = s.join(odd, k, "left_anti").join(first, k).join(hole, k, "left")
+    even = even.join(pos.select(*k, "pos", "came", "before"), k + ["pos"], "left")
+    now = F.struct(*order)
+    waits = (F.col("pos") >= F.col("hole")) | (F.col("before") > now)
+    kind = (F.when(F.col("pos") < F.col("origin"), "retransmit")
+            .when(F.coalesce(waits, F.lit(False)), "out_of_order")
+            .when(F.col("came") == now, "in_order").otherwise("retransmit"))
+    out = even.withColumn("kind", kind).groupBy(*k).agg(
+        F.count(F.lit(1)).alias("segments"), F.count_if(F.col("kind") == "retransmit").alias("retransmissions"),
+        F.count_if(F.col("kind") == "out_of_order").alias("out_of_order"))
+    replayed = s.join(odd, k).select(*k, *order, "pos", "length").groupBy(*k).applyInPandas(
+        _replay(k), ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in s.select(*k).schema),
+                               "segments long, retransmissions long, out_of_order long"]))
+    return out.unionByName(replayed)
+
+
+def _replay(keys: list[str]):
+    """Counters of one half-stream, segment by segment."""
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "seg_id"])
+        held: dict[int, int] = {}
+        late = again = 0
+        expected = int(pdf["pos"].iloc[0])
+        for pos, length in zip(pdf["pos"].tolist(), pdf["length"].tolist(), strict=True):
+            if pos > expected:
+                late += 1
+                held[pos] = length
+            elif pos < expected:
+                again += 1
+            else:
+                while length:
+                    expected += length
+                    length = held.pop(expected, 0)
+        return pd.DataFrame([(*key, len(pdf), again, late)],
+                            columns=[*keys, "segments", "retransmissions", "out_of_order"])
+    return run
 
 
 def extract_trace_context(flows: DataFrame, headers: str = "headers") -> DataFrame:

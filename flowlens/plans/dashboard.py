@@ -72,5 +72,5 @@ def dashboard_widgets(spec: str | list, x: Inputs) -> dict[str, DataFrame]:
             sev = cfg.get("severity", "all")
             a = x.anomalies if sev in (None, "", "all") else x.anomalies.filter(F.col("severity") == sev)
             out[wid] = D.newest(a, "window_start" if "window_start" in a.columns else "detected_at",
-                                limit=int(cfg.get("limit", 10)), tie="agent_id")
+                                limit=int(cfg.get("limit", 10)), tie=("agent_id", "protocol"))
     return out

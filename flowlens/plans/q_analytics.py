@@ -31,7 +31,7 @@ WHERE protocol IN ('HTTP', 'HTTPS') AND ts >= {NOW} - INTERVAL 7 DAYS
 GROUP BY http_method, http_path
 ORDER BY total DESC, http_method, http_path LIMIT 100"""))
 def q_endpoint_stats(spark, sf):
-    return finish(agg.endpoint_stats(td.flows(spark, sf), window="7d"))
+    return finish(agg.endpoint_stats(td.flows(spark, sf), window="7d", k=100))
 
 
 @register("endpoint_summary", W(f"""
@@ -107,7 +107,7 @@ def q_top_talkers_bytes(spark, sf):
 @register("top_talkers_flows", W(f"""
 SELECT src_ip, count(*) AS flow_count, CAST(sum(bytes_in + bytes_out) AS BIGINT) AS total_bytes
 FROM flows WHERE ts > {NOW} - INTERVAL 24 HOURS
-GROUP BY src_ip ORDER BY flow_count DESC, src_ip LIMIT 10"""))
+GROUP BY src_ip ORDER BY flow_count DESC, src_ip LIMIT 99"""))
 def q_top_talkers_flows(spark, sf):
     return agg.top_talkers(td.flows(spark, sf), window="24h", by="flows", k=99)
 
@@ -131,6 +131,16 @@ def q_timeseries(spark, sf):
     return agg.timeseries(td.flows(spark, sf), hours=24)
 
 
+@register("timeseries_filled", W(f"""
+, f AS (SELECT *, date_trunc('minute', ts) AS minute FROM flows WHERE ts >= {NOW} - INTERVAL 48 HOURS)
+SELECT m.minute, count(f.id) AS cnt, CAST(COALESCE(sum(bytes_in), 0) AS BIGINT) AS bytes_in,
+  CAST(COALESCE(sum(bytes_out), 0) AS BIGINT) AS bytes_out
+FROM (SELECT unnest(generate_series((SELECT min(minute) FROM f), (SELECT max(minute) FROM f), INTERVAL 1 MINUTE)) AS minute) m
+LEFT JOIN f ON f.minute = m.minute GROUP BY m.minute"""))
+def q_timeseries_filled(spark, sf):
+    return agg.timeseries(td.flows(spark, sf), hours=48, fill=True)
+
+
 @register("service_edges", W(f"""
 SELECT src_ip, dst_ip, protocol, count(*) AS flow_count, ROUND(avg(duration_ms), 6) AS avg_latency_ms,
   CAST(sum(bytes_in + bytes_out) AS BIGINT) AS bytes_total
@@ -152,15 +162,19 @@ def q_service_nodes(spark, sf):
 
 
 @register("service_map_nodes", W("""
-, ends AS (
-  SELECT src_ip AS ip, ts, protocol, bytes_in + bytes_out AS bytes, '' AS country_code FROM flows
-  UNION ALL SELECT dst_ip AS ip, ts, protocol, bytes_in + bytes_out AS bytes, country_code FROM flows)
+, g AS (SELECT *, CASE WHEN country_code != '' THEN 'AS of ' || country_code || CAST(src_port % 3 AS VARCHAR) ELSE '' END AS org FROM flows),
+ends AS (
+  SELECT src_ip AS ip, ts, protocol, bytes_in + bytes_out AS bytes, '' AS country_code, '' AS org FROM g
+  UNION ALL SELECT dst_ip AS ip, ts, protocol, bytes_in + bytes_out AS bytes, country_code, org FROM g)
 SELECT ip, count(*) AS flows, CAST(sum(bytes) AS BIGINT) AS bytes,
   array_to_string(list_sort(list_distinct(list(protocol))), ',') AS protocols,
-  arg_min(country_code, ts) FILTER (WHERE country_code != '') AS country_code
+  arg_min(country_code, (ts, country_code)) FILTER (WHERE country_code != '') AS country_code,
+  arg_min(org, (ts, org)) FILTER (WHERE org != '') AS as_org
 FROM ends WHERE ip != '' GROUP BY ip"""))
 def q_service_map_nodes(spark, sf):
-    return agg.service_map_nodes(td.flows(spark, sf))
+    f = td.flows(spark, sf)
+    org = F.when(F.col("country_code") != "", F.concat(F.lit("AS of "), "country_code", (F.col("src_port") % 3).cast("string")))
+    return agg.service_map_nodes(f.withColumn("as_org", F.coalesce(org, F.lit(""))))
 
 
 @register("external_destinations", W(f"""

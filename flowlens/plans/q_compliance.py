@@ -8,6 +8,7 @@ from flowlens.functions.timewin import as_of_col
 from flowlens.operators import certs as C
 from flowlens.operators import compliance as CP
 from flowlens.operators.latest import latest_by_key
+from flowlens.operators.ordering import number_rows
 from flowlens.plans.catalog import finish, register
 from flowlens.plans.q_detect import CUSTOM_RULES, CUSTOM_SCHEMA, MATCHES_DUCK, custom_matches
 from flowlens.sources import testdata as td
@@ -20,13 +21,21 @@ def W(body: str, **extra: str) -> str:
     return td.with_ctes(body, flows=td.FLOWS_SQL, **extra)
 
 
-def inputs(spark, sf) -> CP.Inputs:
+def inputs(spark, sf, *need: str, schedule: str = "monthly") -> CP.Inputs:
+    """Only the tables that the checks at hand read."""
     f = td.flows(spark, sf)
     now = as_of_col(f)
-    rules = latest_by_key(spark.createDataFrame(CUSTOM_RULES, CUSTOM_SCHEMA), ["id"], "version")
-    return CP.Inputs(flows=f, as_of=now, since=CP.report_window(now, "monthly"), agents=td.agents(spark, sf),
-                     audit=td.audit_events(spark, sf), matches=custom_matches(spark, sf), rules=rules,
-                     members=td.members(spark, sf))
+    x = CP.Inputs(flows=f, as_of=now, since=CP.report_window(now, schedule))
+    if "agents" in need:
+        x.agents = td.agents(spark, sf)
+    if "audit" in need:
+        x.audit = td.audit_events(spark, sf)
+    if "members" in need:
+        x.members = td.members(spark, sf)
+    if "matches" in need:
+        x.matches = custom_matches(spark, sf)
+        x.rules = latest_by_key(spark.createDataFrame(CUSTOM_RULES, CUSTOM_SCHEMA), ["id"], "version")
+    return x
 
 
 EXT = "src_ip NOT LIKE '10.%' AND src_ip NOT LIKE '172.16.%' AND src_ip NOT LIKE '192.168.%'"
@@ -44,7 +53,7 @@ mr AS (SELECT r.title AS rule, m.rule_id, r.tags, m.src_ip, m.dst_ip, m.severity
 @register("soc2_cc6_1", W(f"""
 SELECT src_ip, dst_ip, dst_port, count(*) AS attempts, max(ts) AS last_seen FROM flows
 WHERE ts >= {SINCE} AND dst_port IN (22, 3389, 5432, 6379, 27017) AND {EXT}
-GROUP BY 1, 2, 3 ORDER BY attempts DESC, src_ip, dst_ip, dst_port LIMIT 100"""))
+GROUP BY 1, 2, 3"""))
 def q_soc2_cc6_1(spark, sf):
     return CP.soc2_cc6_1(inputs(spark, sf))
 
@@ -52,15 +61,15 @@ def q_soc2_cc6_1(spark, sf):
 @register("soc2_cc6_7", W(f"""
 SELECT dst_ip, dst_port, count(*) AS flow_count, CAST(sum(bytes_out) AS BIGINT) AS total_bytes FROM flows
 WHERE ts >= {SINCE} AND protocol = 'HTTP' AND dst_port NOT IN (443, 8443) AND bytes_out > 512
-GROUP BY 1, 2 ORDER BY total_bytes DESC, dst_ip, dst_port LIMIT 50"""))
+GROUP BY 1, 2"""))
 def q_soc2_cc6_7(spark, sf):
     return CP.soc2_cc6_7(inputs(spark, sf))
 
 
 @register("soc2_cc7_2", W(MATCHES_DUCK + RULES_DUCK + """
-SELECT rule, src_ip, dst_ip, severity, fired_at FROM mr ORDER BY fired_at DESC, rule, src_ip, dst_ip LIMIT 200"""))
+SELECT rule, src_ip, dst_ip, severity, fired_at FROM mr"""))
 def q_soc2_cc7_2(spark, sf):
-    return CP.soc2_cc7_2(inputs(spark, sf))
+    return CP.soc2_cc7_2(inputs(spark, sf, "matches"))
 
 
 @register("soc2_cc8_1", W(f"""
@@ -69,7 +78,7 @@ def q_soc2_cc7_2(spark, sf):
 SELECT *, CASE WHEN last_seen < {NOW} - INTERVAL 1 HOUR THEN 'OFFLINE' ELSE 'ONLINE' END AS status FROM a
 WHERE registered_at >= {SINCE} OR last_seen >= {SINCE}""", agents=td.AGENTS_SQL))
 def q_soc2_cc8_1(spark, sf):
-    return CP.soc2_cc8_1(inputs(spark, sf))
+    return CP.soc2_cc8_1(inputs(spark, sf, "agents"))
 
 
 @register("soc2_a1_1", W(f"""
@@ -82,7 +91,7 @@ def q_soc2_a1_1(spark, sf):
 @register("pci_1_3", W(f"""
 SELECT src_ip, dst_ip, dst_port, protocol, count(*) AS cnt FROM flows
 WHERE ts >= {SINCE} AND {EXT} AND dst_port IN (443, 8443, 3306, 5432, 1433, 6379, 27017)
-GROUP BY 1, 2, 3, 4 ORDER BY cnt DESC, src_ip, dst_ip, dst_port, protocol LIMIT 100"""))
+GROUP BY 1, 2, 3, 4"""))
 def q_pci_1_3(spark, sf):
     return CP.pci_1_3(inputs(spark, sf))
 
@@ -91,7 +100,7 @@ def q_pci_1_3(spark, sf):
 SELECT src_ip, dst_ip, dst_port, protocol, count(*) AS cnt FROM flows
 WHERE ts >= {SINCE} AND protocol IN ('TELNET', 'FTP', 'HTTP') AND dst_port IN (21, 23, 80, 8080)
   AND dst_ip NOT LIKE '192.168.%'
-GROUP BY 1, 2, 3, 4 ORDER BY cnt DESC, src_ip, dst_ip, dst_port, protocol LIMIT 50"""))
+GROUP BY 1, 2, 3, 4"""))
 def q_pci_2_2(spark, sf):
     return CP.pci_2_2(inputs(spark, sf))
 
@@ -100,21 +109,21 @@ def q_pci_2_2(spark, sf):
 SELECT method || ' ' || path AS action, count(*) AS event_count, min(ts) AS first, max(ts) AS last
 FROM audit WHERE ts >= {SINCE} GROUP BY 1""", audit=td.AUDIT_SQL))
 def q_pci_10_2(spark, sf):
-    return CP.pci_10_2(inputs(spark, sf))
+    return CP.pci_10_2(inputs(spark, sf, "audit"))
 
 
 @register("pci_11_4", W(MATCHES_DUCK + RULES_DUCK + """
 SELECT rule, src_ip, count(*) AS fires, max(fired_at) AS last_fired FROM mr
 WHERE tags LIKE '%portscan%' OR tags LIKE '%lateral%'
-GROUP BY 1, 2 ORDER BY fires DESC, rule, src_ip LIMIT 100"""))
+GROUP BY 1, 2"""))
 def q_pci_11_4(spark, sf):
-    return CP.pci_11_4(inputs(spark, sf))
+    return CP.pci_11_4(inputs(spark, sf, "matches"))
 
 
 @register("hipaa_312_e1", W(f"""
 SELECT src_ip, dst_ip, dst_port, count(*) AS cnt, CAST(sum(bytes_out) AS BIGINT) AS bytes FROM flows
 WHERE ts >= {SINCE} AND protocol = 'HTTP' AND dst_port NOT IN (443, 8443)
-GROUP BY 1, 2, 3 ORDER BY bytes DESC, src_ip, dst_ip, dst_port LIMIT 100"""))
+GROUP BY 1, 2, 3"""))
 def q_hipaa_312_e1(spark, sf):
     return CP.hipaa_312_e1(inputs(spark, sf))
 
@@ -130,14 +139,13 @@ MEMBERS_ACTIVE = """
 SELECT email, role, created_at AS joined_at, last_seen FROM ma WHERE is_active AND created_at >= {SINCE}""",
     members=td.MEMBERS_SQL))
 def q_hipaa_308_a1(spark, sf):
-    return CP.hipaa_308_a1(inputs(spark, sf))
+    return CP.hipaa_308_a1(inputs(spark, sf, "members"))
 
 
 @register("hipaa_312_a1", W(MEMBERS_ACTIVE + f"""
-SELECT email, role, last_seen FROM ma WHERE is_active AND last_seen < {NOW} - INTERVAL 90 DAYS
-ORDER BY last_seen, email LIMIT 50""", members=td.MEMBERS_SQL))
+SELECT email, role, last_seen FROM ma WHERE is_active AND last_seen < {NOW} - INTERVAL 90 DAYS""", members=td.MEMBERS_SQL))
 def q_hipaa_312_a1(spark, sf):
-    return CP.hipaa_312_a1(inputs(spark, sf))
+    return CP.hipaa_312_a1(inputs(spark, sf, "members"))
 
 
 @register("compliance_report_soc2", W(MATCHES_DUCK + RULES_DUCK + f"""
@@ -145,15 +153,104 @@ def q_hipaa_312_a1(spark, sf):
 SELECT 'soc2' AS framework, 'CC6.1' AS check_name,
   CASE WHEN n > 0 THEN 'fail' ELSE 'pass' END AS status, n AS row_count
 FROM (SELECT count(*) AS n FROM (SELECT src_ip, dst_ip, dst_port FROM flows WHERE ts >= {SINCE}
-      AND dst_port IN (22, 3389, 5432, 6379, 27017) AND {EXT} GROUP BY 1, 2, 3 LIMIT 100))
+      AND dst_port IN (22, 3389, 5432, 6379, 27017) AND {EXT} GROUP BY 1, 2, 3))
 UNION ALL SELECT 'soc2', 'CC6.7', CASE WHEN n > 0 THEN 'warn' ELSE 'pass' END, n
 FROM (SELECT count(*) AS n FROM (SELECT dst_ip, dst_port FROM flows WHERE ts >= {SINCE} AND protocol = 'HTTP'
-      AND dst_port NOT IN (443, 8443) AND bytes_out > 512 GROUP BY 1, 2 LIMIT 50))
-UNION ALL SELECT 'soc2', 'CC7.2', 'info', (SELECT count(*) FROM (SELECT * FROM mr LIMIT 200))
+      AND dst_port NOT IN (443, 8443) AND bytes_out > 512 GROUP BY 1, 2))
+UNION ALL SELECT 'soc2', 'CC7.2', 'info', (SELECT count(*) FROM mr)
 UNION ALL SELECT 'soc2', 'CC8.1', 'info', (SELECT count(*) FROM a WHERE registered_at >= {SINCE} OR last_seen >= {SINCE})
 UNION ALL SELECT 'soc2', 'A1.1', 'info', 1""", agents=td.AGENTS_SQL))
 def q_compliance_report_soc2(spark, sf):
-    return CP.compliance_report("soc2", inputs(spark, sf))
+    return CP.compliance_report("soc2", inputs(spark, sf, "matches", "agents"))
+
+
+# evidence counts of the checks, as scalar subqueries
+PCI_13 = f"""(SELECT count(*) FROM (SELECT DISTINCT src_ip, dst_ip, dst_port, protocol FROM flows WHERE ts >= {SINCE} AND {EXT}
+  AND dst_port IN (443, 8443, 3306, 5432, 1433, 6379, 27017)))"""
+PCI_22 = f"""(SELECT count(*) FROM (SELECT DISTINCT src_ip, dst_ip, dst_port, protocol FROM flows WHERE ts >= {SINCE}
+  AND protocol IN ('TELNET', 'FTP', 'HTTP') AND dst_port IN (21, 23, 80, 8080) AND dst_ip NOT LIKE '192.168.%'))"""
+PCI_102 = f"(SELECT count(DISTINCT method || ' ' || path) FROM audit WHERE ts >= {SINCE})"
+PCI_114 = """(SELECT count(*) FROM (SELECT DISTINCT rule, src_ip FROM mr WHERE tags LIKE '%portscan%' OR tags LIKE '%lateral%'))"""
+HIPAA_E1 = f"""(SELECT count(*) FROM (SELECT DISTINCT src_ip, dst_ip, dst_port FROM flows WHERE ts >= {SINCE}
+  AND protocol = 'HTTP' AND dst_port NOT IN (443, 8443)))"""
+HIPAA_B = f"""(SELECT count(*) FROM (SELECT DISTINCT split_part(path, '/', -1) AS action, token_id FROM audit WHERE ts >= {SINCE})
+  WHERE action IN ('login', 'logout', 'invite_accepted', 'password_reset'))"""
+HIPAA_308 = f"(SELECT count(*) FROM ma WHERE is_active AND created_at >= {SINCE})"
+HIPAA_A1 = f"(SELECT count(*) FROM ma WHERE is_active AND last_seen < {NOW} - INTERVAL 90 DAYS)"
+
+
+@register("hipaa_312_b", W(f"""
+SELECT split_part(path, '/', -1) AS action, token_id AS actor, count(*) AS cnt, max(ts) AS last FROM audit
+WHERE ts >= {SINCE} AND split_part(path, '/', -1) IN ('login', 'logout', 'invite_accepted', 'password_reset')
+GROUP BY 1, 2""", audit=td.AUDIT_SQL))
+def q_hipaa_312_b(spark, sf):
+    return CP.hipaa_312_b(inputs(spark, sf, "audit"))
+
+
+@register("compliance_report_pci", W(MATCHES_DUCK + RULES_DUCK + f"""
+SELECT 'pci' AS framework, 'Req 1.3' AS check_name, CASE WHEN n > 0 THEN 'fail' ELSE 'pass' END AS status, n AS row_count
+FROM (SELECT {PCI_13} AS n)
+UNION ALL SELECT 'pci', 'Req 2.2', CASE WHEN n > 0 THEN 'warn' ELSE 'pass' END, n FROM (SELECT {PCI_22} AS n)
+UNION ALL SELECT 'pci', 'Req 10.2', 'info', {PCI_102}
+UNION ALL SELECT 'pci', 'Req 11.4', 'info', {PCI_114}""", audit=td.AUDIT_SQL))
+def q_compliance_report_pci(spark, sf):
+    return CP.compliance_report("pci", inputs(spark, sf, "matches", "audit"))
+
+
+@register("compliance_report_hipaa", W(MEMBERS_ACTIVE + f"""
+SELECT 'hipaa' AS framework, '164.312(e)(1)' AS check_name, CASE WHEN n > 0 THEN 'warn' ELSE 'pass' END AS status,
+  n AS row_count FROM (SELECT {HIPAA_E1} AS n)
+UNION ALL SELECT 'hipaa', '164.312(b)', 'info', {HIPAA_B}
+UNION ALL SELECT 'hipaa', '164.308(a)(1)', 'info', {HIPAA_308}
+UNION ALL SELECT 'hipaa', '164.312(a)(1)', CASE WHEN n > 0 THEN 'warn' ELSE 'pass' END, n FROM (SELECT {HIPAA_A1} AS n)""",
+    audit=td.AUDIT_SQL, members=td.MEMBERS_SQL))
+def q_compliance_report_hipaa(spark, sf):
+    return CP.compliance_report("hipaa", inputs(spark, sf, "audit", "members"))
+
+
+def _csv_duck(section: int, name: str, cols: str, rows: str, order: str) -> str:
+    """Header, ordered evidence rows and blank line of one check."""
+    fields = " || ',' || ".join(
+        f"CASE WHEN regexp_matches(COALESCE({c}, ''), '[,\"]') THEN '\"' || replace({c}, '\"', '\"\"') || '\"' ELSE COALESCE({c}, '') END"
+        for c in cols.split(","))
+    return f"""SELECT {section} AS section, 0 AS part, 0 AS pos, '{name},{cols}' AS line
+UNION ALL SELECT {section}, 2, 0, ''
+UNION ALL SELECT {section}, 1, row_number() OVER (ORDER BY {order}), ',' || {fields} FROM ({rows})"""
+
+
+@register("report_csv_hipaa", W(MEMBERS_ACTIVE + ", lines AS (" + "\nUNION ALL ".join([
+    _csv_duck(0, "164.312(e)(1)", "src_ip,dst_ip,dst_port,cnt,bytes", f"""SELECT src_ip, dst_ip, CAST(dst_port AS VARCHAR) AS dst_port,
+      CAST(count(*) AS VARCHAR) AS cnt, CAST(CAST(sum(bytes_out) AS BIGINT) AS VARCHAR) AS bytes, sum(bytes_out) AS o, min(dst_port) AS p FROM flows WHERE ts >= {SINCE}
+      AND protocol = 'HTTP' AND dst_port NOT IN (443, 8443) GROUP BY src_ip, dst_ip, flows.dst_port""", "o DESC, src_ip, dst_ip, p"),
+    _csv_duck(1, "164.312(b)", "action,actor,cnt,last", f"""SELECT split_part(path, '/', -1) AS action, token_id AS actor,
+      CAST(count(*) AS VARCHAR) AS cnt, CAST(max(ts) AS VARCHAR) AS last, count(*) AS o FROM audit WHERE ts >= {SINCE}
+      AND split_part(path, '/', -1) IN ('login', 'logout', 'invite_accepted', 'password_reset') GROUP BY 1, 2""", "o DESC, action, actor"),
+    _csv_duck(2, "164.308(a)(1)", "email,role,joined_at,last_seen", f"""SELECT email, role, CAST(created_at AS VARCHAR) AS joined_at,
+      CAST(last_seen AS VARCHAR) AS last_seen FROM ma WHERE is_active AND created_at >= {SINCE}""", "joined_at DESC, email"),
+    _csv_duck(3, "164.312(a)(1)", "email,role,last_seen", f"""SELECT email, role, CAST(last_seen AS VARCHAR) AS last_seen
+      FROM ma WHERE is_active AND last_seen < {NOW} - INTERVAL 90 DAYS""", "last_seen, email")]) + """)
+SELECT CAST(row_number() OVER (ORDER BY section, part, pos) AS BIGINT) AS n, line FROM lines""",
+    audit=td.AUDIT_SQL, members=td.MEMBERS_SQL))
+def q_report_csv_hipaa(spark, sf):
+    """The printed report: lines numbered in their global order by a range-partitioned count."""
+    lines = CP.report_csv_lines("hipaa", inputs(spark, sf, "audit", "members"))
+    keys = ["section", "part", *[F.col("order_key")[i] for i in range(5)]]
+    return number_rows(lines, [F.col(k) if isinstance(k, str) else k for k in keys], "n").select("n", "line")
+
+
+@register("report_windows", W(f"""
+SELECT s AS schedule, CASE s WHEN 'daily' THEN {NOW} - INTERVAL 1 DAY WHEN 'weekly' THEN {NOW} - INTERVAL 7 DAY
+  WHEN 'monthly' THEN {NOW} - INTERVAL 1 MONTH ELSE {NOW} - INTERVAL 30 DAY END AS evidence_from,
+  (SELECT count(*) FROM flows WHERE ts >= CASE s WHEN 'daily' THEN {NOW} - INTERVAL 1 DAY WHEN 'weekly' THEN {NOW} - INTERVAL 7 DAY
+    WHEN 'monthly' THEN {NOW} - INTERVAL 1 MONTH ELSE {NOW} - INTERVAL 30 DAY END) AS flows
+FROM (VALUES ('daily'), ('weekly'), ('monthly'), ('quarterly')) t(s)"""))
+def q_report_windows(spark, sf):
+    f = td.flows(spark, sf)
+    now = as_of_col(f)
+    names = ("daily", "weekly", "monthly", "quarterly")
+    counts = f.agg(*[F.count_if(F.col("ts") >= CP.report_window(now, n)).alias(n) for n in names])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(n).alias("schedule"), CP.report_window(now, n).alias("evidence_from"),
+                                                      F.col(n).alias("flows")) for n in names])).alias("r")).select("r.*")
 
 
 # ---- certificates ---------------------------------------------------------------

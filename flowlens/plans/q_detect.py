@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from flowlens.functions.ip import duck_ipv4_long
 from flowlens.functions.timewin import as_of_col
 from flowlens.operators import detect as D
-from flowlens.plans.catalog import finish, register
+from flowlens.plans.catalog import CATALOG, finish, register
 from flowlens.sources import testdata as td
 
 NOW = "(SELECT max(ts) FROM flows)"
@@ -50,7 +50,7 @@ def _duck_score(per_hour: str) -> str:
   printf('%s: %s traffic on agent %s is %.1fx %s than usual (observed: %.0f flows/hr, expected: ~%.0f, σ=%.1f)',
     upper(left({kind}, 1)) || substr({kind}, 2), protocol, hostname,
     round_even(abs({obs} / greatest(flow_count_mean, 1.0)), 1), CASE WHEN {z} < 0 THEN 'lower' ELSE 'higher' END,
-    round_even({obs}, 0), round_even(flow_count_mean, 0), round_even({z}, 1)) AS description,
+    round_even({obs}, 0), round_even(flow_count_mean, 0), round_even({z}, 1) + 0.0) AS description,
   flow_count_mean AS expected"""
 
 
@@ -78,10 +78,10 @@ j AS (SELECT o.*, b.flow_count_mean, b.flow_count_std FROM obs o JOIN bl b
 s AS (SELECT agent_id, hostname, protocol, {_duck_score('(60.0 / 180)')} FROM j)
 SELECT agent_id, hostname, protocol, anomaly_type, ROUND(z_score, 6) AS z_score, ROUND(observed, 6) AS observed,
   ROUND(expected, 6) AS expected, description, severity, {NOW} AS detected_at
-FROM s WHERE abs(z_score) >= 3"""))
+FROM s WHERE abs(z_score) >= 0.05"""))
 def q_anomalies_latest(spark, sf):
     f = td.flows(spark, sf)
-    return finish(D.detect_anomalies(f, baselines(spark, sf), window_minutes=180))
+    return finish(D.detect_anomalies(f, baselines(spark, sf), window_minutes=180, z_threshold=0.05))
 
 
 WINDOWS = [5, 60, 1440]
@@ -222,6 +222,7 @@ CUSTOM_RULES = [
      "SELECT src_ip, dst_ip, dst_port FROM flows WHERE ts > :as_of - INTERVAL 30 DAYS AND dst_port = 23", True, 2),
     ("c-2", "Telnet use (old)", "low", '["telnet"]', "SELECT src_ip FROM flows", True, 1),
     ("c-3", "Rejected non-select", "low", '[]', "DELETE FROM flows", True, 1),
+    ("c-5", "Rejected insert", "low", '[]', "WITH t AS (SELECT 1 a) INSERT INTO flows SELECT * FROM t", True, 1),
     ("c-4", "Disabled", "low", '["portscan"]', "SELECT src_ip, dst_ip FROM flows", False, 1),
 ]
 CUSTOM_SCHEMA = "id string, title string, severity string, tags string, query string, enabled boolean, version int"
@@ -265,10 +266,13 @@ def q_rule_match_counts(spark, sf):
 
 INCIDENT_LOG_SQL = """
 SELECT CONCAT('inc-', CAST(CAST(FLOOR(o_orderkey / 8) AS BIGINT) AS STRING)) AS id,
-  CASE o_orderkey % 5 WHEN 0 THEN 'create' WHEN 1 THEN 'ack' WHEN 3 THEN 'resolve' ELSE 'note' END AS action,
+  CASE o_orderkey % 5 WHEN 0 THEN 'create' WHEN 1 THEN 'ack' WHEN 3 THEN 'resolve' WHEN 4 THEN 'dispatch' ELSE 'note' END AS action,
   CONCAT('incident ', CAST(CAST(FLOOR(o_orderkey / 8) AS BIGINT) AS STRING)) AS title,
   CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high' ELSE 'medium' END AS severity,
+  CASE WHEN o_custkey % 2 = 0 THEN 'sigma' ELSE 'manual' END AS source,
+  CONCAT('rule-', CAST(o_custkey % 9 AS STRING)) AS source_id,
   CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE CONCAT('note ', CAST(o_orderkey AS STRING)) END AS note,
+  CASE WHEN o_orderkey % 5 = 4 AND o_orderkey % 3 != 1 THEN CONCAT('OPS-', CAST(o_orderkey AS STRING)) ELSE '' END AS ref,
   CAST(o_orderdate AS TIMESTAMP) + CAST(o_orderkey % 1000 AS INT) * INTERVAL '1' MINUTE AS acted_at,
   o_orderkey AS version
 FROM {orders}
@@ -279,10 +283,13 @@ FROM {orders}
 SELECT id,
   arg_max(title, version) FILTER (WHERE action = 'create') AS title,
   arg_max(severity, version) FILTER (WHERE action = 'create') AS severity,
-  arg_max(CASE action WHEN 'create' THEN 'open' WHEN 'ack' THEN 'acknowledged' WHEN 'resolve' THEN 'resolved' END, version)
+  arg_max(source, version) FILTER (WHERE action = 'create') AS source,
+  arg_max(source_id, version) FILTER (WHERE action = 'create') AS source_id,
+  arg_max(CASE action WHEN 'create' THEN 'open' WHEN 'ack' THEN 'ack' WHEN 'resolve' THEN 'resolved' END, version)
     FILTER (WHERE action IN ('create', 'ack', 'resolve')) AS status,
   COALESCE(string_agg(chr(10) || '[' || strftime(acted_at, '%Y-%m-%d %H:%M') || '] ' || note, '' ORDER BY version)
     FILTER (WHERE action != 'create' AND note != ''), '') AS notes,
+  COALESCE(string_agg(ref, ', ' ORDER BY version) FILTER (WHERE action = 'dispatch' AND ref != ''), '') AS external_ref,
   min(acted_at) AS created_at, max(acted_at) AS updated_at, max(version) AS version
 FROM log GROUP BY id""", log=INCIDENT_LOG_SQL))
 def q_incident_state(spark, sf):
@@ -320,6 +327,53 @@ def q_list_audit(spark, sf):
     return D.newest(td.audit_events(spark, sf), "ts", limit=1000, method="POST")
 
 
+@register("list_audit_by_token", td.with_ctes("""
+SELECT id, token_id, role, method, path, status, client_ip, latency_ms, ts FROM audit
+WHERE token_id = 'tok-3' AND status = 500""", audit=td.AUDIT_SQL))
+def q_list_audit_by_token(spark, sf):
+    return D.newest(td.audit_events(spark, sf), "ts", token_id="tok-3", status=500)
+
+
+@register("list_rule_matches", W(MATCHES_DUCK + """
+SELECT rule_id, severity, src_ip, dst_ip FROM matches WHERE severity = 'high'
+ORDER BY src_ip DESC, dst_ip DESC LIMIT 50"""))
+def q_list_rule_matches(spark, sf):
+    m = custom_matches(spark, sf).withColumns({"src_ip": F.get_json_object("match_data", "$.src_ip"),
+                                               "dst_ip": F.get_json_object("match_data", "$.dst_ip")})
+    return D.newest(m, "fired_at", limit=50, tie=("src_ip", "dst_ip"), severity="high").select("rule_id", "severity", "src_ip", "dst_ip")
+
+
+@register("list_baseline", W(BASELINE_CTE + """
+SELECT agent_id, protocol, hour_of_week, ROUND(flow_count_mean, 6) AS flow_count_mean, sample_count FROM bl
+WHERE agent_id = 'agent-3'"""))
+def q_list_baseline(spark, sf):
+    return finish(D.newest(baselines(spark, sf), "hour_of_week", agent_id="agent-3").select(
+        "agent_id", "protocol", "hour_of_week", "flow_count_mean", "sample_count"))
+
+
+@register("list_anomalies", W(BASELINE_CTE + f"""
+, obs AS (SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, agent_id, hostname, protocol,
+            count(*) AS flow_count FROM flows WHERE agent_id != '' GROUP BY 1, 2, 3, 4),
+j AS (SELECT o.*, b.flow_count_mean, b.flow_count_std FROM obs o JOIN bl b
+      ON o.agent_id = b.agent_id AND o.protocol = b.protocol
+      AND CAST((isodow(o.window_start) - 1) * 24 + hour(o.window_start) AS INTEGER) = b.hour_of_week
+      WHERE b.sample_count >= 3),
+s AS (SELECT window_start, agent_id, hostname, protocol, {_duck_score('12.0')} FROM j)
+SELECT window_start, agent_id, protocol, ROUND(z_score, 6) AS z_score, severity FROM s
+WHERE abs(z_score) >= 3 AND anomaly_type = 'spike' ORDER BY window_start DESC, agent_id DESC, protocol DESC LIMIT 100"""))
+def q_list_anomalies(spark, sf):
+    a = D.detect_anomalies_history(td.flows(spark, sf), baselines(spark, sf))
+    return finish(D.newest(a, "window_start", limit=100, tie=("agent_id", "protocol"), anomaly_type="spike").select(
+        "window_start", "agent_id", "protocol", "z_score", "severity"))
+
+
+@register("list_violations", CATALOG["evaluate_policies"].sql.rstrip()
+          + "\nWHERE p.action = 'deny' ORDER BY f.ts DESC, f.id DESC LIMIT 200")
+def q_list_violations(spark, sf):
+    v = D.evaluate_policies(td.flows(spark, sf), spark.createDataFrame(POLICIES, POLICY_SCHEMA))
+    return D.newest(v, "detected_at", limit=200, tie="flow_id", action="deny")
+
+
 @register("anomaly_stats", W(BASELINE_CTE + f"""
 , obs AS (SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, agent_id, hostname, protocol,
             count(*) AS flow_count FROM flows WHERE agent_id != '' GROUP BY 1, 2, 3, 4),
@@ -345,7 +399,7 @@ DASH_SPEC = ('[{"id": "stats", "type": "stat", "config": {"metric": "total_bytes
              ' {"id": "pie", "type": "protocol_pie"},'
              ' {"id": "talk", "type": "top_talkers", "config": {"window": "7d", "by": "bytes", "limit": 5}},'
              ' {"id": "alerts", "type": "alert_feed", "config": {"limit": 5}},'
-             ' {"id": "anoms", "type": "anomaly_feed", "config": {"limit": 20, "severity": "high"}}]')
+             ' {"id": "anoms", "type": "anomaly_feed", "config": {"limit": 20, "severity": "medium"}}]')
 
 
 def _dash_inputs(spark, sf):
@@ -375,15 +429,37 @@ def q_dashboard_stats(spark, sf):
     return stat_metrics(_dash_inputs(spark, sf))
 
 
-@register("dashboard_widgets")
+@register("dashboard_widgets", W(BASELINE_CTE + f"""
+, obs AS (SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, agent_id, hostname, protocol,
+            count(*) AS flow_count FROM flows WHERE agent_id != '' GROUP BY 1, 2, 3, 4),
+j AS (SELECT o.*, b.flow_count_mean, b.flow_count_std FROM obs o JOIN bl b
+      ON o.agent_id = b.agent_id AND o.protocol = b.protocol
+      AND CAST((isodow(o.window_start) - 1) * 24 + hour(o.window_start) AS INTEGER) = b.hour_of_week
+      WHERE b.sample_count >= 3),
+s AS (SELECT window_start, agent_id, protocol, {_duck_score('12.0')} FROM j),
+ev AS ({EVENTS_SQL.format(flows='flows')})
+SELECT 'stats' AS widget, 'total_bytes' AS label, CAST(COALESCE(sum(bytes_in + bytes_out), 0) AS DOUBLE) AS value
+FROM flows WHERE ts >= {NOW} - INTERVAL 24 HOURS
+UNION ALL SELECT 'ts', strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M'), CAST(count(*) AS DOUBLE) FROM flows
+  WHERE ts >= {NOW} - INTERVAL 6 HOURS GROUP BY 2
+UNION ALL SELECT 'pie', protocol, CAST(count(*) AS DOUBLE) FROM flows WHERE ts >= {NOW} - INTERVAL 1 HOUR GROUP BY 2
+UNION ALL (SELECT 'talk', src_ip, CAST(sum(bytes_in + bytes_out) AS DOUBLE) AS v FROM flows WHERE ts > {NOW} - INTERVAL 7 DAYS
+  GROUP BY src_ip ORDER BY v DESC, src_ip LIMIT 5)
+UNION ALL (SELECT 'alerts', rule_id, CAST(epoch(fired_at) AS DOUBLE) FROM ev ORDER BY fired_at DESC, rule_id DESC LIMIT 5)
+UNION ALL (SELECT 'anoms', agent_id || ' ' || protocol, ROUND(z_score, 6) FROM s WHERE abs(z_score) >= 3 AND severity = 'medium'
+  ORDER BY window_start DESC, agent_id DESC, protocol DESC LIMIT 20)"""))
 def q_dashboard_widgets(spark, sf):
+    """The values of all widgets of a dashboard, one (widget, label, value) row each."""
     from flowlens.plans.dashboard import dashboard_widgets
-    ws = dashboard_widgets(DASH_SPEC, _dash_inputs(spark, sf))
+    shape = {"stats": ("metric", "value"), "ts": (F.date_format("minute", "yyyy-MM-dd HH:mm"), "cnt"), "pie": ("protocol", "cnt"),
+             "talk": ("src_ip", "total_bytes"), "alerts": ("rule_id", F.unix_micros("fired_at") / 1e6),
+             "anoms": (F.concat_ws(" ", "agent_id", "protocol"), "z_score")}
     out = None
-    for wid, df in ws.items():
-        part = df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(wid).alias("widget"), "rows")
+    for wid, df in dashboard_widgets(DASH_SPEC, _dash_inputs(spark, sf)).items():
+        label, value = (F.col(c) if isinstance(c, str) else c for c in shape[wid])
+        part = df.select(F.lit(wid).alias("widget"), label.alias("label"), value.cast("double").alias("value"))
         out = part if out is None else out.unionByName(part)
-    return out
+    return finish(out)
 
 
 @register("digest_daily", W(f"""

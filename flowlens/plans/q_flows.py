@@ -201,8 +201,7 @@ def q_search_flows_cidr(spark, sf):
 @register("connection_audit_external", W(f"""
 SELECT id, agent_id, hostname, ts, protocol, src_ip, src_port, dst_ip, dst_port, bytes_in, bytes_out,
   duration_ms, info, process_name, pid, {duck_is_external('dst_ip')} AS is_external
-FROM flows WHERE ts >= {NOW} - INTERVAL 7 DAYS AND protocol = 'TCP' AND {duck_is_external('dst_ip')}
-ORDER BY ts DESC, id DESC LIMIT 200"""))
+FROM flows WHERE ts >= {NOW} - INTERVAL 7 DAYS AND protocol = 'TCP' AND {duck_is_external('dst_ip')}"""))
 def q_connection_audit_external(spark, sf):
     return FL.connection_audit(td.flows(spark, sf), window="7d", protocol="TCP", external_only=True)
 
@@ -359,8 +358,7 @@ def q_fleet_search(spark, sf):
 
 @register("enrich_graph_nodes", W(f"""
 , e AS (SELECT src_ip, dst_ip, protocol, count(*) AS flow_count FROM flows
-        WHERE ts >= {NOW} - INTERVAL 30 DAYS GROUP BY 1, 2, 3
-        ORDER BY flow_count DESC, src_ip, dst_ip, protocol LIMIT 300),
+        WHERE ts >= {NOW} - INTERVAL 30 DAYS GROUP BY 1, 2, 3),
 n AS (SELECT ip, CAST(sum(flow_count) AS BIGINT) AS flow_count FROM (
   SELECT src_ip AS ip, flow_count FROM e UNION ALL SELECT dst_ip AS ip, flow_count FROM e) x WHERE ip != '' GROUP BY ip),
 a AS (SELECT agent_id, arg_max(hostname, last_seen) AS hostname, max(last_seen) AS last_seen FROM agents GROUP BY agent_id),
@@ -370,7 +368,7 @@ k AS (SELECT ip, arg_min(hostname, last_seen) AS agent_hostname FROM (
 SELECT n.ip, n.flow_count, k.agent_hostname IS NOT NULL AS is_known, COALESCE(k.agent_hostname, '') AS hostname
 FROM n LEFT JOIN k ON n.ip = k.ip""", agents=td.AGENTS_SQL))
 def q_enrich_graph_nodes(spark, sf):
-    nodes = agg.service_nodes(agg.service_edges(td.flows(spark, sf), window="30d"))
+    nodes = agg.service_nodes(agg.service_edges(td.flows(spark, sf), window="30d", k=None))
     return LT.enrich_graph_nodes(nodes, td.agents(spark, sf))
 
 

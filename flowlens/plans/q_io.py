@@ -203,22 +203,41 @@ def q_upsert_agents_from_flows(spark, sf):
     return X.upsert_agents_from_flows(td.flows(spark, sf))
 
 
-@register("export_hours", W(f"""
-SELECT strftime(ts, '%Y') AS yyyy, strftime(ts, '%m') AS MM, strftime(ts, '%d') AS dd, strftime(ts, '%H') AS HH,
-  count(*) AS row_count FROM flows
-WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' AND ts < TIMESTAMP '2024-01-22 06:00:00' GROUP BY 1, 2, 3, 4"""))
-def q_export_hours(spark, sf):
-    f = X.export_frame(td.flows(spark, sf), dt.datetime(2024, 1, 20), dt.datetime(2024, 1, 22, 6))
-    return f.groupBy("yyyy", "MM", "dd", "HH").agg(F.count(F.lit(1)).alias("row_count"))
+EXPORT_FROM, EXPORT_TO = dt.datetime(2024, 1, 20), dt.datetime(2024, 1, 22, 6)
+EXPORT_RANGE = f"ts >= TIMESTAMP '{EXPORT_FROM}' AND ts < TIMESTAMP '{EXPORT_TO}'"
+
+
+@register("export_log", W(f"""
+SELECT date_trunc('hour', ts) AS window_start, date_trunc('hour', ts) + INTERVAL 1 HOUR AS window_end,
+  strftime(min(ts), 'flows/yyyy=%Y/MM=%m/dd=%d/HH=%H') AS key, count(*) AS row_count, '' AS error
+FROM flows WHERE {EXPORT_RANGE} GROUP BY date_trunc('hour', ts)"""))
+def q_export_log(spark, sf):
+    return X.export_log(X.export_frame(td.flows(spark, sf), EXPORT_FROM, EXPORT_TO))
+
+
+@register("export_rows", W(f"""
+SELECT {", ".join(X.EXPORT_COLUMNS)}, strftime(ts, '%Y') AS yyyy, strftime(ts, '%m') AS MM, strftime(ts, '%d') AS dd,
+  strftime(ts, '%H') AS HH FROM flows WHERE {EXPORT_RANGE}"""))
+def q_export_rows(spark, sf):
+    return X.export_frame(td.flows(spark, sf), EXPORT_FROM, EXPORT_TO)
+
+
+@register("export_audit_json", td.with_ctes("""
+SELECT id, token_id, role, method, path, status, client_ip, latency_ms, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS ts
+FROM audit""", audit=td.AUDIT_SQL))
+def q_export_audit_json(spark, sf):
+    lines = X.export_audit(td.audit_events(spark, sf), "json")
+    fields = "id string, token_id string, role string, method string, path string, status int, client_ip string, latency_ms int, ts string"
+    return lines.select(F.from_json("line", fields).alias("j")).select("j.*")
 
 
 @register("export_audit_cef", td.with_ctes(f"""
 SELECT ts, id, printf('CEF:0|{X.VENDOR}|{X.PRODUCT}|1.0|%s|%s %s|%d|rt=%d src=%s requestMethod=%s request=%s outcome=%d act=%s dproc=%s deviceCustomNumber1=%d deviceCustomNumber1Label=latency_ms',
   id, method, path, CASE WHEN status >= 500 THEN 7 WHEN status >= 400 THEN 5 ELSE 3 END, epoch_ms(ts), client_ip,
   method, path, status, role, token_id, latency_ms) AS line
-FROM audit WHERE ts >= TIMESTAMP '1995-01-01 00:00:00' ORDER BY ts, id LIMIT 50000""", audit=td.AUDIT_SQL))
+FROM audit WHERE ts >= TIMESTAMP '2024-01-05 00:00:00'""", audit=td.AUDIT_SQL))
 def q_export_audit_cef(spark, sf):
-    return X.export_audit(td.audit_events(spark, sf), "cef", start=dt.datetime(1995, 1, 1))
+    return X.export_audit(td.audit_events(spark, sf), "cef", start=dt.datetime(2024, 1, 5))
 
 
 @register("export_audit_leef", td.with_ctes(f"""
@@ -226,19 +245,59 @@ SELECT ts, id, printf('LEEF:2.0|{X.VENDOR}|{X.PRODUCT}|1.0|%s %s' || chr(9) || '
   || 'devTimeFormat=yyyy-MM-dd''T''HH:mm:ss.SSS''Z''' || chr(9) || 'src=%s' || chr(9) || 'requestMethod=%s' || chr(9)
   || 'request=%s' || chr(9) || 'statusCode=%d' || chr(9) || 'role=%s' || chr(9) || 'tokenId=%s' || chr(9) || 'latencyMs=%d',
   method, path, strftime(ts, '%Y-%m-%dT%H:%M:%S.%g') || 'Z', client_ip, method, path, status, role, token_id, latency_ms) AS line
-FROM audit ORDER BY ts, id LIMIT 2000""", audit=td.AUDIT_SQL))
+FROM audit""", audit=td.AUDIT_SQL))
 def q_export_audit_leef(spark, sf):
-    return X.export_audit(td.audit_events(spark, sf), "leef", limit=2000)
-
-
-@register("siem_payloads")
-def q_siem_payloads(spark, sf):
-    a = td.audit_events(spark, sf)
-    out = None
-    for kind in ("splunk", "elastic", "datadog", "loki"):
-        p = X.siem_payload(a, kind).select(F.lit(kind).alias("sink"), "id", "payload")
-        out = p if out is None else out.unionByName(p)
-    return out
+    return X.export_audit(td.audit_events(spark, sf), "leef")
+
+
+@register("siem_splunk", td.with_ctes(f"""
+SELECT id, epoch_ms(ts) / 1000.0 AS time, '{X.APP}' AS source, '{X.APP}:audit' AS sourcetype, 'hub-api' AS host,
+  'main' AS index, token_id, role, method, path, status, client_ip, latency_ms FROM audit""", audit=td.AUDIT_SQL))
+def q_siem_splunk(spark, sf):
+    p = X.siem_payload(td.audit_events(spark, sf), "splunk", index="main")
+    event = "id string, token_id string, role string, method string, path string, status int, client_ip string, latency_ms int"
+    j = p.select(F.from_json("payload", f"time double, source string, sourcetype string, host string, index string, event struct<{event.replace(' ', ':').replace(',:', ',')}>").alias("j"))
+    return j.select("j.event.id", "j.time", "j.source", "j.sourcetype", "j.host", "j.index",
+                    *[f"j.event.{c}" for c in ("token_id", "role", "method", "path", "status", "client_ip", "latency_ms")])
+
+
+@register("siem_elastic", td.with_ctes("""
+SELECT id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS at, method || ' ' || path AS action, 'web' AS category, 'access' AS kind,
+  CASE WHEN status >= 400 THEN 'failure' ELSE 'success' END AS outcome, CAST(latency_ms AS BIGINT) * 1000000 AS duration,
+  client_ip AS ip, method, path AS target, status AS status_code, token_id, role, latency_ms FROM audit""", audit=td.AUDIT_SQL))
+def q_siem_elastic(spark, sf):
+    p = X.siem_payload(td.audit_events(spark, sf), "elastic").select("payload")
+    j = lambda path, kind="string": F.get_json_object("payload", path).cast(kind)
+    return p.select(j(f"$.{X.APP}.id").alias("id"), j("$.@timestamp").alias("at"), j("$.event.action").alias("action"),
+                    j("$.event.category[0]").alias("category"), j("$.event.type[0]").alias("kind"),
+                    j("$.event.outcome").alias("outcome"), j("$.event.duration", "bigint").alias("duration"),
+                    j("$.source.ip").alias("ip"), j("$.http.request.method").alias("method"),
+                    j("$.http.request.target").alias("target"), j("$.http.response.status_code", "int").alias("status_code"),
+                    j(f"$.{X.APP}.token_id").alias("token_id"), j(f"$.{X.APP}.role").alias("role"),
+                    j(f"$.{X.APP}.latency_ms", "int").alias("latency_ms"))
+
+
+@register("siem_datadog", td.with_ctes(f"""
+SELECT id, '{X.APP}' AS ddsource, 'role:' || role || ',method:' || method || ',status:' || CAST(status AS VARCHAR) AS ddtags,
+  'hub-api' AS service, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at,
+  printf('%s %s → %d (%dms) [%s]', method, path, status, latency_ms, role) AS message, client_ip FROM audit""",
+    audit=td.AUDIT_SQL))
+def q_siem_datadog(spark, sf):
+    p = X.siem_payload(td.audit_events(spark, sf), "datadog").select("payload")
+    j = lambda path: F.get_json_object("payload", path)
+    return p.select(j("$.attributes.id").alias("id"), j("$.ddsource").alias("ddsource"), j("$.ddtags").alias("ddtags"),
+                    j("$.service").alias("service"), j("$.timestamp").alias("at"), j("$.message").alias("message"),
+                    j("$.attributes.client_ip").alias("client_ip"))
+
+
+@register("siem_loki", td.with_ctes("""
+SELECT id, CAST(epoch_us(ts) * 1000 AS VARCHAR) AS at,
+  printf('method=%s path="%s" status=%d role=%s client_ip=%s latency_ms=%d token_id=%s', method, path, status, role, client_ip,
+         latency_ms, token_id) AS line FROM audit""", audit=td.AUDIT_SQL))
+def q_siem_loki(spark, sf):
+    p = X.siem_payload(td.audit_events(spark, sf), "loki")
+    v = F.from_json("payload", "array<string>")
+    return p.select("id", v[0].alias("at"), v[1].alias("line"))
 
 
 @register("incremental_cursor", W("""
@@ -254,22 +313,57 @@ SELECT left(replace(id, '-', ''), 32) AS traceId, left(replace(id, '-', ''), 16)
   http_method || ' ' || http_path AS name, 3 AS kind, CAST(epoch_us(ts) * 1000 AS VARCHAR) AS startTimeUnixNano,
   CAST(epoch_us(ts) * 1000 + duration_ms * 1000000 AS VARCHAR) AS endTimeUnixNano,
   CASE WHEN http_status >= 400 THEN 2 ELSE 1 END AS status_code
-FROM flows WHERE protocol IN ('HTTP', 'HTTPS') AND http_method != '' AND ts >= {NOW} - INTERVAL 7 DAYS
-ORDER BY ts DESC, id DESC LIMIT 1000"""))
+FROM flows WHERE protocol IN ('HTTP', 'HTTPS') AND http_method != '' AND ts >= {NOW} - INTERVAL 7 DAYS"""))
 def q_to_otel_spans(spark, sf):
     s = X.to_otel_spans(td.flows(spark, sf), window="7d")
     return s.select("traceId", "spanId", "name", "kind", "startTimeUnixNano", "endTimeUnixNano",
                     F.col("status.code").alias("status_code"))
 
 
-@register("otlp_documents")
-def q_otlp_documents(spark, sf):
-    return X.otlp_documents(X.to_otel_spans(td.flows(spark, sf), window="30d", limit=None))
+SPAN_ATTRIBUTES = [("http.method", "http_method"), ("http.target", "http_path"), ("http.status_code", "http_status"),
+                   ("net.peer.ip", "dst_ip"), ("net.peer.port", "dst_port"), ("net.host.ip", "src_ip"),
+                   (f"{X.APP}.agent_id", "agent_id"), (f"{X.APP}.hostname", "hostname")]
 
 
-@register("publish_frame")
+@register("otlp_documents", W(f"""
+SELECT '{X.APP}' AS service, '{X.APP}-{X.PRODUCT}' AS sdk, '{X.APP}-{X.PRODUCT}' AS scope, '0.1.0' AS version,
+  left(replace(id, '-', ''), 32) AS traceId, left(replace(id, '-', ''), 16) AS spanId, http_method || ' ' || http_path AS name,
+  CAST(epoch_us(ts) * 1000 AS VARCHAR) AS startTimeUnixNano,
+  '{",".join(k for k, _ in SPAN_ATTRIBUTES)}' AS keys,
+  concat_ws('|', {", ".join(f"CAST({c} AS VARCHAR)" for _, c in SPAN_ATTRIBUTES)}) AS "values"
+FROM flows WHERE protocol IN ('HTTP', 'HTTPS') AND http_method != '' AND ts >= {NOW} - INTERVAL 30 DAYS"""))
+def q_otlp_documents(spark, sf):
+    """The spans of all documents, read back from their JSON with resource and scope."""
+    docs = X.otlp_documents(X.to_otel_spans(td.flows(spark, sf), window="30d"))
+    value = "struct<stringValue:string,intValue:string>"
+    attrs = f"array<struct<key:string,value:{value}>>"
+    span = f"struct<traceId:string,spanId:string,name:string,startTimeUnixNano:string,attributes:{attrs}>"
+    kind = (f"struct<resourceSpans:array<struct<resource:struct<attributes:{attrs}>,"
+            f"scopeSpans:array<struct<scope:struct<name:string,version:string>,spans:array<{span}>>>>>>")
+    r = docs.select(F.from_json("document", kind)["resourceSpans"][0].alias("r"))
+    r = r.select("r.resource.attributes", F.col("r.scopeSpans")[0].alias("s"))
+    r = r.select(F.col("attributes")[0]["value"]["stringValue"].alias("service"),
+                 F.col("attributes")[1]["value"]["stringValue"].alias("sdk"), F.col("s.scope.name").alias("scope"),
+                 F.col("s.scope.version").alias("version"), F.explode("s.spans").alias("p"))
+    text = F.transform("p.attributes", lambda a: F.coalesce(a["value"]["stringValue"], a["value"]["intValue"]))
+    return r.select("service", "sdk", "scope", "version", "p.traceId", "p.spanId", "p.name", "p.startTimeUnixNano",
+                    F.array_join(F.transform("p.attributes", lambda a: a["key"]), ",").alias("keys"),
+                    F.array_join(text, "|").alias("values"))
+
+
+FRAME_COLUMNS = ["id", "ts", "protocol", "src_ip", "src_port", "dst_ip", "dst_port", "bytes_in", "bytes_out", "http_status", "pid"]
+
+
+@register("publish_frame", W(f"""
+SELECT agent_id AS key, {", ".join(c for c in FRAME_COLUMNS if c != "ts")},
+  strftime(ts, '%Y-%m-%dT%H:%M:%S') AS at FROM flows"""))
 def q_publish_frame(spark, sf):
-    return X.publish_frame(td.flows(spark, sf))
+    """Kafka records, their values read back from JSON."""
+    p = X.publish_frame(td.flows(spark, sf))
+    j = F.from_json("value", "id string, ts timestamp, protocol string, src_ip string, src_port int, dst_ip string, "
+                             "dst_port int, bytes_in long, bytes_out long, http_status int, pid long")
+    return p.select("key", j.alias("j")).select("key", *[f"j.{c}" for c in FRAME_COLUMNS if c != "ts"],
+                                                F.date_format("j.ts", "yyyy-MM-dd'T'HH:mm:ss").alias("at"))
 
 
 @register("apply_retention", W(f"""
@@ -280,10 +374,22 @@ def q_apply_retention(spark, sf):
 
 
 @register("export_flows_csv", W("""
+, t AS (SELECT *, CASE WHEN protocol = 'TLS' OR dst_port = 443 THEN 1 END AS tls FROM flows)
 SELECT id, ts, agent_id, hostname, protocol, src_ip, src_port, dst_ip, dst_port, bytes_in, bytes_out, duration_ms,
-  '' AS tls_sni, '' AS tls_version, '' AS tls_cert_cn, '' AS tls_cert_expiry, FALSE AS tls_weak_cipher FROM flows"""))
+  COALESCE(tls * 0 || '', '') || CASE WHEN tls = 1 THEN '.' || dst_ip || '.example.com' ELSE '' END AS tls_sni,
+  CASE WHEN tls = 1 THEN CASE WHEN src_port % 2 = 0 THEN 'TLS 1.3' ELSE 'TLS 1.2' END ELSE '' END AS tls_version,
+  CASE WHEN tls = 1 AND src_port % 3 != 0 THEN 'svc-' || CAST(src_port % 20 AS VARCHAR) ELSE '' END AS tls_cert_cn,
+  CASE WHEN tls = 1 AND src_port % 3 != 0 THEN '2024-0' || CAST(1 + src_port % 9 AS VARCHAR) || '-01' ELSE '' END AS tls_cert_expiry,
+  COALESCE(tls = 1 AND src_port % 5 = 0, FALSE) AS tls_weak_cipher FROM t"""))
 def q_export_flows_csv(spark, sf):
-    from pyspark.sql import types as T
     from flowlens.schema import TLS
-    f = td.flows(spark, sf).withColumn("tls", F.lit(None).cast(TLS))
-    return X.export_flows_csv(f)
+    port = F.col("src_port")
+    cert = port % 3 != 0
+    own = {"sni": F.concat(F.lit("0."), "dst_ip", F.lit(".example.com")),
+           "version": F.when(port % 2 == 0, "TLS 1.3").otherwise("TLS 1.2"),
+           "cert_cn": F.when(cert, F.concat(F.lit("svc-"), (port % 20).cast("string"))),
+           "cert_expiry": F.when(cert, F.concat(F.lit("2024-0"), (1 + port % 9).cast("string"), F.lit("-01"))),
+           "has_weak_cipher": port % 5 == 0}
+    tls = F.struct(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in TLS.fields])
+    f = td.flows(spark, sf)
+    return X.export_flows_csv(f.withColumn("tls", F.when((F.col("protocol") == "TLS") | (F.col("dst_port") == 443), tls)))

@@ -50,21 +50,29 @@ def q_icmp_rtt(spark, sf):
 
 
 @register("tcp_health", td.with_ctes("""
-, s AS (SELECT *, max(tcp_seq + length) OVER (PARTITION BY conn_id, direction ORDER BY ts, seg_id
-          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS expected FROM tcp WHERE length > 0)
-SELECT conn_id, direction, count(*) AS segments,
-  count(*) FILTER (WHERE expected IS NOT NULL AND tcp_seq < expected) AS retransmissions,
-  count(*) FILTER (WHERE tcp_seq > expected) AS out_of_order
-FROM s GROUP BY 1, 2""", tcp=TCP_SQL))
+, s AS (SELECT conn_id, direction, tcp_seq, length,
+          row_number() OVER (PARTITION BY conn_id, direction ORDER BY ts, seg_id) AS i FROM tcp WHERE length > 0),
+-- what reassembly does with each segment in turn: position expected next, held segments, counters
+walk AS (
+  WITH RECURSIVE w AS (
+    SELECT conn_id, direction, 1::BIGINT AS i, tcp_seq + length AS expected, []::BIGINT[] AS held, 0 AS again, 0 AS late
+    FROM s WHERE i = 1
+    UNION ALL
+    SELECT n.conn_id, n.direction, n.i,
+      CASE WHEN n.tcp_seq = w.expected THEN
+        -- all segments are of one length: held ones follow on in whole steps
+        n.tcp_seq + n.length * (1 + COALESCE(list_min(list_filter(range(1, 13), lambda x: NOT list_contains(w.held, n.tcp_seq + n.length * x))), 13) - 1)
+      ELSE w.expected END,
+      CASE WHEN n.tcp_seq > w.expected THEN list_append(w.held, n.tcp_seq) ELSE w.held END,
+      w.again + CAST(n.tcp_seq < w.expected AS INTEGER), w.late + CAST(n.tcp_seq > w.expected AS INTEGER)
+    FROM w JOIN s n ON n.conn_id = w.conn_id AND n.direction = w.direction AND n.i = w.i + 1)
+  SELECT * FROM w)
+SELECT conn_id, direction, max(i) AS segments, CAST(max(again) AS BIGINT) AS retransmissions, CAST(max(late) AS BIGINT) AS out_of_order
+FROM walk GROUP BY 1, 2""", tcp=TCP_SQL))
 def q_tcp_health(spark, sf):
     return SS.tcp_health(spark.sql(TCP_SQL, events=td.read_table(spark, sf, "events")))
 
 
-@register("tcp_health_exact")
-def q_tcp_health_exact(spark, sf):
-    return SS.tcp_health_exact(spark.sql(TCP_SQL, events=td.read_table(spark, sf, "events")))
-
-
 def header_flows(spark, sf):
     """HTTP flows with header lists: one trace-context style per event_id % 8."""
     ev = td.read_table(spark, sf, "events")

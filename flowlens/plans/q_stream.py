@@ -1,7 +1,10 @@
-"""Registered streaming queries: each runs a Structured Streaming job over a
-file-stream source on the test tables (``availableNow``) into a memory sink
-and returns the sink's rows.  Rows-only checks (stream output depends on the
-watermark at the end of the input)."""
+"""Registered streaming queries.
+
+Each runs a Structured Streaming job (``availableNow``) over a file source of
+several files, so there are several micro-batches, into a Parquet sink in the
+shared folder, and returns the stored rows.  Windowed jobs emit a window once the
+watermark has passed it; their oracles keep the windows closed by then.
+"""
 
 from __future__ import annotations
 
@@ -9,51 +12,187 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from flowlens.functions.timewin import as_of_col
 from flowlens.operators import detect as D
-from flowlens.plans.catalog import finish, register
+from flowlens.plans import q_compliance as QC
+from flowlens.plans import q_detect as QD
+from flowlens.plans import q_flows as QF
+from flowlens.plans.catalog import CATALOG, finish, register
+from flowlens.sources import ingest as IN
 from flowlens.sources import testdata as td
 from flowlens.streaming import jobs as J
 
+#: Files, and so micro-batches, of a source.
+FILES = 4
+#: The end of what the watermark has closed, in DuckDB.
+CLOSED = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 MINUTE FROM flows)"
+
+
+def W(body: str, **extra: str) -> str:
+    return td.with_ctes(body, flows=td.FLOWS_SQL, **extra)
+
+
+def fresh(kind: str) -> str:
+    return f"{kind}_{uuid.uuid4().hex[:12]}"
+
+
+def in_files(spark, df, order: str, name: str) -> str:
+    """Write a table as files that follow each other in ``order``; a file source reads
+    the oldest file first."""
+    path = J.stream_folder(spark, name, "in")
+    at = F.unix_micros(F.col(order).cast("timestamp"))
+    lo, hi = df.agg(F.min(at), F.max(at)).first()
+    part = F.least(F.floor((at - lo) * FILES / max(hi - lo, 1)), F.lit(FILES - 1))
+    for i in range(FILES):
+        df.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def file_stream(spark, df, order: str, name: str):
+    path = in_files(spark, df, order, name)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
 
-def flow_stream(spark, sf):
-    """Streaming flows: the events table read as a file stream, then derived."""
-    schema = td.read_table(spark, sf, "events").schema
-    ev = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-          .option("pathGlobFilter", "events.parquet").parquet(sf))
-    return spark.sql(td.FLOWS_SQL, events=ev)
 
+def flow_stream(spark, sf, name: str):
+    ev = td.read_table(spark, sf, "events")
+    return spark.sql(td.FLOWS_SQL, events=file_stream(spark, ev, "ts", name))
 
-def run_to_table(spark, df, mode: str = "append"):
-    name = f"s_{uuid.uuid4().hex[:12]}"
-    q = (df.writeStream.outputMode(mode).format("memory").queryName(name)
-           .option("checkpointLocation", J.checkpoint_for(spark, name)).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.table(name)
 
+NOW_TRIGGER = {"availableNow": True}
 
-@register("stream_timeseries")
+
+def finished(query) -> None:
+    query.awaitTermination()
+
+
+def appended(spark, df, name: str):
+    path = J.stream_folder(spark, name, "out")
+    finished(J.append_to(df, path, name, NOW_TRIGGER))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@register("stream_timeseries", W(f"""
+SELECT date_trunc('minute', ts) AS minute, count(*) AS cnt, CAST(sum(bytes_in) AS BIGINT) AS bytes_in,
+  CAST(sum(bytes_out) AS BIGINT) AS bytes_out FROM flows
+GROUP BY 1 HAVING date_trunc('minute', ts) + INTERVAL 1 MINUTE <= {CLOSED}"""))
 def q_stream_timeseries(spark, sf):
-    return run_to_table(spark, J.stream_timeseries(flow_stream(spark, sf)))
+    name = fresh("timeseries")
+    return appended(spark, J.stream_timeseries(flow_stream(spark, sf, name)), name)
 
 
-@register("stream_rules")
+ROW_RULES_DUCK = """
+SELECT id, 'dns_tunnel' AS rule, src_ip, ts FROM flows WHERE protocol = 'DNS' AND length(dns_query) > 60
+UNION ALL SELECT id, 'cleartext_creds', src_ip, ts FROM flows WHERE protocol = 'HTTP' AND http_method = 'POST' AND dst_port != 443
+  AND (http_path LIKE '%/login%' OR http_path LIKE '%/auth%' OR http_path LIKE '%/signin%' OR http_path LIKE '%/password%')
+UNION ALL SELECT id, 'high_port', src_ip, ts FROM flows WHERE dst_port > 49151 AND protocol = 'TCP' AND bytes_out > 10000
+UNION ALL SELECT id, 'shell_process', src_ip, ts FROM flows WHERE protocol = 'TCP' AND dst_port NOT IN (22, 80, 443)
+  AND process_name IN ('bash', 'sh', 'zsh', 'python', 'python3', 'powershell', 'pwsh', 'cmd', 'perl', 'ruby')"""
+
+
+@register("stream_rules", W(ROW_RULES_DUCK))
 def q_stream_rules(spark, sf):
-    rows, _ = J.stream_rules(flow_stream(spark, sf))
-    return run_to_table(spark, rows.select("id", "rule", "src_ip", "ts"))
+    name = fresh("rules")
+    rows = J.stream_rules(flow_stream(spark, sf, name))
+    return appended(spark, rows.select("id", "rule", "src_ip", "ts"), name)
 
 
-@register("stream_agent_sessions")
-def q_stream_agent_sessions(spark, sf):
-    return run_to_table(spark, J.agent_sessions(flow_stream(spark, sf), gap="30 minutes"))
+@register("stream_port_scans", W(f"""
+SELECT time_bucket(INTERVAL '6 hours', ts) AS window_start, src_ip, count(DISTINCT dst_port) AS port_count, min(ts) AS first_seen
+FROM flows WHERE protocol IN ('TCP', 'UDP') GROUP BY 1, 2
+HAVING count(DISTINCT dst_port) > 1 AND time_bucket(INTERVAL '6 hours', ts) + INTERVAL 6 HOUR <= {CLOSED}"""))
+def q_stream_port_scans(spark, sf):
+    name = fresh("scans")
+    return appended(spark, J.stream_port_scans(flow_stream(spark, sf, name), minutes=360, min_ports=1), name)
 
 
-@register("stream_detect")
+@register("stream_agent_sessions", W(f"""
+, g AS (SELECT agent_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY agent_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM flows),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY agent_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT agent_id, min(ts) AS online_from, max(ts) + INTERVAL 30 MINUTE AS online_until, count(*) AS flows FROM s
+GROUP BY agent_id, n HAVING max(ts) + INTERVAL 30 MINUTE <= {CLOSED}"""))
+def q_stream_agent_sessions(spark, sf):
+    name = fresh("sessions")
+    return appended(spark, J.agent_sessions(flow_stream(spark, sf, name), gap="30 minutes"), name)
+
+
+@register("stream_detect", W(QD.BASELINE_CTE + f"""
+, obs AS (SELECT time_bucket(INTERVAL '5 minutes', ts) AS window_start, agent_id, hostname, protocol,
+            count(*) AS flow_count FROM flows WHERE agent_id != '' GROUP BY 1, 2, 3, 4),
+j AS (SELECT o.*, b.flow_count_mean, b.flow_count_std FROM obs o JOIN bl b
+      ON o.agent_id = b.agent_id AND o.protocol = b.protocol
+      AND CAST((isodow(o.window_start) - 1) * 24 + hour(o.window_start) AS INTEGER) = b.hour_of_week
+      WHERE b.sample_count >= 3),
+s AS (SELECT window_start, agent_id, hostname, protocol, {QD._duck_score('12.0')} FROM j)
+SELECT window_start, agent_id, hostname, protocol, anomaly_type, ROUND(z_score, 6) AS z_score,
+  ROUND(observed, 6) AS observed, ROUND(expected, 6) AS expected, description, severity
+FROM s WHERE abs(z_score) >= 3 AND window_start + INTERVAL 5 MINUTE <= {CLOSED}"""))
 def q_stream_detect(spark, sf):
-    base = D.compute_baselines(td.flows(spark, sf), lookback_days=28)
-    return finish(run_to_table(spark, J.stream_detect(flow_stream(spark, sf), base)))
+    name = fresh("detect")
+    path = J.stream_folder(spark, name, "baselines")
+    QD.baselines(spark, sf).write.parquet(path)
+    return finish(appended(spark, J.stream_detect(flow_stream(spark, sf, name), spark.read.parquet(path)), name))
 
 
-@register("stream_live_tail")
+@register("stream_live_tail", W("SELECT id, ts, src_ip, dns_query FROM flows WHERE protocol = 'DNS'"))
 def q_stream_live_tail(spark, sf):
-    return run_to_table(spark, J.live_tail(flow_stream(spark, sf), F.col("protocol") == "DNS")
-                        .select("id", "ts", "src_ip", "dns_query"))
+    name = fresh("tail")
+    rows = J.live_tail(flow_stream(spark, sf, name), F.col("protocol") == "DNS")
+    return appended(spark, rows.select("id", "ts", "src_ip", "dns_query"), name)
+
+
+@register("stream_policies", CATALOG["evaluate_policies"].sql)
+def q_stream_policies(spark, sf):
+    name = fresh("policies")
+    policies = spark.createDataFrame(QD.POLICIES, QD.POLICY_SCHEMA)
+    return appended(spark, J.stream_policies(flow_stream(spark, sf, name), policies), name)
+
+
+@register("stream_enrich", CATALOG["enrich_threat"].sql)
+def q_stream_enrich(spark, sf):
+    name = fresh("enrich")
+    path = J.stream_folder(spark, name, "out")
+    finished(J.stream_enrich(flow_stream(spark, sf, name), path, QF.blocklist(spark), trigger=NOW_TRIGGER, name=name))
+    return spark.read.parquet(path).select("id", "dst_ip", "dst_port", "threat_score", "threat_level",
+                                           F.array_join("threat_reasons", ",").alias("threat_reasons"))
+
+
+@register("stream_certs", CATALOG["extract_certs"].sql)
+def q_stream_certs(spark, sf):
+    name = fresh("certs")
+    path = J.stream_folder(spark, name, "out")
+    flows = file_stream(spark, QC.cert_flows(spark, sf), "ts", name)
+    finished(J.stream_certs(flows, path, trigger=NOW_TRIGGER, name=name))
+    return J.cert_inventory(spark, path)
+
+
+@register("stream_ingest", W("""
+SELECT id, agent_id, hostname, ts, protocol, src_ip, src_port, dst_ip, dst_port, bytes_in, bytes_out, http_method, http_path,
+  CAST(strftime(ts, '%Y%m') AS INTEGER) AS yyyymm FROM flows"""))
+def q_stream_ingest(spark, sf):
+    """Wire flows as JSON lines in several files -> the stored flow table."""
+    name = fresh("ingest")
+    f = td.flows(spark, sf)
+    http = F.when(F.col("http_method") != "", F.struct(F.col("http_method").alias("method"), F.col("http_path").alias("path"),
+                                                       F.col("http_status").alias("status")))
+    wire = F.struct("id", "agent_id", "hostname", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'").alias("timestamp"),
+                    "protocol", "src_ip", "src_port", "dst_ip", "dst_port", "bytes_in", "bytes_out", "duration_ms",
+                    http.alias("http"))
+    path = J.stream_folder(spark, name, "in")
+    f.select(F.to_json(wire).alias("value")).repartition(FILES).write.text(path)
+    nested = IN.read_flow_stream(spark, fmt="json", path=path, options={"maxFilesPerTrigger": 1})
+    out = J.stream_folder(spark, name, "flows")
+    finished(J.stream_ingest(nested, out, J.stream_folder(spark, name, "agents"), blocklist=QF.blocklist(spark),
+                             trigger=NOW_TRIGGER, name=name))
+    return spark.read.parquet(out).select("id", "agent_id", "hostname", "ts", "protocol", "src_ip", "src_port", "dst_ip", "dst_port",
+                                          "bytes_in", "bytes_out", "http_method", "http_path", "yyyymm")
+
+
+@register("stream_alerts")
+def q_stream_alerts(spark, sf):
+    """All events that the rules fired over the replay; a cooldown spans batches."""
+    name = fresh("alerts")
+    rules = spark.createDataFrame(QD.ALERT_RULES, QD.RULES_SCHEMA)
+    events = J.stream_folder(spark, name, "events")
+    finished(J.stream_alerts(flow_stream(spark, sf, name), rules, J.stream_folder(spark, name, "recent"),
+                             J.stream_folder(spark, name, "hourly"), events, as_of="batch", trigger=NOW_TRIGGER, name=name))
+    return finish(spark.read.parquet(events))

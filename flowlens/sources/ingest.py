@@ -8,7 +8,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.functions.labels import flow_info
+from flowlens.functions.labels import flow_info, grpc_target
 from flowlens.schema import FLOW_JSON_SCHEMA, FLOW_NAMES, INGEST_ENVELOPE_SCHEMA, conform_flows
 
 
@@ -29,21 +29,23 @@ def read_ingest_json(envelopes: DataFrame, col: str = "value", ingest_time=None)
     rows (PERMISSIVE parsing, null envelope dropped).
     """
     now = F.current_timestamp() if ingest_time is None else F.lit(ingest_time).cast("timestamp")
-    env = envelopes.select(F.from_json(F.col(col), INGEST_ENVELOPE_SCHEMA).alias("e")).filter(F.col("e").isNotNull())
+    # explode passes over null envelopes, so each document is parsed once
+    env = envelopes.select(F.from_json(F.col(col), INGEST_ENVELOPE_SCHEMA).alias("e"))
     fl = env.select(F.col("e.agent_id").alias("env_agent"), F.col("e.hostname").alias("env_host"),
                     F.explode("e.flows").alias("f")).select("env_agent", "env_host", "f.*")
-    ts = _parse_ts(F.col("timestamp"))
-    ts = F.when(ts.isNull() | (F.year(ts) <= 1), now).otherwise(ts)
+    fl = fl.withColumn("_parsed", _parse_ts(F.col("timestamp")))
+    ts = F.when(F.col("_parsed") >= F.lit("0002-01-01").cast("timestamp"), F.col("_parsed")).otherwise(now)
     return (fl.withColumn("agent_id", F.when(_blank(F.col("agent_id")), F.col("env_agent")).otherwise(F.col("agent_id")))
               .withColumn("hostname", F.when(_blank(F.col("hostname")), F.col("env_host")).otherwise(F.col("hostname")))
-              .withColumn("ts", ts).drop("env_agent", "env_host", "timestamp"))
+              .withColumn("ts", ts).drop("env_agent", "env_host", "timestamp", "_parsed"))
 
 
 def flatten_flow(nested: DataFrame) -> DataFrame:
     """Nested wire flow -> flat table: http.method/path/status, dns.query_name /
     query_type / rcode, blank/zero defaults for absent sub-records; ``info`` is
     computed when the agent sent none."""
-    info = F.when(_blank(F.col("info")), flow_info()).otherwise(F.col("info"))
+    service, method = grpc_target("http")
+    info = F.when(_blank(F.col("info")), flow_info(grpc_service=service, grpc_method=method)).otherwise(F.col("info"))
     flat = nested.select(
         *[c for c in nested.columns if c not in ("http", "dns", "tls", "icmp", "arp", "tcp_stats", "info")],
         F.coalesce(info, F.lit("")).alias("info"),
@@ -56,10 +58,11 @@ def flatten_flow(nested: DataFrame) -> DataFrame:
 
 def flows_from_json_lines(lines: DataFrame, col: str = "value") -> DataFrame:
     """Single wire flows (one JSON object per line / Kafka value) -> nested rows;
-    malformed values are skipped."""
-    return lines.select(F.from_json(F.col(col), FLOW_JSON_SCHEMA).alias("f")).filter(
-        F.col("f").isNotNull() & F.col("f.id").isNotNull()).select("f.*").withColumn(
-        "ts", _parse_ts(F.col("timestamp"))).drop("timestamp")
+    malformed values are skipped; an unparsable
+    timestamp becomes the time of the batch."""
+    return lines.select(F.from_json(F.col(col), FLOW_JSON_SCHEMA).alias("f")).select("f.*") \
+        .filter(F.col("id").isNotNull()).withColumn(
+        "ts", F.coalesce(_parse_ts(F.col("timestamp")), F.current_timestamp())).drop("timestamp")
 
 
 def read_flow_stream(spark: SparkSession, fmt: str = "kafka", path: str | None = None,
@@ -90,9 +93,9 @@ def incremental_files(spark: SparkSession, path: str, last_pulled: dt.datetime |
                       fmt: str = "text") -> tuple[DataFrame, DataFrame]:
     """(rows of objects modified after ``last_pulled``, pull-log row).
 
-    The pull log carries the newest modification time seen (the next cursor)
-    and the row count; both come from Spark's ``_metadata`` column, so the
-    listing is done by the executors' file scan, not by the driver.
+    The log carries the newest modification time seen (the next cursor), file and
+    row counts, from Spark's ``_metadata`` column, so the listing is done by the
+    executors' file scan; ``pull`` adds duration and error.
     """
     reader = spark.read.format(fmt)
     if last_pulled is not None:
@@ -104,6 +107,30 @@ def incremental_files(spark: SparkSession, path: str, last_pulled: dt.datetime |
     return df.drop("_file", "_mtime"), log
 
 
+PULL_LOG = "source string, pulled_at timestamp, rows long, files long, next_cursor timestamp, duration_ms long, error string"
+
+
+def pull(spark: SparkSession, source: str, path: str, last_pulled: dt.datetime | None, parse, write,
+         fmt: str = "text") -> DataFrame:
+    """Pull the new objects of a source once: parse, write, and return the log row.
+
+    A failed pull is logged with its error and an empty count, and its cursor
+    stays, so the next pull takes the same objects again.
+    """
+    began = dt.datetime.now(dt.timezone.utc)
+    rows = files = 0
+    cursor, error = last_pulled, ""
+    try:
+        new, log = incremental_files(spark, path, last_pulled, fmt)
+        write(parse(new))
+        rows, files, newest = log.first()
+        cursor = newest or last_pulled
+    except Exception as e:  # what went wrong belongs in the log, not in the scheduler
+        error = str(e).splitlines()[0] if str(e) else type(e).__name__
+    took = int((dt.datetime.now(dt.timezone.utc) - began).total_seconds() * 1000)
+    return spark.createDataFrame([(source, began.replace(tzinfo=None), rows, files, cursor, took, error)], PULL_LOG)
+
+
 def save_session(df: DataFrame, path: str, session_id: str, mode: str = "overwrite") -> None:
     """Saved capture: flows of one session, id-keyed (replacing duplicates),
     written under ``session_id=...`` with dynamic partition overwrite."""
@@ -117,6 +144,3 @@ def load_session(spark: SparkSession, path: str, session_id: str) -> DataFrame:
     return spark.read.parquet(path).filter(F.col("session_id") == session_id) \
                 .drop("session_id").orderBy("ts", "id")
 
-
-__all__ = ["read_ingest_json", "flatten_flow", "flows_from_json_lines", "read_flow_stream", "union_sources",
-           "incremental_files", "save_session", "load_session", "FLOW_NAMES"]

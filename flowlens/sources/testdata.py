@@ -94,11 +94,12 @@ AUDIT_SQL = """
 SELECT CAST(o_orderkey AS STRING) AS id, CONCAT('tok-', CAST(o_custkey % 10 AS STRING)) AS token_id,
   CASE o_orderstatus WHEN 'F' THEN 'admin' ELSE 'viewer' END AS role,
   CASE WHEN o_orderkey % 3 = 0 THEN 'POST' ELSE 'GET' END AS method,
-  CONCAT('/api/v1/r', CAST(o_orderkey % 7 AS STRING)) AS path,
+  CASE o_orderkey % 13 WHEN 0 THEN '/api/v1/auth/login' WHEN 1 THEN '/api/v1/auth/logout' WHEN 2 THEN '/api/v1/users/password_reset'
+       ELSE CONCAT('/api/v1/r', CAST(o_orderkey % 7 AS STRING)) END AS path,
   CAST(CASE o_orderkey % 10 WHEN 0 THEN 500 WHEN 1 THEN 404 ELSE 200 END AS INT) AS status,
   CONCAT('10.9.', CAST(o_custkey % 200 AS STRING), '.1') AS client_ip,
   CAST(o_orderkey % 900 AS INT) AS latency_ms,
-  CAST(o_orderdate AS TIMESTAMP) AS ts
+  TIMESTAMP '2023-12-01 00:00:00' + CAST(o_orderkey * 7919 % 86400 AS INT) * INTERVAL '1' MINUTE AS ts
 FROM {orders}
 """
 
@@ -115,8 +116,8 @@ SELECT CONCAT('u-', CAST(c_custkey % 300 AS STRING)) AS user_id,
   c_name AS display_name,
   CASE c_mktsegment WHEN 'BUILDING' THEN 'admin' WHEN 'MACHINERY' THEN 'analyst' ELSE 'viewer' END AS role,
   (c_custkey % 11 != 0) AS is_active,
-  TIMESTAMP '2023-10-01 00:00:00' + CAST(c_custkey % 120 AS INT) * INTERVAL '1' DAY AS created_at,
-  TIMESTAMP '2023-10-01 00:00:00' + CAST(c_custkey % 120 + c_nationkey AS INT) * INTERVAL '1' DAY AS last_seen,
+  TIMESTAMP '2023-10-01 00:00:00' + CAST(c_custkey % 300 % 120 AS INT) * INTERVAL '1' DAY AS created_at,
+  TIMESTAMP '2023-08-01 00:00:00' + CAST(c_custkey % 300 % 170 + c_nationkey % 3 AS INT) * INTERVAL '1' DAY AS last_seen,
   c_custkey AS version
 FROM {customer}
 """

@@ -1,34 +1,41 @@
 """Structured Streaming jobs built from the batch operators.
 
-Common shape: ``job(stream_df, static tables..., checkpoint, sink, trigger)
--> StreamingQuery``.  Checkpoints live under the shared ``spark.checkpoint.dir``
-(never a machine-local folder on a cluster), so a restarted driver or lost
-executor resumes from the last committed offsets; ``foreachBatch`` writes are
-idempotent per batch (dynamic partition overwrite keyed by batch / window).
-The reference's writer drops rows when its 2,000-row buffer is full; here
-back-pressure comes from ``maxOffsetsPerTrigger`` / ``maxFilesPerTrigger`` and
-nothing is dropped.
+Checkpoints and sinks live under the shared ``spark.checkpoint.dir``, so a
+restarted driver or lost executor resumes from the last committed offsets.  Plans
+that only append go to a Parquet sink, whose log makes each batch count once;
+``foreachBatch`` jobs write partitions named by the batch number and overwrite
+them, so a replayed batch replaces itself.  The reference's writer drops rows when
+its 2,000-row buffer is full; here back-pressure comes from
+``maxOffsetsPerTrigger`` / ``maxFilesPerTrigger`` and nothing is dropped.
 """
 
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from flowlens.functions.timewin import hour_of_week
 from flowlens.operators import detect as D
 from flowlens.operators import enrich as E
 from flowlens.operators import export as X
+from flowlens.operators.certs import extract_certs
 from flowlens.session import ensure_checkpoint_dir
 from flowlens.sources.ingest import flatten_flow
 
 DEFAULT_WATERMARK = "10 minutes"
 
 
+def stream_folder(spark: SparkSession, name: str, part: str) -> str:
+    return os.path.join(ensure_checkpoint_dir(spark), "streams", name, part)
+
+
 def checkpoint_for(spark: SparkSession, name: str) -> str:
-    return os.path.join(ensure_checkpoint_dir(spark), "streams", name)
+    return stream_folder(spark, name, "checkpoint")
 
 
 def with_event_time(df: DataFrame, ts: str = "ts", delay: str = DEFAULT_WATERMARK) -> DataFrame:
@@ -36,39 +43,77 @@ def with_event_time(df: DataFrame, ts: str = "ts", delay: str = DEFAULT_WATERMAR
     return df.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay)
 
 
-def _start(df_writer, name: str, trigger: dict | None):
-    w = df_writer.queryName(name)
-    if trigger:
-        w = w.trigger(**trigger)
-    return w.start()
+def _start(writer, name: str, trigger: dict | None) -> StreamingQuery:
+    w = writer.queryName(name)
+    return (w.trigger(**trigger) if trigger else w).start()
+
+
+def append_to(df: DataFrame, path: str, name: str, trigger: dict | None = None) -> StreamingQuery:
+    """Append a stream to a Parquet folder."""
+    w = (df.writeStream.outputMode("append").format("parquet").option("path", path)
+         .option("checkpointLocation", checkpoint_for(df.sparkSession, name)))
+    return _start(w, name, trigger)
+
+
+def each_batch(df: DataFrame, write: Callable[[DataFrame, int], None], name: str, trigger: dict | None) -> StreamingQuery:
+    w = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_for(df.sparkSession, name))
+    return _start(w, name, trigger)
+
+
+def write_epoch(df: DataFrame, path: str, epoch: int) -> None:
+    """Write a batch's rows as the partition of its number, replacing what a first try left."""
+    (df.withColumn("epoch", F.lit(epoch).cast("long")).write.mode("overwrite")
+       .option("partitionOverwriteMode", "dynamic").partitionBy("epoch").parquet(path))
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at a path, or None if nothing was written there yet; other errors are raised."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def stream_ingest(nested: DataFrame, flows_path: str, agents_path: str, certs_path: str | None = None,
-                  blocklist: DataFrame | None = None, trigger: dict | None = None,
+                  blocklist: DataFrame | None = None, geo: DataFrame | None = None, trigger: dict | None = None,
                   name: str = "ingest") -> StreamingQuery:
-    """Nested wire flows -> enriched flat flows (month partitions) + per-batch
-    agent upserts (+ TLS cert sightings).  One micro-batch = one write per table."""
-    spark = nested.sparkSession
-    flat = flatten_flow(nested)
-    if blocklist is not None:
-        flat = E.enrich_threat(flat, blocklist).drop("threat_reasons")
+    """Nested wire flows -> enriched flat flows (epoch and month partitions), agent
+    sightings and, with ``certs_path``, TLS certificate sightings of each batch."""
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()
-        X.write_flows(batch, flows_path)
-        X.upsert_agents_from_flows(batch).withColumn("batch", F.lit(epoch)) \
-            .write.mode("append").parquet(agents_path)
+        flat = flatten_flow(batch)
+        if blocklist is not None:
+            flat = E.enrich_threat(flat, blocklist).drop("threat_reasons")
+        if geo is not None:
+            flat = E.enrich_geo(flat, geo)
+        X.write_flows(flat, flows_path, epoch=epoch)
+        write_epoch(X.upsert_agents_from_flows(flat), agents_path, epoch)
+        if certs_path is not None:
+            write_epoch(extract_certs(batch), certs_path, epoch)
         batch.unpersist()
 
-    w = flat.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_for(spark, name))
-    return _start(w, name, trigger)
+    return each_batch(nested, write, name, trigger)
+
 
+def agent_sightings(spark: SparkSession, agents_path: str) -> DataFrame:
+    """Latest hostname and last_seen per agent over all batches."""
+    return spark.read.parquet(agents_path).groupBy("agent_id").agg(
+        F.max_by("hostname", F.struct("last_seen", "epoch")).alias("hostname"), F.max("last_seen").alias("last_seen"))
 
-def stream_enrich(flows: DataFrame, blocklist: DataFrame, geo: DataFrame | None = None) -> DataFrame:
-    """Stream-static range joins (the static network tables are size-checked and
-    broadcast); usable inside any streaming plan."""
-    out = E.enrich_threat(flows, blocklist)
-    return E.enrich_geo(out, geo) if geo is not None else out
+
+def stream_enrich(flows: DataFrame, path: str, blocklist: DataFrame, geo: DataFrame | None = None,
+                  trigger: dict | None = None, name: str = "enrich") -> StreamingQuery:
+    """Flows of each batch with threat and geo columns; the network join looks up the
+    batch's distinct addresses."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        out = E.enrich_threat(batch, blocklist)
+        write_epoch(E.enrich_geo(out, geo) if geo is not None else out, path, epoch)
+
+    return each_batch(flows, write, name, trigger)
 
 
 def stream_timeseries(flows: DataFrame, delay: str = DEFAULT_WATERMARK) -> DataFrame:
@@ -83,8 +128,8 @@ def stream_timeseries(flows: DataFrame, delay: str = DEFAULT_WATERMARK) -> DataF
 def stream_detect(flows: DataFrame, baselines: DataFrame, window_minutes: int = 5,
                   delay: str = DEFAULT_WATERMARK) -> DataFrame:
     """5-minute tumbling counts per (agent, hostname, protocol) joined to the
-    static baseline of the window's hour-of-week; emits anomalies."""
-    from flowlens.functions.timewin import hour_of_week
+    baseline of the window's hour-of-week; emits anomalies.  Give it a stored
+    baseline table: a plan over raw flows would be computed in every batch."""
     f = with_event_time(flows, delay=delay).filter(F.col("agent_id") != "")
     obs = f.groupBy(F.window("ts", f"{window_minutes} minutes").alias("w"), "agent_id", "hostname", "protocol") \
            .agg(F.count(F.lit(1)).alias("flow_count"))
@@ -97,30 +142,35 @@ def stream_detect(flows: DataFrame, baselines: DataFrame, window_minutes: int =
         "description", "severity")
 
 
-def stream_rules(flows: DataFrame, delay: str = DEFAULT_WATERMARK, port_scan_minutes: int = 5,
-                 min_ports: int = 50) -> tuple[DataFrame, DataFrame]:
-    """(row rules as one stateless filter stream, port-scan windows).
+def stream_rules(flows: DataFrame, delay: str = DEFAULT_WATERMARK) -> DataFrame:
+    """One row per flow and row rule it matches (a flow may match several).
 
-    Row rules are evaluated once per row (the reference re-fires rows while
-    they stay inside a look-back longer than its 5-minute cycle); duplicates
-    of a (flow, rule) within the watermark are dropped."""
+    Row rules are evaluated once per row (the reference re-fires rows while they
+    stay inside a look-back longer than its 5-minute cycle); duplicates of a
+    (flow, rule) within the watermark are dropped."""
     f = with_event_time(flows, delay=delay)
-    path = F.lit(False)
-    for p in D.CRED_PATHS:
-        path = path | F.col("http_path").contains(p)
-    rule = (F.when((F.col("protocol") == "DNS") & (F.length("dns_query") > 60), "dns_tunnel")
-            .when((F.col("protocol") == "HTTP") & (F.col("http_method") == "POST") & path & (F.col("dst_port") != 443),
-                  "cleartext_creds")
-            .when((F.col("dst_port") > 49151) & (F.col("protocol") == "TCP") & (F.col("bytes_out") > 10000), "high_port")
-            .when((F.col("protocol") == "TCP") & F.col("process_name").isin(D.SHELL_PROCESSES)
-                  & ~F.col("dst_port").isin(D.SHELL_ALLOWED_PORTS), "shell_process"))
-    rows = f.withColumn("rule", rule).filter(F.col("rule").isNotNull()) \
-            .dropDuplicatesWithinWatermark(["id", "rule"])
-    scans = f.filter(F.col("protocol").isin("TCP", "UDP")).groupBy(
-        F.window("ts", f"{port_scan_minutes} minutes").alias("w"), "src_ip").agg(
-        F.approx_count_distinct("dst_port").alias("port_count"), F.min("ts").alias("first_seen")) \
-        .filter(F.col("port_count") > min_ports)
-    return rows, scans
+    hits = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in D.row_rules().items()]))
+    return f.withColumn("rule", F.explode(hits)).dropDuplicatesWithinWatermark(["id", "rule"])
+
+
+def stream_port_scans(flows: DataFrame, minutes: int = 5, min_ports: int = 50,
+                      delay: str = DEFAULT_WATERMARK) -> DataFrame:
+    """Closed windows in which a source probed more than ``min_ports`` distinct ports.
+
+    The exact count is a chain of two windowed aggregates, (window, source, port)
+    and (window, source), so a scanning source is spread over its ports."""
+    f = with_event_time(flows, delay=delay).filter(F.col("protocol").isin("TCP", "UDP"))
+    ports = f.groupBy(F.window("ts", f"{minutes} minutes").alias("w"), "src_ip", "dst_port").agg(
+        F.min("ts").alias("first_seen"))
+    return ports.groupBy(F.window(F.window_time("w"), f"{minutes} minutes").alias("w"), "src_ip").agg(
+        F.count(F.lit(1)).alias("port_count"), F.min("first_seen").alias("first_seen")) \
+        .filter(F.col("port_count") > min_ports) \
+        .select(F.col("w.start").alias("window_start"), "src_ip", "port_count", "first_seen")
+
+
+def stream_policies(flows: DataFrame, policies: DataFrame) -> DataFrame:
+    """Policy violations of each arriving flow (stream-static join)."""
+    return D.evaluate_policies(flows, policies)
 
 
 def agent_sessions(flows: DataFrame, gap: str = "5 minutes", delay: str = DEFAULT_WATERMARK) -> DataFrame:
@@ -132,49 +182,49 @@ def agent_sessions(flows: DataFrame, gap: str = "5 minutes", delay: str = DEFAUL
 
 
 def live_tail(flows: DataFrame, condition=None) -> DataFrame:
-    """Every ingested flow matching ``condition`` (push to a memory / console /
-    Kafka sink); no buffer to overflow, so no slow-consumer drops."""
+    """Every ingested flow matching ``condition`` (push to a file / console / Kafka
+    sink); no buffer to overflow, so no slow-consumer drops."""
     return flows if condition is None else flows.filter(condition)
 
 
-def stream_alerts(flows_table_path: str, rules: DataFrame, events_path: str, source: DataFrame,
-                  trigger: dict | None = None, name: str = "alerts") -> StreamingQuery:
-    """On every trigger (60 s by default) evaluate all alert rules against the
-    flow table at the current time; new events are appended and the cooldown
-    lookup reads the same events table."""
-    spark = source.sparkSession
+def stream_alerts(flows: DataFrame, rules: DataFrame, recent_path: str, hourly_path: str, events_path: str,
+                  as_of: str = "now", trigger: dict | None = None, name: str = "alerts") -> StreamingQuery:
+    """On every batch (60 s by default) evaluate all alert rules.
 
-    def run(_batch: DataFrame, epoch: int) -> None:
-        flows = spark.read.parquet(flows_table_path)
-        now = F.current_timestamp()
-        wins = [r[0] for r in rules.select(F.coalesce(F.nullif("window_minutes", F.lit(0)), F.lit(5)))
-                .distinct().collect()]
-        try:
-            events = spark.read.parquet(events_path)
-        except Exception:  # noqa: BLE001 - first run, no events yet
-            events = None
-        fired = D.evaluate_alerts(rules, D.alert_metrics(flows, wins, as_of=now), events, now)
-        fired.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(events_path)
+    A batch adds its flows to ``recent_path`` and its hourly load to
+    ``hourly_path``; metrics read the recent rows of the longest rule window and
+    the stored hours, never the flow table.  Fired events go to the batch's
+    partition of ``events_path``; the cooldown looks at the earlier partitions, so
+    a replay decides as the first try did.  ``as_of`` is "now" or "batch", the
+    newest ts of the batch (replays of old data).
+    """
+    spark = flows.sparkSession
+    windows = [r[0] for r in rules.select(F.coalesce(F.nullif("window_minutes", F.lit(0)), F.lit(5))).distinct().collect()]
 
-    w = source.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint_for(spark, name))
-    return _start(w, name, trigger or {"processingTime": "60 seconds"})
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
+        newest = batch.agg(F.max("ts")).first()[0]
+        if newest is not None:
+            X.write_flows(batch, recent_path, epoch=epoch)
+            write_epoch(D.hourly_load(batch), hourly_path, epoch)
+        recent, events = stored(spark, recent_path), stored(spark, events_path)
+        batch.unpersist()
+        if recent is None or (as_of == "batch" and newest is None):
+            return
+        now = F.lit(newest) if as_of == "batch" else F.current_timestamp()
+        if events is not None:
+            events = events.filter(F.col("epoch") < epoch)
+        upto = lambda df: df.filter(F.col("epoch") <= epoch)
+        metrics = D.alert_metrics(upto(recent), windows, as_of=now, hourly=upto(stored(spark, hourly_path)))
+        write_epoch(D.evaluate_alerts(rules, metrics, events, now), events_path, epoch)
+
+    return each_batch(flows, write, name, trigger or {"processingTime": "60 seconds"})
 
 
 def stream_certs(nested: DataFrame, certs_path: str, trigger: dict | None = None,
                  name: str = "certs") -> StreamingQuery:
-    """Cert sightings of each micro-batch appended to a log partitioned by
-    epoch (dynamic overwrite: a replayed epoch replaces itself, so the sink is
-    idempotent).  ``cert_inventory`` merges the log at read time."""
-    from flowlens.operators.certs import extract_certs
-    spark = nested.sparkSession
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        (extract_certs(batch).withColumn("epoch", F.lit(epoch))
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("epoch").parquet(certs_path))
-
-    w = nested.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint_for(spark, name))
-    return _start(w, name, trigger)
+    """Certificate sightings of each batch; ``cert_inventory`` merges them at read time."""
+    return each_batch(nested, lambda batch, epoch: write_epoch(extract_certs(batch), certs_path, epoch), name, trigger)
 
 
 def cert_inventory(spark: SparkSession, certs_path: str) -> DataFrame:

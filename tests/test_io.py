@@ -77,7 +77,7 @@ def test_stream_ingest_files(spark, tmp_path):
                         blocklist=td_blocklist(spark), name=f"ingest_{uuid.uuid4().hex[:8]}")
     q.awaitTermination()
     out = spark.read.parquet(str(tmp_path / "flows"))
-    assert out.count() == 4
+    assert out.count() == 4 and J.agent_sightings(spark, str(tmp_path / "agents")).count() == 1
     assert {r["threat_score"] for r in out.collect()} == {100}
     assert {r["info"] for r in out.collect()} == {"GET /x"}
 
@@ -85,3 +85,15 @@ def test_stream_ingest_files(spark, tmp_path):
 def td_blocklist(spark):
     from flowlens.operators.enrich import builtin_blocklist
     return builtin_blocklist(spark)
+
+
+def test_pull_log(spark, tmp_path):
+    (tmp_path / "a.log").write_text("x\ny\n")
+    got = []
+    r = IN.pull(spark, "s", str(tmp_path), None, lambda d: d, lambda d: got.append(d.count())).first()
+    assert (got, r["rows"], r["files"], r["error"]) == ([2], 2, 1, "") and r["duration_ms"] >= 0 and r["next_cursor"] is not None
+
+    def broken(_):
+        raise ValueError("no access")
+    r = IN.pull(spark, "s", str(tmp_path), r["next_cursor"] - dt.timedelta(days=1), lambda d: d, broken).first()
+    assert (r["rows"], r["error"]) == (0, "no access")

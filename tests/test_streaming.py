@@ -1,32 +1,73 @@
 """Streaming jobs agree with their batch operators on the same input."""
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E
 from conftest import SMALL
-from flowlens.operators import aggregate as A
+from flowlens.operators import detect as D
+from flowlens.plans import q_detect as QD
+from flowlens.plans import q_stream as QS
+from flowlens.schema import conform_flows
 from flowlens.sources import testdata as td
+from flowlens.streaming import jobs as J
 
 
-def test_stream_timeseries_matches_batch(spark):
-    got = {(r["minute"], r["cnt"]) for r in E.queries()["stream_timeseries"](spark, SMALL).collect()}
-    assert got
-    # every closed stream window equals the batch per-minute count
-    batch = td.flows(spark, SMALL).groupBy(F.date_trunc("minute", "ts").alias("minute")).agg(
-        F.count(F.lit(1)).alias("cnt"))
-    exp = {(r["minute"], r["cnt"]) for r in batch.collect()}
-    assert got <= exp
-    last = max(m for m, _ in exp)
-    assert len(exp - got) <= sum(1 for m, _ in exp if (last - m).total_seconds() <= 11 * 60)
+def test_sources_make_several_batches(spark):
+    name = QS.fresh("batches")
+    stream = QS.flow_stream(spark, SMALL, name)
+    q = J.append_to(stream.select("id"), J.stream_folder(spark, name, "out"), name, {"availableNow": True})
+    q.awaitTermination()
+    assert len([p for p in q.recentProgress if p["numInputRows"]]) == QS.FILES
 
 
-def test_stream_rules_match_batch_filters(spark):
-    got = E.queries()["stream_rules"](spark, SMALL)
-    n_dns = got.filter("rule = 'dns_tunnel'").count()
-    f = td.flows(spark, SMALL)
-    assert n_dns == f.filter((F.col("protocol") == "DNS") & (F.length("dns_query") > 60)).count()
+def test_a_flow_may_match_two_rules(spark):
+    row = [("f1", "TCP", "bash", 50000, 20000, dt.datetime(2024, 1, 1)), ("f2", "TCP", "bash", 22, 20000, dt.datetime(2024, 1, 1))]
+    f = conform_flows(spark.createDataFrame(row, "id string, protocol string, process_name string, dst_port int, bytes_out long, ts timestamp"))
+    name = f"two_{uuid.uuid4().hex[:8]}"
+    stream = QS.file_stream(spark, f, "ts", name)
+    out = J.stream_folder(spark, name, "out")
+    J.append_to(J.stream_rules(stream).select("id", "rule"), out, name, {"availableNow": True}).awaitTermination()
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == [("f1", "high_port"), ("f1", "shell_process")]
+
+
+def test_late_rows_are_left_out_of_closed_windows(spark, tmp_path):
+    t = dt.datetime(2024, 1, 1, 10, 0)
+    for i, minutes in enumerate([0, 60, 1, 120]):  # the third file comes an hour late
+        rows = [("a", t + dt.timedelta(minutes=minutes))]
+        conform_flows(spark.createDataFrame(rows, "id string, ts timestamp")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    name = f"late_{uuid.uuid4().hex[:8]}"
+    J.append_to(J.stream_timeseries(stream), str(tmp_path / "out"), name, {"availableNow": True}).awaitTermination()
+    got = sorted(r["minute"] for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [t, t + dt.timedelta(minutes=60)]
+
 
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "n long, s string")
+    for _ in range(2):
+        J.write_epoch(df, str(tmp_path / "t"), 7)
+    J.write_epoch(df.limit(1), str(tmp_path / "t"), 8)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+    assert J.stored(spark, str(tmp_path / "none")) is None
 
-def test_live_tail_passes_every_row(spark):
-    got = E.queries()["stream_live_tail"](spark, SMALL).count()
-    assert got == td.flows(spark, SMALL).filter("protocol = 'DNS'").count()
+
+def test_alerts_respect_the_cooldown_across_batches(spark):
+    got = E.queries()["stream_alerts"](spark, SMALL).collect()
+    minutes = {r[0]: (r[6] or 15) for r in QD.ALERT_RULES}
+    by = {}
+    for r in sorted(got, key=lambda r: r["fired_at"]):
+        last = by.get(r["rule_id"])
+        assert last is None or r["fired_at"] - last >= dt.timedelta(minutes=minutes[r["rule_id"]])
+        by[r["rule_id"]] = r["fired_at"]
+
+
+def test_stored_hours_give_the_same_metrics(spark):
+    f = td.flows(spark, SMALL)
+    now = f.agg(F.max("ts")).first()[0].replace(minute=0, second=0, microsecond=0)
+    f = f.filter(F.col("ts") <= F.lit(now))
+    whole = {tuple(r) for r in D.alert_metrics(f, [5, 60], as_of=now).collect()}
+    assert {tuple(r) for r in D.alert_metrics(f, [5, 60], as_of=now, hourly=D.hourly_load(f)).collect()} == whole
