@@ -127,12 +127,7 @@ def _write(folder: str, name: str, array: np.ndarray) -> None:
 def _merge(keys: list[np.ndarray], *columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Distinct sorted keys and the sums of their columns."""
     key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    out = []
-    for c in columns:
-        total = np.zeros(len(key), np.int64)
-        np.add.at(total, inverse, np.concatenate(c))
-        out.append(total)
-    return key, out
+    return key, [np.bincount(inverse, np.concatenate(c), len(key)).astype(np.int64) for c in columns]
 
 
 def _add_bigrams(folder: str, word_bits: int):
@@ -337,7 +332,7 @@ def train(docs: DataFrame, text_col: str = "text") -> KneserNey:
     text = docs.select(F.col(f"`{text_col}`").alias("text"))
     size = text.agg(F.sum(F.length("text"))).first()[0] or 0
     bits = max(0, min(16, int(np.ceil(np.log2(max(1, size / 6 / SHARD_TOKENS))))))
-    word_bits = max(0, bits - 3)
+    word_bits = bits
     shards = (text.mapInArrow(_count_bigrams(bits), "shard int, v binary, w binary, n binary")
               .groupBy("shard").applyInArrow(_add_bigrams(folder, word_bits),
                                              "shard int, word binary, cols binary, stats array<long>"))
