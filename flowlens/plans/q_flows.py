@@ -170,7 +170,7 @@ def q_ip_classification(spark, sf):
 @register("query_flows_page", W(f"""
 SELECT id, agent_id, hostname, ts, protocol, src_ip, dst_ip, dst_port, http_status FROM flows
 WHERE protocol = 'HTTP' AND ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts <= TIMESTAMP '2024-01-20 12:00:00'
-ORDER BY ts DESC, id DESC LIMIT 1000 OFFSET 50"""))
+ORDER BY ts DESC, id DESC LIMIT 5000 OFFSET 50"""))
 def q_query_flows_page(spark, sf):
     page, _ = FL.query_flows(td.flows(spark, sf), protocol="HTTP", from_="2024-01-10T00:00:00Z",
                              to="2024-01-20T12:00", limit=5000, offset=50,
