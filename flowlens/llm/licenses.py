@@ -35,6 +35,7 @@ _LIC = r"(?:public )?licen[cs]e"
 _VER = r"(?: (?:version|v) ?| v| )?"
 
 # Hand-written names: label, keyword that must stand in the text, expression over lower-case words.
+# The keyword starts a word of whatever the expression matches, in each of its alternatives.
 # An expression names a licence by itself; the forms below put it in the frames that notices use.
 _NAMES = (
     ("agpl-1.0", "affero", rf"affero general {_LIC}{_VER}1"),
@@ -61,7 +62,7 @@ _NAMES = (
     ("x11", "x11", r"x11 licen[cs]e"),
     ("x11", "consortium", r"x consortium licen[cs]e"),
     ("isc", "isc", r"isc licen[cs]e"),
-    ("isc", "notwithstanding", r"permission to use copy modify and or distribute this software for any purpose"),
+    ("isc", "modify", r"permission to use copy modify and or distribute this software for any purpose"),
     ("0bsd", "clause", r"zero clause bsd|0 clause bsd|bsd zero clause"),
     ("bsd-2-clause", "clause", r"(?:bsd 2|2|two) clause(?: bsd)?(?: licen[cs]e)?"),
     ("bsd-3-clause", "clause", r"(?:bsd 3|3|three) clause(?: bsd)?(?: licen[cs]e)?"),
@@ -69,7 +70,7 @@ _NAMES = (
     ("bsd-4-clause", "original", r"original bsd licen[cs]e"),
     ("bsd-2-clause", "simplified", r"simplified bsd licen[cs]e"),
     ("bsd-2-clause", "freebsd", r"freebsd licen[cs]e"),
-    ("bsd-3-clause", "revised", r"(?:new|revised|modified) bsd licen[cs]e"),
+    ("bsd-3-clause", "bsd", r"(?:new|revised|modified) bsd licen[cs]e"),
     ("bsd", "bsd", r"bsd (?:style )?licen[cs]e"),
     ("bsd", "redistributions", r"redistributions of source code must retain the above copyright notice"),
     ("mpl-1.0", "mozilla", rf"mozilla {_LIC}{_VER}1 0"),
@@ -151,7 +152,9 @@ _NAMES = (
     ("ogl", "government", r"open government licen[cs]e"),
     ("cdla-permissive", "community", r"community data licen[cs]e agreement permissive"),
     ("cdla-sharing", "community", r"community data licen[cs]e agreement sharing"),
-    ("rail", "rail", r"(?:creativeml |bigscience |responsible ai )(?:open )?(?:rail|licen[cs]e)(?: [ms])?"),
+    ("rail", "creativeml", r"creativeml (?:open )?(?:rail|licen[cs]e)(?: [ms])?"),
+    ("rail", "bigscience", r"bigscience (?:open )?(?:rail|licen[cs]e)(?: [ms])?"),
+    ("rail", "responsible", r"responsible ai (?:open )?(?:rail|licen[cs]e)(?: [ms])?"),
     ("cc0", "cc0", r"cc0(?: 1 0)?(?: universal)?"),
     ("cc0", "commons", r"creative commons (?:cc0|zero)"),
     ("cc-by", "commons", r"creative commons attribution(?: licen[cs]e)?(?: [1-4] [05])?(?: international| unported| generic)?"),

@@ -155,6 +155,62 @@ def test_rule_keywords_stand_in_what_the_rule_matches():
     assert all(r.pattern.pattern.startswith(b" (?:spdx") for r in spdx)
 
 
+def samples(pattern):
+    """One text per alternative and option of an expression; repeats and classes take their least form."""
+    from itertools import product
+    from re import _parser
+
+    def texts(items):
+        return ["".join(x) for x in product(*[one(*i) for i in items])]
+
+    def one(op, arg):
+        op = str(op)
+        if op == "LITERAL":
+            return [chr(arg)]
+        if op == "IN":
+            kind, value = arg[0]
+            return ["x"] if str(kind) == "CATEGORY" else [chr(value if isinstance(value, int) else value[0])]
+        if op == "BRANCH":
+            return [t for part in arg[1] for t in texts(part)]
+        if op == "SUBPATTERN":
+            return texts(arg[3])
+        if op == "MAX_REPEAT":
+            low, high, part = arg
+            return [t for n in {low, min(high, 1)} for t in (texts(part) if n else [""])]
+        assert op in ("ASSERT", "ASSERT_NOT"), op
+        return [""]
+
+    return texts(_parser.parse(pattern))
+
+
+def test_gate_lets_every_alternative_of_every_rule_through():
+    rules = licenses.rules()
+    gate = licenses._automaton()
+    for i, r in enumerate(rules):
+        forms = samples(r.pattern.pattern.decode())
+        assert forms
+        for text in forms:
+            line = f"{text} "
+            assert r.pattern.search(line.encode()), line
+            assert any(i in ids for _, ids in gate.iter(line)), (r.label, line)
+    # whole scans agree with one that tries all patterns
+    for _, _, body in licenses._NAMES:
+        for text in (t.strip() for t in samples(body)):
+            for line in (text, f"licensed under the terms of the {text}"):
+                found = [licenses.Detection(f" {line} "[:m.start()].count(" "), f" {line} "[:m.end()].count(" ") - 1,
+                                            r.label, r.priority, r.score)
+                         for r in rules for m in r.pattern.finditer(f" {line} ".encode())]
+                assert licenses.scan_text(line)[2] == licenses.resolve(found), line
+
+
+def test_names_without_the_old_gate_words():
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose"
+    assert labels(isc) == labels(f"Licensed under {isc}") == ["isc"]
+    assert labels("New BSD License") == labels("the Modified BSD License") == ["bsd-3-clause"]
+    for name in ("Responsible AI License", "BigScience License", "CreativeML Open RAIL-M"):
+        assert labels(name) == labels(f"released under the {name}") == ["rail"]
+
+
 def test_licence_scan_columns(spark):
     df = docs(spark, [(i, t, None, None, None) for i, t in enumerate(LICENCE_TEXTS)]).withColumn("licence", F.lit(1))
     got = {r["doc_id"]: r for r in licenses.scan_documents(df).collect()}
