@@ -1,10 +1,11 @@
 """Main text of web pages: site template removal over hashed element subtrees.
 
-Every page is parsed into a tree whose container subtrees are hashed.  Spark
-counts, for each host, on how many different pages a hash occurs; what recurs on
-many of them is the site's template and is deleted.  Elements whose tag, role or
-class says that they aren't the article (menus, headers, footers, sidebars,
-notices, adverts, forms, scripts, comments) go in any case.
+Every page is parsed into a tree whose subtrees are hashed: containers with any
+text, other elements with more than a few words.  Spark counts, for each host, on
+how many different pages a hash occurs; what recurs on many of them is the site's
+template and is deleted.  Elements whose tag, role or class says that they aren't
+the article (menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+comments) go in any case.
 """
 
 from __future__ import annotations
@@ -17,15 +18,18 @@ from html.parser import HTMLParser
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.common import cut, small_batches, with_columns
 
-#: A subtree is template if it stands on this many different pages of the host and on this share of them.
-MIN_PAGES, MIN_SHARE = 4, 0.3
-#: Hosts whose templates fit this many rows (a host and a hash each) are broadcast, else joined by a shuffle.
-MAX_BROADCAST = 100_000
+#: A subtree is template if it stands on this share of the host's different pages, on MIN_PAGES of them at
+#: least; MAX_PAGES of them are enough however large the host.
+MIN_PAGES, MIN_SHARE, MAX_PAGES = 4, 0.1, 50
+#: Words that make an element other than a container worth counting.
+MIN_WORDS = 4
+#: So many templates (8 bytes each) are broadcast; more are joined to the pages by a shuffle.
+MAX_BROADCAST = 1_000_000
 
 # Element names (fixed values of the markup language).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,6 +64,7 @@ class Node:
     name: str = ""
     children: list[Node | str] = field(default_factory=list)
     digest: int = 0
+    counted: bool = False  #: may be template
 
 
 def _is_dropped(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
@@ -147,21 +152,33 @@ def _ordered(root: Node) -> list[Node]:
 
 
 def hash_subtrees(root: Node) -> list[Node]:
-    """Set each node's digest from its tag, class, text and children; return the containers with text."""
+    """Set each node's digest from its tag, class, text and children; return the nodes worth counting.
+
+    These are containers with text and other elements of MIN_WORDS words or more,
+    outside what the rules drop.
+    """
     found = []
-    spoken: set[int] = set()
-    for n in reversed(_ordered(root)):
+    words: dict[int, int] = {}
+    order = _ordered(root)
+    gone: set[int] = set()
+    for n in order:
+        if n.dropped or id(n) in gone:
+            gone |= {id(c) for c in n.children if isinstance(c, Node)}
+    for n in reversed(order):
         h = xxhash.xxh64(f"{n.tag}|{n.name}".encode())
+        count = 0
         for c in n.children:
             if isinstance(c, Node):
                 h.update(c.digest.to_bytes(8, "little"))
-                if id(c) in spoken:
-                    spoken.add(id(n))
-            elif words := c.split():
-                h.update(" ".join(words).encode("utf-8", "surrogatepass"))
-                spoken.add(id(n))
+                count += words[id(c)]
+            elif own := c.split():
+                h.update(" ".join(own).encode("utf-8", "surrogatepass"))
+                count += len(own)
         n.digest = h.intdigest()
-        if n.tag in CONTAINERS and id(n) in spoken and n is not root:
+        words[id(n)] = count
+        n.counted = (count >= (1 if n.tag in CONTAINERS else MIN_WORDS) and n is not root
+                     and not n.dropped and id(n) not in gone)
+        if n.counted:
             found.append(n)
     return found
 
@@ -192,7 +209,7 @@ def text_of(roots: list[Node], templates: frozenset[int] = frozenset()) -> str:
         if isinstance(n, str):
             parts.append(n)
             continue
-        if n.dropped or (n.digest in templates and n.tag in CONTAINERS):
+        if n.dropped or (n.counted and n.digest in templates):
             continue
         edge = [] if n.tag in INLINE else [" "]
         stack += [*edge, *reversed(n.children), *edge]
@@ -208,38 +225,52 @@ def main_text(html: str | None, templates: frozenset[int] = frozenset()) -> str:
     return text_of(main_roots(root), templates)
 
 
+def _site_key(host: str, digest: int) -> int:
+    """63 bits for a subtree on a host."""
+    return xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"), digest) >> 1
+
+
+def _page_key(host: str, html: str) -> int:
+    """63 bits for a page of a host, equal for copies."""
+    return _site_key(host, xxhash.xxh64_intdigest(html.encode("utf-8", "surrogatepass")))
+
+
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        hosts, digests, pages = [], [], []
+        hosts, keys, pages = [], [], []
         for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-            page = xxhash.xxh64_intdigest(html.encode("utf-8", "surrogatepass")) >> 1
-            # a row of digest 0 counts the page itself
-            for d in {0, *(n.digest >> 1 for n in hash_subtrees(parse(html)))}:
-                hosts.append(host)
-                digests.append(d)
-                pages.append(page)
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.int64()),
-                                          pa.array(pages, pa.int64())], names=["host", "digest", "page"])
+            page = _page_key(host, html)
+            # a row of key 0 counts the page itself
+            own = {0, *(_site_key(host, n.digest) for n in hash_subtrees(parse(html)))}
+            hosts += [host] * len(own)
+            keys += own
+            pages += [page] * len(own)
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()),
+                                          pa.array(pages, pa.int64())], names=["host", "key", "page"])
 
 
 def host_of(url):
     return F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, digests): subtrees on at least `min_pages` and `min_share` of the host's pages.
+def occurrences(pages: DataFrame) -> DataFrame:
+    """(host, key, page): the subtrees of each page (host, html); key 0 stands for the page itself."""
+    small_batches(pages.sparkSession)
+    return pages.filter("host <> '' and html is not null").mapInArrow(_subtrees, "host string, key long, page long")
+
 
-    Equal pages count once.  Counts are taken over (host, digest, page) rows, so a
-    large host is no single group; the share bounds the digests of a host by the
-    subtrees of a page over `min_share`.
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
+                   max_pages: int = MAX_PAGES) -> DataFrame:
+    """(key): subtrees on `min_share` of the host's pages, `min_pages` at least and `max_pages` at most.
+
+    Equal pages count once.  Counts are taken over (host, key, page) rows, so a
+    large host is no single group.
     """
-    small_batches(pages.sparkSession)
-    once = (pages.filter("host <> '' and html is not null").mapInArrow(_subtrees, "host string, digest long, page long")
-            .distinct().groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n")))
-    once = cut(once.filter((F.col("n") >= min_pages) | (F.col("digest") == 0)))
-    size = once.filter("digest = 0").select("host", F.col("n").alias("pages"))
-    return (once.filter("digest <> 0").join(size, "host").filter(F.col("n") >= F.lit(min_share) * F.col("pages"))
-            .groupBy("host").agg(F.collect_list("digest").alias("digests")))
+    once = occurrences(pages).distinct().groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
+    once = cut(once.filter((F.col("n") >= min(min_pages, max_pages)) | (F.col("key") == 0)))
+    size = once.filter("key = 0").select("host", F.col("n").alias("pages"))
+    enough = F.least(F.lit(float(max_pages)), F.greatest(F.lit(float(min_pages)), F.lit(min_share) * F.col("pages")))
+    return once.filter("key <> 0").join(size, "host").filter(F.col("n") >= enough).select("key")
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", **params) -> DataFrame:
@@ -249,34 +280,56 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", **pa
     no site: only the rules apply.  Columns called text or n_chars are replaced;
     repeated rows get equal results.
     """
-    small_batches(pages.sparkSession)
+    spark = pages.sparkSession
+    small_batches(spark)
     host = F.coalesce(host_of(F.col(f"`{url_col}`")), F.lit(""))
-    sites = cut(site_templates(pages.select(host.alias("host"), F.col(f"`{html_col}`").alias("html")), **params)
-                .withColumnsRenamed({"host": "__hm_host", "digests": "__hm_digests"}))
-    rows = sites.agg(F.sum(F.size("__hm_digests") + 1)).first()[0] or 0
-    if rows <= MAX_BROADCAST:
-        sites = F.broadcast(sites)
+    html = F.col(f"`{html_col}`")
+    slim = pages.select(host.alias("host"), html.alias("html"))
+    keys = cut(site_templates(slim, **params))
+    out = pages.withColumn("__hm_site", host)
+    if keys.count() <= MAX_BROADCAST:
+        shared = spark.sparkContext.broadcast(frozenset(keys.toArrow()["key"].to_pylist()))
+
+        @F.pandas_udf("string")
+        def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            for html, site in parts:
+                yield pd.Series([_extract(h if isinstance(h, str) else None, s, shared.value)
+                                 for h, s in zip(html, site, strict=True)], dtype=object)
+
+        out = out.withColumn("__hm_text", run(html, F.col("__hm_site")))
+    else:
+        out = _joined(out, slim, html, keys)
+    out = with_columns(out, text=F.col("__hm_text"), n_chars=F.length("__hm_text").cast("long"))
+    return out.drop("__hm_site", "__hm_text")
+
+
+def _joined(out: DataFrame, slim: DataFrame, html: Column, keys: DataFrame) -> DataFrame:
+    """`out` with __hm_text: each page gets the templates that stand on it, never all of its host."""
+    @F.pandas_udf("long")
+    def number(site: pd.Series, html: pd.Series) -> pd.Series:
+        return pd.Series([_page_key(s, h if isinstance(h, str) else "") for s, h in zip(site, html, strict=True)],
+                         dtype="int64")
 
     @F.pandas_udf("string")
-    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        for html, digests in parts:
-            yield pd.Series([_extract(h if isinstance(h, str) else None, d)
-                             for h, d in zip(html, digests, strict=True)], dtype=object)
+    def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for html, site, own in parts:
+            yield pd.Series([_extract(h if isinstance(h, str) else None, s, frozenset() if k is None else frozenset(map(int, k)))
+                             for h, s, k in zip(html, site, own, strict=True)], dtype=object)
 
-    out = pages.withColumn("__hm_site", host).join(sites, F.col("__hm_site") == F.col("__hm_host"), "left")
-    out = out.withColumn("__hm_text", run(F.col(f"`{html_col}`"), F.col("__hm_digests")))
-    out = with_columns(out, text=F.col("__hm_text"), n_chars=F.length("__hm_text").cast("long"))
-    return out.drop("__hm_site", "__hm_host", "__hm_digests", "__hm_text")
+    of_page = (occurrences(slim).select("key", "page").distinct().join(keys, "key")
+               .groupBy(F.col("page").alias("__hm_of")).agg(F.collect_list("key").alias("__hm_keys")))
+    out = out.withColumn("__hm_page", number("__hm_site", html))
+    out = out.join(of_page, F.col("__hm_page") == F.col("__hm_of"), "left")
+    return out.withColumn("__hm_text", run(html, "__hm_site", "__hm_keys")).drop("__hm_page", "__hm_of", "__hm_keys")
 
 
-def _extract(html: str | None, digests) -> str:
+def _extract(html: str | None, host: str, keys: frozenset[int]) -> str:
     if not html:
         return ""
     root = parse(html)
-    if digests is None or not len(digests):
+    if not host or not keys:
         return text_of(main_roots(root))
-    known = {int(d) for d in digests}
-    found = frozenset(n.digest for n in hash_subtrees(root) if n.digest >> 1 in known)
+    found = frozenset(n.digest for n in hash_subtrees(root) if _site_key(host, n.digest) in keys)
     return text_of(main_roots(root), found)
 
 

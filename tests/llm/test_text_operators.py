@@ -56,6 +56,35 @@ def test_copies_of_a_page_are_no_template(spark):
     assert {r["text"] for r in out.collect()} == {"the same"}
 
 
+def test_recurring_elements_of_any_kind_are_template(spark, monkeypatch):
+    notice = "<p>All of our prices include the usual delivery</p>"
+    kinds = ["<h3>More news from our town today</h3>", "<li>a list entry seen on every page</li>",
+             "<blockquote>said the old man to the sea</blockquote>", "<pre>one two three four five</pre>",
+             "text <a href='/'>read all about this offer now</a> text", "text <span>sent from the mobile site</span> text"]
+    pages = [(i, f"https://big.example/{i}", f"<body><div><h2>Summary</h2>{notice if i % 10 == 0 else ''}"
+              f"{kinds[i // 10 % 6] if i % 10 == 1 else ''}<p>own words of page {i}</p></div></body>") for i in range(3000)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_main.extract_pages(df).collect()}
+    for i in range(3000):
+        # a heading of one word stays; a block on 10% or 2% of a large host goes
+        middle = "text text " if i % 10 == 1 and i // 10 % 6 >= 4 else ""
+        assert got[i] == f"Summary {middle}own words of page {i}"
+    monkeypatch.setattr(html_main, "MAX_BROADCAST", 0)
+    assert got == {r["page_id"]: r["text"] for r in html_main.extract_pages(df).collect()}
+
+
+def test_templates_of_one_host_stay_on_another(spark, monkeypatch):
+    box = "<p>the same long notice on all pages</p>"
+    pages = [(i, f"https://a.example/{i}", f"<body>{box}<p>own {i}</p></body>") for i in range(6)]
+    pages += [(10, "https://b.example/1", pages[0][2]), (11, None, pages[0][2]), (12, "https://a.example/x", None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    for limit in (html_main.MAX_BROADCAST, 0):
+        monkeypatch.setattr(html_main, "MAX_BROADCAST", limit)
+        got = {r["page_id"]: r["text"] for r in html_main.extract_pages(df).collect()}
+        assert [got[i] for i in range(6)] == [f"own {i}" for i in range(6)]
+        assert got[10] == got[11] == "the same long notice on all pages own 0" and got[12] == ""
+
+
 # --- language -------------------------------------------------------------
 
 def test_forward_sums_all_segmentations():
