@@ -40,13 +40,20 @@ DROPPED = frozenset("head title script style noscript template nav footer aside
 CONTAINERS = frozenset("div section aside nav header footer ul ol dl table form main figure center td".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar "
                   "toolbar tablist note status".split())
-#: Words of class and id names that say an element isn't the article.
-NAMES = frozenset("nav navbar navigation menu submenu header masthead topbar footer sidebar side rail widget widgets ad ads "
-                  "adv advert adverts advertisement advertising sponsor sponsored sponsors promo promotion banner cookie "
-                  "cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe "
-                  "subscription signup login register share sharing social related recommended recommendations comment "
-                  "comments commentlist disqus replies breadcrumb breadcrumbs pagination pager skip search searchbox "
-                  "copyright legal toolbar".split())
+#: Names of classes and ids that say an element isn't the article.
+NAMES = frozenset("nav navbar navigation menu submenu masthead topbar footer sidebar widget widgets advert adverts "
+                  "advertisement advertisements advertising sponsored banner cookie cookies gdpr popup modal newsletter "
+                  "subscribe signup breadcrumb breadcrumbs pagination pager toolbar searchbox comments commentlist disqus "
+                  "replies copyright".split())
+#: Names that say so as a whole class only, or before a word for a part of a page.
+LOOSE = frozenset("header side rail ad ads adv sponsor sponsors promo promotion consent notice notices notification alert "
+                  "overlay subscription login register share sharing social related recommended recommendations comment "
+                  "skip search legal".split())
+PARTS = frozenset("bar box button buttons links link list block area section wrapper container form panel slot unit icons "
+                  "posts articles stories items widget banner banners menu message modal popup thread".split())
+#: Words that turn a name into a property of the layout.
+_TURNED = frozenset("has no not with without".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that end an open paragraph, and those that end an open element of their own kind.
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer "
                     "form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
@@ -67,10 +74,22 @@ class Node:
     counted: bool = False  #: may be template
 
 
+def _names_boilerplate(token: str, is_class: bool) -> bool:
+    """Whether one class or id is a name of a part that isn't the article."""
+    words = _WORD.findall(token)
+    if not words or _TURNED & set(words):
+        return False
+    if words[0] in NAMES and is_class or token in NAMES:
+        return True
+    if len(words) == 2 and words[1] in NAMES:  # site-footer, main-nav
+        return True
+    return words[0] in LOOSE and (is_class and token == words[0] or len(words) == 2 and words[1] in PARTS)
+
+
 def _is_dropped(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
     if tag in DROPPED or (tag == "header" and not in_article):
         return True
-    if tag in ("html", "body", "article", "main") and not in_article:
+    if tag in ("html", "body") or (tag == "main" and not in_article):
         return False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
@@ -78,13 +97,10 @@ def _is_dropped(tag: str, attrs: dict[str, str | None], in_article: bool) -> boo
         return True
     if "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
         return True
-    for a in ("class", "id"):
-        for part in (attrs.get(a) or "").lower().split():
-            words = _WORD.findall(part)
-            own = {"article", "entry", "post", "story", "content"} & set(words)
-            if any(w in NAMES and not (own and w == "header") for w in words):
-                return True
-    return False
+    if tag in _HEADINGS:
+        return False
+    return any(_names_boilerplate(token, a == "class") for a in ("class", "id")
+               for token in (attrs.get(a) or "").lower().split())
 
 
 class _Builder(HTMLParser):
@@ -183,21 +199,30 @@ def hash_subtrees(root: Node) -> list[Node]:
     return found
 
 
-def main_roots(root: Node) -> list[Node]:
-    """The outermost articles, else mains, else the page; none inside a dropped element."""
-    for tag in ("article", "main"):
-        found, stack = [], [root]
-        while stack:
-            n = stack.pop()
-            if n.dropped:
-                continue
-            if n.tag == tag:
-                found.append(n)
-            else:
-                stack += [c for c in reversed(n.children) if isinstance(c, Node)]
-        if found:
-            return found
-    return [root]
+def _outermost(root: Node, tag: str) -> list[Node]:
+    """The outermost elements of a kind; none inside a dropped element."""
+    found, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        if n.dropped:
+            continue
+        if n.tag == tag:
+            found.append(n)
+        else:
+            stack += [c for c in reversed(n.children) if isinstance(c, Node)]
+    return found
+
+
+def page_text(root: Node, templates: frozenset[int] = frozenset()) -> str:
+    """Text of the mains if they hold most of the page's text that isn't dropped, else of the articles
+    if these do, else of the page."""
+    whole = text_of([root], templates)
+    for tag in ("main", "article"):
+        if found := _outermost(root, tag):
+            part = text_of(found, templates)
+            if 2 * len(part) > len(whole):
+                return part
+    return whole
 
 
 def text_of(roots: list[Node], templates: frozenset[int] = frozenset()) -> str:
@@ -222,7 +247,7 @@ def main_text(html: str | None, templates: frozenset[int] = frozenset()) -> str:
     root = parse(html)
     if templates:
         hash_subtrees(root)
-    return text_of(main_roots(root), templates)
+    return page_text(root, templates)
 
 
 def _site_key(host: str, digest: int) -> int:
@@ -328,9 +353,9 @@ def _extract(html: str | None, host: str, keys: frozenset[int]) -> str:
         return ""
     root = parse(html)
     if not host or not keys:
-        return text_of(main_roots(root))
+        return page_text(root)
     found = frozenset(n.digest for n in hash_subtrees(root) if _site_key(host, n.digest) in keys)
-    return text_of(main_roots(root), found)
+    return page_text(root, found)
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

@@ -56,6 +56,37 @@ def test_copies_of_a_page_are_no_template(spark):
     assert {r["text"] for r in out.collect()} == {"the same"}
 
 
+@pytest.mark.parametrize("attrs", ["class='content has-sidebar'", "class='no-sidebar'", "class='layout with-menu'", "id='related-work'",
+                                   "id='search'", "id='legal-basis'", "id='comment-on-x'", "id='share'", "id='skip'", "id='register'",
+                                   "class='seaside sharepoint'", "class='post-header'", "id='side-effects'", "class='ad-hoc-methods'"])
+def test_names_that_only_contain_a_boilerplate_word_stay(attrs):
+    assert html_main.main_text(f"<body><main><section {attrs}><p>kept text</p></section></main></body>") == "kept text"
+    assert html_main.main_text(f"<body><div {attrs}><p>kept text</p></div></body>") == "kept text"
+
+
+@pytest.mark.parametrize("name", ["related", "search", "comments", "sidebar", "share-bar"])
+def test_headings_stay_whatever_their_name(name):
+    assert html_main.main_text(f"<article><h2 id='{name}' class='{name}'>Head</h2><p>text</p></article>") == "Head text"
+
+
+@pytest.mark.parametrize("name", ["sidebar", "sidebar-left", "left-sidebar", "site-footer", "main-nav", "ad", "ad-slot", "share-buttons",
+                                  "related-posts", "comments", "comment", "comments__list", "cookie-banner", "search-form", "x newsletter"])
+def test_boilerplate_classes_go(name):
+    assert html_main.main_text(f"<main><p>kept</p><div class='{name}'>gone</div></main>") == "kept"
+
+
+def test_root_is_what_holds_most_of_the_text():
+    long = "the text of the page stands in a division of its own " * 3
+    teaser = "<article><p>a teaser</p></article>"
+    for page in (f"<body><div><p>{long}</p></div>{teaser}</body>", f"<body><main><p>{long}</p>{teaser}</main></body>"):
+        assert html_main.main_text(page) == f"{long}a teaser"
+    comment = "<article class='comment'><p>a reader says</p></article>"
+    assert html_main.main_text(f"<body><div><p>{long}</p></div>{comment}</body>") == long.strip()
+    page = f"<body><div>over it</div><main><h1>Head</h1><article><p>{long}</p></article></main></body>"
+    assert html_main.main_text(page) == f"Head {long}".strip()
+    assert html_main.main_text(f"<body><div>over it</div><article><p>{long}</p></article></body>") == long.strip()
+
+
 def test_recurring_elements_of_any_kind_are_template(spark, monkeypatch):
     notice = "<p>All of our prices include the usual delivery</p>"
     kinds = ["<h3>More news from our town today</h3>", "<li>a list entry seen on every page</li>",
