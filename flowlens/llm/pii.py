@@ -5,7 +5,9 @@ may belong to personal data: neighbours share chain potentials, distant repeated
 or similar tokens share skip potentials, tokens of base spans are observed, and
 loopy message passing carries their labels over.  A token outside the base spans
 becomes a span if a skip path joins it to an observed token of the kind and its
-marginal is high enough.
+marginal is high enough.  How a partial mention looks is learnt from base spans
+with the part hidden that the pattern needs; tokens that skip edges join to a
+base span aren't taken as counter-examples.
 """
 
 from __future__ import annotations
@@ -38,6 +40,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _NON_DIGIT = re.compile(r"[^0-9]+")
 _TOKEN = re.compile(r"\S+")
+#: Mailbox names of a role (RFC 2142 and the like): as bare words they are no one's address.
+_ROLES = frozenset("abuse accounts admin administrator billing careers contact customer customerservice editor editorial "
+                   "enquiries everyone feedback hello helpdesk hostmaster inquiries investors legal mailer marketing "
+                   "newsletter noreply no-reply notifications office orders postmaster press privacy registration "
+                   "reservations sales security service services support webmaster welcome".split())
 _EDGE = ".,;:!?()[]{}<>\"'|*#$%&"
 
 Span = tuple[int, int, int]  # kind, start, end
@@ -95,6 +102,7 @@ class Token:
     place: int  #: among all tokens of the text
     features: tuple[int, ...]
     keys: tuple[str, ...]  #: tokens that share one are repeated or similar
+    digits: str = ""  #: of a word without letters
 
 
 def _features(word: str) -> tuple[int, ...]:
@@ -107,10 +115,49 @@ def _features(word: str) -> tuple[int, ...]:
 N_FEATURES = len(_features(""))
 
 
+def _local(address: str) -> str:
+    """Local part that stands for the address as a bare word, else empty."""
+    local = address.partition("@")[0].lower()
+    return local if len(local) >= 5 and local not in _ROLES else ""
+
+
+def _forms(kind: int, digits: str) -> list[str]:
+    """Digits that repeat a number in another form: phones with or without codes, cards however grouped."""
+    if KINDS[kind] != "phone":
+        return [digits]
+    ends = [digits[i:] for i in range(len(digits) - 6)]
+    return [*ends, *(f"0{x}" for x in ends), f"00{digits}"]
+
+
+def _link_numbers(out: list[Token], numbers: dict[str, str]) -> None:
+    """Give neighbouring tokens that together write a number again its key; the longest run first."""
+    longest = max(map(len, numbers))
+    at = 0
+    while at < len(out):
+        end, digits, found = at, "", None
+        while (end < len(out) and not out[end].label and out[end].digits and len(digits) <= longest
+               and (end == at or out[end].place == out[end - 1].place + 1)):
+            digits += out[end].digits
+            end += 1
+            if key := numbers.get(digits):
+                found = end, key
+        if found:
+            for t in out[at:found[0]]:
+                t.keys += (found[1],)
+        at = found[0] if found else at + 1
+
+
 def tokens_of(text: str, spans: list[Span]) -> list[Token]:
     """Tokens that may belong to personal data: with a digit or @, or alike to part of an address."""
-    locals_ = {text[s:e].partition("@")[0].lower() for k, s, e in spans if k == 0}
-    locals_ = {x for x in locals_ if len(x) >= 5}
+    locals_ = {_local(text[s:e]) for k, s, e in spans if k == 0} - {""}
+    numbers: dict[str, str] = {}
+    ends: dict[int, str] = {}
+    for k, s, e in spans:
+        if KINDS[k] in ("card", "phone"):
+            digits = _NON_DIGIT.sub("", text[s:e])
+            ends[e] = f"n:{k}:{digits}"
+            for form in _forms(k, digits):
+                numbers.setdefault(form, ends[e])
     out, ordered, at = [], sorted(spans, key=lambda x: (x[1], x[2])), 0
     reach: list[Span] = []
     for place, m in enumerate(_TOKEN.finditer(text)):
@@ -124,16 +171,46 @@ def tokens_of(text: str, spans: list[Span]) -> list[Token]:
             at += 1
         reach = [x for x in reach if x[2] > m.start()]
         label = reach[0][0] + 1 if reach else 0
-        keys = [f"w:{low}"] if len(low) >= 5 else []
         digits = _NON_DIGIT.sub("", word)
+        # a group of a number says little alone
+        group = label and KINDS[label - 1] in ("card", "phone") and len(digits) < 7
+        keys = [f"w:{low}"] if len(low) >= 5 and not group else []
         if len(digits) >= 7:
             keys.append(f"d:{digits[-7:]}")
-        if "@" in low and len(local := low.partition("@")[0]) >= 5:
+        if "@" in low and (local := low.strip("@").partition("@")[0]) in locals_:
             keys.append(f"w:{local}")
-        out.append(Token(m.start(), m.end(), label, place, tuple(map(int, _features(word))), tuple(keys)))
+        for k, s, e in reach:
+            if k == 0 and (local := _local(text[s:e])):
+                keys.append(f"w:{local}")
+            if e <= m.end() and e in ends:
+                keys.append(ends[e])
+        lo = m.start() + word.find(bare)
+        plain = "" if any(c.isalpha() or c == "@" for c in word) else digits
+        out.append(Token(lo, lo + len(bare), label, place, tuple(map(int, _features(word))),
+                         tuple(dict.fromkeys(keys)), plain))
+    if numbers:
+        _link_numbers(out, numbers)
     return out
 
 
+def _partial_mentions(kind: int, found: str) -> list[list[str]]:
+    """Ways to write a base span again that its pattern doesn't match: lists of words."""
+    if kind == 0:
+        local = _local(found)
+        return [[x] for x in (local, "".join(c for c in local if c.isalpha())) if x]
+    digits = _NON_DIGIT.sub("", found)
+    groups = [digits[i:i + 4] for i in range(0, len(digits), 4)]
+    if KINDS[kind] == "card":
+        return [[digits], [".".join(groups)], groups]
+    if KINDS[kind] == "phone":
+        bare = found.lstrip("+")
+        return [x for x in ([digits[-7:]], [f"{digits[-7:-4]}-{digits[-4:]}"], [f"({digits[-10:-7]})", digits[-7:]],
+                            [digits[-10:-7], digits[-7:-4], digits[-4:]],
+                            [f"{digits[-10:-7]}-{digits[-7:-4]}-{digits[-4:]}"],
+                            [f"({digits[-10:-7]})", f"{digits[-7:-4]}-{digits[-4:]}"], bare.split(), bare.split()[1:]) if x]
+    return []
+
+
 @dataclass
 class Graph:
     """Tokens of many documents, with chain and skip edges between their numbers."""
@@ -149,6 +226,9 @@ def graph_of(documents: list[list[Token]]) -> Graph:
     feats, obs, alone, chain, skip = [], [], [], [], []
     for tokens in documents:
         last: dict[str, int] = {}
+        # what writes a number of a base span again is linked to the span itself
+        first = len(feats)
+        held = {k: first + i for i, t in reversed(list(enumerate(tokens))) if t.label for k in t.keys if k.startswith("n:")}
         for t in tokens:
             n = len(feats)
             feats.append(t.features)
@@ -160,8 +240,10 @@ def graph_of(documents: list[list[Token]]) -> Graph:
                 alone[n - 1] -= 1
             before = t.place
             # occurrences are linked one after another: as many edges as tokens, not as pairs
-            skip += {(last[k], n) for k in t.keys if k in last}
-            last.update(dict.fromkeys(t.keys, n))
+            own = [k for k in t.keys if k not in held]
+            near = {last[k] for k in own if k in last} | {held[k] for k in t.keys if k in held} - {n}
+            skip += [(i, n) for i in sorted(near)]
+            last.update(dict.fromkeys(own, n))
     edges = lambda x: np.array(x, np.int64).reshape(-1, 2)
     return Graph(np.array(feats, float).reshape(-1, N_FEATURES), np.array(obs, np.int64), np.array(alone, float),
                  edges(chain), edges(skip))
@@ -237,27 +319,55 @@ def _reached(g: Graph) -> list[set[int]]:
     return [labels[find(i)] for i in range(len(root))]
 
 
+def _hidden_rows(texts: list[str], spans: list[list[Span]]) -> list[list[int]]:
+    """Rows of partial mentions: the label is known, the form isn't that of a pattern, a skip edge leads to the span."""
+    rows = []
+    for text, found in zip(texts, spans, strict=True):
+        for k, s, e in found:
+            for words in _partial_mentions(k, text[s:e]):
+                for i, w in enumerate(words):
+                    x = [0] * (2 * N_LABELS)
+                    near = (i > 0) + (i + 1 < len(words))
+                    x[0] = 2 - near
+                    x[k + 1] = near
+                    x[N_LABELS + k + 1] = 1
+                    rows.append([k + 1, *map(int, _features(w)), *x])
+    return rows
+
+
 def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Label, features and neighbours' labels of tokens, counted."""
+    """Label, features and neighbours' labels of tokens, counted; hidden rows are partial mentions.
+
+    A token outside the base spans that skip edges join to one has no known label:
+    it is no row, nor does it count as a neighbour.
+    """
     for b in batches:
         texts = [t for t in b.column("text").to_pylist() if t]
-        docs = [tokens_of(t, base_spans(t)) for t in texts if "@" in t or _DIGIT.search(t)]
-        g = graph_of(docs)
+        texts = [t for t in texts if "@" in t or _DIGIT.search(t)]
+        spans = [base_spans(t) for t in texts]
+        g = graph_of([tokens_of(t, s) for t, s in zip(texts, spans, strict=True)])
         if not len(g.observed):
             continue
+        known = (g.observed > 0) | np.array([not r for r in _reached(g)])
         x = np.zeros((len(g.observed), 2 * N_LABELS), np.int64)
         x[:, 0] = g.alone
         for at, edges in ((0, g.chain), (N_LABELS, g.skip)):
             for i, j in ((0, 1), (1, 0)):
-                np.add.at(x, (edges[:, i], at + g.observed[edges[:, j]]), 1)
-        rows = np.concatenate([g.observed[:, None], g.features.astype(np.int64), x], axis=1)
-        kinds, n = np.unique(rows, axis=0, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(kinds.tolist(), pa.list_(pa.int64())), pa.array(n)], names=["row", "n"])
+                e = edges[known[edges[:, j]]]
+                np.add.at(x, (e[:, i], at + g.observed[e[:, j]]), 1)
+        plain = np.concatenate([g.observed[:, None], g.features.astype(np.int64), x], axis=1)[known]
+        hidden = np.array(_hidden_rows(texts, spans), np.int64).reshape(-1, plain.shape[1])
+        for rows, is_hidden in ((plain, False), (hidden, True)):
+            kinds, n = np.unique(rows, axis=0, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(kinds.tolist(), pa.list_(pa.int64())), pa.array(n, pa.int64()),
+                                              pa.array([is_hidden] * len(n), pa.bool_())], names=["row", "n", "hidden"])
 
 
 def train(docs: DataFrame, sample_docs: int = 3000, steps: int = 300, ridge: float = 1e-3) -> SkipChainCRF:
     """Fit the potentials by pseudo-likelihood, the base spans being the labels.
 
+    Partial mentions of the base spans weigh as much as all else, each kind as
+    much as another: they are rare, but what the field is for.
     `sample_docs` bounds the sample: about that many rows of `docs` (doc_id,
     text) by the hash of id and text.  Equal rows are counted in Spark.
     """
@@ -265,14 +375,17 @@ def train(docs: DataFrame, sample_docs: int = 3000, steps: int = 300, ridge: flo
     n = docs.count()
     at = F.pmod(F.xxhash64(F.lit("pii"), "doc_id", "text"), F.lit(1_000_000))
     sample = docs.filter(at < F.lit(int(1e6 * min(1.0, sample_docs / max(1, n))))).select("text")
-    rows = (sample.mapInArrow(_training_rows, "row array<long>, n long")
-            .groupBy("row").agg(F.sum("n").alias("n")).orderBy("row").toPandas())
+    rows = (sample.mapInArrow(_training_rows, "row array<long>, n long, hidden boolean")
+            .groupBy("row", "hidden").agg(F.sum("n").alias("n")).orderBy("row", "hidden").toPandas())
     size = N_FEATURES + 2 * N_LABELS
     if rows.empty:
         return SkipChainCRF(np.zeros((N_FEATURES, N_LABELS)), np.zeros((N_LABELS,) * 2), np.eye(N_LABELS))
     data = np.array(rows["row"].tolist(), float)
     y, x, weight = data[:, 0].astype(int), data[:, 1:], rows["n"].to_numpy(float)
-    weight /= weight.sum()
+    hidden = rows["hidden"].to_numpy(bool)
+    kinds = np.unique(y[hidden])
+    for part, share in ((~hidden, 0.5 if len(kinds) else 1.0), *((hidden & (y == k), 0.5 / len(kinds)) for k in kinds)):
+        weight[part] *= share / max(1.0, weight[part].sum())
     # potentials between tokens are symmetric: a neighbour's label adds its row
     w, speed = np.zeros((size, N_LABELS)), np.zeros((size, N_LABELS))
     w[N_FEATURES + N_LABELS:] = np.eye(N_LABELS)

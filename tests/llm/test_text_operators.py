@@ -369,6 +369,34 @@ def test_field_adds_repeated_tokens(spark):
     assert pii.redact("ab12", [(2, 1, 3), (3, 2, 4)]) == "a[CARD]"
 
 
+def test_field_adds_partial_mentions(spark):
+    rows = [(i, f"write to jo.smith{i}@mail.example.com today, and {i} of 7 came in 20{i:02} with 4{i:06}", None, None, None)
+            for i in range(60)]
+    rows += [(100 + i, f"call +1 (864) 555-01{i:02} or again 555-01{i:02} twice", None, None, None) for i in range(10, 60)]
+    rows += [(200 + i, f"card 4111 1111 1111 1111 and {i} more of 1234 in 2019", None, None, None) for i in range(30)]
+    rows += [(300 + i, f"on 2{i:03} there were {i}{i} things, 555-{i:04} and ({i:03}) 12.{i} {i}", None, None, None) for i in range(99)]
+    model = pii.train(docs(spark, rows).select("doc_id", "text"))
+
+    def more(text):
+        found = pii.detect([text], model)[0]
+        return [(pii.KINDS[k], text[s:e]) for k, s, e in found[1]]
+
+    assert more("mail jo.smith77@mail.example.com; jo.smith77, he said 42") == [("email", "jo.smith77")]
+    assert more("ask JaneDoe or janedoe@mail.example.com in 2019") == [("email", "JaneDoe")]
+    phone = "call +1 (864) 555-0138"
+    assert more(f"{phone} or 555-0138 in 2019") == [("phone", "555-0138")]
+    assert more(f"{phone} or 864-555-0138, 17 times") == [("phone", "864-555-0138")]
+    assert more(f"{phone} or (864) 555-0138") == [("phone", "864"), ("phone", "555-0138")]
+    assert more(f"in 2019 864 555 0138 x {phone}") == [("phone", "864"), ("phone", "555"), ("phone", "0138")]
+    card = "card 4111 1111 1111 1111"
+    assert more(f"{card} is 4111.1111.1111.1111, not 1234.1234") == [("card", "4111.1111.1111.1111")]
+    assert more(f"{card} x 4111\n1111\n1111\n1111 in 2019") == [("card", "4111"), ("card", "1111"), ("card", "1111"), ("card", "1111")]
+    # roles and numbers of no one stay
+    assert more("mail support@mail.example.com for support in 2019") == []
+    assert more("write x@mail.example.com 1234567 or 1234567 in 2019, 555-0138") == []
+    assert more("1111 things, 555-0138 and 864") == []
+
+
 def test_scan_and_mask(spark):
     df = docs(spark, [(i, t, None, "s", len(t or "") or None) for i, t in enumerate(PII_TEXTS)] + [(None, PII_TEXTS[2], None, None, 1)] * 2)
     got = pii.find_personal_data(df.withColumn("PII", F.lit(1))).collect()
