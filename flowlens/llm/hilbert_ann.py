@@ -10,11 +10,16 @@ and ranked by their inner product with the original vectors.
 The window is fitted: for a bounded sample of queries the true neighbours are
 found by brute force, and the window is made as wide as it takes to hold the
 wanted share of them.
+
+Inner products need one length, so each length of vectors is a table of its own:
+a long table has its own curves and window, and the lengths of a few vectors
+each are compared whole, one group a length.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -27,6 +32,7 @@ CURVES, DIMS, KEY_BITS = 6, 4, 15
 #: Rows of a block, the least window, and queries that one task holds at a time.
 BLOCK, MIN_WINDOW, QUERY_CHUNK = 4096, 1024, 200_000
 SAMPLE_QUERIES, RECALL = 200, 0.95
+FOUND = "q long, vid array<long>, rep array<long>, score array<double>"
 
 
 def hilbert_index(points: np.ndarray, bits: int) -> np.ndarray:
@@ -85,7 +91,7 @@ def _best(score: np.ndarray, rep: np.ndarray, k: int) -> np.ndarray:
 
 
 def distinct_vectors(vectors: DataFrame, queries, k: int) -> tuple[DataFrame, DataFrame]:
-    """Distinct usable vectors (vid, embedding, ids, rep, is_query), and their (vec_id, embedding) rows.
+    """Distinct usable vectors (vid, embedding, size, ids, rep, is_query), and their (vec_id, embedding) rows.
 
     ids: the k + 1 smallest ids of the vector, which is all a result can need; they
     are found by a rank limit that runs before the shuffle, so many copies of one
@@ -93,15 +99,13 @@ def distinct_vectors(vectors: DataFrame, queries, k: int) -> tuple[DataFrame, Da
     """
     usable = F.col("embedding").isNotNull() & (F.size("embedding") > 0) & F.forall(
         "embedding", lambda x: x.isNotNull() & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    rows = vectors.filter(F.col("vec_id").isNotNull() & usable).select("vec_id", "embedding").distinct()
-    width = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
-    rows = cut(rows.filter(F.size("embedding") == width))
+    rows = cut(vectors.filter(F.col("vec_id").isNotNull() & usable).select("vec_id", "embedding").distinct())
     nth = F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))
     ids = (rows.withColumn("nth", nth).filter(F.col("nth") <= k + 1)
            .groupBy("embedding").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
     asked = rows.filter(queries).select("embedding").distinct().withColumn("asked", F.lit(True))
     out = ids.join(asked, "embedding", "left").select(
-        F.monotonically_increasing_id().alias("vid"), "embedding", "ids", F.element_at("ids", 1).alias("rep"),
+        F.monotonically_increasing_id().alias("vid"), "embedding", F.size("embedding").alias("size"), "ids", F.element_at("ids", 1).alias("rep"),
         F.coalesce("asked", F.lit(False)).alias("is_query"))
     return cut(out), rows
 
@@ -206,14 +210,38 @@ def _merge(k: int):
     return run
 
 
+def _found_on_curves(base: DataFrame, n: int, longest: float, k: int, window: int | None, recall: float) -> DataFrame:
+    """(q, vid, rep, score) arrays of what the windows of each query hold; `base` has n vectors of one length."""
+    ranks = rank_curves(base, longest)
+    w = window if window is not None else fit_window(base, ranks, k, recall=recall)
+    chunks = 1 + (BLOCK + 2 * w) // QUERY_CHUNK
+    own = F.col("rank") - F.col("rank") % BLOCK
+    first = F.greatest(F.lit(0), F.col("rank") - w)
+    last = F.least(F.lit(n - 1), F.col("rank") + w)
+    spots = F.when(F.col("asks"), F.sequence((first / BLOCK).cast("long"), (last / BLOCK).cast("long"))).otherwise(
+        F.array((own / BLOCK).cast("long")))
+    chunk = F.when(F.col("asks"), F.array(F.pmod(F.xxhash64("vid"), F.lit(chunks)))).otherwise(
+        F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))
+    placed = (ranks.select("curve", "vid", "asks", "rank", F.explode(spots).alias("block"), chunk.alias("chunk"))
+              .withColumn("chunk", F.explode("chunk")).join(base.select("vid", "rep", "embedding"), "vid"))
+    return placed.groupBy("curve", "block", "chunk").applyInPandas(_search(w, k + 1), FOUND)
+
+
+def _found_in_groups(base: DataFrame, k: int) -> DataFrame:
+    """The same for lengths of MIN_WINDOW vectors at most each, where any window holds all."""
+    sides = F.when(F.col("is_query"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    placed = base.select("size", "vid", "rep", "embedding", F.lit(0).cast("long").alias("rank"), F.explode(sides).alias("asks"))
+    return placed.groupBy("size").applyInPandas(_search(0, k + 1), FOUND)
+
+
 def nearest(vectors: DataFrame, queries, k: int = 20, window: int | None = None, id_col: str = "vec_id",
             vector_col: str = "embedding", recall: float = RECALL) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest vectors found for each query.
 
     `queries` is a condition on vec_id.  Nearness is the largest inner product in
-    double precision, ties to the smaller id.  Null, empty, zero and non-finite
-    vectors, those shorter than the longest of the table, and null ids take no
-    part; fewer than k candidates are all returned.  Equal vectors are searched
+    double precision, ties to the smaller id; a query is compared with the vectors
+    of its own length.  Null, empty, zero and non-finite vectors and null ids take
+    no part; fewer than k candidates are all returned.  Equal vectors are searched
     once and share their answer; rows that repeat id and vector count once.
     `window` None fits it to `recall`.
     """
@@ -221,23 +249,18 @@ def nearest(vectors: DataFrame, queries, k: int = 20, window: int | None = None,
     slim = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("embedding"))
     base, rows = distinct_vectors(slim, queries, k)
     square = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
-    n, longest = base.agg(F.count(F.lit(1)), F.max(square)).first()
-    if not n:
+    sizes = base.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("longest"))
+    common = sizes.orderBy(F.desc("n"), "size").first()
+    if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    ranks = rank_curves(base, math.sqrt(longest))
-    w = window if window is not None else fit_window(base, ranks, k, recall=recall)
-    chunks = 1 + (BLOCK + 2 * w) // QUERY_CHUNK
-    own = F.col("rank") - F.col("rank") % BLOCK
-    first = F.greatest(F.lit(0), F.col("rank") - w)
-    last = F.least(F.lit(n - 1), F.col("rank") + w)
-    spots = F.when(F.col("asks"), F.sequence((first / BLOCK).cast("long"), (last / BLOCK).cast("long"))).otherwise(
-        F.array((own / BLOCK).cast("long")))
-    chunk = F.when(F.col("asks"), F.array(F.pmod(F.xxhash64("vid"), F.lit(chunks)))).otherwise(
-        F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long")))
-    placed = (ranks.select("curve", "vid", "asks", "rank", F.explode(spots).alias("block"), chunk.alias("chunk"))
-              .withColumn("chunk", F.explode("chunk")).join(base.select("vid", "rep", "embedding"), "vid"))
-    found = (placed.groupBy("curve", "block", "chunk")
-             .applyInPandas(_search(w, k + 1), "q long, vid array<long>, rep array<long>, score array<double>"))
+    # the most common length always goes by curves, others from the size on where a window leaves something out
+    sizes = cut(sizes.filter(F.col("size") != common["size"]))
+    long = [common, *sizes.filter(F.col("n") > MIN_WINDOW).orderBy("size").collect()]
+    parts = [base.filter(F.col("size") == s["size"]) if len(long) > 1 or not sizes.isEmpty() else base for s in long]
+    found = [_found_on_curves(p, s["n"], math.sqrt(s["longest"]), k, window, recall) for p, s in zip(parts, long, strict=True)]
+    if not sizes.filter(F.col("n") <= MIN_WINDOW).isEmpty():
+        found.append(_found_in_groups(base.filter(~F.col("size").isin([s["size"] for s in long])), k))
+    found = reduce(DataFrame.unionByName, found)
     best = cut(found.groupBy("q").applyInPandas(_merge(k + 1), "q long, vid long, score double"))
     answers = (best.join(base.select("vid", "ids"), "vid").select("q", "score", F.explode("ids").alias("vec_id"))
                .groupBy("q").agg(F.collect_list(F.struct((-F.col("score")).alias("d"), "vec_id")).alias("found")))

@@ -302,6 +302,21 @@ def test_search_edges_are_exact_on_small_tables(spark):
     assert [i for i, _ in run_search(spark, [(0, [1.0]), (1, [3.0]), (2, [-1.0])])[0]] == [1, 2]
 
 
+def test_each_length_is_searched_by_itself(spark, monkeypatch):
+    monkeypatch.setattr(hilbert_ann, "MIN_WINDOW", 64)
+    rng = np.random.default_rng(11)
+    sizes = [8] * 400 + [5] * 150 + [3] * 40 + [9, 1, 1, 64]  # two long tables, a short one, strays
+    rows = [(i, [float(x) for x in rng.normal(size=n)]) for i, n in enumerate(rng.permutation(sizes).tolist())]
+    want = {}
+    for n in set(sizes):
+        want |= {q: x for q, x in slow_nearest([r for r in rows if len(r[1]) == n]).items() if x}
+    got = run_search(spark, rows, window=1000)
+    assert got.keys() == want.keys() and len({len(r[1]) for r in rows if r[0] in got}) >= 3
+    for q in want:
+        assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
+        assert np.allclose([s for _, s in got[q]], [s for _, s in want[q]])
+
+
 def test_recall_on_clustered_and_uniform_vectors(spark, monkeypatch):
     monkeypatch.setattr(hilbert_ann, "MIN_WINDOW", 16)
     monkeypatch.setattr(hilbert_ann, "BLOCK", 256)
