@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowlens.session import ensure_checkpoint_dir
+
 
 def _bucket(ts: str, bucket: str) -> Column:
     return F.window(ts, bucket).start
@@ -121,52 +123,79 @@ def tcp_health(segments: DataFrame, keys=("conn_id", "direction"), bucket: str =
     passes one when it and all before it have come.  So a segment is out of
     order if a position before its own is still missing then, else in order if
     it is the first at its position, else a retransmission.  The times are a
-    running maximum over positions, taken in spans of the sequence.  Streams
-    whose segments overlap have no such order and are replayed one by one.
+    running maximum over positions, taken in spans of the sequence.  Where
+    segments overlap there is no such order.  The stream is cut at clean points:
+    positions that no segment crosses, with all before them come before anything
+    from them on.  Only pieces between two of these that hold an overlap are
+    replayed, each from its first position; if one gets stuck, all after it waits.
     """
     k = list(keys)
     order = ["ts", "seg_id"]
     at = F.struct(*order)
     s = unwrap_sequence(segments.filter(F.col("length") > 0).select(*k, *order, "tcp_seq", "length"), k, order, bucket)
+    # each of these is read several times
+    ensure_checkpoint_dir(segments.sparkSession)
+    s = s.checkpoint()
     first = s.groupBy(*k).agg(F.min_by("pos", at).alias("origin"))
     pos = (s.groupBy(*k, "pos").agg(F.min(at).alias("came"), F.min(F.col("pos") + F.col("length")).alias("end"),
                                     F.max(F.col("pos") + F.col("length")).alias("far"))
            .join(first, k).filter(F.col("pos") >= F.col("origin"))
            .withColumn("span", F.floor(F.col("pos") / SEQ_SPAN)))
-    by_span = pos.groupBy(*k, "span").agg(F.max("far").alias("_far"), F.max("came").alias("_came"))
-    up_to = Window.partitionBy(*k).orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
-    by_span = by_span.select(*k, "span", F.max("_far").over(up_to).alias("_far"), F.max("_came").over(up_to).alias("_came"))
-    inside = Window.partitionBy(*k, "span").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    by_span = pos.groupBy(*k, "span").agg(F.max("far").alias("_far"), F.max("came").alias("_came"), F.min("came").alias("_next"))
+    spans = Window.partitionBy(*k).orderBy("span")
+    up_to, from_on = spans.rowsBetween(Window.unboundedPreceding, -1), spans.rowsBetween(1, Window.unboundedFollowing)
+    by_span = by_span.select(*k, "span", F.max("_far").over(up_to).alias("_far"), F.max("_came").over(up_to).alias("_came"),
+                             F.min("_next").over(from_on).alias("_next"))
+    own = Window.partitionBy(*k, "span").orderBy("pos")
+    inside = own.rowsBetween(Window.unboundedPreceding, -1)
+    rest = own.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     pos = (pos.join(by_span, k + ["span"])
            .withColumn("reached", F.greatest("_far", F.max("far").over(inside)))
-           .withColumn("before", F.greatest("_came", F.max("came").over(inside))))
+           .withColumn("before", F.greatest("_came", F.max("came").over(inside)))
+           .withColumn("next", F.least("_next", F.min("came").over(rest))))
     gap = F.col("reached") < F.col("pos")
     overlap = (F.col("reached") > F.col("pos")) | (F.col("end") < F.col("far"))
-    odd = pos.filter(overlap).select(*k).distinct()
+    clean = F.col("reached").isNull() | ((F.col("reached") == F.col("pos")) & (F.col("before") < F.col("next")))
+    # the piece of a position is the last clean one up to it
+    pos = pos.withColumn("clean", F.when(clean, F.col("pos")))
+    cuts = pos.groupBy(*k, "span").agg(F.max("clean").alias("_clean"))
+    cuts = cuts.select(*k, "span", F.max("_clean").over(up_to).alias("_clean"))
+    pos = pos.join(cuts, k + ["span"]).withColumn(
+        "piece", F.coalesce(F.max("clean").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_clean")).checkpoint()
     hole = pos.filter(gap).groupBy(*k).agg(F.min("pos").alias("hole"))
-    even = s.join(odd, k, "left_anti").join(first, k).join(hole, k, "left")
-    even = even.join(pos.select(*k, "pos", "came", "before"), k + ["pos"], "left")
+    odd = (pos.filter(overlap).join(hole, k, "left").filter(F.col("hole").isNull() | (F.col("pos") < F.col("hole")))
+           .select(*k, "piece").distinct().withColumn("odd", F.lit(True)))
+    rows = (s.join(first, k).join(hole, k, "left")
+            .join(pos.select(*k, "pos", "came", "before", "piece"), k + ["pos"], "left").join(odd, k + ["piece"], "left"))
+    # what lies past a hole waits in any case
+    replays = F.col("odd").isNotNull() & (F.col("hole").isNull() | (F.col("pos") < F.col("hole")))
+    counts = "segments long, retransmissions long, out_of_order long"
+    replayed = (rows.filter(replays).select(*k, "piece", *order, "pos", "length").groupBy(*k, "piece").applyInPandas(
+        _replay(k), ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in s.select(*k).schema),
+                               "piece long", counts, "stuck long"]))).checkpoint()
+    stuck = replayed.groupBy(*k).agg(F.min("stuck").alias("stuck"))
     now = F.struct(*order)
-    waits = (F.col("pos") >= F.col("hole")) | (F.col("before") > now)
+    waits = (F.col("pos") >= F.least("hole", "stuck")) | (F.col("before") > now)
     kind = (F.when(F.col("pos") < F.col("origin"), "retransmit")
             .when(F.coalesce(waits, F.lit(False)), "out_of_order")
             .when(F.col("came") == now, "in_order").otherwise("retransmit"))
-    out = even.withColumn("kind", kind).groupBy(*k).agg(
+    even = rows.filter(~replays).join(stuck, k, "left").withColumn("kind", kind).groupBy(*k).agg(
         F.count(F.lit(1)).alias("segments"), F.count_if(F.col("kind") == "retransmit").alias("retransmissions"),
         F.count_if(F.col("kind") == "out_of_order").alias("out_of_order"))
-    replayed = s.join(odd, k).select(*k, *order, "pos", "length").groupBy(*k).applyInPandas(
-        _replay(k), ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in s.select(*k).schema),
-                               "segments long, retransmissions long, out_of_order long"]))
-    return out.unionByName(replayed)
+    late = F.coalesce(F.col("piece") > F.col("least"), F.lit(False))
+    pieces = replayed.join(stuck.withColumnRenamed("stuck", "least"), k).select(
+        *k, "segments", F.when(late, 0).otherwise(F.col("retransmissions")).alias("retransmissions"),
+        F.when(late, F.col("segments")).otherwise(F.col("out_of_order")).alias("out_of_order"))
+    return even.unionByName(pieces).groupBy(*k).agg(*[F.sum(c).alias(c) for c in ("segments", "retransmissions", "out_of_order")])
 
 
 def _replay(keys: list[str]):
-    """Counters of one half-stream, segment by segment."""
+    """Counters of one piece of a half-stream, segment by segment, and the position it is stuck at, if any."""
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["ts", "seg_id"])
         held: dict[int, int] = {}
         late = again = 0
-        expected = int(pdf["pos"].iloc[0])
+        expected = int(key[-1])
         for pos, length in zip(pdf["pos"].tolist(), pdf["length"].tolist(), strict=True):
             if pos > expected:
                 late += 1
@@ -177,8 +206,9 @@ def _replay(keys: list[str]):
                 while length:
                     expected += length
                     length = held.pop(expected, 0)
-        return pd.DataFrame([(*key, len(pdf), again, late)],
-                            columns=[*keys, "segments", "retransmissions", "out_of_order"])
+        stuck = expected if expected < int((pdf["pos"] + pdf["length"]).max()) else None
+        return pd.DataFrame({**{c: [v] for c, v in zip([*keys, "piece"], key, strict=True)}, "segments": [len(pdf)],
+                             "retransmissions": [again], "out_of_order": [late], "stuck": pd.array([stuck], "Int64")})
     return run
 
 

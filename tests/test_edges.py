@@ -225,6 +225,60 @@ def test_tcp_health_matches_a_replay_of_random_segments(spark):
     assert got == want
 
 
+def _replay_by_hand(rows):
+    out = {}
+    for c in {r[0] for r in rows}:
+        nxt, held, again, late, segs = None, {}, 0, 0, [r for r in rows if r[0] == c]
+        for _, _, q, n in segs:
+            nxt = q if nxt is None else nxt
+            if q == nxt:
+                while n:
+                    nxt += n
+                    n = held.pop(nxt, 0)
+            elif q > nxt:
+                late += 1
+                held[q] = n
+            else:
+                again += 1
+        out[c] = (len(segs), again, late)
+    return out
+
+
+def test_tcp_health_replays_only_the_pieces_with_an_overlap(spark, monkeypatch):
+    import random
+    rng = random.Random(4)
+    rows = []
+    for c in range(60):  # short streams of mixed lengths, overlaps, gaps, swaps
+        at, segs = 1000, []
+        for _ in range(rng.randrange(1, 40)):
+            n = rng.choice((50, 100, 100, 100))
+            segs.append((at, n))
+            if rng.random() < 0.15:
+                segs.append((at + rng.choice((0, 0, 50, -50)), rng.choice((50, 100, 150))))
+            at += n + (rng.random() < 0.02) * 50
+        for i in range(1, len(segs) - 1):
+            if rng.random() < 0.15:
+                segs[i], segs[i + 1] = segs[i + 1], segs[i]
+        rows += [(c, i, q, n) for i, (q, n) in enumerate(segs)]
+    long = [(100, i, 100 * i, 100) for i in range(1500)]
+    long.insert(700, (100, 0, 69_850, 100))  # one retransmission of another size
+    rows += [(c, i, q, n) for i, (c, _, q, n) in enumerate(long)]
+    real = SS._replay
+
+    def sizes(keys):
+        run = real(keys)
+
+        def spy(key, pdf):
+            assert len(pdf) < 200, "a whole half-stream in one group"
+            return run(key, pdf)
+        return spy
+
+    monkeypatch.setattr(SS, "_replay", sizes)
+    got = {r["conn_id"]: (r["segments"], r["retransmissions"], r["out_of_order"])
+           for r in SS.tcp_health(_segments(spark, rows), bucket="30 days").collect()}
+    assert got == _replay_by_hand(rows) and got[100] == (1501, 1, 0)
+
+
 def test_http_pairs_and_icmp_by_hand(spark):
     t = dt.datetime(2024, 1, 1)
     ev = [(1, 0, "response"), (1, 1, "request"), (1, 2, "request"), (1, 90, "response"), (1, 91, "response"), (1, 92, "request")]
