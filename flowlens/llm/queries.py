@@ -12,11 +12,14 @@ from flowlens.llm import (
     html_main,
     kneser_ney,
     langid,
+    lexical,
     licenses,
     mixing,
     pii,
     preference,
     simhash_dedup,
+    spelling,
+    token_files,
 )
 from flowlens.llm.common import table
 
@@ -62,13 +65,27 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_best_position_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_gram_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_document_words(table(spark, sf_dir, "documents"))
+
+
+def op13_simple8b_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.encode_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_site_template_text, op2_unigram_langid, op3_preference_format, op4_mix_sources, op5_golay_simhash,
-        op6_bm25_decontaminate, op7_license_scan, op8_hilbert_ann, op9_skip_chain_pii, op10_kneser_ney)
+        op6_bm25_decontaminate, op7_license_scan, op8_hilbert_ann, op9_skip_chain_pii, op10_kneser_ney,
+        op11_best_position_search, op12_gram_spelling_variants, op13_simple8b_token_files)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_preference_format": preference.ORACLE_SQL,
     "op4_mix_sources": mixing.ORACLE_SQL,
+    "op11_best_position_search": lexical.ORACLE_SQL,
 }
