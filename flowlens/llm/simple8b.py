@@ -40,22 +40,21 @@ def _choose(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # a row for each block; what lies past its end takes no bits
     bits = np.zeros((blocks, BLOCK + PAYLOAD), np.int8)
     bits[:, :BLOCK] = np.resize(np.concatenate([_bits(values), np.zeros(blocks * BLOCK - n, np.int8)]), (blocks, BLOCK))
-    selector = np.full((blocks, BLOCK), ESCAPE, np.int8)
     # widest[k]: the widest of the k values from each place on
     widest = {1: bits}
-    taken = np.zeros((blocks, BLOCK), bool)
     needed = sorted({int(c) for c in _COUNTS[2:]})
     for c in needed[1:]:
         k = max(widest)  # two windows of k cover c, as counts at most double
         widest[c] = np.maximum(widest[k][:, :k - c], widest[k][:, c - k:])
+    # what fits one selector fits all that follow it, which hold fewer and wider values
+    selector = np.full((blocks, BLOCK), 2, np.int8)
     for s, width in enumerate(WIDTHS, 2):
-        fits = (widest[int(_COUNTS[s])][:, :BLOCK] <= width) & ~taken
-        selector[fits] = s
-        taken |= fits
-    selector = selector.ravel()[:n]
-    at = np.arange(n)
-    end = np.minimum((at // BLOCK + 1) * BLOCK, n)
-    return selector.astype(np.uint64), np.minimum(_COUNTS[selector], end - at)
+        selector += widest[int(_COUNTS[s])][:, :BLOCK] > width
+    selector[selector == len(_COUNTS)] = ESCAPE
+    left = np.tile(np.arange(BLOCK, 0, -1, dtype=np.int16), (blocks, 1))
+    left[-1] -= np.int16(blocks * BLOCK - n)
+    taken = np.minimum(_COUNTS.astype(np.int16)[selector], left)
+    return selector.ravel()[:n], taken.ravel()[:n]
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,12 +73,12 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         now[going] += taken[now[going]]
         going = going[now[going] < last[going]]
     start = np.sort(np.concatenate(starts))
-    chosen = selector[start]
-    words = chosen << _U8(PAYLOAD)
+    chosen, held = selector[start], taken[start]
+    words = chosen.astype(np.uint64) << _U8(PAYLOAD)
     for s, width in enumerate(WIDTHS, 2):
         rows = np.nonzero(chosen == s)[0]
         for j in range(int(_COUNTS[s])):
-            rows = rows[taken[start[rows]] > j]
+            rows = rows[held[rows] > j]
             if not len(rows):
                 break
             words[rows] |= values[start[rows] + j] << _U8(width * j)

@@ -13,10 +13,13 @@ with contents that any attempt of a task repeats; a manifest table names them.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,66 +38,163 @@ FOOTER = 4 * 8
 #: Ids after which a task begins another file; ids decoded at a time.
 FILE_IDS = 1 << 25
 CHUNK_IDS = 1 << 20
-#: Characters tokenized at a time.
+#: Characters tokenized at a time; ids of pieces that a worker keeps.
 CHUNK_CHARS = 1 << 20
+KEPT_IDS = 1 << 23
 #: Documents end with this id.
 END_ID = 2
 MANIFEST = "part int, seq int, file string, n_docs long, n_ids long"
 
 
-def pieces(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
-    """A long text in pieces that a byte-level tokenizer encodes as it does the whole.
+#: A space at which a byte-level tokenizer starts a new piece, whatever stands around it: single, between other characters.
+_CUT = re.compile(r" (?=\S)(?<=\S )")
 
-    Such a tokenizer splits a text before every single space that stands between
-    ASCII letters, so that is where it is cut.
+
+def slices(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
+    """A long text in slices that start at such a space."""
+    lo = 0
+    while len(text) - lo > size and (m := _CUT.search(text, lo + size)):
+        yield text[lo:m.start()]
+        lo = m.start()
+    yield text[lo:] if lo else text
+
+
+#: ASCII marks that a byte-level tokenizer keeps apart from letters, and merges with each other;
+#: the apostrophe is none, as it may go with letters after it.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A piece that is a word of plain letters, its space and marks after it.
+_WORD = re.compile(rf" ?[A-Za-zÀ-ÖØ-öø-ÿ]+[{re.escape(_MARKS)}]*")
+#: Byte-level names of bytes: Latin-1 for its printable characters, code points from 256 on for the others, in order.
+_PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+_BYTE_NAMES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+_SPACE = chr(_BYTE_NAMES[0x20])
+
+
+def _room(a: np.ndarray, n: int) -> np.ndarray:
+    """`a`, or a copy with room for n and more."""
+    if n <= len(a):
+        return a
+    out = np.zeros(max(n, 2 * len(a)), a.dtype)
+    out[:len(a)] = a
+    return out
+
+
+class _Numbers(dict):
+    """A number for each piece of text; new ones are noted."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        n = self[piece] = len(self)
+        self.new.append(piece)
+        return n
+
+
+class Encoder:
+    """Ids of texts by a tokenizer file.
+
+    A byte-level tokenizer never merges over the spaces of ``_CUT``, so each piece
+    between two of them has the same ids wherever it stands: pieces are encoded
+    once and kept, up to ``KEPT_IDS``.  Other tokenizers get whole texts.
     """
-    while len(text) > size:
-        at = text.find(" ", size)
-        while at > 0 and not (_letter(text[at - 1]) and _letter(text[at + 1:at + 2])):
-            at = text.find(" ", at + 1)
-        if at < 0:
-            break
-        yield text[:at]
-        text = text[at:]
-    yield text
-
-
-def _letter(c: str) -> bool:
-    return c.isascii() and c.isalpha()
-
-
-@lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True  # what looks like a special token in a text is text
-    return t
-
-
-def _encoded(path: str, texts: list[str | None]) -> Iterator[np.ndarray]:
-    """Ids of each text, without its end; a few texts, or a piece of one, at a time."""
-    t = _tokenizer(path)
-    group: list[str] = []
-    held = 0
-
-    def done() -> list[np.ndarray]:
-        return [np.array(e.ids, np.uint64) for e in t.encode_batch_fast(group, add_special_tokens=False)]
-
-    for text in texts:
-        text = text or ""
-        if held + len(text) > CHUNK_CHARS and group:
-            yield from done()
-            group, held = [], 0
-        if len(text) > CHUNK_CHARS:
-            parts = [np.array(t.encode_batch_fast([p], add_special_tokens=False)[0].ids, np.uint64) for p in pieces(text)]
-            yield np.concatenate(parts)
-            continue
-        group.append(text)
-        held += len(text)
-    if group:
-        yield from done()
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # what looks like a special token in a text is text
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        split = spec.get("pre_tokenizer") or {}
+        self.by_piece = (split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
+                         and not spec.get("normalizer") and all(t["special"] for t in spec.get("added_tokens") or []))
+        self.model = self.tokenizer.model
+        self._marks = lru_cache(maxsize=4096)(self._word)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = _Numbers()
+        #: ids of piece n: flat[start[n]:start[n + 1]]; both arrays have room to grow
+        self.start, self.flat, self.n_flat = np.zeros(1 << 10, np.int64), np.zeros(1 << 12, np.uint32), 0
+
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, word: str) -> list[int]:
+        """Ids of what a byte-level tokenizer merges by itself, from its model."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(_BYTE_NAMES)
+        elif word[0] == " ":
+            word = _SPACE + word[1:]
+        return [t.id for t in self.model.tokenize(word)]
+
+    def _learn(self) -> None:
+        """Encode the pieces that are new: a word with its punctuation as these two, others by the tokenizer."""
+        new, self.numbers.new = self.numbers.new, []
+        other = [p for p in new if not _WORD.fullmatch(p)]
+        by_tokenizer = dict(zip(other, self._whole(other), strict=True))
+        ids: list[list[int]] = []
+        for piece in new:
+            if piece in by_tokenizer:
+                ids.append(by_tokenizer[piece])
+                continue
+            word = piece.rstrip(_MARKS)
+            marks = piece[len(word):]
+            ids.append(self._word(word) + self._marks(marks) if marks else self._word(word))
+        upto = self.n_flat + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        last = int(upto[-1])
+        self.start = _room(self.start, len(self.numbers) + 1)
+        self.start[len(self.numbers) + 1 - len(new):len(self.numbers) + 1] = upto
+        self.flat = _room(self.flat, last)
+        self.flat[self.n_flat:last] = np.fromiter(chain.from_iterable(ids), np.uint32, last - self.n_flat)
+        self.n_flat = last
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text; the texts together are of bounded size."""
+        if not self.by_piece:
+            return [np.array(ids, np.uint64) for ids in self._whole(texts)]
+        if self.n_flat > KEPT_IDS:
+            self._forget()
+        numbers, counts = [], []
+        for text in texts:
+            # the first piece stands alone, all others after their space
+            first, *rest = _CUT.split(text)
+            pieces = [first, *map(" ".__add__, rest)]
+            numbers.append(np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces)))
+            counts.append(len(pieces))
+        if self.numbers.new:
+            self._learn()
+        number = np.concatenate(numbers) if numbers else np.zeros(0, np.int64)
+        lens = self.start[number + 1] - self.start[number]
+        ends = np.cumsum(lens)
+        at = np.arange(int(lens.sum())) + np.repeat(self.start[number] - ends + lens, lens)
+        upto = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
+        ids = self.flat[at].astype(np.uint64)
+        return [ids[lo:hi] for lo, hi in zip(upto[:-1], upto[1:], strict=True)]
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Ids of each text, a few texts, or a slice of one, at a time."""
+        group: list[str] = []
+        held = 0
+        for text in texts:
+            text = text or ""
+            if group and held + len(text) > CHUNK_CHARS:
+                yield from self.encode(group)
+                group, held = [], 0
+            if self.by_piece and len(text) > CHUNK_CHARS:
+                yield np.concatenate([self.encode([part])[0] for part in slices(text)])
+                continue
+            group.append(text)
+            held += len(text)
+        yield from self.encode(group)
+
+
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    """A worker's encoder; its pieces serve all its tasks."""
+    return Encoder(path)
 
 
 class IdFileWriter:
@@ -203,7 +303,7 @@ def _write_part(folder: str, tokenizer: str, end_id: int, file_ids: int) -> Call
 
         for b in batches:
             texts = b.column("text").to_pylist()
-            for doc_id, ids in zip(b.column("doc_id").to_pylist(), _encoded(tokenizer, texts), strict=True):
+            for doc_id, ids in zip(b.column("doc_id").to_pylist(), _encoder(tokenizer).encode_all(texts), strict=True):
                 if out is None:
                     out = IdFileWriter(folder, f"part-{part:06d}-{len(rows):05d}.ids")
                 out.add(doc_id, np.append(ids, np.uint64(end_id)))
@@ -234,7 +334,7 @@ def write_ids(docs: DataFrame, tokenizer: str, folder: str | None = None, end_id
     Files follow each other in ascending document id; null ids come first, rows of
     one id go by their text's hash, and equal rows in any order, which changes
     nothing.  A null or empty text is its end id alone.  A long text is tokenized in
-    pieces cut where the tokenizer splits it anyhow.  A task holds a batch of texts
+    slices cut where a byte-level tokenizer splits it anyhow.  A task holds a batch of texts
     and the tables of one file, so a hot id, or a third of all rows alike, only
     takes a range of its own.  An empty table gives an empty manifest.  Other columns are not read.
     """

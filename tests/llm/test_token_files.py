@@ -111,15 +111,46 @@ def test_damaged_file_is_refused(tmp_path):
         T.IdFile(f"file://{tmp_path}", "b.ids")
 
 
-def test_long_texts_in_pieces_encode_alike():
+ODD = ("It's a test, isn't it?  Two  spaces\n\nand 12 numbers; naïve  café x\u00a0y \u00a0z 'tis o'clock 'S'ok\t tab  "
+       "日本 語, ÀÉß÷×ÿ ... (a)[b] $5.00 #tag @me ~x` end. <|endoftext|> \x1c a\x85b \u2003 c ")
+
+
+def test_long_texts_in_slices_encode_alike():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(PATH)
-    text = "It's a test, isn't it?  Two  spaces\n\nand 12 numbers; naïve  café x" * 200
-    parts = list(T.pieces(text, 100))
+    t.encode_special_tokens = True
+    text = ODD * 200
+    parts = list(T.slices(text, 100))
     assert len(parts) > 20 and "".join(parts) == text
-    assert sum((t.encode(p, add_special_tokens=False).ids for p in parts), []) == t.encode(text, add_special_tokens=False).ids
-    assert list(T.pieces("-" * 500, 100)) == ["-" * 500]
+    whole = t.encode(text, add_special_tokens=False).ids
+    assert sum((t.encode(p, add_special_tokens=False).ids for p in parts), []) == whole
+    assert T.Encoder(PATH).encode([text])[0].tolist() == whole
+    assert list(T.slices("-" * 500, 100)) == ["-" * 500]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from([*" \n\t'.,;sStTlLrevdm", "é", "à", "÷", "日", "\u00a0", "\0", "1", "²", "\u2003"]), max_size=40), max_size=5))
+def test_pieces_encode_as_whole_texts(texts):
+    t = T._encoder(PATH)
+    whole = [t.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [x.tolist() for x in t.encode(texts)] == whole
+    assert [x.tolist() for x in t.encode(texts[::-1])] == whole[::-1]
+
+
+def test_pieces_are_forgotten_and_learnt_again(monkeypatch):
+    t = T.Encoder(PATH)
+    monkeypatch.setattr(T, "KEPT_IDS", 50)
+    for k in range(30):
+        texts = [f"{ODD} number {k}", f"word{k} " * k]
+        assert [x.tolist() for x in t.encode(texts)] == [t.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_other_tokenizers_get_whole_texts():
+    t = T.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert not t.by_piece
+    assert [x.tolist() for x in t.encode(["Some text, here", ""])] == [t.tokenizer.encode(x, add_special_tokens=False).ids
+                                                                        for x in ("Some text, here", "")]
 
 
 def test_empty_table(spark):
