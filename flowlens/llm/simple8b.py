@@ -77,11 +77,14 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     words = chosen.astype(np.uint64) << _U8(PAYLOAD)
     for s, width in enumerate(WIDTHS, 2):
         rows = np.nonzero(chosen == s)[0]
-        for j in range(int(_COUNTS[s])):
-            rows = rows[held[rows] > j]
-            if not len(rows):
-                break
-            words[rows] |= values[start[rows] + j] << _U8(width * j)
+        count, first_value = int(_COUNTS[s]), start[rows]
+        short = held[rows] < count  # a block's last word; past its end any value is at hand, and masked
+        part = words[rows]
+        for j in range(count if len(rows) else 0):
+            value = values[np.minimum(first_value + j, n - 1)] << _U8(width * j)
+            value[short & (held[rows] <= j)] = 0
+            part |= value
+        words[rows] = part
     escaped = np.nonzero(chosen == ESCAPE)[0]
     low = values[start[escaped]] & _U8((1 << PAYLOAD) - 1)
     words[escaped] |= low

@@ -62,14 +62,22 @@ def slices(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
 #: ASCII marks that a byte-level tokenizer keeps apart from letters, and merges with each other;
 #: the apostrophe is none, as it may go with letters after it.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: A piece that is a word of plain letters, its space and marks after it.
-_WORD = re.compile(rf" ?[A-Za-zÀ-ÖØ-öø-ÿ]+[{re.escape(_MARKS)}]*")
+#: A piece that is a word of plain letters and marks after it.
+_WORD = re.compile(rf"([A-Za-zÀ-ÖØ-öø-ÿ]+)([{re.escape(_MARKS)}]*)")
 #: Byte-level names of bytes: Latin-1 for its printable characters, code points from 256 on for the others, in order.
 _PRINTED = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 _BYTE_NAMES = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 _SPACE = chr(_BYTE_NAMES[0x20])
 
 
+#: Marks the key of a text's first piece; all others stand after their space, and start with no white space.
+_FIRST = "\n"
+
+
+def _text(key: str) -> str:
+    return key[1:] if key[0] == _FIRST else " " + key
+
+
 def _room(a: np.ndarray, n: int) -> np.ndarray:
     """`a`, or a copy with room for n and more."""
     if n <= len(a):
@@ -111,7 +119,7 @@ class Encoder:
         self.by_piece = (split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space")
                          and not spec.get("normalizer") and all(t["special"] for t in spec.get("added_tokens") or []))
         self.model = self.tokenizer.model
-        self._marks = lru_cache(maxsize=4096)(self._word)
+        self._marks = lru_cache(maxsize=4096)(self._merged)
         self._forget()
 
     def _forget(self) -> None:
@@ -122,27 +130,29 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _word(self, word: str) -> list[int]:
+    def _merged(self, text: str) -> list[int]:
         """Ids of what a byte-level tokenizer merges by itself, from its model."""
-        if not word.isascii():
-            word = word.encode().decode("latin-1").translate(_BYTE_NAMES)
-        elif word[0] == " ":
-            word = _SPACE + word[1:]
-        return [t.id for t in self.model.tokenize(word)]
+        return [t.id for t in self.model.tokenize(text)]
+
+    def _word(self, word: str) -> list[int]:
+        """Ids of a space and a word."""
+        return self._merged(_SPACE + (word if word.isascii() else word.encode().decode("latin-1").translate(_BYTE_NAMES)))
 
     def _learn(self) -> None:
         """Encode the pieces that are new: a word with its punctuation as these two, others by the tokenizer."""
         new, self.numbers.new = self.numbers.new, []
-        other = [p for p in new if not _WORD.fullmatch(p)]
-        by_tokenizer = dict(zip(other, self._whole(other), strict=True))
         ids: list[list[int]] = []
-        for piece in new:
-            if piece in by_tokenizer:
-                ids.append(by_tokenizer[piece])
-                continue
-            word = piece.rstrip(_MARKS)
-            marks = piece[len(word):]
-            ids.append(self._word(word) + self._marks(marks) if marks else self._word(word))
+        others: list[int] = []
+        for i, key in enumerate(new):
+            m = _WORD.fullmatch(key)
+            if m:
+                word, marks = m.groups()
+                ids.append(self._word(word) + self._marks(marks) if marks else self._word(word))
+            else:
+                others.append(i)
+                ids.append([])
+        for i, found in zip(others, self._whole([_text(new[i]) for i in others]), strict=True):
+            ids[i] = found
         upto = self.n_flat + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
         last = int(upto[-1])
         self.start = _room(self.start, len(self.numbers) + 1)
@@ -159,9 +169,8 @@ class Encoder:
             self._forget()
         numbers, counts = [], []
         for text in texts:
-            # the first piece stands alone, all others after their space
-            first, *rest = _CUT.split(text)
-            pieces = [first, *map(" ".__add__, rest)]
+            pieces = _CUT.split(text)
+            pieces[0] = _FIRST + pieces[0]
             numbers.append(np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces)))
             counts.append(len(pieces))
         if self.numbers.new:
