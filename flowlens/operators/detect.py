@@ -175,6 +175,14 @@ def alert_metrics(flows: DataFrame, windows: list[int], as_of=None, baseline_day
     return row.select(F.explode(F.array(*stacks)).alias("m")).select("m.*")
 
 
+def alert_message(name: Column, metric: Column, condition: Column, value: Column, threshold: Column, minutes: Column) -> Column:
+    """Text of an alert event."""
+    verb = F.when(condition == "gt", "exceeded").when(condition == "lt", "fell below").otherwise(condition)
+    # fixed value: the message format
+    return F.format_string("[flowlens] %s: %s is %.2f (%s threshold %.2f over last %d min)",
+                           name, metric, F.bround(value, 2), verb, F.bround(threshold, 2), minutes)
+
+
 def evaluate_alerts(rules: DataFrame, metrics: DataFrame, events: DataFrame | None, as_of) -> DataFrame:
     """Fire enabled rules whose metric is strictly gt/lt the threshold and that
     have not fired within their cooldown; returns the new event rows."""
@@ -190,11 +198,7 @@ def evaluate_alerts(rules: DataFrame, metrics: DataFrame, events: DataFrame | No
             .filter(F.col("fired_at") > as_of - F.make_dt_interval(mins=F.col("cooldown_minutes"))) \
             .select(F.col("rule_id").alias("id")).distinct()
         j = j.join(recent, "id", "left_anti")
-    cond_txt = F.when(F.col("condition") == "gt", "exceeded").when(F.col("condition") == "lt", "fell below") \
-                .otherwise(F.col("condition"))
-    msg = F.format_string("[flowlens] %s: %s is %.2f (%s threshold %.2f over last %d min)",
-                          F.col("name"), F.col("metric"), F.bround("value", 2), cond_txt,
-                          F.bround("threshold", 2), F.col("window_minutes"))
+    msg = alert_message(F.col("name"), F.col("metric"), F.col("condition"), F.col("value"), F.col("threshold"), F.col("window_minutes"))
     return j.select(F.col("id").alias("rule_id"), F.col("name").alias("rule_name"), "metric", "value",
                     "threshold", as_of.alias("fired_at"), msg.alias("message"))
 

@@ -21,6 +21,7 @@ from flowlens.plans.catalog import CATALOG, finish, register
 from flowlens.sources import ingest as IN
 from flowlens.sources import testdata as td
 from flowlens.streaming import jobs as J
+from flowlens.streaming import state as ST
 
 #: Files, and so micro-batches, of a source.
 FILES = 4
@@ -187,12 +188,95 @@ def q_stream_ingest(spark, sf):
                                           "bytes_in", "bytes_out", "http_method", "http_path", "yyyymm")
 
 
-@register("stream_alerts")
+CLOSED_EVENTS = "(SELECT date_trunc('millisecond', max(CAST(ts AS TIMESTAMP))) - INTERVAL 10 MINUTE FROM events)"
+IDLE = "12 hours"
+
+
+@register("stream_pair_http", td.with_ctes(f"""
+, s AS (SELECT *, sum(fresh) OVER (PARTITION BY conn_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING) AS run FROM (
+    SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY conn_id ORDER BY ts, seq) + INTERVAL {IDLE} THEN 1 ELSE 0 END AS fresh
+    FROM packets) WHERE ts <= {CLOSED_EVENTS}),
+g AS (SELECT *, COALESCE(sum(CASE WHEN kind = 'response' THEN 1 ELSE 0 END) OVER (
+        PARTITION BY conn_id, run ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS grp FROM s),
+rq AS (SELECT conn_id, run, grp, arg_min(seq, (ts, seq)) AS request_seq, min(ts) AS request_ts
+       FROM g WHERE kind != 'response' GROUP BY 1, 2, 3)
+SELECT rq.conn_id, request_seq, g.seq AS response_seq, request_ts, g.ts AS response_ts,
+  CAST(greatest(floor((epoch_us(g.ts) - epoch_us(request_ts)) / 1000), 0) AS BIGINT) AS latency_ms
+FROM rq JOIN g ON rq.conn_id = g.conn_id AND rq.run = g.run AND rq.grp = g.grp AND g.kind = 'response'""", packets=td.PACKETS_SQL))
+def q_stream_pair_http(spark, sf):
+    """Pairs of closed rows; connections silent for longer than 12 hours start anew."""
+    name = fresh("pairs")
+    packets = spark.sql(td.PACKETS_SQL, events=file_stream(spark, td.read_table(spark, sf, "events"), "ts", name))
+    return appended(spark, ST.stream_pair_http(packets, idle=IDLE), name)
+
+
+MAX_RTT = "2 DAYS"
+
+
+@register("stream_icmp_rtt", td.with_ctes(f"""
+, e AS (SELECT *, icmp_type IN (0, 129) AS is_reply, CASE WHEN icmp_type IN (0, 129) THEN dst_ip ELSE src_ip END AS host
+        FROM icmp WHERE icmp_type IN (8, 128, 0, 129)),
+l AS (SELECT *, lag(ts) OVER w AS b_ts, lag(seq) OVER w AS b_seq, lag(is_reply) OVER w AS b_reply
+      FROM e WINDOW w AS (PARTITION BY host, echo_id, echo_seq ORDER BY ts, seq))
+SELECT host, echo_id, echo_seq, b_seq AS request_seq, seq AS reply_seq,
+  ROUND((epoch_us(ts) - epoch_us(b_ts)) / 1000.0, 6) AS rtt_ms
+FROM l WHERE is_reply AND NOT b_reply AND ts <= b_ts + INTERVAL {MAX_RTT} AND ts <= {CLOSED_EVENTS} - INTERVAL {MAX_RTT}""",
+                                           icmp=td.ICMP_SQL))
+def q_stream_icmp_rtt(spark, sf):
+    """Round trips of at most two days; an interval join closes its replies that much later."""
+    name = fresh("rtt")
+    icmp = spark.sql(td.ICMP_SQL, events=file_stream(spark, td.read_table(spark, sf, "events"), "ts", name))
+    return finish(appended(spark, ST.stream_icmp_rtt(icmp, max_rtt=MAX_RTT), name))
+
+
+def _alert_values() -> str:
+    """DuckDB: the value of each enabled rule at each closed minute."""
+    windows = sorted({r[5] or 5 for r in QD.ALERT_RULES} | {5})
+    sums = ",\n  ".join(f"sum({c}) OVER (ORDER BY tick ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW) AS {c}_{w}"
+                        for w in windows for c in ("n", "http", "http_err", "dns", "nx", "lat_sum", "lat_n"))
+    parts = []
+    for rule, _, metric, condition, threshold, window, cooldown, enabled in QD.ALERT_RULES:
+        w = window or 5
+        value = {"flows_per_minute": f"n_{w} / {float(w)}", "http_error_rate": f"http_err_{w} * 100.0 / greatest(http_{w}, 1)",
+                 "dns_nxdomain_rate": f"nx_{w} * 100.0 / greatest(dns_{w}, 1)",
+                 "anomaly_flow_rate": "CASE WHEN COALESCE(b_std, 0) < 1 THEN 0.0 ELSE (n_5 * 12.0 - b_avg) / b_std END",
+                 "anomaly_http_latency": "CASE WHEN COALESCE(l_std, 0) < 1 THEN 0.0 WHEN lat_n_5 > 0 THEN (lat_sum_5 / lat_n_5 - l_avg) / l_std END",
+                 }[metric]
+        if enabled:
+            parts.append(f"SELECT '{rule}' AS rule_id, tick, CAST({value} AS DOUBLE) AS value FROM t WHERE ({value}) {'>' if condition == 'gt' else '<'} {threshold}")
+    return f"""
+, m AS (SELECT date_trunc('minute', ts) + INTERVAL 1 MINUTE AS tick, count(*) AS n, count(*) FILTER (protocol = 'HTTP') AS http,
+    count(*) FILTER (protocol = 'HTTP' AND http_status >= 400) AS http_err, count(*) FILTER (protocol = 'DNS') AS dns,
+    count(*) FILTER (protocol = 'DNS' AND dns_rcode = 3) AS nx,
+    COALESCE(sum(duration_ms) FILTER (protocol IN ('HTTP', 'HTTPS') AND http_method != ''), 0) AS lat_sum,
+    count(duration_ms) FILTER (protocol IN ('HTTP', 'HTTPS') AND http_method != '') AS lat_n FROM flows GROUP BY 1),
+times AS (SELECT unnest(generate_series((SELECT min(tick) FROM m), date_trunc('minute', {CLOSED}), INTERVAL 1 MINUTE)) AS tick),
+dense AS (SELECT times.tick, COALESCE(n, 0) AS n, COALESCE(http, 0) AS http, COALESCE(http_err, 0) AS http_err, COALESCE(dns, 0) AS dns,
+    COALESCE(nx, 0) AS nx, COALESCE(lat_sum, 0) AS lat_sum, COALESCE(lat_n, 0) AS lat_n FROM times LEFT JOIN m USING (tick)),
+h AS (SELECT date_trunc('hour', tick - INTERVAL 1 MINUTE) AS h, sum(n) AS cnt, sum(lat_sum) AS s, sum(lat_n) AS k FROM m GROUP BY 1),
+r AS (SELECT tick, date_trunc('hour', tick - INTERVAL 7 DAY + INTERVAL 59 MINUTE) AS lo, date_trunc('hour', tick) - INTERVAL 2 HOUR AS hi FROM times),
+b AS (SELECT lo, hi, avg(cnt) AS b_avg, stddev_pop(cnt) AS b_std, avg(s / k) FILTER (k > 0) AS l_avg, stddev_pop(s / k) FILTER (k > 0) AS l_std
+      FROM (SELECT DISTINCT lo, hi FROM r) d JOIN h ON h.h >= d.lo AND h.h <= d.hi GROUP BY 1, 2),
+t AS (SELECT r.tick, b.* EXCLUDE (lo, hi), w.* EXCLUDE (tick) FROM r LEFT JOIN b USING (lo, hi) JOIN (
+  SELECT tick,
+  {sums} FROM dense) w ON w.tick = r.tick),
+breach AS ({" UNION ALL ".join(parts)})"""
+
+
+@register("stream_alerts", W(_alert_values() + f"""
+, rules AS (SELECT id AS rule_id, name, metric, condition, threshold, COALESCE(NULLIF(window_minutes, 0), 5) AS window_minutes,
+    COALESCE(NULLIF(cooldown_minutes, 0), 15) AS cooldown FROM ({QD._duck_rules()}) x),
+-- a breach fires if the last firing, the end of the list so far, is a cooldown ago
+lists AS (SELECT rule_id, any_value(cooldown) * INTERVAL 1 MINUTE AS pause, list([tick] ORDER BY tick) AS ticks
+  FROM breach JOIN rules USING (rule_id) GROUP BY rule_id),
+fire AS (SELECT rule_id, unnest(list_reduce(ticks, lambda done, x:
+    CASE WHEN x[1] >= done[len(done)] + pause THEN list_concat(done, x) ELSE done END)) AS tick FROM lists)
+SELECT f.rule_id, name AS rule_name, metric, ROUND(value, 6) AS value, ROUND(threshold, 6) AS threshold, f.tick AS fired_at,
+  printf('[flowlens] %s: %s is %.2f (%s threshold %.2f over last %d min)', name, metric, round_even(value, 2) + 0.0,
+    CASE condition WHEN 'gt' THEN 'exceeded' ELSE 'fell below' END, round_even(threshold, 2), window_minutes) AS message
+FROM fire f JOIN breach USING (rule_id, tick) JOIN rules USING (rule_id)"""))
 def q_stream_alerts(spark, sf):
-    """All events that the rules fired over the replay; a cooldown spans batches."""
+    """All events that the rules fired over the replay, a cooldown after the other."""
     name = fresh("alerts")
     rules = spark.createDataFrame(QD.ALERT_RULES, QD.RULES_SCHEMA)
-    events = J.stream_folder(spark, name, "events")
-    finished(J.stream_alerts(flow_stream(spark, sf, name), rules, J.stream_folder(spark, name, "recent"),
-                             J.stream_folder(spark, name, "hourly"), events, as_of="batch", trigger=NOW_TRIGGER, name=name))
-    return finish(spark.read.parquet(events))
+    return finish(appended(spark, ST.stream_alerts(flow_stream(spark, sf, name), rules), name))

@@ -187,40 +187,6 @@ def live_tail(flows: DataFrame, condition=None) -> DataFrame:
     return flows if condition is None else flows.filter(condition)
 
 
-def stream_alerts(flows: DataFrame, rules: DataFrame, recent_path: str, hourly_path: str, events_path: str,
-                  as_of: str = "now", trigger: dict | None = None, name: str = "alerts") -> StreamingQuery:
-    """On every batch (60 s by default) evaluate all alert rules.
-
-    A batch adds its flows to ``recent_path`` and its hourly load to
-    ``hourly_path``; metrics read the recent rows of the longest rule window and
-    the stored hours, never the flow table.  Fired events go to the batch's
-    partition of ``events_path``; the cooldown looks at the earlier partitions, so
-    a replay decides as the first try did.  ``as_of`` is "now" or "batch", the
-    newest ts of the batch (replays of old data).
-    """
-    spark = flows.sparkSession
-    windows = [r[0] for r in rules.select(F.coalesce(F.nullif("window_minutes", F.lit(0)), F.lit(5))).distinct().collect()]
-
-    def write(batch: DataFrame, epoch: int) -> None:
-        batch = batch.persist()
-        newest = batch.agg(F.max("ts")).first()[0]
-        if newest is not None:
-            X.write_flows(batch, recent_path, epoch=epoch)
-            write_epoch(D.hourly_load(batch), hourly_path, epoch)
-        recent, events = stored(spark, recent_path), stored(spark, events_path)
-        batch.unpersist()
-        if recent is None or (as_of == "batch" and newest is None):
-            return
-        now = F.lit(newest) if as_of == "batch" else F.current_timestamp()
-        if events is not None:
-            events = events.filter(F.col("epoch") < epoch)
-        upto = lambda df: df.filter(F.col("epoch") <= epoch)
-        metrics = D.alert_metrics(upto(recent), windows, as_of=now, hourly=upto(stored(spark, hourly_path)))
-        write_epoch(D.evaluate_alerts(rules, metrics, events, now), events_path, epoch)
-
-    return each_batch(flows, write, name, trigger or {"processingTime": "60 seconds"})
-
-
 def stream_certs(nested: DataFrame, certs_path: str, trigger: dict | None = None,
                  name: str = "certs") -> StreamingQuery:
     """Certificate sightings of each batch; ``cert_inventory`` merges them at read time."""

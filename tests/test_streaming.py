@@ -13,6 +13,7 @@ from flowlens.plans import q_stream as QS
 from flowlens.schema import conform_flows
 from flowlens.sources import testdata as td
 from flowlens.streaming import jobs as J
+from flowlens.streaming import state as ST
 
 
 def test_sources_make_several_batches(spark):
@@ -72,3 +73,77 @@ def test_stored_hours_give_the_same_metrics(spark):
     f = f.filter(F.col("ts") <= F.lit(now))
     whole = {tuple(r) for r in D.alert_metrics(f, [5, 60], as_of=now).collect()}
     assert {tuple(r) for r in D.alert_metrics(f, [5, 60], as_of=now, hourly=D.hourly_load(f)).collect()} == whole
+
+
+def replay(spark, job, batches, schema, tmp_path, name):
+    """Run a job over a file a batch, in order; rows of its sink and the progress of its batches."""
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    df = job(stream)
+    name = f"{name}_{uuid.uuid4().hex[:8]}"
+    q = J.append_to(df, str(tmp_path / "out"), name, {"availableNow": True})
+    q.awaitTermination()
+    return spark.read.schema(df.schema).parquet(str(tmp_path / "out")).collect(), q.recentProgress
+
+
+T0 = dt.datetime(2024, 1, 1)
+PACKETS = "seq long, conn_id long, ts timestamp, kind string"
+
+
+def at(minutes):
+    return T0 + dt.timedelta(minutes=minutes)
+
+
+def test_http_pairs_in_any_order_inside_the_watermark(spark, tmp_path):
+    # the response's file comes before its request's, eight minutes of event time apart from the newest row
+    batches = [[(2, 1, at(2), "response"), (9, 2, at(9), "request")], [(1, 1, at(1), "request"), (3, 1, at(3), "request")],
+               [(4, 1, at(4), "response"), (10, 2, at(30), "response")], [(11, 3, at(200), "request")]]
+    rows, _ = replay(spark, ST.stream_pair_http, batches, PACKETS, tmp_path, "order")
+    assert sorted((r["conn_id"], r["request_seq"], r["response_seq"], r["latency_ms"]) for r in rows) == [
+        (1, 1, 2, 60_000), (1, 3, 4, 60_000), (2, 9, 10, 21 * 60_000)]
+
+
+def test_late_packets_are_dropped(spark, tmp_path):
+    batches = [[(1, 1, at(1), "request")], [(5, 2, at(60), "request")], [(6, 2, at(61), "request")], [(2, 1, at(2), "response")],
+               [(7, 2, at(120), "response")], [(8, 3, at(300), "request")]]
+    rows, _ = replay(spark, ST.stream_pair_http, batches, PACKETS, tmp_path, "late")
+    assert [(r["conn_id"], r["request_seq"]) for r in rows] == [(2, 5)]
+
+
+def test_silent_connections_are_freed(spark, tmp_path):
+    batches = [[(i, i, at(0), "request") for i in range(50)], [(100, 99, at(30), "request")], [(101, 99, at(200), "request")],
+               [(102, 99, at(400), "request")], [(103, 0, at(390), "response")], [(104, 99, at(500), "request")]]
+    rows, progress = replay(spark, ST.stream_pair_http, batches, PACKETS, tmp_path, "silent")
+    assert rows == []  # the response finds no request: its connection was silent for more than an hour
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+    assert max(states) >= 50 and states[-1] < 10
+
+
+ICMP = "seq long, ts timestamp, icmp_type int, src_ip string, dst_ip string, echo_id int, echo_seq int"
+
+
+def test_echo_state_shrinks(spark, tmp_path):
+    ask = lambda s, m: (s, at(m), 8, "10.0.0.1", "9.9.9.9", 1, s % 50)
+    reply = lambda s, m, q: (s, at(m), 0, "9.9.9.9", "10.0.0.1", 1, q)
+    batches = [[ask(i, 0) for i in range(50)] + [reply(100, 5, 7), reply(101, 6, 7)], [ask(57, 10), reply(102, 11, 7), reply(103, 100, 8)],
+               [ask(60, 300)], [ask(61, 600)]]
+    rows, progress = replay(spark, ST.stream_icmp_rtt, batches, ICMP, tmp_path, "echo")
+    # the second reply finds the first one's request taken; the one after 100 minutes is past the longest round trip
+    assert sorted((r["request_seq"], r["reply_seq"], r["rtt_ms"]) for r in rows) == [(7, 100, 300_000.0), (57, 102, 60_000.0)]
+    total = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in progress if p["stateOperators"]]
+    assert max(total) > 50 and total[-1] < 10
+
+
+def test_alert_state_is_bounded_and_silence_is_evaluated(spark, tmp_path):
+    rules = spark.createDataFrame([("low", "quiet", "flows_per_minute", "lt", 0.5, 5, 60, True),
+                                   ("off", "off", "flows_per_minute", "gt", 0.0, 5, 1, False)], QD.RULES_SCHEMA)
+    rows = [[(f"f{b}-{i}", at(b * 100 + i)) for i in range(20)] for b in range(6)]
+    frames = [[tuple(r) for r in conform_flows(spark.createDataFrame(r, "id string, ts timestamp")).collect()] for r in rows]
+    schema = conform_flows(spark.createDataFrame(rows[0], "id string, ts timestamp")).schema
+    got, progress = replay(spark, lambda s: ST.stream_alerts(s, rules), frames, schema, tmp_path, "quiet")
+    # quiet is less than three flows in five minutes; a burst holds a flow a minute for 20 minutes of each hundred
+    assert [(r["rule_id"], r["fired_at"]) for r in sorted(got, key=lambda r: r["fired_at"])] == [
+        ("low", at(m)) for m in (1, 61, 123, 183, 243, 323, 383, 443)]
+    held = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in progress if p["stateOperators"]]
+    assert max(held) < 120
