@@ -1,10 +1,8 @@
 """Agent ingest: JSON envelopes / flow streams -> flat ``flows`` rows; unions of
-agent and cloud sources; incremental file pulls; saved capture sessions."""
+agent and cloud sources; saved capture sessions."""
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,48 +87,6 @@ def union_sources(*frames: DataFrame, default_source: str = "agent") -> DataFram
     return out
 
 
-def incremental_files(spark: SparkSession, path: str, last_pulled: dt.datetime | None,
-                      fmt: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows of objects modified after ``last_pulled``, pull-log row).
-
-    The log carries the newest modification time seen (the next cursor), file and
-    row counts, from Spark's ``_metadata`` column, so the listing is done by the
-    executors' file scan; ``pull`` adds duration and error.
-    """
-    reader = spark.read.format(fmt)
-    if last_pulled is not None:
-        reader = reader.option("modifiedAfter", last_pulled.strftime("%Y-%m-%dT%H:%M:%S"))
-    df = reader.load(path).select("*", F.col("_metadata.file_path").alias("_file"),
-                                  F.col("_metadata.file_modification_time").alias("_mtime"))
-    log = df.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("_file").alias("files"),
-                 F.max("_mtime").alias("next_cursor"))
-    return df.drop("_file", "_mtime"), log
-
-
-PULL_LOG = "source string, pulled_at timestamp, rows long, files long, next_cursor timestamp, duration_ms long, error string"
-
-
-def pull(spark: SparkSession, source: str, path: str, last_pulled: dt.datetime | None, parse, write,
-         fmt: str = "text") -> DataFrame:
-    """Pull the new objects of a source once: parse, write, and return the log row.
-
-    A failed pull is logged with its error and an empty count, and its cursor
-    stays, so the next pull takes the same objects again.
-    """
-    began = dt.datetime.now(dt.timezone.utc)
-    rows = files = 0
-    cursor, error = last_pulled, ""
-    try:
-        new, log = incremental_files(spark, path, last_pulled, fmt)
-        write(parse(new))
-        rows, files, newest = log.first()
-        cursor = newest or last_pulled
-    except Exception as e:  # what went wrong belongs in the log, not in the scheduler
-        error = str(e).splitlines()[0] if str(e) else type(e).__name__
-    took = int((dt.datetime.now(dt.timezone.utc) - began).total_seconds() * 1000)
-    return spark.createDataFrame([(source, began.replace(tzinfo=None), rows, files, cursor, took, error)], PULL_LOG)
-
-
 def save_session(df: DataFrame, path: str, session_id: str, mode: str = "overwrite") -> None:
     """Saved capture: flows of one session, id-keyed (replacing duplicates),
     written under ``session_id=...`` with dynamic partition overwrite."""

@@ -11,6 +11,7 @@ from conftest import SMALL
 from flowlens.operators import export as X
 from flowlens.sources import cloud as CL
 from flowlens.sources import ingest as IN
+from flowlens.sources import pulls as PU
 from flowlens.sources import testdata as td
 
 
@@ -43,7 +44,7 @@ def test_sessions_roundtrip(spark, tmp_path):
     assert ts == sorted(ts)
 
 
-def test_incremental_gz_pull(spark, tmp_path):
+def test_gz_lines(spark, tmp_path):
     d = tmp_path / "aws"
     d.mkdir()
     lines = ["version account-id interface-id srcaddr dstaddr srcport dstport protocol packets bytes start end action log-status",
@@ -53,14 +54,12 @@ def test_incremental_gz_pull(spark, tmp_path):
              "2 1 eni-1 - - - - - - - 1704067200 1704067205 - NODATA"]
     with gzip.open(d / "a.log.gz", "wt") as fh:
         fh.write("\n".join(lines) + "\n")
-    rows, log = IN.incremental_files(spark, str(d), None)
-    assert log.first()["rows"] == 5
+    rows = spark.read.text(str(d))
+    assert rows.count() == 5
     parsed = CL.parse_aws_vpc(rows, "aws", "vpc", ingest_time=dt.datetime(2024, 2, 1)).orderBy("dst_port").collect()
     assert len(parsed) == 2
     assert (parsed[0]["protocol"], parsed[0]["src_port"], parsed[0]["ts"]) == ("PROTO_99", 0, dt.datetime(2024, 2, 1))
     assert (parsed[1]["bytes_in"], parsed[1]["bytes_out"], parsed[1]["duration_ms"]) == (50, 51, 5000)
-    later, log2 = IN.incremental_files(spark, str(d), dt.datetime.now() + dt.timedelta(hours=1))
-    assert later.count() == 0
 
 
 def test_stream_ingest_files(spark, tmp_path):
@@ -87,13 +86,62 @@ def td_blocklist(spark):
     return builtin_blocklist(spark)
 
 
-def test_pull_log(spark, tmp_path):
-    (tmp_path / "a.log").write_text("x\ny\n")
-    got = []
-    r = IN.pull(spark, "s", str(tmp_path), None, lambda d: d, lambda d: got.append(d.count())).first()
-    assert (got, r["rows"], r["files"], r["error"]) == ([2], 2, 1, "") and r["duration_ms"] >= 0 and r["next_cursor"] is not None
+def lines(d, name, n, mtime=None):
+    d.mkdir(exist_ok=True)
+    (d / name).write_text("".join(f"{name}-{i}\n" for i in range(n)))
+    if mtime:
+        os.utime(d / name, (mtime, mtime))
+
+
+def take(spark, d, out, parse=lambda df: df):
+    r = PU.pull(spark, "s", str(d), str(out), parse).first()
+    return r["objects"], r["rows"], r["error"]
+
+
+def test_each_object_is_pulled_once(spark, tmp_path):
+    d, out = tmp_path / "in", tmp_path / "out"
+    lines(d, "a.log", 3, 1_700_000_000)
+    assert [take(spark, d, out) for _ in range(3)] == [(1, 3, ""), (0, 0, ""), (0, 0, "")]
+    # two of the second of the first, one far older, one with the signs of a glob
+    lines(d, "b.log", 2, 1_700_000_000)
+    lines(d, "c.log", 1, 1_600_000_000)
+    lines(d, "d[1]*{x}.log", 4, 1_700_000_000)
+    lines(d / "deep", "e.log", 1)
+    assert take(spark, d, out) == (4, 8, "")
+    assert take(spark, d, out) == (0, 0, "")
+    got = PU.pulled_rows(spark, str(out)).groupBy("pull").count().collect()
+    assert {r["pull"]: r["count"] for r in got} == {1: 3, 4: 8}
+    lines(d, "a.log", 5, 1_700_000_500)  # written anew
+    assert take(spark, d, out) == (1, 5, "")
+    assert PU.last_pull(spark, str(out)) == 6
+
+
+def test_a_failed_pull_takes_nothing(spark, tmp_path):
+    d, out = tmp_path / "in", tmp_path / "out"
+    lines(d, "a.log", 3)
 
     def broken(_):
         raise ValueError("no access")
-    r = IN.pull(spark, "s", str(tmp_path), r["next_cursor"] - dt.timedelta(days=1), lambda d: d, broken).first()
-    assert (r["rows"], r["error"]) == (0, "no access")
+    assert take(spark, d, out, broken) == (0, 0, "no access")
+    # killed after its rows, before its commit: they are not read, and the next pull replaces them
+    spark.range(9).selectExpr("cast(id as string) value").write.parquet(str(out / "rows" / "pull=1"))
+    assert take(spark, d, out) == (1, 3, "")
+    assert PU.pulled_rows(spark, str(out)).count() == 3
+    log = PU.pull_log(spark, str(out)).orderBy("error").collect()
+    assert [(r["pull"], r["rows"], r["error"]) for r in log] == [(1, 3, ""), (1, 0, "no access")]
+    assert log[0]["newest"] is not None and log[0]["duration_ms"] >= 0
+
+
+def test_an_uncommitted_pull_is_not_read(spark, tmp_path):
+    d, out = tmp_path / "in", tmp_path / "out"
+    lines(d, "a.log", 3)
+    take(spark, d, out)
+    spark.range(9).selectExpr("cast(id as string) value").write.parquet(str(out / "rows" / "pull=2"))
+    spark.createDataFrame([("file:/x", 1, dt.datetime(2024, 1, 1))], PU.OBJECTS).write.parquet(str(out / "objects" / "pull=2"))
+    assert PU.pulled_rows(spark, str(out)).count() == 3
+    assert take(spark, d, out) == (0, 0, "")
+
+
+def test_pull_from_a_missing_folder_is_logged(spark, tmp_path):
+    objects, rows, error = take(spark, tmp_path / "none", tmp_path / "out")
+    assert (objects, rows) == (0, 0) and error
