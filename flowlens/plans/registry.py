@@ -6,7 +6,7 @@ import importlib
 
 from flowlens.plans.catalog import CATALOG, Entry
 
-MODULES = ["q_analytics", "q_flows", "q_detect", "q_compliance", "q_sessions", "q_io", "q_stream", "q_windows"]
+MODULES = ["q_analytics", "q_flows", "q_detect", "q_compliance", "q_sessions", "q_io", "q_stream", "q_windows", "q_store"]
 
 
 def catalog() -> dict[str, Entry]:
