@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Sequence
 
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,10 +50,52 @@ def fold(id_col: Column, n: int) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % F.lit(n)
 
 
+def sampled(wanted: int, rows: Column, *key: Column) -> Column:
+    """Whether a row is in a sample of about `wanted` out of `rows`, by the hash of its key; all are if there are no more.
+
+    The hash is compared in 63 bits, so the share may be as small as any table makes it.
+    """
+    at = F.shiftrightunsigned(F.xxhash64(*key), 1)
+    share = F.least(F.lit(float(wanted)) / F.greatest(rows, F.lit(1)), F.lit(1.0))
+    return (rows <= wanted) | (at < (share * F.lit(2.0 ** 63 - 1024)).cast("long"))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder in the shared checkpoint folder, as a URI that tasks can write to."""
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    if folder.startswith("file:") and not folder.startswith("file://"):
+        folder = f"file://{folder[5:]}"
+    elif "://" not in folder:
+        folder = f"file://{os.path.abspath(folder)}"
+    fs, path = pafs.FileSystem.from_uri(folder)
+    fs.create_dir(path, recursive=True)
+    return folder
+
+
+def write_whole(folder: str, name: str, data: bytes) -> None:
+    """Put a file into a shared folder: whole or not at all, the same from any attempt."""
+    fs, path = pafs.FileSystem.from_uri(folder)
+    temp = f"{path}/.{name}-{uuid.uuid4().hex}"
+    with fs.open_output_stream(temp) as out:
+        out.write(data)
+    try:
+        fs.move(temp, f"{path}/{name}")
+    except OSError:
+        if fs.get_file_info(f"{path}/{name}").type != pafs.FileType.File:
+            raise
+        fs.delete_file(temp)
+
+
+def read_whole(folder: str, name: str) -> bytes:
+    fs, path = pafs.FileSystem.from_uri(folder)
+    with fs.open_input_stream(f"{path}/{name}") as src:
+        return src.read()
+
+
 def running_total(df: DataFrame, order: Sequence[Column], value: Column, name: str) -> DataFrame:
     """Add `name`: the sum of `value` over all rows up to this one in `order`.
 

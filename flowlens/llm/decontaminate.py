@@ -1,8 +1,10 @@
 """Benchmark decontamination: BM25 index of test items, block-max WAND, overlap check.
 
-Spark counts the postings of the test items.  Every training document is cut into
-overlapping passages, long enough that any item lies whole in one of them, and
-each passage is a query: block-max WAND finds all items whose BM25 score, as a
+Spark counts the postings of the test items; tasks build the index in shards of
+bounded size, items of like length together, and write them to the shared folder.
+Search tasks open one shard at a time.  Every training document is cut into
+overlapping passages, long enough that any item of the shard lies whole in one of
+them, and each passage is a query: block-max WAND finds all items whose BM25 score, as a
 share of the item's score against itself, reaches the threshold.  What it finds
 is verified by the word n-grams of the item's question and answer.  A bound per
 passage and item (its rare terms there plus all its frequent ones) spares WAND the
@@ -12,27 +14,35 @@ passages that can't hold any.
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from bisect import bisect_left
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import cut, small_batches, with_columns
+from flowlens.llm.common import cut, read_whole, shared_folder, small_batches, with_columns, write_whole
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score that a passage must reach, and of its question's and answer's n-grams.
 THRESHOLD, OVERLAP, NGRAM = 0.7, 0.5, 3
 BLOCK = 16
-#: Postings of one index shard, the most that is broadcast at a time.
+#: Postings of one index shard, of which a worker holds one; with no more than KEPT_SHARDS in all it keeps them.
 SHARD_POSTINGS = 1_000_000
+KEPT_SHARDS = 1
+#: Characters of the texts that a shard is opened for, where there are more.
+GROUP_CHARS = 1 << 23
 MIN_STRIDE = 64
+#: Items of up to so many words share shards, and those of up to four times as many, and so on.
+SHORT_WORDS = 256
+#: An answer holds this share of its item's words at least.
+ANSWER_SHARE = 0.25
 #: ASCII other than letters and digits parts words.
 _PARTS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -44,12 +54,11 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def question_and_answer(text: str | None) -> tuple[list[bytes], list[bytes]]:
-    """The last sentence is the answer; of one sentence, the last quarter of its words."""
+    """The last sentence is the answer, with as many words before it as make up ``ANSWER_SHARE`` of the item."""
     parts = [w for w in map(words_of, _SENTENCE.split(text or "")) if w]
-    if len(parts) > 1:
-        return [w for p in parts[:-1] for w in p], parts[-1]
-    words = parts[0] if parts else []
-    n = len(words) - len(words) // 4
+    words = [w for p in parts for w in p]
+    last = len(parts[-1]) if len(parts) > 1 else 0
+    n = len(words) - max(last, int(len(words) * ANSWER_SHARE))
     return words[:n], words[n:]
 
 
@@ -66,7 +75,7 @@ def overlap(part: list[bytes], passage: list[bytes], n: int = NGRAM) -> float:
 class Shard:
     """Items of one shard and their posting lists, impacts as shares of the item's own score."""
 
-    items: np.ndarray
+    items: list[int | None]
     question: list[list[bytes]]
     answer: list[list[bytes]]
     postings: dict[bytes, tuple[list[int], list[float]]]
@@ -176,78 +185,113 @@ class Shard:
                     continue
                 q, a = overlap(self.question[i], passage, ngram), overlap(self.answer[i], passage, ngram)
                 if q >= share and a >= share:
-                    best[i] = {"item": int(self.items[i]), "score": min(1.0, score), "question": q, "answer": a,
+                    best[i] = {"item": self.items[i], "score": min(1.0, score), "question": q, "answer": a,
                                "first_word": int(starts[k])}
         return [best[i] for i in sorted(best)]
 
 
-def _postings(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """Where the shards are."""
+
+    folder: str
+    shards: tuple[str, ...]
+
+
+def _items(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     @F.pandas_udf("array<binary>")
     def split(texts: pd.Series) -> pd.Series:
         return texts.map(words_of)
 
-    return (benchmark.filter(F.col(f"`{id_col}`").isNotNull())
-            .select(F.col(f"`{id_col}`").cast("long").alias("item"), F.col(f"`{text_col}`").alias("text"))
+    return (benchmark.select(F.col(f"`{id_col}`").cast("long").alias("item"), F.col(f"`{text_col}`").alias("text"))
             .dropDuplicates(["item", "text"]).withColumn("words", split("text")).filter("size(words) > 0"))
 
 
-def build_index(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
-                shard_postings: int = SHARD_POSTINGS) -> list[Shard]:
-    """Index shards of the benchmark, each of about `shard_postings` postings at most.
-
-    Document frequencies and lengths are counted in Spark over all items.  Null
-    ids and texts without words are left out; repeated items count once.
-    """
-    items = cut(_postings(benchmark, id_col, text_col))
-    n, longest, total = items.agg(F.count(F.lit(1)), F.max(F.size("words")), F.sum(F.size("words"))).first()
-    if not n:
-        return []
-    stride, mean = max(MIN_STRIDE, longest), total / n
-    pieces = math.ceil(total / shard_postings)
-    df = (items.select(F.explode(F.array_distinct("words")).alias("term"))
-          .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
-    rows = (items.withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.lit(pieces)))
-            .withColumn("len", F.size("words")))
-    counted = (rows.select("shard", "item", "text", "len", F.explode("words").alias("term"))
-               .groupBy("shard", "item", "text", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-               .join(df, "term").groupBy("shard", "item", "text", "len")
-               .agg(F.collect_list(F.struct("term", "tf", "df")).alias("terms")))
-    counted = cut(counted)
-    shards = []
-    for s in range(pieces):
-        part = counted.filter(F.col("shard") == s).orderBy("item", "text").collect()
+def _write_shard(folder: str, n: int, mean: float):
+    """Build the posting lists of a shard's items and write them down."""
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        part = sorted(t.to_pylist(), key=lambda r: (r["item"] is None, r["item"] or 0, r["text"]))
         lists: dict[bytes, tuple[list[int], list[float]]] = {}
         for i, r in enumerate(part):
-            gain = {bytes(x["term"]): math.log1p((n - x["df"] + 0.5) / (x["df"] + 0.5)) * x["tf"] * (K1 + 1)
+            gain = {x["term"]: math.log1p((n - x["df"] + 0.5) / (x["df"] + 0.5)) * x["tf"] * (K1 + 1)
                     / (x["tf"] + K1 * (1 - B + B * r["len"] / mean)) for x in r["terms"]}
-            own = sum(gain.values())
-            for t, g in gain.items():
-                docs, impacts = lists.setdefault(t, ([], []))
+            own = sum(gain[x] for x in sorted(gain))
+            for x, g in gain.items():
+                docs, impacts = lists.setdefault(x, ([], []))
                 docs.append(i)
                 impacts.append(g / own)
         halves = [question_and_answer(r["text"]) for r in part]
-        shards.append(Shard(np.array([r["item"] for r in part], np.int64), [h[0] for h in halves],
-                            [h[1] for h in halves], lists, stride))
-    return shards
+        stride = max(MIN_STRIDE, *(r["len"] for r in part))
+        name = f"shard-{key[0].as_py()}-{key[1].as_py()}"
+        data = ([r["item"] for r in part], [h[0] for h in halves], [h[1] for h in halves], lists, stride)
+        write_whole(folder, name, pickle.dumps(data, protocol=pickle.HIGHEST_PROTOCOL))
+        return pa.table({"name": [name]})
+    return run
 
 
-def contamination(text: Column, docs: DataFrame, shards: list[Shard], threshold: float = THRESHOLD,
-                  share: float = OVERLAP, ngram: int = NGRAM) -> Column:
-    """Array of the verified matches of a text; every shard is broadcast and searched."""
-    sc = docs.sparkSession.sparkContext
-    small_batches(docs.sparkSession)
+def build_index(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text",
+                shard_postings: int = SHARD_POSTINGS) -> Index:
+    """Index shards of the benchmark, each of about `shard_postings` postings at most, in the shared folder.
+
+    Document frequencies and lengths are counted in Spark over all items.  Items
+    without words are left out; repeated items count once; an item without id is an
+    item like any other.  The driver gets the names of the shards.
+    """
+    spark = benchmark.sparkSession
+    items = cut(_items(benchmark, id_col, text_col).withColumn("len", F.size("words")).withColumn(
+        "wide", F.greatest(F.ceil(F.log(F.col("len") / SHORT_WORDS) / math.log(4)), F.lit(0)).cast("int")))
+    n, total = items.agg(F.count(F.lit(1)), F.sum("len")).first()
+    if not n:
+        return Index("", ())
+    folder = shared_folder(spark, "bm25")
+    df = (items.select(F.explode(F.array_distinct("words")).alias("term"))
+          .groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    pieces = items.groupBy("wide").agg(F.ceil(F.sum("len") / shard_postings).alias("pieces"))
+    rows = items.join(pieces, "wide").withColumn("shard", F.pmod(F.xxhash64("item", "text"), F.col("pieces")).cast("int"))
+    key = ["wide", "shard", "item", "text", "len"]
+    counted = (rows.select(*key, F.explode("words").alias("term"))
+               .groupBy(*key, "term").agg(F.count(F.lit(1)).alias("tf"))
+               .join(df, "term").groupBy(*key).agg(F.collect_list(F.struct("term", "tf", "df")).alias("terms")))
+    names = cut(counted.groupBy("wide", "shard").applyInArrow(_write_shard(folder, n, total / n), "name string"))
+    return Index(folder, tuple(sorted(r["name"] for r in names.collect())))
+
 
-    def searcher(shard: Shard):
-        shared = sc.broadcast(shard)
+def _open(index: Index, name: str) -> Shard:
+    return Shard(*pickle.loads(read_whole(index.folder, name)))  # our own file
 
-        @F.pandas_udf(MATCH)
-        def search(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for texts in parts:
-                yield texts.map(lambda t: shared.value.search(t if isinstance(t, str) else None, threshold, share, ngram))
-        return search
 
-    found = [searcher(s)(text) for s in shards]
-    return F.concat(*found) if found else F.array().cast(MATCH)
+def contamination(text: Column, docs: DataFrame, index: Index, threshold: float = THRESHOLD,
+                  share: float = OVERLAP, ngram: int = NGRAM) -> Column:
+    """Array of the verified matches of a text in all shards; whole texts are searched, however long."""
+    small_batches(docs.sparkSession)
+    if not index.shards:
+        return F.array().cast(MATCH)
+
+    @F.pandas_udf(MATCH)
+    def search(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kept = [_open(index, name) for name in index.shards] if len(index.shards) <= KEPT_SHARDS else None
+
+        def searched(group: list[pd.Series]) -> Iterator[pd.Series]:
+            texts = [t if isinstance(t, str) else None for part in group for t in part]
+            found: list[list[dict]] = [[] for _ in texts]
+            for shard in kept or map(_open, repeat(index), index.shards):
+                for i, t in enumerate(texts):
+                    found[i] += shard.search(t, threshold, share, ngram)
+            at = 0
+            for part in group:
+                yield pd.Series(found[at:at + len(part)], dtype=object)
+                at += len(part)
+
+        group, held = [], 0
+        for part in parts:
+            group.append(part)
+            held += sum(len(t) for t in part if isinstance(t, str))
+            if kept or held >= GROUP_CHARS:
+                yield from searched(group)
+                group, held = [], 0
+        yield from searched(group)
+
+    return search(text)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -255,19 +299,20 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """doc_id, item_id, bm25, question_overlap, answer_overlap, first_word of each leak.
 
     A row per document row and item; bm25 is the share of the item's own score.
-    Null and empty texts match nothing; an empty benchmark gives no rows; repeated
-    documents each get their rows.
+    Null and empty texts match nothing; whole texts are searched, however long; an
+    empty benchmark gives no rows; repeated documents each get their rows; an item
+    without id is found under a null item_id.
     """
-    shards = build_index(benchmark)
+    index = build_index(benchmark)
     hit = docs.select(F.col(f"`{id_col}`").alias("doc_id"),
-                      F.explode(contamination(F.col(f"`{text_col}`"), docs, shards, **params)).alias("m"))
+                      F.explode(contamination(F.col(f"`{text_col}`"), docs, index, **params)).alias("m"))
     return hit.select("doc_id", F.col("m.item").alias("item_id"), F.col("m.score").alias("bm25"),
                       F.col("m.question").alias("question_overlap"), F.col("m.answer").alias("answer_overlap"),
                       F.col("m.first_word").alias("first_word"))
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **params) -> DataFrame:
-    """The rows of `docs` that hold no benchmark item."""
-    shards = build_index(benchmark)
-    out = with_columns(docs, __dc=contamination(F.col(f"`{text_col}`"), docs, shards, **params))
+    """The rows of `docs` that hold no benchmark item, of those without id either."""
+    index = build_index(benchmark)
+    out = with_columns(docs, __dc=contamination(F.col(f"`{text_col}`"), docs, index, **params))
     return out.filter(F.size("__dc") == 0).drop("__dc")

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
@@ -23,9 +24,10 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.common import cut, small_batches, with_columns
 
-#: A subtree is template if it stands on this share of the host's different pages, on MIN_PAGES of them at
-#: least; MAX_PAGES of them are enough however large the host.
-MIN_PAGES, MIN_SHARE, MAX_PAGES = 4, 0.1, 50
+#: A container is template if it stands on this share of the host's different pages, on MIN_PAGES of them at
+#: least; MAX_PAGES of them are enough however large the host.  Other elements, which may be a quoted
+#: paragraph, stand on MIN_TEXT_PAGES at least.
+MIN_PAGES, MIN_TEXT_PAGES, MIN_SHARE, MAX_PAGES = 4, 6, 0.1, 50
 #: Words that make an element other than a container worth counting.
 MIN_WORDS = 4
 #: So many templates (8 bytes each) are broadcast; more are joined to the pages by a shuffle.
@@ -45,12 +47,14 @@ NAMES = frozenset("nav navbar navigation menu submenu masthead topbar footer sid
                   "advertisement advertisements advertising sponsored banner cookie cookies gdpr popup modal newsletter "
                   "subscribe signup breadcrumb breadcrumbs pagination pager toolbar searchbox comments commentlist disqus "
                   "replies copyright".split())
+#: Of these, names of what readers write: an article inside is a comment.
+_READERS = frozenset("comments comment commentlist disqus replies".split())
 #: Names that say so as a whole class only, or before a word for a part of a page.
 LOOSE = frozenset("header side rail ad ads adv sponsor sponsors promo promotion consent notice notices notification alert "
                   "overlay subscription login register share sharing social related recommended recommendations comment "
                   "skip search legal".split())
 PARTS = frozenset("bar box button buttons links link list block area section wrapper container form panel slot unit icons "
-                  "posts articles stories items widget banner banners menu message modal popup thread".split())
+                  "posts articles stories items widget banner banners menu message modal popup thread left right top bottom primary secondary".split())
 #: Words that turn a name into a property of the layout.
 _TURNED = frozenset("has no not with without".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -64,11 +68,17 @@ _SCOPES = frozenset("ul ol dl table div section article main body html nav aside
 _WORD = re.compile(r"[a-z]+")
 
 
+#: What a head may hold; anything else ends one that is open.
+_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+
+
 @dataclass(eq=False)
 class Node:
     tag: str
     dropped: bool = False
     name: str = ""
+    spared: bool = False  #: dropped only if the page's main or article isn't in it
+    named: bool = False  #: dropped only if there is other text
     children: list[Node | str] = field(default_factory=list)
     digest: int = 0
     counted: bool = False  #: may be template
@@ -79,28 +89,37 @@ def _names_boilerplate(token: str, is_class: bool) -> bool:
     words = _WORD.findall(token)
     if not words or _TURNED & set(words):
         return False
-    if words[0] in NAMES and is_class or token in NAMES:
+    if token in NAMES:
         return True
     if len(words) == 2 and words[1] in NAMES:  # site-footer, main-nav
         return True
-    return words[0] in LOOSE and (is_class and token == words[0] or len(words) == 2 and words[1] in PARTS)
+    if len(words) == 2 and words[0] in NAMES | LOOSE and words[1] in PARTS:
+        return True
+    return words[0] in LOOSE and is_class and token == words[0]
+
 
+def _is_dropped(tag: str, attrs: dict[str, str | None], in_article: bool) -> tuple[bool, bool, bool]:
+    """Whether an element isn't the article, whether it is spared if the page's article is in it,
+    and whether only its names say so.
 
-def _is_dropped(tag: str, attrs: dict[str, str | None], in_article: bool) -> bool:
+    A form may wrap a whole page, as may an element with a role or a name that its
+    layout gives it; a script or what is hidden may not.
+    """
     if tag in DROPPED or (tag == "header" and not in_article):
-        return True
+        return True, tag in ("form", "header"), False
     if tag in ("html", "body") or (tag == "main" and not in_article):
-        return False
+        return False, False, False
     if "hidden" in attrs or attrs.get("aria-hidden") == "true":
-        return True
+        return True, False, False
     if (attrs.get("role") or "").lower() in ROLES:
-        return True
+        return True, True, False
     if "display:none" in (attrs.get("style") or "").replace(" ", "").lower():
-        return True
-    if tag in _HEADINGS:
-        return False
-    return any(_names_boilerplate(token, a == "class") for a in ("class", "id")
-               for token in (attrs.get(a) or "").lower().split())
+        return True, False, False
+    names = [token for a in ("class", "id") for token in (attrs.get(a) or "").lower().split() if _names_boilerplate(token, a == "class")]
+    if tag in _HEADINGS or not names:
+        return False, False, False
+    by_layout = not any(_READERS & set(_WORD.findall(n)) for n in names)
+    return True, by_layout, by_layout
 
 
 class _Builder(HTMLParser):
@@ -114,7 +133,16 @@ class _Builder(HTMLParser):
     def _close(self, at: int) -> None:
         del self.open[max(1, at):]
 
+    def _end_head(self) -> None:
+        """Close a head that is open: its end tag may be left out."""
+        for i in range(1, len(self.open)):
+            if self.open[i].tag == "head":
+                self._close(i)
+                return
+
     def handle_starttag(self, tag, attrs):
+        if tag not in _HEAD and tag not in ("html", "head"):
+            self._end_head()
         if tag in ("html", "body"):
             return
         if tag in _ENDS_P or tag in _SIBLINGS:
@@ -128,7 +156,8 @@ class _Builder(HTMLParser):
                     break
         values = dict(attrs)
         inside = any(n.tag in ("article", "main") for n in self.open)
-        node = Node(tag, _is_dropped(tag, values, inside), (values.get("class") or "").lower())
+        dropped, spared, named = _is_dropped(tag, values, inside)
+        node = Node(tag, dropped, (values.get("class") or "").lower(), spared, named)
         self.open[-1].children.append(node)
         if tag not in VOID:
             self.open.append(node)
@@ -149,6 +178,8 @@ class _Builder(HTMLParser):
                 return
 
     def handle_data(self, data):
+        if self.open[-1].tag == "head" and data.strip():
+            self._end_head()
         self.open[-1].children.append(data)
 
 
@@ -156,9 +187,44 @@ def parse(html: str) -> Node:
     b = _Builder()
     b.feed(html)
     b.close()
+    _spare(b.root)
     return b.root
 
 
+def _spare(root: Node) -> None:
+    """Keep elements that the rules would drop though the page's text is in them.
+
+    If no main or article is left, those that hold one stay; if no text at all is
+    left, the one with the most text that only its class or id drops stays, and so on into it.
+    """
+    held = [n for n in _kept(root) if n.dropped and n.spared]
+    if held and not any(n.tag in ("main", "article") for n in _kept(root) if not n.dropped):
+        for n in held:
+            if any(c.tag in ("main", "article") for c in _ordered(n)[1:]):
+                n.dropped = False
+    while not text_of([root]):
+        held = [n for n in _kept(root) if n.dropped and n.named]
+        if not held:
+            return
+        for n in held:
+            n.dropped = False
+        size = [len(text_of([n])) for n in held]
+        for n in held:
+            n.dropped = True
+        held[size.index(max(size))].dropped = False
+
+
+def _kept(root: Node) -> list[Node]:
+    """Nodes in page order, a dropped one without what is in it; without recursion."""
+    out, stack = [], [root]
+    while stack:
+        n = stack.pop()
+        out.append(n)
+        if not n.dropped:
+            stack += [c for c in reversed(n.children) if isinstance(c, Node)]
+    return out
+
+
 def _ordered(root: Node) -> list[Node]:
     """Nodes, parents first; without recursion, as pages may nest deeply."""
     out = [root]
@@ -250,14 +316,16 @@ def main_text(html: str | None, templates: frozenset[int] = frozenset()) -> str:
     return page_text(root, templates)
 
 
-def _site_key(host: str, digest: int) -> int:
-    """63 bits for a subtree on a host."""
-    return xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"), digest) >> 1
+def _site_key(host: str, node: Node) -> int:
+    """63 bits for a subtree on a host; the last one is set for containers."""
+    h = xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"), node.digest)
+    return h >> 2 << 1 | (node.tag in CONTAINERS)
 
 
 def _page_key(host: str, html: str) -> int:
     """63 bits for a page of a host, equal for copies."""
-    return _site_key(host, xxhash.xxh64_intdigest(html.encode("utf-8", "surrogatepass")))
+    page = xxhash.xxh64_intdigest(html.encode("utf-8", "surrogatepass"))
+    return xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass"), page) >> 1
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +334,7 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
             page = _page_key(host, html)
             # a row of key 0 counts the page itself
-            own = {0, *(_site_key(host, n.digest) for n in hash_subtrees(parse(html)))}
+            own = {0, *(_site_key(host, n) for n in hash_subtrees(parse(html)))}
             hosts += [host] * len(own)
             keys += own
             pages += [page] * len(own)
@@ -284,9 +352,10 @@ def occurrences(pages: DataFrame) -> DataFrame:
     return pages.filter("host <> '' and html is not null").mapInArrow(_subtrees, "host string, key long, page long")
 
 
-def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE,
-                   max_pages: int = MAX_PAGES) -> DataFrame:
-    """(key): subtrees on `min_share` of the host's pages, `min_pages` at least and `max_pages` at most.
+def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_text_pages: int = MIN_TEXT_PAGES,
+                   min_share: float = MIN_SHARE, max_pages: int = MAX_PAGES) -> DataFrame:
+    """(key): subtrees on `min_share` of the host's pages, `min_pages` at least (`min_text_pages` for
+    elements that aren't containers) and `max_pages` at most.
 
     Equal pages count once.  Counts are taken over (host, key, page) rows, so a
     large host is no single group.
@@ -294,15 +363,16 @@ def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: floa
     once = occurrences(pages).distinct().groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"))
     once = cut(once.filter((F.col("n") >= min(min_pages, max_pages)) | (F.col("key") == 0)))
     size = once.filter("key = 0").select("host", F.col("n").alias("pages"))
-    enough = F.least(F.lit(float(max_pages)), F.greatest(F.lit(float(min_pages)), F.lit(min_share) * F.col("pages")))
+    least = F.when(F.col("key") % 2 == 1, F.lit(float(min_pages))).otherwise(F.lit(float(max(min_pages, min_text_pages))))
+    enough = F.least(F.lit(float(max_pages)), F.greatest(least, F.lit(min_share) * F.col("pages")))
     return once.filter("key <> 0").join(size, "host").filter(F.col("n") >= enough).select("key")
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", **params) -> DataFrame:
     """`pages` with text (main text, empty if none) and n_chars (its code points).
 
-    Null and empty html give empty text.  Pages without a host in their url have
-    no site: only the rules apply.  Columns called text or n_chars are replaced;
+    Null and empty html give empty text; long pages are taken whole.  Pages without
+    a host in their url have no site: only the rules apply.  Columns called text or n_chars are replaced;
     repeated rows get equal results.
     """
     spark = pages.sparkSession
@@ -313,7 +383,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", **pa
     keys = cut(site_templates(slim, **params))
     out = pages.withColumn("__hm_site", host)
     if keys.count() <= MAX_BROADCAST:
-        shared = spark.sparkContext.broadcast(frozenset(keys.toArrow()["key"].to_pylist()))
+        shared = spark.sparkContext.broadcast(np.sort(keys.toArrow()["key"].to_numpy()))
 
         @F.pandas_udf("string")
         def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -338,7 +408,7 @@ def _joined(out: DataFrame, slim: DataFrame, html: Column, keys: DataFrame) -> D
     @F.pandas_udf("string")
     def run(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for html, site, own in parts:
-            yield pd.Series([_extract(h if isinstance(h, str) else None, s, frozenset() if k is None else frozenset(map(int, k)))
+            yield pd.Series([_extract(h if isinstance(h, str) else None, s, np.sort(np.array([] if k is None else k, np.int64)))
                              for h, s, k in zip(html, site, own, strict=True)], dtype=object)
 
     of_page = (occurrences(slim).select("key", "page").distinct().join(keys, "key")
@@ -348,14 +418,17 @@ def _joined(out: DataFrame, slim: DataFrame, html: Column, keys: DataFrame) -> D
     return out.withColumn("__hm_text", run(html, "__hm_site", "__hm_keys")).drop("__hm_page", "__hm_of", "__hm_keys")
 
 
-def _extract(html: str | None, host: str, keys: frozenset[int]) -> str:
+def _extract(html: str | None, host: str, keys: np.ndarray) -> str:
+    """Text of a page; `keys`: sorted keys of templates."""
     if not html:
         return ""
     root = parse(html)
-    if not host or not keys:
+    if not host or not len(keys):
         return page_text(root)
-    found = frozenset(n.digest for n in hash_subtrees(root) if _site_key(host, n.digest) in keys)
-    return page_text(root, found)
+    nodes = hash_subtrees(root)
+    own = np.array([_site_key(host, n) for n in nodes], np.int64)
+    hit = keys[np.minimum(np.searchsorted(keys, own), len(keys) - 1)] == own
+    return page_text(root, frozenset(n.digest for n, h in zip(nodes, hit.tolist(), strict=True) if h))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:

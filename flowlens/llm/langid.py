@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import cut, fold, small_batches, with_columns
+from flowlens.llm.common import cut, fold, sampled, small_batches, with_columns
 
 #: Longest piece, and longest run of letters segmented as one word; longer runs are cut into several.
 PIECE_CHARS, WORD_CHARS = 8, 32
@@ -30,6 +30,8 @@ BEGIN = "▁"
 UNKNOWN = 1e-7
 UNDETERMINED = "und"
 _CACHE = 300_000
+#: Languages whose piece probabilities stand side by side.
+LANG_BLOCK = 64
 
 
 def vocabulary(path: str | None = None) -> dict[str, int]:
@@ -109,10 +111,10 @@ class PieceTable:
 class Segmenter:
     """Forward (and backward) sums over the segmentations of many words at once."""
 
-    def __init__(self, vocab: dict[str, int], probs: np.ndarray):
+    def __init__(self, vocab: dict[str, int], probs: np.ndarray, table: PieceTable | None = None):
         # the last two rows: a letter without a piece, and no piece at all
         self.unknown, self.none = len(vocab), len(vocab) + 1
-        self.table = PieceTable(vocab, self.none)
+        self.table = table or PieceTable(vocab, self.none)
         tail = np.zeros((2, probs.shape[1]))
         tail[0] = UNKNOWN
         self.probs = np.concatenate([probs, tail])
@@ -174,34 +176,47 @@ class Segmenter:
 
 @dataclass
 class LanguageModel:
+    """Piece probabilities of each language: what its training words held, and the same share for every other piece."""
+
     langs: list[str]
     vocab: dict[str, int]
-    probs: np.ndarray  #: vocabulary x languages
+    pieces: list[np.ndarray]  #: of each language
+    probs: list[np.ndarray]  #: of these pieces
+    other: np.ndarray  #: of any other piece
     prior: np.ndarray  #: log share of the training documents
+    block: int = LANG_BLOCK  #: languages taken at a time
+
+    def dense(self, lo: int, hi: int) -> np.ndarray:
+        """Vocabulary x languages lo to hi."""
+        out = np.tile(self.other[lo:hi], (len(self.vocab), 1))
+        for k in range(lo, hi):
+            out[self.pieces[k], k - lo] = self.probs[k]
+        return out
+
+    def blocks(self) -> list[tuple[int, int]]:
+        return [(lo, min(lo + self.block, len(self.langs))) for lo in range(0, len(self.langs), self.block)]
 
     def predictor(self):
-        seg, langs, prior = Segmenter(self.vocab, self.probs), self.langs, self.prior
-        place: dict[str, int] = {}
-        known = np.zeros((_CACHE, len(langs)))
+        """Scores texts; languages are taken in blocks, and with one block words keep their sums."""
+        langs, blocks = self.langs, self.blocks()
+        table = PieceTable(self.vocab, len(self.vocab) + 1)
+        only = _WordSums(Segmenter(self.vocab, self.dense(*blocks[0]), table)) if len(blocks) == 1 else None
 
         def predict(texts: list[str | None]) -> list[tuple[str, float]]:
-            nonlocal known
             counted = [Counter(words_of(t)) for t in texts]
-            fresh = list(dict.fromkeys(w for c in counted for w in c if w not in place))
-            if len(place) + len(fresh) > len(known):
-                place.clear()
-                fresh = list(dict.fromkeys(w for c in counted for w in c))
-                known = np.zeros((max(_CACHE, len(fresh)), len(langs)))
-            at = len(place)
-            known[at:at + len(fresh)] = seg.forward(fresh)
-            place.update(zip(fresh, range(at, at + len(fresh)), strict=True))
+            words = list(dict.fromkeys(w for c in counted for w in c))
+            scores = np.tile(self.prior, (len(counted), 1))
+            for lo, hi in blocks:
+                sums = only or _WordSums(Segmenter(self.vocab, self.dense(lo, hi), table))
+                known = sums.learn(words)
+                for i, c in enumerate(counted):
+                    rows = np.fromiter(map(sums.place.__getitem__, c), np.int64, len(c))
+                    scores[i, lo:hi] += np.fromiter(c.values(), float, len(c)) @ known[rows]
             out = []
-            for c in counted:
+            for c, score in zip(counted, scores, strict=True):
                 if not langs or not any(ch.isalpha() for w in c for ch in w):
                     out.append((UNDETERMINED, 0.0))
                     continue
-                rows = np.fromiter(map(place.__getitem__, c), np.int64, len(c))
-                score = prior + np.fromiter(c.values(), float, len(c)) @ known[rows]
                 post = np.exp(score - score.max())
                 best = int(post.argmax())
                 out.append((langs[best], float(post[best] / post.sum())))
@@ -210,6 +225,28 @@ class LanguageModel:
         return predict
 
 
+class _WordSums:
+    """Log probabilities of words, kept until they take too much room."""
+
+    def __init__(self, segmenter: Segmenter):
+        self.segmenter, self.place = segmenter, {}
+        self.known = np.zeros((0, segmenter.probs.shape[1]))
+
+    def learn(self, words: list[str]) -> np.ndarray:
+        fresh = [w for w in words if w not in self.place]
+        if len(self.place) + len(fresh) > _CACHE:
+            self.place.clear()
+            fresh = words
+        at, need = len(self.place), len(self.place) + len(fresh)
+        if need > len(self.known):
+            grown = np.zeros((min(max(need, 2 * len(self.known), 4096), max(need, _CACHE)), self.known.shape[1]))
+            grown[:at] = self.known[:at]
+            self.known = grown
+        self.known[at:need] = self.segmenter.forward(fresh)
+        self.place.update(zip(fresh, range(at, need), strict=True))
+        return self.known
+
+
 def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         seen: Counter = Counter()
@@ -221,52 +258,75 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 names=["lang", "word", "n"])
 
 
-def _expectation(vocab: dict[str, int], probs: np.ndarray, langs: list[str]):
-    number = {x: i for i, x in enumerate(langs)}
-
+def _expectation(shared):
+    """Expected pieces of the counted words, by language; a task takes its languages block by block."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seg, total = Segmenter(vocab, probs), np.zeros_like(probs)
+        model: LanguageModel = shared.value
+        number = {x: i for i, x in enumerate(model.langs)}
+        table = PieceTable(model.vocab, len(model.vocab) + 1)
+        at, seg, total = -1, None, None
+
+        def sums() -> pa.RecordBatch:
+            piece, lang = np.nonzero(total)
+            return pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array((lang + at * model.block).astype(np.int32)),
+                                               pa.array(total[piece, lang])], names=["piece", "lang", "n"])
+
         for b in batches:
-            total += seg.expected(b.column("word").to_pylist(), b.column("n").to_numpy().astype(float),
-                                  np.array([number[x] for x in b.column("lang").to_pylist()]))
-        piece, lang = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)),
-                                          pa.array(total[piece, lang])], names=["piece", "lang", "n"])
+            words, n = np.array(b.column("word").to_pylist(), object), b.column("n").to_numpy().astype(float)
+            lang = np.array([number[x] for x in b.column("lang").to_pylist()])
+            for block in np.unique(lang // model.block):
+                if block != at:
+                    if seg is not None:
+                        yield sums()
+                    at, lo, hi = int(block), *model.blocks()[block]
+                    dense = model.dense(lo, hi)
+                    seg, total = Segmenter(model.vocab, dense, table), np.zeros_like(dense)
+                mine = lang // model.block == block
+                total += seg.expected(words[mine].tolist(), n[mine], lang[mine] - at * model.block)
+        if seg is not None:
+            yield sums()
     return run
 
 
 def train(docs: DataFrame, docs_per_lang: int = 600, rounds: int = 3, smoothing: float = 0.02,
-          vocab_path: str | None = None, max_langs: int = 500) -> LanguageModel:
+          vocab_path: str | None = None, lang_block: int = LANG_BLOCK) -> LanguageModel:
     """Fit piece probabilities on text and lang of `docs` (columns doc_id, text, lang).
 
     The bounded sample: about `docs_per_lang` documents of each language, those
-    whose hash of the id falls under the language's share; whole texts are used.
-    What reaches the driver is one number for each piece and language, at most
-    the vocabulary times `max_langs`; more languages raise ValueError.
+    whose hash of id and text falls under the language's share; whole texts are
+    used.  There may be any number of languages: what reaches the driver, and
+    each worker, is one number for each language and piece that its sample holds.
     """
     vocab = vocabulary(vocab_path)
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     labelled = docs.filter("lang is not null and text is not null")
-    per_lang = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(max_langs + 1).collect()
-    if len(per_lang) > max_langs:
-        raise ValueError(f"more than {max_langs} languages")
-    langs = [r["lang"] for r in per_lang]
-    size = np.array([r["n"] for r in per_lang], float)
+    per_lang = cut(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("docs")))
+    found = per_lang.orderBy("lang").collect()
+    langs, size = [r["lang"] for r in found], np.array([r["docs"] for r in found], float)
+    # every piece is as likely as another at first
+    model = LanguageModel(langs, vocab, [np.zeros(0, np.int32)] * len(langs), [np.zeros(0)] * len(langs),
+                          np.full(len(langs), 1 / max(len(vocab), 1)), np.log(size / size.sum()) if langs else size, lang_block)
     if not langs:
-        return LanguageModel([], vocab, np.zeros((len(vocab), 0)), np.zeros(0))
-    at = F.pmod(F.xxhash64(F.lit("langid"), "doc_id"), F.lit(1_000_000))
-    share = F.create_map(*[F.lit(x) for r in per_lang for x in (r["lang"], int(1e6 * min(1.0, docs_per_lang / r["n"])))])
-    sample = labelled.filter(at < share[F.col("lang")]).select("lang", "text")
-    counts = cut(sample.mapInArrow(_word_counts, "lang string, word string, n long")
-                 .groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    probs = np.full((len(vocab), len(langs)), 1 / len(vocab))
+        return model
+    sample = labelled.join(per_lang.withColumnRenamed("lang", "of"), F.col("lang") == F.col("of")).filter(
+        sampled(docs_per_lang, F.col("docs"), F.lit("langid"), F.col("doc_id"), F.col("text"))).select("lang", "text")
+    counts = (sample.mapInArrow(_word_counts, "lang string, word string, n long")
+              .groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    if len(langs) > lang_block:
+        counts = counts.repartitionByRange("lang").sortWithinPartitions("lang")
+    counts = cut(counts)
     for _ in range(rounds):
-        found = (counts.mapInArrow(_expectation(vocab, probs, langs), "piece int, lang int, n double")
-                 .groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas())
-        total = np.full(probs.shape, smoothing)
-        np.add.at(total, (found["piece"].to_numpy(), found["lang"].to_numpy()), found["n"].to_numpy())
-        probs = total / total.sum(axis=0)
-    return LanguageModel(langs, vocab, probs, np.log(size / size.sum()))
+        shared = spark.sparkContext.broadcast(model)
+        sums = (counts.mapInArrow(_expectation(shared), "piece int, lang int, n double")
+                .groupBy("piece", "lang").agg(F.sum("n").alias("n")).toPandas().sort_values(["lang", "piece"]))
+        lang, piece, n = sums["lang"].to_numpy(), sums["piece"].to_numpy(), sums["n"].to_numpy()
+        edges = np.searchsorted(lang, np.arange(len(langs) + 1))
+        total = np.add.reduceat(np.append(n, 0.0), edges[:-1]) * (np.diff(edges) > 0) + smoothing * len(vocab)
+        parts = [slice(lo, hi) for lo, hi in zip(edges[:-1], edges[1:], strict=True)]
+        model = LanguageModel(langs, vocab, [piece[p] for p in parts], [(n[p] + smoothing) / t for p, t in zip(parts, total, strict=True)],
+                              smoothing / total, model.prior, lang_block)
+    return model
 
 
 def _predicted(docs: DataFrame, model: LanguageModel, text_col: str) -> DataFrame:

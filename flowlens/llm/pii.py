@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import small_batches, with_columns
+from flowlens.llm.common import sampled, small_batches, with_columns
 
 KINDS = ("email", "ip", "card", "phone")
 #: Label 0 is none of these; the others are the kinds in order.
@@ -363,18 +363,19 @@ def _training_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                                               pa.array([is_hidden] * len(n), pa.bool_())], names=["row", "n", "hidden"])
 
 
-def train(docs: DataFrame, sample_docs: int = 3000, steps: int = 300, ridge: float = 1e-3) -> SkipChainCRF:
+def train(docs: DataFrame, sample_docs: int = 3000, steps: int = 300, ridge: float = 1e-3,
+          n_docs: int | None = None) -> SkipChainCRF:
     """Fit the potentials by pseudo-likelihood, the base spans being the labels.
 
     Partial mentions of the base spans weigh as much as all else, each kind as
     much as another: they are rare, but what the field is for.
     `sample_docs` bounds the sample: about that many rows of `docs` (doc_id,
-    text) by the hash of id and text.  Equal rows are counted in Spark.
+    text) by the hash of id and text; `n_docs` is their number, counted if not
+    given.  Equal rows are counted in Spark.
     """
     small_batches(docs.sparkSession)
-    n = docs.count()
-    at = F.pmod(F.xxhash64(F.lit("pii"), "doc_id", "text"), F.lit(1_000_000))
-    sample = docs.filter(at < F.lit(int(1e6 * min(1.0, sample_docs / max(1, n))))).select("text")
+    rows = F.lit(docs.count() if n_docs is None else n_docs)
+    sample = docs.filter(sampled(sample_docs, rows, F.lit("pii"), F.col("doc_id"), F.col("text"))).select("text")
     rows = (sample.mapInArrow(_training_rows, "row array<long>, n long, hidden boolean")
             .groupBy("row", "hidden").agg(F.sum("n").alias("n")).orderBy("row", "hidden").toPandas())
     size = N_FEATURES + 2 * N_LABELS
@@ -430,13 +431,8 @@ def redact(text: str, spans: list[Span]) -> str:
     return "".join(out) + text[done:]
 
 
-def scan(docs: DataFrame, model: SkipChainCRF, text_col: str = "text", marginal: float = MARGINAL) -> DataFrame:
-    """`docs` with `pii`: base (string), spans (string), counts by kind, redacted text.
-
-    Null texts: no spans, redacted stays null.  A column called pii is replaced;
-    repeated rows get equal results.
-    """
-    spark = docs.sparkSession
+def _finder(spark, model: SkipChainCRF, marginal: float):
+    """A column function: base (string), spans (string), counts by kind, redacted text."""
     small_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
@@ -451,7 +447,16 @@ def scan(docs: DataFrame, model: SkipChainCRF, text_col: str = "text", marginal:
                              redact(t, every) if every else t))
             yield pd.DataFrame(rows, columns=["base", "spans", "n", "redacted"])
 
-    return with_columns(docs, pii=find(F.col(f"`{text_col}`")))
+    return find
+
+
+def scan(docs: DataFrame, model: SkipChainCRF, text_col: str = "text", marginal: float = MARGINAL) -> DataFrame:
+    """`docs` with `pii`: base (string), spans (string), counts by kind, redacted text.
+
+    Null texts: no spans, redacted stays null.  Texts are taken whole, however long.
+    A column called pii is replaced; repeated rows get equal results.
+    """
+    return with_columns(docs, pii=_finder(docs.sparkSession, model, marginal)(F.col(f"`{text_col}`")))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -462,21 +467,25 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
                         F.col("pii.spans").alias("spans"))
 
 
-def mask(docs: DataFrame) -> DataFrame:
-    """`docs` with personal data replaced in text; n_chars follows where it is a column."""
-    found = scan(docs.withColumn("__text", F.col("text")), train(docs.select("doc_id", "text")), "__text")
-    red = F.col("pii.redacted")
-    out = found.withColumn("__red", red)
+def mask(docs: DataFrame, marginal: float = MARGINAL) -> DataFrame:
+    """`docs` with personal data replaced in text; n_chars follows where it is a column.
+
+    All other columns, whatever their names, stay as they are.
+    """
+    text = F.col("text")
+    find = _finder(docs.sparkSession, train(docs.select("doc_id", "text")), marginal)
+    # the input's columns go along as one struct, so no name of theirs meets one of ours
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), find(text).alias("found"))
+    red = F.col("found.redacted")
     cols = []
     for c in docs.columns:
+        old = F.col("row").getField(c)
         if c == "text":
-            cols.append(F.col("__red").alias("text"))
+            old = red
         elif c == "n_chars":
-            changed = ~F.col("__red").eqNullSafe(F.col("text"))
-            cols.append(F.when(changed, F.length("__red").cast(docs.schema["n_chars"].dataType))
-                        .otherwise(F.col("n_chars")).alias("n_chars"))
-        else:
-            cols.append(F.col(f"`{c}`"))
+            changed = ~red.eqNullSafe(F.col("row").getField("text"))
+            old = F.when(changed, F.length(red).cast(docs.schema["n_chars"].dataType)).otherwise(old)
+        cols.append(old.alias(c))
     return out.select(*cols)
 
 

@@ -137,7 +137,9 @@ def test_block_max_wand_matches_scoring_all(spark):
     words = [f"w{i}" for i in range(60)] + ["the", "of"] * 20
     items = [(i, item(rng, rng.randrange(6, 40), words)) for i in range(300)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    (shard,) = decontaminate.build_index(bench)
+    index = decontaminate.build_index(bench)
+    (name,) = index.shards
+    shard = decontaminate._open(index, name)
     for k in range(40):
         passage = [rng.choice(words).encode() for _ in range(rng.randrange(1, 80))] + decontaminate.words_of(items[k][1])
         terms = list({w for w in passage if w in shard.postings})
@@ -169,13 +171,46 @@ def test_leaks_are_found_and_clean_documents_left(spark):
     dirty = {d for d, _ in want}
     kept = decontaminate.drop_leaks(df, bench)
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, _ in rows if i not in dirty)
-    shards = decontaminate.build_index(bench, shard_postings=300)
-    assert len(shards) > 2
-    two = df.select("doc_id", F.explode(decontaminate.contamination(F.col("text"), df, shards)).alias("m")).select("doc_id", "m.item")
+    index = decontaminate.build_index(bench, shard_postings=300)
+    assert len(index.shards) > 2
+    two = df.select("doc_id", F.explode(decontaminate.contamination(F.col("text"), df, index)).alias("m")).select("doc_id", "m.item")
     assert Counter(map(tuple, two.collect())) == want
     assert decontaminate.find_leaks(df, bench.limit(0)).count() == 0 and decontaminate.find_leaks(df.limit(0), bench).count() == 0
 
 
+def test_an_edited_short_answer_is_found(spark):
+    question = " ".join(f"q{i}" for i in range(30))
+    bench = spark.createDataFrame([(1, f"{question}? north pole.")], "item_id long, text string")
+    df = docs(spark, [(1, f"{question}? north wind."), (2, f"{question}?"), (3, f"{question}? north pole."), (4, "north pole")])
+    # seven words make the answer: of their five 3-grams one differs, or all of a missing answer's two
+    assert sorted(r["doc_id"] for r in decontaminate.find_leaks(df, bench).collect()) == [1, 2, 3]
+    q, a = decontaminate.question_and_answer(f"{question}? north pole.")
+    assert (len(q), len(a)) == (24, 8) and a[-2:] == [b"north", b"pole"]
+
+
+def test_items_without_id_are_found_and_dropped(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve"
+    bench = spark.createDataFrame([(None, text), (5, "alpha beta gamma delta epsilon zeta eta theta")], "item_id long, text string")
+    df = docs(spark, [(1, f"x {text} y"), (2, "nothing of the kind")])
+    assert [tuple(r) for r in decontaminate.find_leaks(df, bench).select("doc_id", "item_id").collect()] == [(1, None)]
+    assert [r["doc_id"] for r in decontaminate.drop_leaks(df, bench).collect()] == [2]
+
+
+def test_long_items_have_shards_of_their_own(spark, monkeypatch):
+    rng = random.Random(11)
+    vocab = [f"w{i}" for i in range(5000)]
+    items = [(i, " ".join(rng.choice(vocab) for _ in range(n))) for i, n in enumerate([20, 40, 60, 1500, 6000])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    index = decontaminate.build_index(bench)
+    strides = sorted(decontaminate._open(index, n).stride for n in index.shards)
+    assert strides == [64, 1500, 6000]
+    filler = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    rows = [(i, f"{filler(300)} {t} {filler(200)}") for i, t in items] + [(50, filler(20_000)), (51, None)]
+    monkeypatch.setattr(decontaminate, "GROUP_CHARS", 1000)
+    out = decontaminate.find_leaks(docs(spark, rows), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in out) == [(i, i) for i in range(5)]
+
+
 # --- language model -------------------------------------------------------
 
 def held_out(i):

@@ -1,6 +1,7 @@
 """Extraction, language id, licences, personal data, formatting, mixing."""
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -116,6 +117,62 @@ def test_templates_of_one_host_stay_on_another(spark, monkeypatch):
         assert got[10] == got[11] == "the same long notice on all pages own 0" and got[12] == ""
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<html><head><title>t</title><body><p>Hello world article text here</p></body></html>", "Hello world article text here"),
+    ("<html><head><title>t</title><meta charset=utf-8><p>no body tag</p></html>", "no body tag"),
+    ("<head><title>t</title>bare text", "bare text"),
+    ("<head><style>p {}</style><script>x</script></head><p>y</p>", "y"),
+    ('<div class="wrapper nav-open"><p>text</p></div>', "text"),
+    ('<div id="page" class="sidebar-left"><article>the article</article></div><div class="sidebar">side</div>', "the article"),
+    ('<div class="menu-open"><p>text</p></div>', "text"),
+    ('<p class="copyright-law">The law of copyright.</p>', "The law of copyright."),
+    ('<div class="banner-story">story</div><div class="banner">buy</div>', "story"),
+    ('<form id="f"><div class="menu">m</div><main><p>in a form</p></main></form>', "in a form"),
+    ('<div class="sidebar"><div class="modal"><p>all there is</p></div></div>', "all there is"),
+    ('<div><p>the text of the page</p></div><section class="comments"><article>a reader</article></section>', "the text of the page"),
+    ("<form><p>your name</p></form>", ""), ("<nav><article>menu</article></nav><p>real</p>", "real"),
+])
+def test_layout_does_not_empty_a_page(page, text):
+    assert html_main.main_text(page) == text
+
+
+def test_templates_match_a_plain_count(spark):
+    """Subtrees counted per host by walking every tree anew, against the counts taken in Spark."""
+    rng = random.Random(5)
+    boxes = ["<div class='box'>one</div>", "<p>a quoted paragraph of many words</p>", "<div><p>nested words stand here</p><b>x</b></div>"]
+    pages = []
+    for host, n in (("a.example", 30), ("b.example", 5), ("c.example", 3)):
+        pages += [(f"https://{host}/{i}", "<body>" + "".join(b for b in boxes if rng.random() < 0.6) + f"<p>own words of page {host} {i}</p></body>")
+                  for i in range(n)]
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+
+    def source(n):
+        return n if isinstance(n, str) else f"<{n.tag}|{n.name}>{''.join(map(source, n.children))}</>"
+
+    seen = {}
+    for url, html in set(pages):
+        root = html_main.parse(html)
+        for s in {(source(n), n.tag in html_main.CONTAINERS) for n in html_main.hash_subtrees(root)}:
+            seen.setdefault((url.split("/")[2], *s), set()).add(html)
+    size = {h: len({x for u, x in pages if u.split("/")[2] == h}) for h in ("a.example", "b.example", "c.example")}
+    template = {k[:2] for k, of in seen.items()
+                if len(of) >= min(html_main.MAX_PAGES, max(html_main.MIN_PAGES if k[2] else html_main.MIN_TEXT_PAGES, 0.1 * size[k[0]]))}
+
+    def plain(n, host):
+        if isinstance(n, str):
+            return n
+        if n.counted and (host, source(n)) in template:
+            return " "
+        edge = "" if n.tag in html_main.INLINE else " "
+        return edge + "".join(plain(c, host) for c in n.children) + edge
+
+    for i, text in ((r["page_id"], r["text"]) for r in html_main.extract_pages(df).collect()):
+        root = html_main.parse(pages[i][1])
+        html_main.hash_subtrees(root)
+        assert text == " ".join(plain(root, pages[i][0].split("/")[2]).split())
+    assert any(h == "a.example" and "quoted" in x for h, x in template) and not any(h == "b.example" and "<p|" in x[:3] for h, x in template)
+
+
 # --- language -------------------------------------------------------------
 
 def test_forward_sums_all_segmentations():
@@ -173,6 +230,58 @@ def test_language_of_empty_table(spark):
     assert langid.keep_identified(only.withColumn("score", F.lit("mine"))).count() == 0
 
 
+def test_any_number_of_languages(spark):
+    base = {"xa": "kolo meta zupi ", "xb": "grand thirl own ", "xc": "ñuña peso días "}
+    rows = [(i, base[x] * 20, x, "s", 1) for i, x in enumerate([*base] * 40)]
+    rows += [(1000 + i, f"stray{i} text", f"l{i:04d}", "s", 1) for i in range(1000)]
+    model = langid.train(docs(spark, rows).select("doc_id", "text", "lang"))
+    assert len(model.langs) == 1003 and len(model.blocks()) == 16
+    got = model.predictor()(["meta zupi kolo", "own thirl", "días peso", "123", None])
+    assert [x for x, _ in got] == ["xa", "xb", "xc", "und", "und"]
+    assert all(abs(model.dense(lo, hi).sum(axis=0) - 1).max() < 1e-9 for lo, hi in model.blocks())
+
+
+def test_blocks_of_languages_score_as_one(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    texts = [r["text"] for r in d.limit(30).collect()]
+    one = langid.train(d, docs_per_lang=30)
+    want = one.predictor()(texts)
+    two = langid.train(d, docs_per_lang=30, lang_block=3)
+    assert len(two.blocks()) == 2
+    two = two.predictor()(texts)
+    one.block = 1
+    assert len(one.blocks()) == 4
+    for a, b, c in zip(want, one.predictor()(texts), two, strict=True):
+        assert a[0] == b[0] == c[0] and math.isclose(a[1], b[1], abs_tol=1e-9) and math.isclose(a[1], c[1], abs_tol=1e-6)
+
+
+def test_samples_hold_at_any_size(spark):
+    from flowlens.llm.common import sampled
+    df = spark.range(200_000).select(F.col("id").alias("doc_id"), F.lit("same").alias("text"))
+    size = lambda wanted, n: df.filter(sampled(wanted, F.lit(n), F.col("doc_id"), F.col("text"))).count()
+    assert size(200_000, 200_000) == size(300_000, 1000) == 200_000
+    assert 1800 < size(2000, 200_000) < 2200
+    # one in a billion is a share like any other
+    assert spark.range(1).select(sampled(600, F.lit(10**13), F.lit(1)).alias("x")).first()["x"] is not None
+    low = spark.range(1).select((F.least(F.lit(600.0) / F.lit(10**13), F.lit(1.0)) * F.lit(2.0**63 - 1024)).cast("long").alias("x")).first()["x"]
+    assert low > 10**8
+    # null and repeated ids don't fall in or out together
+    alike = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    assert 800 < alike.filter(sampled(1000, F.lit(20_000), F.col("doc_id"), F.col("text"))).count() < 1200
+
+
+def test_masking_keeps_columns_of_any_name(spark):
+    names = ["pii", "__text", "__red", "row", "found", "licence", "lm", "__li", "__dc"]
+    df = spark.createDataFrame([(1, "mail joe.smith@example.com now", 30, *names), (2, None, None, *names), (3, "clean", 5, *names)],
+                               "doc_id long, text string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    out = pii.mask(df)
+    assert out.columns == df.columns
+    by = {r["doc_id"]: r for r in out.collect()}
+    assert by[1]["text"] == "mail [EMAIL] now" and by[1]["n_chars"] == 16
+    assert (by[2]["text"], by[3]["text"], by[3]["n_chars"]) == (None, "clean", 5)
+    assert all(by[i][n] == n for i in by for n in names)
+
+
 # --- licences -------------------------------------------------------------
 
 def slow_base(text):
