@@ -58,7 +58,8 @@ def dns_rcode_name(rcode) -> Column:
 
 def ip_proto_name(num) -> Column:
     n = _c(num)
-    return _case(n, IP_PROTOCOLS, F.format_string("PROTO_%d", n))
+    names = F.create_map(*[x for k, v in IP_PROTOCOLS.items() for x in (F.lit(k).cast("bigint"), F.lit(v))])
+    return F.coalesce(F.try_element_at(names, n.cast("bigint")), F.format_string("PROTO_%d", n))
 
 
 def classify_protocol(protocol, src_port, dst_port) -> Column:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.ip import is_external_like
 from flowlens.functions.timewin import as_of_col, interval, since, window_interval
+from flowlens.session import ensure_checkpoint_dir
 
 
 def _top(df: DataFrame, k: int | None, *order: Column) -> DataFrame:
@@ -225,14 +226,16 @@ def external_destinations(flows: DataFrame, window: str = "24h", as_of=None, k:
     """Per public-looking dst (reference LIKE test): port/protocol of the latest
     flow, flows, bytes out, last seen and up to 5 sources (smallest first)."""
     f = since(flows, window, as_of).filter(is_external_like("dst_ip") & (F.col("dst_ip") != "::1"))
-    agg = f.groupBy("dst_ip").agg(
-        F.max_by("dst_port", F.struct("ts", "id")).alias("dst_port"),
-        F.max_by("protocol", F.struct("ts", "id")).alias("protocol"),
-        F.count(F.lit(1)).alias("flow_count"),
-        F.sum("bytes_out").alias("bytes_out"),
-        F.max("ts").alias("last_seen"))
+    # the flows are read once: rows of (destination, source) hold the totals and the sources
+    ensure_checkpoint_dir(flows.sparkSession)
+    pair = f.groupBy("dst_ip", "src_ip").agg(
+        F.max(F.struct("ts", "id", "dst_port", "protocol")).alias("last"),
+        F.count(F.lit(1)).alias("flow_count"), F.sum("bytes_out").alias("bytes_out")).checkpoint()
+    agg = pair.groupBy("dst_ip").agg(F.max("last").alias("last"), F.sum("flow_count").alias("flow_count"),
+                                     F.sum("bytes_out").alias("bytes_out"))
+    agg = agg.select("dst_ip", "last.dst_port", "last.protocol", "flow_count", "bytes_out", F.col("last.ts").alias("last_seen"))
     top = _top(agg, k, F.desc("bytes_out"), "dst_ip")
-    sources = smallest_values(f.join(top.select("dst_ip"), "dst_ip", "left_semi"), ["dst_ip"], "src_ip", max_sources, "src_ips")
+    sources = smallest_values(pair.join(top.select("dst_ip"), "dst_ip", "left_semi"), ["dst_ip"], "src_ip", max_sources, "src_ips")
     return top.join(sources, "dst_ip", "left").withColumn("src_ips", F.coalesce("src_ips", F.array().cast("array<string>")))
 
 

@@ -379,11 +379,12 @@ def evaluate_policies(flows: DataFrame, policies: DataFrame) -> DataFrame:
         F.col("process_name").alias("p_process"), "action", F.col("dst_ip_cidr"),
         F.col("dst_port").alias("p_port"), "p_lo", "p_hi",
         (is_v4_key(F.col("p_lo")) & (F.col("p_bits") >= 96)).alias("p_v4"))
-    f = flows.withColumn("_key", ip_key("dst_ip"))
-    inside = F.col("_key").between(F.col("p_lo"), F.col("p_hi")) & (is_v4_key(F.col("_key")) == F.col("p_v4"))
-    cond = ((F.col("process_name") == F.col("p_process")) & ((F.col("dst_ip_cidr") == "") | inside)
-            & ((F.col("p_port") == 0) | (F.col("dst_port") == F.col("p_port"))))
-    return f.join(p, cond).select(
+    # the plain tests come first: an address key is made only where a policy of the process has a network
+    key = ip_key("dst_ip")
+    inside = key.between(F.col("p_lo"), F.col("p_hi")) & (is_v4_key(key) == F.col("p_v4"))
+    cond = ((F.col("process_name") == F.col("p_process")) & ((F.col("p_port") == 0) | (F.col("dst_port") == F.col("p_port")))
+            & F.when(F.col("dst_ip_cidr") == "", F.lit(True)).otherwise(inside))
+    return flows.join(p, cond).select(
         "policy_id", "policy_name", "action", F.col("id").alias("flow_id"), "agent_id", "hostname",
         "process_name", "pid", "src_ip", "dst_ip", "dst_port", "protocol", F.col("ts").alias("detected_at"))
 

@@ -35,6 +35,8 @@ def get_spark(master: str | None = None, app: str = "flowlens",
         .config("spark.sql.files.maxPartitionBytes", str(128 * 1024 * 1024))
         # broadcast only sides that the optimizer can prove small
         .config("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
+        # methods over 8,000 bytes are never compiled by the JVM; such a stage runs in compiled pieces instead
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))

@@ -31,6 +31,10 @@ def _int(text: Column) -> Column:
     return F.coalesce(F.when(text.rlike(r"^-?[0-9]{1,18}$"), text.cast("bigint")), F.lit(0).cast("bigint"))
 
 
+#: Seconds at the start of the year 2000, UTC.
+_YEAR_2000 = 946_684_800
+
+
 def _row_id(*parts: Column) -> Column:
     h = F.sha2(F.concat_ws("\u0001", *parts), 256)
     return F.concat_ws("-", h.substr(1, 8), h.substr(9, 4), h.substr(13, 4), h.substr(17, 4), h.substr(21, 12))
@@ -51,24 +55,24 @@ def parse_aws_vpc(lines: DataFrame, source_id: str, source_name: str, col: str =
     when positive; start before 2000 -> ingest time; bytes split half in, rest out.
     REJECT records are kept."""
     f = F.split(F.regexp_replace(F.col(col), r"^\s+|\s+$", ""), r"\s+")
-    d = lines.select(F.col(col).alias("_line"), f.alias("f"))
-    d = d.filter((F.size("f") >= 14) & (F.get("f", 0) != "version")
-                 & ~F.get("f", 13).isin("NODATA", "SKIPDATA")
-                 & is_valid_ip(F.get("f", 3)) & is_valid_ip(F.get("f", 4)))
-    start, end = _int(F.get("f", 10)), _int(F.get("f", 11))
-    byts = _uint(F.get("f", 9))
-    ts = F.timestamp_seconds(start)
-    ts = F.when(F.year(ts) < 2000, _now(ingest_time)).otherwise(ts)
-    out = d.select(
+    # fields that several columns are made of are taken out once; the row's text stays for its id
+    d = lines.select(F.col(col).alias("_line"), f.alias("f")).filter(
+        (F.size("f") >= 14) & (F.get("f", 0) != "version") & ~F.get("f", 13).isin("NODATA", "SKIPDATA"))
+    d = d.select("_line", *[F.get("f", i).alias(n) for i, n in (
+        (3, "src_ip"), (4, "dst_ip"), (5, "src"), (6, "dst"), (7, "proto"), (9, "byts"), (10, "start"), (11, "end"), (12, "action"))])
+    d = d.filter(is_valid_ip("src_ip") & is_valid_ip("dst_ip"))
+    d = d.withColumns({"start": _int(F.col("start")), "end": _int(F.col("end")), "byts": _uint(F.col("byts"))})
+    ts = F.timestamp_seconds("start")
+    half = F.floor(F.col("byts") / 2).cast("bigint")
+    return d.select(
         _row_id(F.lit(source_id), F.col("_line")).alias("id"), F.lit(source_id).alias("agent_id"),
-        F.lit(source_name).alias("hostname"), ts.alias("ts"),
-        ip_proto_name(_uint(F.get("f", 7), 255)).alias("protocol"),
-        F.get("f", 3).alias("src_ip"), _uint(F.get("f", 5), 65535).cast("int").alias("src_port"),
-        F.get("f", 4).alias("dst_ip"), _uint(F.get("f", 6), 65535).cast("int").alias("dst_port"),
-        F.floor(byts / 2).cast("bigint").alias("bytes_in"), (byts - F.floor(byts / 2)).cast("bigint").alias("bytes_out"),
-        F.when(end > start, (end - start) * 1000).otherwise(0).cast("bigint").alias("duration_ms"),
-        F.get("f", 12).alias("action"), F.lit("aws-vpc").alias("source"))
-    return out
+        F.lit(source_name).alias("hostname"), F.when(F.col("start") < _YEAR_2000, _now(ingest_time)).otherwise(ts).alias("ts"),
+        ip_proto_name(_uint(F.col("proto"), 255)).alias("protocol"),
+        "src_ip", _uint(F.col("src"), 65535).cast("int").alias("src_port"),
+        "dst_ip", _uint(F.col("dst"), 65535).cast("int").alias("dst_port"),
+        half.alias("bytes_in"), (F.col("byts") - half).alias("bytes_out"),
+        F.when(F.col("end") > F.col("start"), (F.col("end") - F.col("start")) * 1000).otherwise(0).cast("bigint").alias("duration_ms"),
+        "action", F.lit("aws-vpc").alias("source"))
 
 
 GCP_SCHEMA = T.StructType([
