@@ -309,7 +309,8 @@ def train(docs: DataFrame, docs_per_lang: int = 600, rounds: int = 3, smoothing:
                           np.full(len(langs), 1 / max(len(vocab), 1)), np.log(size / size.sum()) if langs else size, lang_block)
     if not langs:
         return model
-    sample = labelled.join(per_lang.withColumnRenamed("lang", "of"), F.col("lang") == F.col("of")).filter(
+    # a row a language, all of which the model holds as well; a join by language would move the texts
+    sample = labelled.join(F.broadcast(per_lang.withColumnRenamed("lang", "of")), F.col("lang") == F.col("of")).filter(
         sampled(docs_per_lang, F.col("docs"), F.lit("langid"), F.col("doc_id"), F.col("text"))).select("lang", "text")
     counts = (sample.mapInArrow(_word_counts, "lang string, word string, n long")
               .groupBy("lang", "word").agg(F.sum("n").alias("n")))
