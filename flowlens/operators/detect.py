@@ -57,6 +57,7 @@ def _score(obs: DataFrame, per_hour: float) -> DataFrame:
     out = out.withColumn("anomaly_type", kind).withColumn(
         "severity", F.when(F.abs("z_score") >= 6, "high").when(F.abs("z_score") >= 4, "medium").otherwise("low"))
     ratio = F.abs(F.col("observed") / F.greatest(F.col("flow_count_mean"), F.lit(1.0)))
+    # fixed value: the message format
     desc = F.format_string(
         "%s: %s traffic on agent %s is %.1fx %s than usual (observed: %.0f flows/hr, expected: ~%.0f, σ=%.1f)",
         F.initcap(F.col("anomaly_type")), F.col("protocol"), F.col("hostname"), F.bround(ratio, 1),
@@ -90,6 +91,12 @@ def detect_anomalies_history(flows: DataFrame, baselines: DataFrame, window_minu
     obs = flows.filter(F.col("agent_id") != "").groupBy(
         F.window("ts", f"{window_minutes} minutes").start.alias("window_start"),
         "agent_id", "hostname", "protocol").agg(F.count(F.lit(1)).alias("flow_count"))
+    return detect_windows(obs, baselines, window_minutes, min_samples, z_threshold)
+
+
+def detect_windows(obs: DataFrame, baselines: DataFrame, window_minutes: int = 5, min_samples: int = MIN_SAMPLES,
+                   z_threshold: float = Z_THRESHOLD) -> DataFrame:
+    """The test over counted windows (window_start, agent_id, hostname, protocol, flow_count)."""
     obs = obs.withColumn("hour_of_week", hour_of_week(F.col("window_start")))
     bl = baselines.filter(F.col("sample_count") >= min_samples).select(
         "agent_id", "protocol", "hour_of_week", "flow_count_mean", "flow_count_std")

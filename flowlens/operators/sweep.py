@@ -52,8 +52,8 @@ def port_scans(flows: DataFrame, minutes: int = 5, min_ports: int = 50) -> DataF
     ``minutes`` come to exceed ``min_ports``.
 
     Windows end at every moment, so a scan over the edge of tumbling windows is found.
-    Null addresses count as one source, a null port is no port.
+    A flow without source, port or time is left out.
     """
-    counts = port_counts(flows.filter(F.col("dst_port").isNotNull()), minutes)
+    counts = port_counts(flows.filter(F.col("src_ip").isNotNull() & F.col("dst_port").isNotNull()), minutes)
     return counts.filter((F.col("port_count") > min_ports) & (F.col("port_count") - F.col("new_ports") <= min_ports)) \
                  .select("src_ip", "at", "port_count")

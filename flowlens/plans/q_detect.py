@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flowlens.functions.ip import duck_ipv4_long
 from flowlens.functions.timewin import as_of_col
 from flowlens.operators import detect as D
+from flowlens.operators import rulesets as RS
 from flowlens.plans.catalog import CATALOG, finish, register
 from flowlens.sources import testdata as td
 
@@ -264,6 +265,55 @@ def q_rule_match_counts(spark, sf):
     return custom_matches(spark, sf).groupBy("rule_id", "severity").agg(F.count(F.lit(1)).alias("matches"))
 
 
+# fixed config: 50 row rules, one for each destination port or name length, and group rules
+RULE_PORTS = [22, 23, 53, 80, 443, 4444, 5432, 6667, 8080, 9001]
+ROW_SET = [(f"port-{p}-{proto}", f"{proto} to {p}", "high" if p in (23, 4444) else "low",
+            f"dst_port = {p} AND protocol = '{proto}'", 60 * 24 * (7 + p % 20), ["src_ip", "dst_ip", "dst_port"])
+           for p in RULE_PORTS for proto in ("TCP", "DNS", "TLS", "HTTP")]
+ROW_SET += [(f"name-{n}", f"name over {n}", "medium", f"protocol = 'DNS' AND length(dns_query) > {n}", 43200, ["src_ip", "dst_ip", "dns_query"])
+            for n in range(20, 110, 10)]
+ROW_SET += [("broken", "no such column", "low", "nothing = 1", 5, ["src_ip"])]
+GROUP_SET = [("fan-out", "many ports", "high", "protocol IN ('TCP', 'UDP')", 43200, ["src_ip"], "distinct dst_port", 9.0),
+             ("talk", "much out", "medium", "true", 20160, ["src_ip"], "sum bytes_out", 100000.0),
+             ("errors", "many errors", "low", "http_status >= 500", 43200, ["src_ip"], "flows", 3.0),
+             ("pairs", "busy pair", "low", "protocol = 'HTTP'", 43200, ["src_ip", "dst_ip"], "flows", 2.0)]
+
+
+def _duck_row_set() -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{i}' AS rule_id, '{t}' AS rule_title, '{s}' AS severity, src_ip, dst_ip, "
+        f"{'CAST(dst_port AS VARCHAR)' if 'dst_port' in c else 'dns_query'} AS detail FROM flows WHERE ({w}) AND ts > {NOW} - INTERVAL {m} MINUTES"
+        for i, t, s, w, m, c in ROW_SET if i != "broken")
+
+
+@register("row_rules_one_scan", W(_duck_row_set()))
+def q_row_rules_one_scan(spark, sf):
+    """49 row rules in one scan of the flows; a fiftieth that doesn't resolve stops none of them."""
+    m, _ = RS.run_row_rules(td.flows(spark, sf), spark.createDataFrame(ROW_SET, RS.ROW_RULES))
+    return m.select("rule_id", "rule_title", "severity", F.get_json_object("match_data", "$.src_ip").alias("src_ip"),
+                    F.get_json_object("match_data", "$.dst_ip").alias("dst_ip"),
+                    F.coalesce(F.get_json_object("match_data", "$.dst_port"), F.get_json_object("match_data", "$.dns_query")).alias("detail"))
+
+
+def _duck_group_set() -> str:
+    parts = []
+    for i, t, s, w, m, keys, measure, over in GROUP_SET:
+        kind, _, c = measure.partition(" ")
+        what = {"flows": "count(*)", "sum": f"CAST(sum({c}) AS BIGINT)", "distinct": f"count(DISTINCT {c})"}[kind]
+        dst = "dst_ip" if "dst_ip" in keys else "NULL"
+        parts.append(f"SELECT '{i}' AS rule_id, '{s}' AS severity, src_ip, {dst} AS dst_ip, {what} AS value FROM flows "
+                     f"WHERE ({w}) AND ts > {NOW} - INTERVAL {m} MINUTES GROUP BY {', '.join(keys)} HAVING {what} > {over}")
+    return " UNION ALL ".join(parts)
+
+
+@register("group_rules_one_pass", W(_duck_group_set()))
+def q_group_rules_one_pass(spark, sf):
+    m, _ = RS.run_group_rules(td.flows(spark, sf), spark.createDataFrame(GROUP_SET, RS.GROUP_RULES))
+    return m.select("rule_id", "severity", F.get_json_object("match_data", "$.src_ip").alias("src_ip"),
+                    F.get_json_object("match_data", "$.dst_ip").alias("dst_ip"),
+                    F.get_json_object("match_data", "$.value").cast("long").alias("value"))
+
+
 INCIDENT_LOG_SQL = """
 SELECT CONCAT('inc-', CAST(CAST(FLOOR(o_orderkey / 8) AS BIGINT) AS STRING)) AS id,
   CASE o_orderkey % 5 WHEN 0 THEN 'create' WHEN 1 THEN 'ack' WHEN 3 THEN 'resolve' WHEN 4 THEN 'dispatch' ELSE 'note' END AS action,

@@ -21,6 +21,7 @@ from flowlens.plans.catalog import CATALOG, finish, register
 from flowlens.sources import ingest as IN
 from flowlens.sources import testdata as td
 from flowlens.streaming import jobs as J
+from flowlens.streaming import learn as L
 from flowlens.streaming import state as ST
 
 #: Files, and so micro-batches, of a source.
@@ -280,3 +281,19 @@ def q_stream_alerts(spark, sf):
     name = fresh("alerts")
     rules = spark.createDataFrame(QD.ALERT_RULES, QD.RULES_SCHEMA)
     return finish(appended(spark, ST.stream_alerts(flow_stream(spark, sf, name), rules), name))
+
+
+@register("stream_learned_baselines", W(f"""
+, horizon AS (SELECT max(time_bucket(INTERVAL '5 minutes', ts)) AS h FROM flows
+    WHERE agent_id != '' AND time_bucket(INTERVAL '5 minutes', ts) + INTERVAL 5 MINUTE <= {CLOSED}),
+hc AS (SELECT agent_id, protocol, date_trunc('hour', ts) AS hb, count(*) AS c, sum(bytes_in) AS bi, sum(bytes_out) AS bo
+       FROM flows WHERE agent_id != '' GROUP BY 1, 2, 3 HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT h FROM horizon))
+SELECT agent_id, protocol, CAST((isodow(hb) - 1) * 24 + hour(hb) AS INTEGER) AS hour_of_week, ROUND(avg(c), 6) AS flow_count_mean,
+  ROUND(stddev_pop(c), 6) AS flow_count_std, ROUND(avg(bi), 6) AS bytes_in_mean, ROUND(avg(bo), 6) AS bytes_out_mean, count(*) AS sample_count
+FROM hc GROUP BY 1, 2, 3"""))
+def q_stream_learned_baselines(spark, sf):
+    """The last version of baselines learnt over the replay."""
+    name = fresh("learn")
+    path = J.stream_folder(spark, name, "baselines")
+    finished(L.stream_learn(flow_stream(spark, sf, name), path, J.stream_folder(spark, name, "events"), trigger=NOW_TRIGGER, name=name))
+    return finish(L.learned_baselines(spark, path))
