@@ -33,6 +33,10 @@ _PARTS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 _LIC = r"(?:public )?licen[cs]e"
 _VER = r"(?: (?:version|v) ?| v| )?"
+# Between a short name and its number (GPLv3, GPL-3.0, GPL version 3), and what may follow the number.
+_GAP = r"(?: ?v ?| version | )"
+_LATER = r"(?: only| or later| or newer| or any later version)?"
+_FSF = r"as published by the free software foundation (?:either )?version"
 
 # Hand-written names: label, keyword that must stand in the text, expression over lower-case words.
 # The keyword starts a word of whatever the expression matches, in each of its alternatives.
@@ -41,7 +45,6 @@ _NAMES = (
     ("agpl-1.0", "affero", rf"affero general {_LIC}{_VER}1"),
     ("agpl-3.0", "affero", rf"(?:gnu )?affero general {_LIC}{_VER}3"),
     ("agpl", "affero", rf"(?:gnu )?affero general {_LIC}"),
-    ("agpl", "agpl", r"gnu agpl"),
     ("lgpl-2.0", "lesser", rf"(?:gnu )?lesser general {_LIC}{_VER}2 0"),
     ("lgpl-2.0", "library", rf"(?:gnu )?library general {_LIC}{_VER}2(?: 0)?"),
     ("lgpl-2.1", "lesser", rf"(?:gnu )?lesser general {_LIC}{_VER}2 1"),
@@ -182,6 +185,81 @@ _NAMES = (
     ("public-domain", "domain", r"(?:released|placed|dedicated) (?:in|into|to) the public domain"),
     ("proprietary", "proprietary", r"proprietary (?:and confidential|licen[cs]e)"),
     ("all-rights-reserved", "reserved", r"all rights reserved"),
+    # short forms
+    ("gpl-1.0", "gpl", rf"(?:gnu )?gpl{_GAP}1(?: 0)?{_LATER}"),
+    ("gpl-2.0", "gpl", rf"(?:gnu )?gpl{_GAP}2(?: 0)?{_LATER}"),
+    ("gpl-3.0", "gpl", rf"(?:gnu )?gpl{_GAP}3(?: 0)?{_LATER}"),
+    ("gpl", "gpl", r"gnu gpl|gpl licen[cs]ed?"),
+    ("lgpl-2.0", "lgpl", rf"(?:gnu )?lgpl{_GAP}2(?: 0)?{_LATER}"),
+    ("lgpl-2.1", "lgpl", rf"(?:gnu )?lgpl{_GAP}2 1{_LATER}"),
+    ("lgpl-3.0", "lgpl", rf"(?:gnu )?lgpl{_GAP}3(?: 0)?{_LATER}"),
+    ("lgpl", "lgpl", r"(?:gnu )?lgpl"),
+    ("agpl-1.0", "agpl", rf"(?:gnu )?agpl{_GAP}1(?: 0)?{_LATER}"),
+    ("agpl-3.0", "agpl", rf"(?:gnu )?agpl{_GAP}3(?: 0)?{_LATER}"),
+    ("agpl", "agpl", r"(?:gnu )?agpl"),
+    ("gfdl", "gfdl", rf"(?:gnu )?gfdl(?:{_GAP}1 [123])?"),
+    ("apache-2.0", "apache", r"apache(?: ?v ?| version )2(?: 0)?|apache 2 licen[cs]ed?"),
+    ("apache-2.0", "apache", r"apache 2 0(?! (?:web|http|httpd|server|module|handler) )"),
+    ("apache-2.0", "asl", rf"asl{_GAP}2 0"),
+    ("apache", "apache", r"apache licen[cs]ed"),
+    ("mit", "mit", r"mit licen[cs]ed|mit x11|mit expat"),
+    ("mit", "expat", r"expat licen[cs]ed?"),
+    ("isc", "isc", r"isc licen[cs]ed"),
+    ("bsd", "bsd", r"bsd licen[cs]ed"),
+    ("mpl-1.0", "mpl", rf"mpl{_GAP}1 0"),
+    ("mpl-1.1", "mpl", rf"mpl{_GAP}1 1"),
+    ("mpl-2.0", "mpl", rf"mpl{_GAP}2(?: 0)?"),
+    ("mpl", "mpl", r"mpl licen[cs]ed?"),
+    ("epl-1.0", "epl", rf"epl{_GAP}1 0"),
+    ("epl-2.0", "epl", rf"epl{_GAP}2 0"),
+    ("eupl-1.1", "eupl", rf"eupl{_GAP}1 1"),
+    ("eupl-1.2", "eupl", rf"eupl{_GAP}1 2"),
+    ("eupl", "eupl", r"eupl"),
+    ("cddl-1.0", "cddl", rf"cddl{_GAP}1 0"),
+    ("cddl-1.1", "cddl", rf"cddl{_GAP}1 1"),
+    ("cddl", "cddl", r"cddl"),
+    ("bsl-1.0", "bsl", rf"bsl{_GAP}1 0"),
+    ("busl-1.1", "bsl", rf"bsl{_GAP}1 1"),
+    ("busl-1.1", "busl", rf"busl(?:{_GAP}1 1)?"),
+    ("sspl", "sspl", rf"sspl(?:{_GAP}1(?: 0)?)?"),
+    ("osl-3.0", "osl", rf"osl{_GAP}3 0"),
+    ("afl-3.0", "afl", rf"afl{_GAP}3 0"),
+    ("artistic-1.0", "artistic", rf"artistic{_GAP}1 0"),
+    ("artistic-2.0", "artistic", rf"artistic{_GAP}2 0"),
+    ("wtfpl", "wtfpl", rf"wtfpl(?:{_GAP}2(?: 0)?)?"),
+    ("ofl-1.1", "ofl", rf"ofl{_GAP}1 1"),
+    ("ofl-1.1", "sil", r"sil ofl"),
+    ("odbl", "odbl", rf"odbl(?:{_GAP}1 0)?"),
+    ("odc-by", "odc", r"odc by(?: 1 0)?"),
+    ("pddl", "pddl", rf"pddl(?:{_GAP}1 0)?"),
+    ("cecill", "cecill", rf"cecill{_GAP}[12](?: [01])?"),
+    ("rail", "openrail", r"openrail(?: m)?(?: licen[cs]e)?"),
+    ("commons-clause", "commons", r"commons clause(?: licen[cs]e)?(?: condition)?"),
+    ("unlicense", "unlicense", r"unlicense org"),
+    ("bsl-1.0", "boost", r"boost org license 1 0"),
+    ("mit", "opensource", r"opensource org licenses mit"),
+    ("bsd", "opensource", r"opensource org licenses bsd"),
+    ("apache-2.0", "opensource", r"opensource org licenses apache 2 0"),
+    ("mpl-2.0", "mozilla", r"mozilla org mpl 2 0"),
+    # sentences of the texts themselves
+    ("gpl-2.0", "general", rf"general public licen[cs]e {_FSF} 2"),
+    ("gpl-3.0", "general", rf"general public licen[cs]e {_FSF} 3"),
+    ("lgpl-2.1", "lesser", rf"lesser general public licen[cs]e {_FSF} 2 1"),
+    ("lgpl-3.0", "lesser", rf"lesser general public licen[cs]e {_FSF} 3"),
+    ("agpl-3.0", "affero", rf"affero general public licen[cs]e {_FSF} 3"),
+    ("bsd", "redistribution", r"redistribution and use in source(?: and binary forms)?"),
+    ("bsd", "redistributions", r"redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", "neither", r"neither the name of(?: \w+){1,10} nor the names of its contributors"),
+    ("bsd-4-clause", "advertising", r"all advertising materials mentioning features or use of this software"),
+    ("apache-2.0", "except", r"you may not use this file except in compliance with the license"),
+    ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
+    ("proprietary", "reverse", r"may not reverse engineer decompile or disassemble"),
+)
+
+# Short names that are words of their own elsewhere: they count behind "licensed under" and the like only.
+_FRAMED = (
+    ("mit", "mit"), ("gpl", "gpl"), ("apache", "apache"), ("bsd", "bsd"), ("isc", "isc"), ("zlib", "zlib"), ("mpl", "mpl"),
+    ("epl", "epl"), ("ms-pl", "ms pl"), ("ms-rl", "ms rl"), ("x11", "x11"), ("ncsa", "ncsa"), ("unlicense", "unlicense"),
 )
 
 # Identifiers as tags write them (words, so 2.0 is "2 0"), each with the label it stands for.
@@ -233,14 +311,23 @@ def _rule(label: str, keyword: str, body: str, priority: int, score: float) -> R
     return Rule(label, keyword.encode(), re.compile(rf" (?:{body})(?= )".encode()), priority, score)
 
 
+_UNDER = (r"(?:licen[cs]ed|released|distributed|available|provided|published|covered) under "
+          r"(?:the )?(?:terms (?:of|and conditions of) (?:the )?)?")
+# Earlier members of "A or B": the group `at` is set where the named licence isn't the first.
+_OR_TAG = r"(?:(?: \w+){1,8} (?:or|and)(?P<at>))?"
+_OR_SHORT = r"(?:(?:mit|l?gpl|apache|bsd|mpl|isc)\w*(?: \w+){0,4} (?:or|and)(?: the)?(?P<at>) )?"
+
+
 @lru_cache(maxsize=1)
 def rules() -> tuple[Rule, ...]:
-    """All signatures in order: identifier tags, notices, bare names; within each, as written."""
-    out = [_rule(label, "spdx", rf"spdx license identifier {tag}", n, TAG) for n, (tag, label) in enumerate(_TAGS)]
-    for frame, score in ((r"(?:licen[cs]ed|released|distributed|available|provided|published|covered) under "
-                          r"(?:the )?(?:terms (?:of|and conditions of) (?:the )?)?(?:{})", NOTICE), (r"(?:{})", NAME)):
+    """All signatures in order: identifier tags, notices with short names, notices, bare names; within each, as written."""
+    out = [_rule(label, "spdx", rf"spdx license identifier{_OR_TAG} {tag}(?: only| or later)?", n, TAG)
+           for n, (tag, label) in enumerate(_TAGS)]
+    for label, short in _FRAMED:
+        out.append(_rule(label, short.split()[0], rf"{_UNDER}{_OR_SHORT}{short}", len(out), NOTICE))
+    for frame, score in ((rf"{_UNDER}(?:{{}})", NOTICE), (r"(?:{})", NAME)):
         for label, keyword, body in _NAMES:
-            out.append(_rule(label, keyword, frame.format(body), len(out), score))
+            out.append(_rule(label, keyword, frame.replace("{}", body), len(out), score))
     return tuple(out)
 
 
@@ -307,9 +394,11 @@ def scan_text(text: str | None) -> tuple[int, list[tuple[int, str]], list[Detect
     found = []
     for i in sorted(hits):
         r, places = rules()[i], _WordNumber(line)
+        part = "at" in r.pattern.groupindex
         for m in r.pattern.finditer(line):
-            first = places.at(m.start())
-            found.append(Detection(first, first + m.group().count(b" ") - 1, r.label, r.priority, r.score))
+            start = max(m.start(), m.start("at")) if part else m.start()
+            first = places.at(start)
+            found.append(Detection(first, first + line.count(b" ", start, m.end()) - 1, r.label, r.priority, r.score))
     return len(words), sorted(base), resolve(found)
 
 
@@ -328,8 +417,9 @@ class _WordNumber:
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """`docs` with `licence`: n_words, base places, labels, detections, score.
 
-    Null and empty texts have no words and no licence (score 0).  A base place
-    alone scores 1.  A column called licence is replaced; repeated rows agree.
+    Null and empty texts have no words and no licence (score 0).  A text of any
+    length is scanned whole, in time that grows with its words; a task holds one
+    small batch of texts.  A base place alone scores 1.  A column called licence is replaced; repeated rows agree.
     """
     small_batches(docs.sparkSession)
     detection = "array<struct<first:long,last:long,label:string,score:double>>"

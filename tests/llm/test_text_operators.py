@@ -380,6 +380,35 @@ def test_names_without_the_old_gate_words():
         assert labels(name) == labels(f"released under the {name}") == ["rail"]
 
 
+@pytest.mark.parametrize("text, found", [
+    ("GPLv3", ["gpl-3.0"]), ("GPL-3.0", ["gpl-3.0"]), ("Apache-2.0", ["apache-2.0"]), ("LGPLv2.1", ["lgpl-2.1"]),
+    ("AGPL", ["agpl"]), ("AGPLv3 or later", ["agpl-3.0"]), ("MPL 2.0", ["mpl-2.0"]), ("EUPL", ["eupl"]),
+    ("MIT licensed", ["mit"]), ("released under the MIT", ["mit"]), ("licensed under GPL", ["gpl"]),
+    ("Redistribution and use in source and binary forms, with or without modification", ["bsd"]),
+    ("SPDX-License-Identifier: GPL-2.0-only OR MIT", ["gpl-2.0", "mit"]),
+    ("SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause", ["mit", "apache-2.0", "bsd-3-clause"]),
+    ("dual licensed under the Apache-2.0 or MIT", ["apache-2.0", "mit"]),
+    ("the GNU General Public License as published by the Free Software Foundation, either version 3", ["gpl-3.0"]),
+    ("Neither the name of the Example Project nor the names of its contributors may be used", ["bsd-3-clause"]),
+])
+def test_short_forms_and_expressions(text, found):
+    assert labels(text) == labels(f"word {text}. word") == found
+
+
+@pytest.mark.parametrize("text", [
+    "a student of MIT or of another school", "an Apache 2.0 server in the rack", "the bsd family", "published under the name of X",
+    "apache helicopters 2", "she worked under the terms of the contract and the MIT", "vim or emacs", "GPL", "the mpl value 3"])
+def test_words_that_are_no_licence_stay_unlabelled(text):
+    assert labels(text) == []
+
+
+def test_a_very_long_text_is_scanned_whole():
+    text = "plain words here " * 200_000 + "GPLv3 " + "more of them " * 100_000 + "released under the MIT license"
+    n, base, found = licenses.scan_text(text)
+    assert n == 900_006 and base == [(900_004, "mit")]
+    assert [(d.first, d.last, d.label) for d in found] == [(600_000, 600_000, "gpl-3.0"), (900_001, 900_005, "mit")]
+
+
 def test_licence_scan_columns(spark):
     df = docs(spark, [(i, t, None, None, None) for i, t in enumerate(LICENCE_TEXTS)]).withColumn("licence", F.lit(1))
     got = {r["doc_id"]: r for r in licenses.scan_documents(df).collect()}
