@@ -1,21 +1,20 @@
-"""Interpolated modified Kneser-Ney bigram model, counted in Spark.
+"""Interpolated modified Kneser-Ney n-gram model (bigrams unless told otherwise), counted in Spark.
 
-Tokens are word hashes; a bigram is the pair of its words' hashes.  Tasks count
-the bigrams of their texts and send them, cut by the bigram's own hash, to shards
+Tokens are word hashes; an n-gram is the row of its words' hashes.  Tasks count
+the n-grams of their texts and send them, cut by the n-gram's own hash, to shards
 of bounded size, so no frequent word makes a hot shard.  A shard adds its counts
-up and writes sorted hash arrays to the shared folder; what it knows of single
-words (occurrences, left contexts, counts of counts of right neighbours) goes on
-to word shards, which are written the same way.  Scoring workers memory-map the
-arrays and look up a batch of texts at a time by binary search.
+up and writes sorted hash arrays to the shared folder; what it knows of the
+n-grams one word shorter (occurrences, left contexts, counts of counts of right
+neighbours) goes on to their shards, which do the same, down to single words.
+Scoring workers memory-map the arrays and look up a batch of texts at a time by
+binary search.
 """
 
 from __future__ import annotations
 
 import io
-import os
-import tempfile
-import uuid
-from collections.abc import Iterator
+from collections import OrderedDict
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,8 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.common import fold, small_batches, with_columns
-from flowlens.session import ensure_checkpoint_dir
+from flowlens.llm.common import fold, read_whole, shared_folder, small_batches, with_columns, write_whole
 
 #: Word hashes keep 56 bits: seven bytes in the shuffle.
 BYTES = 7
@@ -37,6 +35,8 @@ END = xxhash.xxh64_intdigest(b"\n") >> 8
 START = xxhash.xxh64_intdigest(b"\n\n") >> 8
 #: Tokens counted by a task before it sends them on, and tokens of a shard.
 FLUSH_TOKENS, SHARD_TOKENS = 3_000_000, 2_000_000
+#: Bytes of arrays that a worker keeps of a model it can't memory-map (one on remote storage).
+KEPT_BYTES = 1 << 28
 _CACHE = 400_000
 _U8 = np.uint64
 
@@ -65,123 +65,151 @@ def bigram_hash(v: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U8(32))
 
 
-def _pack(h: np.ndarray) -> bytes:
-    return h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
+def gram_hash(words: Sequence[np.ndarray]) -> np.ndarray:
+    """Key of n-grams given by the hashes of their first, second, ... words; a single word is its own key."""
+    key = words[0]
+    for w in words[1:]:
+        key = bigram_hash(key, w)
+    return key
 
 
-def _unpack(raw: bytes) -> np.ndarray:
+def _width(k: int) -> int:
+    return BITS if k == 1 else 64
+
+
+def _pack(words: Sequence[np.ndarray]) -> bytes:
+    return b"".join(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes() for h in words)
+
+
+def _unpack(raw: bytes, k: int) -> np.ndarray:
+    """The word hashes (k x n-grams) of packed n-grams."""
     out = np.zeros((len(raw) // BYTES, 8), np.uint8)
     out[:, :BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, BYTES)
-    return out.view("<u8").ravel()
+    return out.view("<u8").reshape(k, -1)
 
 
 def _slices(keys: np.ndarray, bits: int, width: int) -> Iterator[tuple[int, slice]]:
     """The runs of sorted keys of `width` bits that share their first `bits`."""
-    if not bits:
-        yield 0, slice(0, len(keys))
+    if not len(keys):
         return
-    edges = np.searchsorted(keys >> _U8(width - bits), np.arange((1 << bits) + 1, dtype=_U8))
-    for s in np.nonzero(np.diff(edges))[0]:
-        yield int(s), slice(edges[s], edges[s + 1])
-
-
-def _count_bigrams(bits: int):
-    def flush(v: list[np.ndarray], w: list[np.ndarray]) -> pa.RecordBatch:
-        v, w = np.concatenate(v), np.concatenate(w)
-        keys, first, n = np.unique(bigram_hash(v, w), return_index=True, return_counts=True)
-        v, w = v[first], w[first]
-        rows = [(s, _pack(v[at]), _pack(w[at]), n[at].astype("<u4").tobytes()) for s, at in _slices(keys, bits, 64)]
+    shard = keys >> _U8(width - bits) if bits else np.zeros(len(keys), _U8)
+    edges = [0, *(np.nonzero(shard[1:] != shard[:-1])[0] + 1).tolist(), len(keys)]
+    for lo, hi in zip(edges, edges[1:]):  # noqa: B905
+        yield int(shard[lo]), slice(lo, hi)
+
+
+def _count_grams(order: int, bits: int):
+    def flush(parts: list[list[np.ndarray]]) -> pa.RecordBatch:
+        words = [np.concatenate(p) for p in parts]
+        keys, first, n = np.unique(gram_hash(words), return_index=True, return_counts=True)
+        words = [w[first] for w in words]
+        rows = [(s, _pack([w[at] for w in words]), n[at].astype("<u4").tobytes()) for s, at in _slices(keys, bits, _width(order))]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32())]
-                                          + [pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2, 3)],
-                                          names=["shard", "v", "w", "n"])
+                                          + [pa.array([r[i] for r in rows], pa.binary()) for i in (1, 2)],
+                                          names=["shard", "words", "n"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, left, right, held = _Hashes(), [], [], 0
+        cache, held = _Hashes(), 0
+        parts: list[list[np.ndarray]] = [[] for _ in range(order)]
         for b in batches:
             for t in b.column("text").to_pylist():
-                h = token_hashes(t, cache)
-                for lo in range(0, len(h), FLUSH_TOKENS):
-                    part = h[lo:lo + FLUSH_TOKENS]
-                    left.append(np.concatenate([[_U8(START) if not lo else h[lo - 1]], part[:-1]]).astype(_U8))
-                    right.append(part)
-                    held += len(part)
+                h = np.concatenate([np.full(order - 1, START, _U8), token_hashes(t, cache)])
+                for lo in range(0, len(h) - order + 1, FLUSH_TOKENS):
+                    n = min(FLUSH_TOKENS, len(h) - order + 1 - lo)
+                    for k, part in enumerate(parts):
+                        part.append(h[lo + k:lo + k + n])
+                    held += n
                     if held >= FLUSH_TOKENS:
-                        yield flush(left, right)
-                        left, right, held = [], [], 0
+                        yield flush(parts)
+                        parts, held = [[] for _ in range(order)], 0
         if held:
-            yield flush(left, right)
+            yield flush(parts)
     return run
 
 
 def _write(folder: str, name: str, array: np.ndarray) -> None:
     """Put an array into the shared folder: whole or not at all, the same from any attempt."""
-    fs, path = pafs.FileSystem.from_uri(folder)
-    temp = f"{path}/.{name}-{uuid.uuid4().hex}"
     held = io.BytesIO()
     np.save(held, array)
-    with fs.open_output_stream(temp) as out:
-        out.write(held.getbuffer())
-    fs.move(temp, f"{path}/{name}.npy")
+    write_whole(folder, f"{name}.npy", held.getvalue())
+
+
+def _merge(words: Sequence[np.ndarray], columns: Sequence[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """Sorted keys of the distinct n-grams, their words and the sums of their columns."""
+    key, first, inverse = np.unique(gram_hash(words), return_index=True, return_inverse=True)
+    return key, [w[first] for w in words], [np.bincount(inverse, c, len(key)).astype(np.int64) for c in columns]
+
+
+# what is known of an n-gram below the highest order: occurrences, left contexts, right neighbours seen once, twice,
+# more often, and their total
+_COLS = 6
+
+
+def _counts_of(n: np.ndarray) -> list[int]:
+    """Distinct n-grams, the sum of their counts, and how many were counted once, twice, three and four times."""
+    return [int((n > 0).sum()), int(n.sum()), *[int((n == k).sum()) for k in (1, 2, 3, 4)]]
 
 
-def _merge(keys: list[np.ndarray], *columns: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Distinct sorted keys and the sums of their columns."""
-    key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, [np.bincount(inverse, np.concatenate(c), len(key)).astype(np.int64) for c in columns]
+def _pass_on(words: list[np.ndarray], n: np.ndarray, times: np.ndarray, bits: int) -> list[tuple]:
+    """Rows for the shards of the n-grams one word shorter: those that end these n-grams, and those that start them."""
+    k, one, zero = len(words) - 1, np.ones_like(n), np.zeros_like(n)
+    ends = [times, one, zero, zero, zero, zero]
+    starts = [zero, zero, (n == 1) * one, (n == 2) * one, (n > 2) * one, n]
+    key, words, cols = _merge([np.concatenate([words[i + 1], words[i]]) for i in range(k)],
+                              [np.concatenate(c) for c in zip(ends, starts, strict=True)])
+    return [(s, _pack([w[at] for w in words]),
+             b"".join(c[at].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in cols), None)
+            for s, at in _slices(key, bits, _width(k))]
 
 
-def _add_bigrams(folder: str, word_bits: int):
-    """Sum a shard, write its arrays, pass on what it says of words and counts of counts."""
+_ROWS = "shard int, words binary, cols binary, stats array<long>"
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()),
+                     pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
+                    names=["shard", "words", "cols", "stats"])
+
+
+def _add_top(folder: str, order: int, bits: int):
+    """Sum a shard of the highest order, write its arrays, pass on what it says of shorter n-grams and counts of counts."""
     def run(key: tuple, t: pa.Table) -> pa.Table:
         shard = key[0].as_py()
-        v = np.concatenate([_unpack(x) for x in t.column("v").to_pylist()])
-        w = np.concatenate([_unpack(x) for x in t.column("w").to_pylist()])
-        n = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("n").to_pylist()]).astype(np.int64)
-        keys, first, inverse = np.unique(bigram_hash(v, w), return_index=True, return_inverse=True)
-        count = np.bincount(inverse, weights=n).astype(np.int64)
-        v, w = v[first], w[first]
+        words = list(np.concatenate([_unpack(x, order) for x in t.column("words").to_pylist()], axis=1))
+        n = np.concatenate([np.frombuffer(x, "<u4") for x in t.column("n").to_pylist()])
+        keys, words, (count,) = _merge(words, [n])
         large = np.nonzero(count >= 255)[0]
-        _write(folder, f"bigram-{shard}-key", keys)
-        _write(folder, f"bigram-{shard}-count", np.minimum(count, 255).astype(np.uint8))
-        _write(folder, f"bigram-{shard}-large", np.stack([large.astype(np.int64), count[large]]))
-        one, zero = np.ones_like(count), np.zeros_like(count)
-        # columns: occurrences, left contexts, right neighbours seen once, twice, more often; total to the right
-        word, cols = _merge([w, v], [count, zero], [one, zero], [zero, (count == 1) * one], [zero, (count == 2) * one],
-                            [zero, (count > 2) * one], [zero, count])
-        rows = [(s, _pack(word[at]), b"".join(c[at].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in cols),
-                 None) for s, at in _slices(word, word_bits, BITS)]
-        stats = [len(keys), *[int((count == k).sum()) for k in (1, 2, 3, 4)], int(count.sum())]
-        rows.append((shard & ((1 << word_bits) - 1), b"", b"", stats))
-        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()),
-                         pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
-                        names=["shard", "word", "cols", "stats"])
+        _write(folder, f"gram{order}-{shard}-key", keys)
+        _write(folder, f"gram{order}-{shard}-count", np.minimum(count, 255).astype(np.uint8))
+        _write(folder, f"gram{order}-{shard}-large", np.stack([large.astype(np.int64), count[large]]))
+        return _table([*_pass_on(words, count, count, bits), (shard, b"", b"", _counts_of(count))])
     return run
 
 
-_WORD_COLS = 6
-
-
-def _add_words(folder: str):
+def _add_lower(folder: str, order: int, k: int, bits: int):
+    """Sum a shard of n-grams of k words below the highest order and write its arrays; what it passes on ends with its counts."""
     def run(key: tuple, t: pa.Table) -> pa.Table:
         shard = key[0].as_py()
-        words, cols, bigram = [], [[] for _ in range(_WORD_COLS)], np.zeros(6, np.int64)
-        for w, c, s in zip(*(t.column(x).to_pylist() for x in ("word", "cols", "stats")), strict=True):
+        words, cols, stats = [], [[] for _ in range(_COLS)], []
+        for w, c, s in zip(*(t.column(x).to_pylist() for x in ("words", "cols", "stats")), strict=True):
             if s is not None:
-                bigram += np.array(s)
+                stats.append(s)
                 continue
-            words.append(_unpack(w))
-            planes = np.frombuffer(c, np.uint8).reshape(_WORD_COLS, 8, -1)
-            for i in range(_WORD_COLS):
+            words.append(_unpack(w, k))
+            planes = np.frombuffer(c, np.uint8).reshape(_COLS, 8, -1)
+            for i in range(_COLS):
                 cols[i].append(np.ascontiguousarray(planes[i].T).view("<i8").ravel())
-        stats = np.zeros(6, np.int64)
+        rows, own = [], [0] * 6
         if words:
-            word, sums = _merge(words, *cols)
-            _write(folder, f"word-{shard}-key", word)
-            _write(folder, f"word-{shard}-cols", np.stack(sums, axis=1))
-            left = sums[1]
-            stats = np.array([(sums[0] > 0).sum(), left.sum(), *[(left == k).sum() for k in (1, 2, 3, 4)]])
-        return pa.table({"shard": pa.array([shard], pa.int32()), "bigram": pa.array([bigram.tolist()]),
-                         "word": pa.array([stats.tolist()])})
+            keys, parts, sums = _merge(list(np.concatenate(words, axis=1)), [np.concatenate(c) for c in cols])
+            _write(folder, f"gram{k}-{shard}-key", keys)
+            _write(folder, f"gram{k}-{shard}-cols", np.stack(sums, axis=1))
+            own = [int((sums[0] > 0).sum()), *_counts_of(sums[1])[1:]]
+            if k > 1:
+                ends = np.nonzero(sums[1])[0]  # the rest only start others, as the start of a text does
+                rows = _pass_on([w[ends] for w in parts], sums[1][ends], sums[0][ends], bits)
+        above = np.sum([[0] * 6 * (order - k), *stats], axis=0).astype(int).tolist()
+        return _table([*rows, (shard, b"", b"", [*above, *own])])
     return run
 
 
@@ -196,156 +224,168 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> list[float]:
 
 @dataclass
 class KneserNey:
-    """Where the arrays are, and the numbers of the whole corpus."""
+    """Where the arrays are, and the numbers of the whole corpus; lists go by order, from single words."""
 
     folder: str
     bits: int
-    word_bits: int
-    shards: set[int]
-    word_shards: set[int]
+    shards: list[set[int]]
     tokens: int  #: N
     types: int  #: V
-    left_total: int  #: distinct bigrams
-    bigram_discount: list[float] = field(default_factory=list)
-    word_discount: list[float] = field(default_factory=list)
-    word_spread: float = 1.0  #: share of the lower order left to the uniform distribution
+    left_total: int  #: sum of the words' left contexts
+    discount: list[list[float]] = field(default_factory=list)
+    word_spread: float = 1.0  #: share of the lowest order left to the uniform distribution
+
+    @property
+    def order(self) -> int:
+        return len(self.shards)
 
     def reader(self) -> _Reader:
         return _Reader(self)
 
 
+#: Arrays of models on remote storage that this worker has fetched, least used first.
+_fetched: OrderedDict[tuple[str, str], np.ndarray] = OrderedDict()
+
+
+def _fetch(folder: str, name: str) -> np.ndarray:
+    """An array of a model on remote storage; a worker keeps up to KEPT_BYTES of them, over all its tasks."""
+    array = _fetched.pop((folder, name), None)
+    if array is None:
+        array = np.load(io.BytesIO(read_whole(folder, f"{name}.npy")))
+        held = array.nbytes + sum(a.nbytes for a in _fetched.values())
+        while _fetched and held > KEPT_BYTES:
+            held -= _fetched.popitem(last=False)[1].nbytes
+    _fetched[folder, name] = array
+    return array
+
+
 class _Reader:
-    """Memory-maps the arrays; files that aren't on a mounted folder are fetched once by the worker."""
+    """Memory-maps the arrays; those on remote storage are fetched a shard at a time."""
 
     def __init__(self, model: KneserNey):
         self.m, self.maps, self.hashes = model, {}, _Hashes()
-        self.fs, self.path = pafs.FileSystem.from_uri(model.folder)
-        self.own = None if isinstance(self.fs, pafs.LocalFileSystem) else tempfile.TemporaryDirectory()
+        fs, self.path = pafs.FileSystem.from_uri(model.folder)
+        self.mounted = isinstance(fs, pafs.LocalFileSystem)
 
     def _map(self, name: str) -> np.ndarray:
+        if not self.mounted:
+            return _fetch(self.m.folder, name)
         if name not in self.maps:
-            path = f"{self.path}/{name}.npy"
-            if self.own:
-                local = os.path.join(self.own.name, f"{name}.npy")
-                with self.fs.open_input_stream(path) as src, open(local, "wb") as out:
-                    while chunk := src.read(1 << 22):
-                        out.write(chunk)
-                path = local
-            array = np.load(path, mmap_mode="r")
+            array = np.load(f"{self.path}/{name}.npy", mmap_mode="r")
             self.maps[name] = array if array.size else np.zeros(array.shape, array.dtype)
         return self.maps[name]
 
-    def _find(self, kind: str, shards: set[int], sorted_keys: np.ndarray, bits: int, width: int):
-        for s, at in _slices(sorted_keys, bits, width):
-            if s in shards:
-                keys = self._map(f"{kind}-{s}-key")
+    def _find(self, k: int, sorted_keys: np.ndarray):
+        for s, at in _slices(sorted_keys, self.m.bits, _width(k)):
+            if s in self.m.shards[k - 1]:
+                keys = self._map(f"gram{k}-{s}-key")
                 pos = np.minimum(np.searchsorted(keys, sorted_keys[at]), len(keys) - 1)
                 hit = keys[pos] == sorted_keys[at]
                 yield s, at.start + np.nonzero(hit)[0], pos[hit]
 
-    def bigram_counts(self, keys: np.ndarray) -> np.ndarray:
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """Counts of n-grams of the highest order."""
+        k = self.m.order
+        keys, inverse = np.unique(keys, return_inverse=True)
         out = np.zeros(len(keys), np.int64)
-        for s, to, pos in self._find("bigram", self.m.shards, keys, self.m.bits, 64):
-            count = self._map(f"bigram-{s}-count")[pos].astype(np.int64)
+        for s, to, pos in self._find(k, keys):
+            count = self._map(f"gram{k}-{s}-count")[pos].astype(np.int64)
             full = count == 255
             if full.any():
-                large = self._map(f"bigram-{s}-large")
+                large = self._map(f"gram{k}-{s}-large")
                 count[full] = large[1][np.searchsorted(large[0], pos[full])]
             out[to] = count
-        return out
+        return out[inverse]
 
-    def word_columns(self, keys: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(keys), _WORD_COLS), np.int64)
-        for s, to, pos in self._find("word", self.m.word_shards, keys, self.m.word_bits, BITS):
-            out[to] = self._map(f"word-{s}-cols")[pos]
-        return out
+    def columns(self, k: int, keys: np.ndarray) -> np.ndarray:
+        """What is known of n-grams of k words, below the highest order."""
+        keys, inverse = np.unique(keys, return_inverse=True)
+        out = np.zeros((len(keys), _COLS), np.int64)
+        for s, to, pos in self._find(k, keys):
+            out[to] = self._map(f"gram{k}-{s}-cols")[pos]
+        return out[inverse]
 
     def score(self, texts: list[str | None]) -> list[tuple[int, int, float, float]]:
         """n_tokens, n_known, base_score and score of each text; in runs of bounded length."""
         out: list[tuple[int, int, float, float]] = []
         group: list[np.ndarray] = []
-        held = 0
+        held, before = 0, np.full(self.m.order - 1, START, _U8)
         for t in texts:
-            h = token_hashes(t, self.hashes)
-            if len(h) > FLUSH_TOKENS:
+            h = np.concatenate([before, token_hashes(t, self.hashes)])
+            n = len(h) - len(before)
+            if n > FLUSH_TOKENS:
                 out += self._score(group)
                 group, held = [], 0
-                parts = [self._score([h[lo:lo + FLUSH_TOKENS]], START if not lo else h[lo - 1])[0]
-                         for lo in range(0, len(h), FLUSH_TOKENS)]
+                parts = [self._score([h[lo:lo + FLUSH_TOKENS + len(before)]])[0] for lo in range(0, n, FLUSH_TOKENS)]
                 out.append(tuple(map(sum, zip(*parts, strict=True))))
                 continue
-            if held + len(h) > FLUSH_TOKENS:
+            if held + n > FLUSH_TOKENS:
                 out += self._score(group)
                 group, held = [], 0
             group.append(h)
-            held += len(h)
+            held += n
         return out + self._score(group)
 
-    def _score(self, group: list[np.ndarray], before: int = START) -> list[tuple[int, int, float, float]]:
+    def _score(self, group: list[np.ndarray]) -> list[tuple[int, int, float, float]]:
+        """Of runs of tokens, each behind the order - 1 tokens before it."""
         if not group:
             return []
-        m = self.m
-        w = np.concatenate(group)
-        v = np.empty_like(w)
-        v[1:] = w[:-1]
-        starts = np.cumsum([0, *[len(g) for g in group[:-1]]])
-        v[starts] = _U8(before)
-        words, at = np.unique(np.concatenate([w, v]), return_inverse=True)
-        cols = self.word_columns(words)
-        keys, pair = np.unique(bigram_hash(v, w), return_inverse=True)
-        c = self.bigram_counts(keys)[pair]
-        wi, vi = at[:len(w)], at[len(w):]
-        # the lower order: continuation counts, interpolated with the uniform distribution
-        d = np.array(m.word_discount)
-        left = cols[:, 1]
-        lower = np.maximum(left - d[np.minimum(left, 3)], 0) / max(m.left_total, 1) + m.word_spread / (m.types + 1)
-        d = np.array(m.bigram_discount)
-        total = cols[:, 5]
-        spread = cols[:, 2] * d[1] + cols[:, 3] * d[2] + cols[:, 4] * d[3]
-        seen = total[vi] > 0
-        share = np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(total[vi], 1)
-        rest = np.where(seen, spread[vi] / np.maximum(total[vi], 1), 1.0)
-        p = share + rest * lower[wi]
-        known = cols[wi, 0] > 0
-        base = np.log10((cols[wi, 0] + 1) / (m.tokens + (m.types + 1)))
-        lens = [len(g) for g in group]
+        m, back = self.m, self.m.order - 1
+        every = np.concatenate(group)
+        lens = [len(g) - back for g in group]
+        starts = np.cumsum([0, *lens[:-1]])
+        at = np.arange(sum(lens)) + np.repeat(back * np.arange(1, len(group) + 1), lens)
+        words = self.columns(1, every)
+        own = words[at]
+        # the lowest order: continuation counts, interpolated with the uniform distribution
+        d, left = np.array(m.discount[0]), own[:, 1]
+        p = np.maximum(left - d[np.minimum(left, 3)], 0) / max(m.left_total, 1) + m.word_spread / (m.types + 1)
+        for k in range(2, m.order + 1):
+            context = gram_hash([every[at - i] for i in range(k - 1, 0, -1)])
+            cols = words[at - 1] if k == 2 else self.columns(k - 1, context)
+            grams = bigram_hash(context, every[at])
+            c = self.counts(grams) if k == m.order else self.columns(k, grams)[:, 1]
+            d, total = np.array(m.discount[k - 1]), cols[:, 5]
+            spread = cols[:, 2] * d[1] + cols[:, 3] * d[2] + cols[:, 4] * d[3]
+            share = np.maximum(c - d[np.minimum(c, 3)], 0) / np.maximum(total, 1)
+            p = share + np.where(total > 0, spread / np.maximum(total, 1), 1.0) * p
+        known = own[:, 0] > 0
+        base = np.log10((own[:, 0] + 1) / (m.tokens + (m.types + 1)))
         add = lambda x: np.add.reduceat(x, starts)
         return list(zip(lens, map(int, add(known.astype(np.int64))), map(float, add(base)),
                         map(float, add(np.log10(p))), strict=True))
 
 
-def train(docs: DataFrame, text_col: str = "text") -> KneserNey:
+def train(docs: DataFrame, text_col: str = "text", order: int = 2) -> KneserNey:
     """Count all of `docs` and write the model to the shared checkpoint folder.
 
-    The number of shards follows the corpus.  The driver gets a few counts from
-    each word shard.
+    `order` is the number of words of the longest n-grams, two or more.  The
+    number of shards follows the corpus.  The driver gets a few counts from each
+    word shard.
     """
+    if order < 2:
+        raise ValueError("order must be 2 or more")
     spark = docs.sparkSession
     small_batches(spark)
-    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/kneser-ney-{uuid.uuid4().hex}"
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = f"file://{os.path.abspath(folder)}"
-    elif folder.startswith("file:") and not folder.startswith("file://"):
-        folder = f"file://{folder[5:]}"
-    fs, path = pafs.FileSystem.from_uri(folder)
-    fs.create_dir(path, recursive=True)
+    folder = shared_folder(spark, "kneser-ney")
     text = docs.select(F.col(f"`{text_col}`").alias("text"))
     size = text.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = max(0, min(16, int(np.ceil(np.log2(max(1, size / 6 / SHARD_TOKENS))))))
-    word_bits = bits
-    shards = (text.mapInArrow(_count_bigrams(bits), "shard int, v binary, w binary, n binary")
-              .groupBy("shard").applyInArrow(_add_bigrams(folder, word_bits),
-                                             "shard int, word binary, cols binary, stats array<long>"))
-    found = (shards.groupBy("shard").applyInArrow(_add_words(folder), "shard int, bigram array<long>, word array<long>")
-             .collect())
-    bigram = np.sum([r["bigram"] for r in found], axis=0) if found else np.zeros(6, int)
-    word = np.sum([r["word"] for r in found], axis=0) if found else np.zeros(6, int)
+    bits = min(30, max(0, int(np.ceil(np.log2(max(1, size / 6 / SHARD_TOKENS))))))  # a shard's number is 31 bits
+    shards = (text.mapInArrow(_count_grams(order, bits), "shard int, words binary, n binary")
+              .groupBy("shard").applyInArrow(_add_top(folder, order, bits), _ROWS))
+    for k in range(order - 1, 0, -1):
+        shards = shards.groupBy("shard").applyInArrow(_add_lower(folder, order, k, bits), _ROWS)
+    found = np.sum([[0] * 6 * order, *[r["stats"] for r in shards.select("stats").collect()]], axis=0).astype(int).tolist()
+    # from the highest order down to words: n-grams, sum of counts, counts of counts
+    stats = [found[6 * i:6 * i + 6] for i in range(order)]
+    fs, path = pafs.FileSystem.from_uri(folder)
     names = [f.base_name for f in fs.get_file_info(pafs.FileSelector(path))]
-    ids = lambda kind: {int(n.split("-")[1]) for n in names if n.startswith(kind) and n.endswith("-key.npy")}
-    d, n, left = discounts(*map(int, word[2:6])), list(map(int, word[2:6])), int(word[1])
-    spread = (d[1] * n[0] + d[2] * n[1] + d[3] * (int(word[0]) - n[0] - n[1])) / left if left else 1.0
-    return KneserNey(folder, bits, word_bits, ids("bigram"), ids("word"), int(bigram[5]), int(word[0]), left,
-                     discounts(*map(int, bigram[1:5])), d, spread)
+    held = [{int(n.split("-")[1]) for n in names if n.startswith(f"gram{k}-") and n.endswith("-key.npy")}
+            for k in range(1, order + 1)]
+    types, left, *n = stats[-1]
+    d = discounts(*n)
+    spread = (d[1] * n[0] + d[2] * n[1] + d[3] * (types - n[0] - n[1])) / left if left else 1.0
+    return KneserNey(folder, bits, held, stats[0][1], types, left, [discounts(*x[2:]) for x in reversed(stats)], spread)
 
 
 def score(docs: DataFrame, model: KneserNey, text_col: str = "text") -> DataFrame:
@@ -369,10 +409,10 @@ def score(docs: DataFrame, model: KneserNey, text_col: str = "text") -> DataFram
     return with_columns(docs, lm=run(F.col(f"`{text_col}`")))
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score; a null id trains."""
     held = F.coalesce(fold(F.col("doc_id"), 7) == 2, F.lit(False))
     slim = docs.select("doc_id", "text", held.alias("held_out"))
-    model = train(slim.filter(~F.col("held_out")))
+    model = train(slim.filter(~F.col("held_out")), order=order)
     return score(slim, model).select("doc_id", "held_out", "lm.n_tokens", "lm.n_known",
                                      F.lit(model.tokens).cast("long").alias("train_tokens"), "lm.base_score", "lm.score")

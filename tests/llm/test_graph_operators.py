@@ -277,6 +277,74 @@ def test_kneser_ney_matches_brute_force(spark, monkeypatch, flush):
         assert math.isclose(r["score"], slow.score(t), rel_tol=1e-9)
 
 
+class SlowOrders:
+    """The recursion over tuples of words, any order."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        top = Counter(g for t in texts for g in self.grams(t))
+        self.count = {order: top}
+        for k in range(order - 1, 0, -1):
+            self.count[k] = Counter(g[1:] for g in self.count[k + 1])
+        self.right = {k: defaultdict(list) for k in range(1, order + 1)}
+        for k, grams in self.count.items():
+            for g, c in grams.items():
+                self.right[k][g[:-1]].append(c)
+        self.d = {k: kneser_ney.discounts(*[sum(c == n for c in grams.values()) for n in (1, 2, 3, 4)])
+                  for k, grams in self.count.items()}
+
+    def grams(self, t):
+        w = ["<s>"] * (self.order - 1) + SlowModel.tokens(t)
+        return [tuple(w[i:i + self.order]) for i in range(len(w) - self.order + 1)]
+
+    def p(self, gram):
+        k = len(gram)
+        if not k:
+            return 1 / (len(self.count[1]) + 1)
+        lower, seen, c = self.p(gram[1:]), self.right[k].get(gram[:-1]), self.count[k][gram]
+        if not seen:
+            return lower
+        d = self.d[k]
+        return (max(c - d[min(c, 3)], 0) + sum(d[min(x, 3)] for x in seen) * lower) / sum(seen)
+
+    def score(self, t):
+        return sum(math.log10(self.p(g)) for g in self.grams(t))
+
+
+@pytest.mark.parametrize("order, flush", [(2, 50), (3, 3_000_000), (3, 50), (4, 50)])
+def test_any_order_matches_brute_force(spark, monkeypatch, order, flush):
+    monkeypatch.setattr(kneser_ney, "FLUSH_TOKENS", flush)
+    monkeypatch.setattr(kneser_ney, "SHARD_TOKENS", 100)
+    rng = random.Random(order)
+    word = lambda: "the" if rng.random() < .3 else f"w{int(rng.expovariate(.2))}"
+    rows = [(i, " ".join(word() for _ in range(rng.randrange(60)))) for i in range(120)]
+    rows += [(500, None), (501, ""), (None, "The the É"), (3, rows[3][1]), (502, "a " * 700), (503, "never\x0bseen before")]
+    slow = SlowOrders([t for i, t in rows if not held_out(i)], order)
+    model = kneser_ney.train(docs(spark, [r for r in rows if not held_out(r[0])]), order=order)
+    assert model.order == order and all(len(s) > 1 for s in model.shards)
+    assert model.tokens == sum(slow.count[order].values())
+    got = {(r["doc_id"], r["text"]): r["lm"] for r in kneser_ney.score(docs(spark, rows), model).collect()}
+    for i, t in rows:
+        assert got[i, t]["n_tokens"] == len(SlowModel.tokens(t))
+        assert math.isclose(got[i, t]["score"], slow.score(t), rel_tol=1e-9)
+    with pytest.raises(ValueError):
+        kneser_ney.train(docs(spark, rows), order=1)
+
+
+def test_arrays_that_cannot_be_mapped_are_fetched_within_bounds(spark, monkeypatch):
+    monkeypatch.setattr(kneser_ney, "SHARD_TOKENS", 20)
+    rows = [(i, f"a b w{i} c w{i % 7}") for i in range(60)]
+    model = kneser_ney.train(docs(spark, rows))
+    mapped, far = model.reader(), model.reader()
+    far.mounted = False
+    largest = max(far._map(f"gram2-{s}-key").nbytes for s in model.shards[1])
+    monkeypatch.setattr(kneser_ney, "KEPT_BYTES", 3 * largest)
+    texts = [t for _, t in rows] + [None, "unseen"]
+    assert far.score(texts) == mapped.score(texts)
+    assert sum(a.nbytes for a in kneser_ney._fetched.values()) <= max(3 * largest, max(a.nbytes for a in kneser_ney._fetched.values()))
+    assert model.reader().mounted
+
+
 def test_kneser_ney_without_training_text(spark):
     assert kneser_ney.score_documents(docs(spark, [])).count() == 0
     i = next(i for i in range(99) if held_out(i))
