@@ -1,12 +1,12 @@
 """Per-connection protocol jobs re-aimed as table jobs: HTTP request/response
 pairing, ICMP echo RTT, TCP health counters, trace-context / gRPC / DNS answers.
 
-Ordered scans per connection use a *parallel prefix*: events are cut into
-(key, time-bucket) groups, each group reduces to one partial (count / max), a
-small window over the per-bucket partials gives each bucket its offset, and the
-running value inside a bucket is offset + local running value.  A connection
-carrying a third of all packets is thus spread over its time buckets instead
-of one task, and the result is exact.
+Ordered scans per connection use a *parallel prefix*: events are cut into ranges
+of (key, order) of about the same number of rows, each key's share of a range
+reduces to one partial (sum / last), a window over these partials gives each
+range its offset, and the running value inside a range is offset + local running
+value.  A connection carrying a third of all packets, be it in one hour or one
+second, is thus spread over a third of the ranges, and the result is exact.
 """
 
 from __future__ import annotations
@@ -18,42 +18,41 @@ from pyspark.sql import functions as F
 from flowlens.session import ensure_checkpoint_dir
 
 
-def _bucket(ts: str, bucket: str) -> Column:
-    return F.window(ts, bucket).start
+def in_parts(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows with ``_part``, the number of their range of (``keys``, ``order``).
 
-
-def running_count_before(df: DataFrame, keys: list[str], order: list[str], flag: Column,
-                         out: str = "grp", ts: str = "ts", bucket: str = "1 hour") -> DataFrame:
-    """Number of earlier rows (by ``order`` within ``keys``) where ``flag`` holds."""
-    d = df.withColumn("_f", flag.cast("int")).withColumn("_bk", _bucket(ts, bucket))
-    per = d.groupBy(*keys, "_bk").agg(F.sum("_f").alias("_n"))
-    wb = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("_off", F.coalesce(F.sum("_n").over(wb), F.lit(0))).drop("_n")
-    wi = Window.partitionBy(*keys, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    d = d.join(per, keys + ["_bk"]).withColumn(
-        out, (F.col("_off") + F.coalesce(F.sum("_f").over(wi), F.lit(0))).cast("long"))
-    return d.drop("_f", "_bk", "_off")
-
-
-def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column,
-                out: str, ts: str = "ts", bucket: str = "1 hour") -> DataFrame:
-    """sum(value) over the rows up to and including this one within ``keys``."""
-    d = df.withColumn("_v", value).withColumn("_bk", _bucket(ts, bucket))
-    per = d.groupBy(*keys, "_bk").agg(F.sum("_v").alias("_n"))
-    wb = Window.partitionBy(*keys).orderBy("_bk").rowsBetween(Window.unboundedPreceding, -1)
+    The ranges follow a sample of the rows, so all hold about the same number and
+    a busy key is cut wherever its rows are dense.  The table is written to the
+    checkpoint folder, which fixes each row's range.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return (df.repartitionByRange(n, *[F.col(c) for c in (*keys, *order)])
+            .withColumn("_part", F.spark_partition_id()).checkpoint())
+
+
+def running_sum(parts: DataFrame, keys: list[str], order: list[str], value: Column, out: str,
+                before: bool = False) -> DataFrame:
+    """``out``: sum(value) over the rows of ``keys`` up to this one, or ``before`` it, in ``parts`` of ``in_parts``."""
+    d = parts.withColumn("_v", value)
+    per = d.groupBy(*keys, "_part").agg(F.sum("_v").alias("_n"))
+    wb = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_off", F.coalesce(F.sum("_n").over(wb), F.lit(0))).drop("_n")
-    wi = Window.partitionBy(*keys, "_bk").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.join(per, keys + ["_bk"]).withColumn(out, F.col("_off") + F.sum("_v").over(wi))
-    return d.drop("_v", "_bk", "_off")
+    wi = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, -1 if before else Window.currentRow)
+    d = d.join(per, keys + ["_part"]).withColumn(out, F.col("_off") + F.coalesce(F.sum("_v").over(wi), F.lit(0)))
+    return d.drop("_v", "_off")
 
 
-def pair_http(events: DataFrame, key: str = "conn_id", bucket: str = "1 hour") -> DataFrame:
+def pair_http(events: DataFrame, key: str = "conn_id") -> DataFrame:
     """Request/response pairing per connection (ordered by ts, seq): a request
     opens the slot only when none is pending, the next response closes it;
     latency = max(0, response - request) in ms.  Unanswered requests and
     responses without a pending request produce no pair."""
     is_resp = F.col("kind") == "response"
-    g = running_count_before(events, [key], ["ts", "seq"], is_resp, bucket=bucket)
+    parts = in_parts(events.select(key, "ts", "seq", "kind"), [key], ["ts", "seq"])
+    g = running_sum(parts, [key], ["ts", "seq"], is_resp.cast("int"), "grp", before=True)
     req = g.filter(~is_resp).groupBy(key, "grp").agg(
         F.min_by(F.struct("ts", "seq"), F.struct("ts", "seq")).alias("r"))
     resp = g.filter(is_resp).select(key, "grp", F.col("seq").alias("response_seq"),
@@ -70,14 +69,15 @@ ECHO_REQUEST = [8, 128]
 ECHO_REPLY = [0, 129]
 
 
-def icmp_rtt(icmp: DataFrame, bucket: str = "1 hour") -> DataFrame:
+def icmp_rtt(icmp: DataFrame) -> DataFrame:
     """Echo reply matched to the latest request with the same (host, id, seq)
     not yet answered; RTT in ms.  Both ICMPv4 and ICMPv6 echo types pair."""
     e = icmp.filter(F.col("icmp_type").isin(ECHO_REQUEST + ECHO_REPLY)).withColumn(
         "is_reply", F.col("icmp_type").isin(ECHO_REPLY)).withColumn(
         "host", F.when(F.col("is_reply"), F.col("dst_ip")).otherwise(F.col("src_ip")))
     keys = ["host", "echo_id", "echo_seq"]
-    g = running_count_before(e, keys, ["ts", "seq"], F.col("is_reply"), bucket=bucket)
+    parts = in_parts(e.select(*keys, "ts", "seq", "is_reply"), keys, ["ts", "seq"])
+    g = running_sum(parts, keys, ["ts", "seq"], F.col("is_reply").cast("int"), "grp", before=True)
     req = g.filter(~F.col("is_reply")).groupBy(*keys, "grp").agg(
         F.max_by(F.struct("ts", "seq"), F.struct("ts", "seq")).alias("r"))
     rep = g.filter("is_reply").select(*keys, "grp", F.col("seq").alias("reply_seq"),
@@ -92,26 +92,25 @@ WRAP = 2 ** 32
 SEQ_SPAN = 1 << 20
 
 
-def unwrap_sequence(segments: DataFrame, keys: list[str], order: list[str], bucket: str = "1 hour") -> DataFrame:
+def unwrap_sequence(segments: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """``pos``: the 32-bit sequence number carried on past its wrap.
 
     Each segment moves by the signed 32-bit distance from the one before it; the
-    distances are added up by a parallel prefix over time buckets.
+    distances are added up by a parallel prefix.
     """
     k = list(keys)
-    bk = _bucket("ts", bucket)
-    # the segment before: inside its bucket, else the last one of the bucket before
-    d = segments.withColumn("_bk", bk)
-    last = d.groupBy(*k, "_bk").agg(F.max_by("tcp_seq", F.struct(*order)).alias("_last"))
-    last = last.withColumn("_prev", F.lag("_last").over(Window.partitionBy(*k).orderBy("_bk"))).drop("_last")
-    inside = F.lag("tcp_seq").over(Window.partitionBy(*k, "_bk").orderBy(*order))
-    d = d.join(last, k + ["_bk"]).withColumn("_before", F.coalesce(inside, F.col("_prev")))
+    parts = in_parts(segments, k, order)
+    # the segment before: inside its range, else the last one of the range before
+    last = parts.groupBy(*k, "_part").agg(F.max_by("tcp_seq", F.struct(*order)).alias("_last"))
+    last = last.withColumn("_prev", F.lag("_last").over(Window.partitionBy(*k).orderBy("_part"))).drop("_last")
+    inside = F.lag("tcp_seq").over(Window.partitionBy(*k, "_part").orderBy(*order))
+    d = parts.join(last, k + ["_part"]).withColumn("_before", F.coalesce(inside, F.col("_prev")))
     step = F.pmod(F.col("tcp_seq") - F.col("_before") + F.lit(WRAP // 2), F.lit(WRAP)) - F.lit(WRAP // 2)
-    d = d.withColumn("_step", F.when(F.col("_before").isNull(), F.col("tcp_seq")).otherwise(step)).drop("_bk", "_before", "_prev")
-    return running_sum(d, k, order, F.col("_step"), "pos", bucket=bucket).drop("_step")
+    d = d.withColumn("_step", F.when(F.col("_before").isNull(), F.col("tcp_seq")).otherwise(step)).drop("_before", "_prev")
+    return running_sum(d, k, order, F.col("_step"), "pos").drop("_step", "_part")
 
 
-def tcp_health(segments: DataFrame, keys=("conn_id", "direction"), bucket: str = "1 hour") -> DataFrame:
+def tcp_health(segments: DataFrame, keys=("conn_id", "direction")) -> DataFrame:
     """Segments, retransmissions and out-of-order segments of each half-stream.
 
     Reassembly holds a next expected position, first the position of the first
@@ -132,9 +131,8 @@ def tcp_health(segments: DataFrame, keys=("conn_id", "direction"), bucket: str =
     k = list(keys)
     order = ["ts", "seg_id"]
     at = F.struct(*order)
-    s = unwrap_sequence(segments.filter(F.col("length") > 0).select(*k, *order, "tcp_seq", "length"), k, order, bucket)
+    s = unwrap_sequence(segments.filter(F.col("length") > 0).select(*k, *order, "tcp_seq", "length"), k, order)
     # each of these is read several times
-    ensure_checkpoint_dir(segments.sparkSession)
     s = s.checkpoint()
     first = s.groupBy(*k).agg(F.min_by("pos", at).alias("origin"))
     pos = (s.groupBy(*k, "pos").agg(F.min(at).alias("came"), F.min(F.col("pos") + F.col("length")).alias("end"),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.timewin import interval
-from flowlens.operators.sessions import running_sum
+from flowlens.operators.sessions import in_parts, running_sum
 
 
 def port_spans(flows: DataFrame, minutes: int = 5) -> DataFrame:
@@ -44,7 +44,8 @@ def port_counts(flows: DataFrame, minutes: int = 5) -> DataFrame:
         F.struct(F.col("until").alias("at"), F.lit(0).alias("plus"), F.lit(1).alias("minus")))).alias("s"))
     steps = step.groupBy("src_ip", F.col("s.at").alias("at")).agg(
         F.sum("s.plus").alias("new_ports"), (F.sum("s.plus") - F.sum("s.minus")).alias("step"))
-    return running_sum(steps, ["src_ip"], ["at"], F.col("step"), "port_count", ts="at").drop("step")
+    parts = in_parts(steps, ["src_ip"], ["at"])
+    return running_sum(parts, ["src_ip"], ["at"], F.col("step"), "port_count").drop("step", "_part")
 
 
 def port_scans(flows: DataFrame, minutes: int = 5, min_ports: int = 50) -> DataFrame:

@@ -275,7 +275,7 @@ def test_tcp_health_replays_only_the_pieces_with_an_overlap(spark, monkeypatch):
 
     monkeypatch.setattr(SS, "_replay", sizes)
     got = {r["conn_id"]: (r["segments"], r["retransmissions"], r["out_of_order"])
-           for r in SS.tcp_health(_segments(spark, rows), bucket="30 days").collect()}
+           for r in SS.tcp_health(_segments(spark, rows)).collect()}
     assert got == _replay_by_hand(rows) and got[100] == (1501, 1, 0)
 
 
@@ -388,3 +388,27 @@ def test_stored_flows_prune_months(spark, tmp_path):
         dt.datetime(2024, 3, 13) <= r[1] <= dt.datetime(2024, 3, 20) for r in rows)
     last = max(r[1] for r in rows)
     assert A.timeseries(t, hours=24).agg(F.sum("cnt")).first()[0] == sum(r[1] >= last - dt.timedelta(hours=24) for r in rows)
+
+
+def test_a_busy_second_of_one_connection_is_many_ranges(spark):
+    import random
+    rng = random.Random(9)
+    t = dt.datetime(2024, 1, 1, 12)
+    kinds = [rng.choice(("request", "request", "response")) for _ in range(4000)]
+    rows = [(1, i, t + dt.timedelta(microseconds=100 * (i // 3)), k) for i, k in enumerate(kinds)]
+    rows += [(c, 0, t, "request") for c in range(2, 40)] + [(c, 1, t, "response") for c in range(2, 40)]
+    df = spark.createDataFrame(rows, "conn_id long, seq long, ts timestamp, kind string")
+    parts = SS.in_parts(df, ["conn_id"], ["ts", "seq"])
+    assert max(r["count"] for r in parts.groupBy("conn_id", "_part").count().collect()) < 1500
+    want, open_at = set(), None
+    for i, k in enumerate(kinds):
+        if k == "request":
+            open_at = i if open_at is None else open_at
+        elif open_at is not None:
+            want.add((1, open_at, i))
+            open_at = None
+    want |= {(c, 0, 1) for c in range(2, 40)}
+    got = SS.pair_http(df).collect()
+    assert {(r["conn_id"], r["request_seq"], r["response_seq"]) for r in got} == want and len(got) == len(want)
+    sums = {r["seq"]: r["n"] for r in SS.running_sum(parts, ["conn_id"], ["ts", "seq"], F.lit(1), "n").filter("conn_id = 1").collect()}
+    assert sums == {i: i + 1 for i in range(4000)}
