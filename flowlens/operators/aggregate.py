@@ -30,15 +30,16 @@ def positive(name: str, value: int) -> int:
     return int(value)
 
 
-def smallest_values(df: DataFrame, keys: list[str], value: str, n: int, out: str) -> DataFrame:
-    """(keys, out): the ``n`` smallest distinct values of each key, nulls left out.
+def smallest_values(df: DataFrame, keys: list[str], value: str, n: int | None, out: str) -> DataFrame:
+    """(keys, out): the ``n`` smallest distinct values of each key, nulls left out; all values without ``n``.
 
     Values are made distinct first, so a hot key is spread over its values; the
     rank limit then runs before the shuffle, and an array holds ``n`` at most.
     """
     v = df.filter(F.col(value).isNotNull()).select(*keys, value).distinct()
-    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
-    v = v.withColumn("_nth", nth).filter(F.col("_nth") <= n)
+    if n is not None:
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy(value))
+        v = v.withColumn("_nth", nth).filter(F.col("_nth") <= n)
     return v.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(out))
 
 
@@ -267,16 +268,20 @@ def threat_summary(flows: DataFrame, window: str = "24h", as_of=None, k: int = 5
                    max_processes: int = 10) -> tuple[DataFrame, DataFrame]:
     """(per-dst threats top-k, level counts over *all* threatening dsts)."""
     f = since(flows, window, as_of).filter(F.col("threat_score") > 0)
-    per = f.groupBy("dst_ip").agg(
-        F.max("threat_score").alias("score"),
-        F.max_by("threat_level", F.struct("threat_score", "ts", "id")).alias("level"),
-        F.max_by("country_code", F.struct("ts", "id")).alias("country_code"),
-        F.max_by("country_name", F.struct("ts", "id")).alias("country_name"),
-        F.max_by("as_org", F.struct("ts", "id")).alias("as_org"),
-        F.count(F.lit(1)).alias("flow_count"),
-        F.max("ts").alias("last_seen"))
+    # the flows are read once: rows of (destination, process) hold the totals and the names
+    ensure_checkpoint_dir(flows.sparkSession)
+    when = F.struct("ts", "id")
+    pair = f.groupBy("dst_ip", "process_name").agg(
+        F.max(F.struct("threat_score", "ts", "id", "threat_level")).alias("worst"),
+        F.max_by(F.struct("ts", "id", "country_code", "country_name", "as_org"), when).alias("last"),
+        F.count(F.lit(1)).alias("flow_count"), F.max("ts").alias("last_seen")).checkpoint()
+    per = pair.groupBy("dst_ip").agg(
+        F.max("worst").alias("worst"), F.max_by("last", F.struct("last.ts", "last.id")).alias("last"),
+        F.sum("flow_count").alias("flow_count"), F.max("last_seen").alias("last_seen"))
+    per = per.select("dst_ip", F.col("worst.threat_score").alias("score"), F.col("worst.threat_level").alias("level"),
+                     "last.country_code", "last.country_name", "last.as_org", "flow_count", "last_seen")
     top = _top(per, k, F.desc("score"), F.desc("flow_count"), "dst_ip")
-    named = f.filter(F.col("process_name") != "").join(top.select("dst_ip"), "dst_ip", "left_semi")
+    named = pair.filter(F.col("process_name") != "").join(top.select("dst_ip"), "dst_ip", "left_semi")
     processes = smallest_values(named, ["dst_ip"], "process_name", max_processes, "processes")
     top = top.join(processes, "dst_ip", "left").withColumn(
         "processes", F.coalesce("processes", F.array().cast("array<string>")))
@@ -289,14 +294,19 @@ def threat_summary(flows: DataFrame, window: str = "24h", as_of=None, k: int = 5
 
 def threat_offenders(flows: DataFrame, min_hits: int = 3, max_samples: int = 5) -> DataFrame:
     """SDK hunt: high-level flows per src -> hits, distinct dsts, priority P1/P2/P3."""
-    f = flows.filter(F.col("threat_level") == "high")
-    agg = f.groupBy("src_ip").agg(
-        F.count(F.lit(1)).alias("hits"),
-        F.count_distinct("dst_ip").alias("distinct_dsts"),
-        F.array_sort(F.collect_set("protocol")).alias("protocols"),  # protocol names: a handful
-        F.sum(F.col("bytes_in") + F.col("bytes_out")).alias("total_bytes"))
-    agg = agg.filter(F.col("hits") >= min_hits)
-    agg = agg.join(smallest_values(f, ["src_ip"], "dst_ip", max_samples, "sample_dsts"), "src_ip", "left")
+    # read once, as rows of (source, destination); protocols are a handful of names
+    ensure_checkpoint_dir(flows.sparkSession)
+    pair = flows.filter(F.col("threat_level") == "high").groupBy("src_ip", "dst_ip").agg(
+        F.count(F.lit(1)).alias("hits"), F.collect_set("protocol").alias("protocols"),
+        F.sum(F.col("bytes_in") + F.col("bytes_out")).alias("total_bytes")).checkpoint()
+    known = pair.groupBy("src_ip").agg(
+        F.sum("hits").alias("hits"), F.count("dst_ip").alias("distinct_dsts"),
+        F.sum("total_bytes").alias("total_bytes")).filter(F.col("hits") >= min_hits)
+    protocols = smallest_values(pair.select("src_ip", F.explode("protocols").alias("protocol")), ["src_ip"], "protocol",
+                                None, "protocols")
+    samples = smallest_values(pair, ["src_ip"], "dst_ip", max_samples, "sample_dsts")
+    agg = (known.join(protocols, "src_ip", "left").join(samples, "src_ip", "left")
+           .withColumn("protocols", F.coalesce("protocols", F.array().cast("array<string>"))))
     return agg.withColumn("priority", F.when(F.col("hits") >= 20, "P1")
                           .when(F.col("hits") >= 10, "P2").otherwise("P3"))
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from flowlens.functions.ip import ip_key, is_v4_key, with_cidr
 from flowlens.functions.timewin import as_of_col, bounded, hour_of_week, interval
+from flowlens.session import ensure_checkpoint_dir
 
 LOG = logging.getLogger(__name__)
 
@@ -66,13 +67,33 @@ def _score(obs: DataFrame, per_hour: float) -> DataFrame:
     return out.withColumn("description", desc).withColumnRenamed("flow_count_mean", "expected")
 
 
+def latest_hosts(rows: DataFrame, ts: str = "ts") -> DataFrame:
+    """(agent_id, hostname): the latest host name that isn't blank; blank if there is none."""
+    named = F.col("hostname") != ""
+    return rows.groupBy("agent_id").agg(F.coalesce(
+        F.max_by(F.when(named, F.col("hostname")), F.when(named, F.struct(ts, "hostname"))), F.lit("")).alias("hostname"))
+
+
 def detect_anomalies(flows: DataFrame, baselines: DataFrame, as_of=None, window_minutes: int = 5,
-                     min_samples: int = MIN_SAMPLES, z_threshold: float = Z_THRESHOLD) -> DataFrame:
-    """Latest window vs the baseline of the current hour-of-week (reference form)."""
+                     min_samples: int = MIN_SAMPLES, z_threshold: float = Z_THRESHOLD,
+                     include_silent: bool = False, agents: DataFrame | None = None) -> DataFrame:
+    """Latest window vs the baseline of the current hour-of-week (reference form).
+
+    Only what was observed is tested, so traffic that stopped never shows.  With
+    ``include_silent`` a baseline without a flow in the window is tested with no
+    flows, under its agent's host name in ``agents`` (one row per agent_id) or,
+    without that, in the agent's flows.
+    """
     now = as_of_col(flows, as_of)
     obs = flows.filter((F.col("ts") >= now - interval(f"{window_minutes} MINUTES")) & (F.col("agent_id") != "")) \
                .groupBy("agent_id", "hostname", "protocol").agg(F.count(F.lit(1)).alias("flow_count"))
     bl = baselines.filter((F.col("hour_of_week") == hour_of_week(now)) & (F.col("sample_count") >= min_samples))
+    if include_silent:
+        quiet = bl.select("agent_id", "protocol").join(obs, ["agent_id", "protocol"], "left_anti")
+        hosts = (agents if agents is not None else latest_hosts(flows)).select("agent_id", "hostname")
+        obs = obs.unionByName(quiet.join(hosts, "agent_id", "left").select(
+            "agent_id", F.coalesce("hostname", F.lit("")).alias("hostname"), "protocol",
+            F.lit(0).cast("long").alias("flow_count")))
     j = obs.join(bl.select("agent_id", "protocol", "flow_count_mean", "flow_count_std"),
                  ["agent_id", "protocol"])
     out = _score(j, 60.0 / window_minutes).filter(F.abs("z_score") >= z_threshold)
@@ -81,16 +102,52 @@ def detect_anomalies(flows: DataFrame, baselines: DataFrame, as_of=None, window_
         "description", "severity", "detected_at")
 
 
+def silent_windows(obs: DataFrame, baselines: DataFrame, window_minutes: int) -> DataFrame:
+    """The windows without a flow, as rows of ``obs`` with flow_count 0.
+
+    ``obs`` also holds the first and last flow of its windows.  Each (agent,
+    protocol) of ``baselines`` is looked for in the windows of its hour-of-week
+    that start after the agent's first flow, up to the last flow of all agents.
+    """
+    step = interval(f"{window_minutes} MINUTES")
+    seen = (obs.groupBy("agent_id").agg(F.min("first").alias("first_seen")).join(latest_hosts(obs, "last"), "agent_id")
+            .withColumn("until", obs.select(F.max("last")).scalar()))
+    # the weeks of a baseline's hour first, then the windows of these hours: only what is tested is made
+    hours = (baselines.select("agent_id", "protocol", "hour_of_week").join(seen, "agent_id")
+             .withColumn("week", F.explode(F.sequence(
+                 F.date_trunc("week", "first_seen"), F.date_trunc("week", "until"), interval("7 DAYS"))))
+             .withColumn("hour", F.col("week") + F.make_dt_interval(hours=F.col("hour_of_week")))
+             .filter((F.col("hour") <= F.col("until")) & (F.col("hour") + interval("1 HOUR") > F.col("first_seen"))))
+    grid = (hours.withColumn("at", F.explode(F.sequence("hour", F.col("hour") + interval("1 HOUR") + step, step)))
+            .withColumn("window_start", F.window("at", f"{window_minutes} minutes").start)
+            .filter((F.col("window_start") > F.col("first_seen")) & (F.col("window_start") <= F.col("until"))
+                    & (F.date_trunc("hour", "window_start") == F.col("hour"))))
+    return (grid.select("window_start", "agent_id", "hostname", "protocol").distinct()
+            .join(obs, ["window_start", "agent_id", "protocol"], "left_anti")
+            .withColumn("flow_count", F.lit(0).cast("long")))
+
+
 def detect_anomalies_history(flows: DataFrame, baselines: DataFrame, window_minutes: int = 5,
-                             min_samples: int = MIN_SAMPLES, z_threshold: float = Z_THRESHOLD) -> DataFrame:
+                             min_samples: int = MIN_SAMPLES, z_threshold: float = Z_THRESHOLD,
+                             include_silent: bool = False) -> DataFrame:
     """The same test over *every* tumbling window of the table (backfill form).
 
     One group-by on (window, agent, hostname, protocol), then a join with the
-    baseline on (agent, protocol, hour_of_week of the window start).
+    baseline on (agent, protocol, hour_of_week of the window start).  With
+    ``include_silent`` windows that start after an agent's first flow and hold
+    none of a baseline's protocol are tested too; the rows are then one per
+    window and baseline, whatever the number of flows.
     """
     obs = flows.filter(F.col("agent_id") != "").groupBy(
         F.window("ts", f"{window_minutes} minutes").start.alias("window_start"),
-        "agent_id", "hostname", "protocol").agg(F.count(F.lit(1)).alias("flow_count"))
+        "agent_id", "hostname", "protocol").agg(F.count(F.lit(1)).alias("flow_count"),
+                                                F.min("ts").alias("first"), F.max("ts").alias("last"))
+    if include_silent:
+        # the flows are read once; all else comes from their windows
+        ensure_checkpoint_dir(flows.sparkSession)
+        obs = obs.checkpoint()
+        known = baselines.filter(F.col("sample_count") >= min_samples)
+        obs = obs.drop("first", "last").unionByName(silent_windows(obs, known, window_minutes))
     return detect_windows(obs, baselines, window_minutes, min_samples, z_threshold)
 
 
@@ -297,18 +354,33 @@ def rule_frame(spark: SparkSession, query: str, flows: DataFrame, as_of) -> Data
                      args={"as_of": as_of}, rule_flows=flows)
 
 
+def _enabled(rules: DataFrame) -> list:
+    from flowlens.operators.latest import latest_by_key
+    return (latest_by_key(rules, ["id"], "version").filter(F.col("enabled"))
+            .select("id", "title", "severity", "query").orderBy("id").collect())
+
+
+def rule_errors(spark: SparkSession, rules: DataFrame, flows: DataFrame, as_of) -> DataFrame:
+    """(rule_id, rule_title, error): enabled rules that ``run_rules`` skips, and why."""
+    rows = []
+    for d in _enabled(rules):
+        try:
+            rule_frame(spark, d["query"], flows, as_of)
+        except (ParseException, AnalysisException) as e:
+            rows.append((d["id"], d["title"], e.getCondition() or type(e).__name__))
+    return spark.createDataFrame(rows, "rule_id string, rule_title string, error string")
+
+
 def run_rules(spark: SparkSession, rules: DataFrame, flows: DataFrame, as_of, limit: int | None = None) -> DataFrame:
     """Run the enabled custom SQL rules over ``flows``; one match row per result row.
 
     The loop runs over rule *definitions* (a small table read once on the
     driver); each rule is one plan.  ``match_data`` is the result row as JSON.
-    Rules that aren't a query, or that don't resolve, are logged and skipped;
-    without a usable rule the result is empty.  ``limit`` keeps that many rows of
+    Rules that aren't a query, or that don't resolve, are logged and skipped
+    (``rule_errors`` lists them); without a usable rule the result is empty.  ``limit`` keeps that many rows of
     each rule.
     """
-    from flowlens.operators.latest import latest_by_key
-    defs = latest_by_key(rules, ["id"], "version").filter(F.col("enabled")) \
-        .select("id", "title", "severity", "query").orderBy("id").collect()
+    defs = _enabled(rules)
     out = spark.createDataFrame([], MATCH_SCHEMA)
     for d in defs:
         try:

@@ -85,6 +85,72 @@ def q_anomalies_latest(spark, sf):
     return finish(D.detect_anomalies(f, baselines(spark, sf), window_minutes=180, z_threshold=0.05))
 
 
+# stand-in for busier agents: every flow twenty times within its next 20 minutes
+DENSE_SQL = """
+SELECT f.id, f.agent_id, f.hostname, f.protocol, f.bytes_in, f.bytes_out, f.ts + v.i * INTERVAL '1' MINUTE AS ts
+FROM {flows} f CROSS JOIN (SELECT * FROM (VALUES """ + ", ".join(f"({i})" for i in range(20)) + """) t(i)) v
+"""
+
+
+def dense_flows(spark, sf):
+    return spark.sql(DENSE_SQL.format(flows="{flows}"), flows=td.flows(spark, sf))
+
+
+def D_CTE(body: str) -> str:
+    """The oracle's text over the busier flows."""
+    return td.with_ctes(body, sparse=td.FLOWS_SQL, flows=DENSE_SQL.format(flows="sparse"))
+
+
+# the latest host name and first flow of each agent
+HOSTS_CTE = """
+, hosts AS (SELECT agent_id, COALESCE(arg_max(hostname, (ts, hostname)) FILTER (WHERE hostname != ''), '') AS hostname,
+              min(ts) AS first_seen FROM flows WHERE agent_id != '' GROUP BY 1)
+"""
+
+
+@register("anomalies_silent_latest", D_CTE(BASELINE_CTE + HOSTS_CTE + f"""
+, obs AS (SELECT agent_id, hostname, protocol, count(*) AS flow_count FROM flows
+          WHERE ts >= {NOW} - INTERVAL 60 MINUTES AND agent_id != '' GROUP BY 1, 2, 3),
+b AS (SELECT * FROM bl WHERE sample_count >= 3
+      AND hour_of_week = CAST((isodow({NOW}) - 1) * 24 + hour({NOW}) AS INTEGER)),
+j AS (SELECT b.agent_id, COALESCE(o.hostname, h.hostname) AS hostname, b.protocol,
+        COALESCE(o.flow_count, 0) AS flow_count, b.flow_count_mean, b.flow_count_std
+      FROM b LEFT JOIN obs o ON o.agent_id = b.agent_id AND o.protocol = b.protocol
+      LEFT JOIN hosts h ON h.agent_id = b.agent_id),
+s AS (SELECT agent_id, hostname, protocol, {_duck_score('1.0')} FROM j)
+SELECT agent_id, hostname, protocol, anomaly_type, ROUND(z_score, 6) AS z_score, ROUND(observed, 6) AS observed,
+  ROUND(expected, 6) AS expected, description, severity, {NOW} AS detected_at
+FROM s WHERE abs(z_score) >= 3"""))
+def q_anomalies_silent_latest(spark, sf):
+    f = dense_flows(spark, sf)
+    base = D.compute_baselines(f, lookback_days=LOOKBACK_DAYS)
+    return finish(D.detect_anomalies(f, base, window_minutes=60, include_silent=True))
+
+
+@register("anomalies_silent_history", D_CTE(BASELINE_CTE + HOSTS_CTE + f"""
+, obs AS (SELECT time_bucket(INTERVAL '60 minutes', ts) AS window_start, agent_id, hostname, protocol,
+            count(*) AS flow_count FROM flows WHERE agent_id != '' GROUP BY 1, 2, 3, 4),
+grid AS (SELECT unnest(generate_series(date_trunc('hour', (SELECT min(first_seen) FROM hosts)),
+                                       {NOW}, INTERVAL 1 HOUR)) AS window_start),
+quiet AS (SELECT g.window_start, h.agent_id, h.hostname, b.protocol, 0 AS flow_count
+          FROM grid g JOIN bl b ON b.hour_of_week = CAST((isodow(g.window_start) - 1) * 24 + hour(g.window_start) AS INTEGER)
+          JOIN hosts h ON h.agent_id = b.agent_id AND g.window_start > h.first_seen
+          WHERE NOT EXISTS (SELECT 1 FROM obs o WHERE o.window_start = g.window_start
+                            AND o.agent_id = b.agent_id AND o.protocol = b.protocol)),
+j AS (SELECT o.*, b.flow_count_mean, b.flow_count_std FROM (SELECT * FROM obs UNION ALL SELECT * FROM quiet) o JOIN bl b
+      ON o.agent_id = b.agent_id AND o.protocol = b.protocol
+      AND CAST((isodow(o.window_start) - 1) * 24 + hour(o.window_start) AS INTEGER) = b.hour_of_week
+      WHERE b.sample_count >= 3),
+s AS (SELECT window_start, agent_id, hostname, protocol, {_duck_score('1.0')} FROM j)
+SELECT window_start, agent_id, hostname, protocol, anomaly_type, ROUND(z_score, 6) AS z_score,
+  ROUND(observed, 6) AS observed, ROUND(expected, 6) AS expected, description, severity
+FROM s WHERE abs(z_score) >= 3"""))
+def q_anomalies_silent_history(spark, sf):
+    f = dense_flows(spark, sf)
+    base = D.compute_baselines(f, lookback_days=LOOKBACK_DAYS)
+    return finish(D.detect_anomalies_history(f, base, window_minutes=60, include_silent=True))
+
+
 WINDOWS = [5, 60, 1440]
 
 

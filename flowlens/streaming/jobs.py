@@ -84,16 +84,18 @@ def stream_ingest(nested: DataFrame, flows_path: str, agents_path: str, certs_pa
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch = batch.persist()
-        flat = flatten_flow(batch)
-        if blocklist is not None:
-            flat = E.enrich_threat(flat, blocklist).drop("threat_reasons")
-        if geo is not None:
-            flat = E.enrich_geo(flat, geo)
-        X.write_flows(flat, flows_path, epoch=epoch)
-        write_epoch(X.upsert_agents_from_flows(flat), agents_path, epoch)
-        if certs_path is not None:
-            write_epoch(extract_certs(batch), certs_path, epoch)
-        batch.unpersist()
+        try:
+            flat = flatten_flow(batch)
+            if blocklist is not None:
+                flat = E.enrich_threat(flat, blocklist).drop("threat_reasons")
+            if geo is not None:
+                flat = E.enrich_geo(flat, geo)
+            X.write_flows(flat, flows_path, epoch=epoch)
+            write_epoch(X.upsert_agents_from_flows(flat), agents_path, epoch)
+            if certs_path is not None:
+                write_epoch(extract_certs(batch), certs_path, epoch)
+        finally:
+            batch.unpersist()
 
     return each_batch(nested, write, name, trigger)
 

@@ -146,6 +146,41 @@ def test_zscore_rules(spark):
     assert out["a"]["description"].startswith("Spike: TCP traffic on agent h is 24.0x higher")
 
 
+def test_silent_agents_drop(spark):
+    base = spark.createDataFrame(
+        [("a", "TCP", 0, 100.0, 10.0, 3), ("a", "UDP", 0, 10.0, 0.0, 3), ("a", "DNS", 1, 100.0, 10.0, 3),
+         ("b", "TCP", 0, 100.0, 10.0, 2), ("gone", "TCP", 0, 60.0, 0.0, 9)],
+        "agent_id string, protocol string, hour_of_week int, flow_count_mean double, flow_count_std double, "
+        "sample_count long").withColumn("bytes_in_mean", F.lit(0.0)).withColumn("bytes_out_mean", F.lit(0.0))
+    monday = dt.datetime(2024, 1, 29)
+    rows = [("a", "old", "TCP", monday - dt.timedelta(days=7, minutes=-50)), ("a", "", "TCP", monday - dt.timedelta(days=1)),
+            ("a", "new", "ICMP", monday - dt.timedelta(hours=2)), ("b", "hb", "TCP", monday + dt.timedelta(minutes=59))]
+    f = conform_flows(spark.createDataFrame(rows, "agent_id string, hostname string, protocol string, ts timestamp"))
+    assert D.detect_anomalies(f, base, window_minutes=30).count() == 0
+    got = {(r["agent_id"], r["protocol"], r["hostname"], round(r["z_score"], 6), r["anomaly_type"])
+           for r in D.detect_anomalies(f, base, window_minutes=30, include_silent=True).collect()}
+    # UDP: 10 a hour over a floor of 5 is 2 sigma; b has two samples; DNS belongs to another hour
+    assert got == {("a", "TCP", "new", -10.0, "drop"), ("gone", "TCP", "", -10.0, "drop")}
+    inventory = spark.createDataFrame([("gone", "host-9"), ("a", "host-1")], "agent_id string, hostname string")
+    got = {(r["agent_id"], r["hostname"]) for r in
+           D.detect_anomalies(f, base, window_minutes=30, include_silent=True, agents=inventory).collect()}
+    assert got == {("a", "host-1"), ("gone", "host-9")}
+    # history: windows that start after a's first flow (00:50 a week before), up to the last flow; b and "gone" have none
+    week = monday - dt.timedelta(days=7)
+    for minutes in (5, 7, 20):
+        hist = D.detect_anomalies_history(f, base, window_minutes=minutes, include_silent=True).filter("observed = 0").collect()
+        want = set()
+        start = dt.datetime.fromtimestamp(week.replace(tzinfo=dt.timezone.utc).timestamp() // (minutes * 60) * minutes * 60,
+                                          dt.timezone.utc).replace(tzinfo=None)
+        while start <= monday + dt.timedelta(minutes=59):
+            hour = start.weekday() * 24 + start.hour
+            if start > week + dt.timedelta(minutes=50) and hour in (0, 1):
+                want.add((start, "a", "new", "TCP" if hour == 0 else "DNS", "drop"))
+            start += dt.timedelta(minutes=minutes)
+        got = [(r["window_start"], r["agent_id"], r["hostname"], r["protocol"], r["anomaly_type"]) for r in hist]
+        assert set(got) == want and len(got) == len(want)
+
+
 def test_sunday_hour_of_week(spark):
     from flowlens.functions.timewin import hour_of_week
     df = spark.createDataFrame([(dt.datetime(2024, 1, 28, 23, 30),)], "ts timestamp")
@@ -304,6 +339,8 @@ def test_rules_run_queries_only(spark):
     rules = [(f"r{i}", "t", "low", q, True, 1) for i, q in enumerate(bad)]
     out = D.run_rules(spark, spark.createDataFrame(rules, RULE_SCHEMA), f, now)
     assert out.columns == ["rule_id", "rule_title", "severity", "match_data", "fired_at"] and out.count() == 0
+    errors = D.rule_errors(spark, spark.createDataFrame(rules, RULE_SCHEMA), f, now).collect()
+    assert sorted(r["rule_id"] for r in errors) == sorted(r[0] for r in rules) and all(r["error"] for r in errors)
     good = [("g1", "t", "low", "SELECT src_ip, '{x}' AS b FROM flows WHERE dst_port = 23 -- telnet", True, 1),
             ("g2", "t", "low", "WITH t AS (SELECT * FROM flows) SELECT count(*) AS n FROM t WHERE ts < :as_of;", True, 1)]
     out = D.run_rules(spark, spark.createDataFrame(rules + good, RULE_SCHEMA), f, now)
