@@ -7,9 +7,12 @@ range-partitions every curve and numbers its vectors.  A query looks at the
 window of ranks around its own on each curve; the finds of all windows are merged
 and ranked by their inner product with the original vectors.
 
-The window is fitted: for a bounded sample of queries the true neighbours are
-found by brute force, and the window is made as wide as it takes to hold the
-wanted share of them.
+The window and the number of curves are fitted: for a bounded sample of queries
+the true neighbours are found by brute force, for each number of curves the window
+is made as wide as it takes to hold the wanted share of them, and the number that
+has the fewest vectors to score is taken.  Clustered vectors are near each other on
+every curve, so that a narrow window will do; vectors without any structure need
+windows of a share of the table, and then two curves cost least.
 
 Inner products need one length, so each length of vectors is a table of its own:
 a long table has its own curves and window, and the lengths of a few vectors
@@ -28,10 +31,13 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.common import cut, running_total
 
-CURVES, DIMS, KEY_BITS = 6, 4, 15
+CURVES, LEAST_CURVES, DIMS, KEY_BITS = 12, 2, 6, 10
+#: Placing a vector on a curve costs about as much as scoring this many.
+PLACE_COST = 200
 #: Rows of a block, the least window, and queries that one task holds at a time.
 BLOCK, MIN_WINDOW, QUERY_CHUNK = 4096, 1024, 200_000
-SAMPLE_QUERIES, RECALL = 200, 0.95
+SCORED_TOGETHER = 64
+SAMPLE_QUERIES, RECALL = 200, 0.96
 FOUND = "q long, vid array<long>, rep array<long>, score array<double>"
 
 
@@ -164,38 +170,49 @@ def brute_force(base: DataFrame, sample: list, k: int) -> DataFrame:
     return found.withColumn("nth", nth).filter(F.col("nth") <= k).select("q", "vid")
 
 
-def fit_window(base: DataFrame, ranks: DataFrame, k: int, sample_queries: int = SAMPLE_QUERIES,
-               recall: float = RECALL) -> int:
-    """Ranks to either side that hold `recall` of the sample queries' neighbours on some curve."""
+def fit_windows(base: DataFrame, ranks: DataFrame, n: int, k: int, sample_queries: int = SAMPLE_QUERIES,
+                recall: float = RECALL) -> tuple[int, int]:
+    """(curves, window): how many curves to search, and the ranks to either side on each, so that `recall` of
+    the sample queries' neighbours stand in some window and the least is placed and scored of the `n` vectors."""
     sample = base.filter("is_query").orderBy(F.xxhash64("vid", F.lit("fit")), "vid").limit(sample_queries).collect()
     if not sample:
-        return MIN_WINDOW
+        return LEAST_CURVES, MIN_WINDOW
     pairs = brute_force(base, sample, k + 1).filter("q <> vid")
     here = ranks.filter("asks").select(F.col("vid").alias("q"), "curve", F.col("rank").alias("at"))
     there = ranks.filter("not asks").select("vid", "curve", "rank")
     gap = (pairs.join(F.broadcast(here.join(F.broadcast(pairs.select("q").distinct()), "q")), "q")
-           .join(there, ["vid", "curve"]).groupBy("q", "vid").agg(F.min(F.abs(F.col("rank") - F.col("at"))).alias("gap")))
-    gaps = np.sort([r["gap"] for r in gap.collect()])  # at most sample_queries times k
-    if not len(gaps):
-        return MIN_WINDOW
-    return max(MIN_WINDOW, int(gaps[min(len(gaps) - 1, math.ceil(recall * len(gaps)) - 1)]) + 1)
+           .join(there, ["vid", "curve"]).select("q", "vid", "curve", F.abs(F.col("rank") - F.col("at")).alias("gap")))
+    found = gap.toPandas()  # at most sample_queries times k times CURVES
+    if not len(found):
+        return LEAST_CURVES, MIN_WINDOW
+    gaps = found.pivot(index=["q", "vid"], columns="curve", values="gap").to_numpy()
+    fits, queries = [], base.filter("is_query").count()
+    for curves in range(LEAST_CURVES, CURVES + 1):
+        near = np.sort(gaps[:, :curves].min(axis=1))
+        window = max(MIN_WINDOW, int(near[min(len(near) - 1, math.ceil(recall * len(near)) - 1)]) + 1)
+        held = 2 * window - window * window / n if window < n else n  # on average: windows end at the table's ends
+        fits.append((curves * (queries * held + PLACE_COST * n), curves, window))
+    return min(fits)[1:]
 
 
 def _search(window: int, k: int):
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["rank", "vid"])
         data, ask = group[~group["asks"]], group[group["asks"]]
         rows = []
         if len(data) and len(ask):
-            m, vid, rep = _matrix(data["embedding"]).T, data["vid"].to_numpy(np.int64), data["rep"].to_numpy(np.int64)
-            rank = data["rank"].to_numpy(np.int64)
-            for lo in range(0, len(ask), 512):
-                part = ask.iloc[lo:lo + 512]
-                score = _matrix(part["embedding"]) @ m
-                for s, q, r in zip(score, part["vid"], part["rank"], strict=True):
-                    near = np.nonzero(np.abs(rank - r) <= window)[0]
-                    at = near[_best(s[near], rep[near], k)]
-                    if len(at):
-                        rows.append((int(q), vid[at].tolist(), rep[at].tolist(), s[at].tolist()))
+            m, vid, rep = _matrix(data["embedding"]), data["vid"].to_numpy(np.int64), data["rep"].to_numpy(np.int64)
+            rank, at = data["rank"].to_numpy(np.int64), ask["rank"].to_numpy(np.int64)
+            first, last = np.searchsorted(rank, at - window), np.searchsorted(rank, at + window, "right")
+            # neighbouring queries share most of their windows
+            for lo in range(0, len(ask), SCORED_TOGETHER):
+                part = slice(lo, lo + SCORED_TOGETHER)
+                here = first[part][0]
+                score = _matrix(ask["embedding"].iloc[part]) @ m[here:last[part][-1]].T
+                for s, q, f, e in zip(score, ask["vid"].iloc[part], first[part], last[part], strict=True):
+                    best = f + _best(s[f - here:e - here], rep[f:e], k)
+                    if len(best):
+                        rows.append((int(q), vid[best].tolist(), rep[best].tolist(), s[best - here].tolist()))
         return pd.DataFrame(rows, columns=["q", "vid", "rep", "score"])
     return run
 
@@ -213,7 +230,11 @@ def _merge(k: int):
 def _found_on_curves(base: DataFrame, n: int, longest: float, k: int, window: int | None, recall: float) -> DataFrame:
     """(q, vid, rep, score) arrays of what the windows of each query hold; `base` has n vectors of one length."""
     ranks = rank_curves(base, longest)
-    w = window if window is not None else fit_window(base, ranks, k, recall=recall)
+    if window is None:
+        curves, w = fit_windows(base, ranks, n, k, recall=recall)
+        ranks = ranks.filter(F.col("curve") < curves)
+    else:
+        w = window
     chunks = 1 + (BLOCK + 2 * w) // QUERY_CHUNK
     own = F.col("rank") - F.col("rank") % BLOCK
     first = F.greatest(F.lit(0), F.col("rank") - w)
@@ -243,7 +264,7 @@ def nearest(vectors: DataFrame, queries, k: int = 20, window: int | None = None,
     of its own length.  Null, empty, zero and non-finite vectors and null ids take
     no part; fewer than k candidates are all returned.  Equal vectors are searched
     once and share their answer; rows that repeat id and vector count once.
-    `window` None fits it to `recall`.
+    `window` None fits it and the number of curves to `recall`; else all curves are searched.
     """
     spark = vectors.sparkSession
     slim = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.col(f"`{vector_col}`").alias("embedding"))

@@ -463,3 +463,30 @@ def test_pipeline_survives_odd_rows(spark, tmp_path):
     spark.createDataFrame([(1, "some item. its answer.")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
     out = corpus_pipeline.run(spark, sf).collect()
     assert sorted(r["doc_id"] for r in out) == [2, 4] or {r["doc_id"] for r in out} <= {2, 4}
+
+
+def test_the_fit_takes_the_cheapest_number_of_curves(spark, monkeypatch):
+    monkeypatch.setattr(hilbert_ann, "MIN_WINDOW", 16)
+    rng = np.random.default_rng(8)
+    m = rng.normal(size=(2000, 32)) * np.arange(1, 33) ** -1.0
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id long, embedding array<float>")
+    base, _ = hilbert_ann.distinct_vectors(df, F.col("vec_id") % 20 == 0, 20)
+    ranks = hilbert_ann.rank_curves(base, float(np.sqrt((m * m).sum(axis=1).max())))
+    monkeypatch.setattr(hilbert_ann, "PLACE_COST", 0)
+    many, narrow = hilbert_ann.fit_windows(base, ranks, 2000, 20)
+    monkeypatch.setattr(hilbert_ann, "PLACE_COST", 10 ** 6)
+    few, wide = hilbert_ann.fit_windows(base, ranks, 2000, 20)
+    assert few == hilbert_ann.LEAST_CURVES < many <= hilbert_ann.CURVES and narrow < wide <= 2000
+    # the sample is all queries here: the windows hold the wanted share of their neighbours
+    at = {(r["curve"], r["vid"], r["asks"]): r["rank"] for r in ranks.collect()}
+    vec = {r["vid"]: np.array(r["embedding"], np.float32).astype(float) for r in base.collect()}
+    ids = np.array(sorted(vec))
+    table = np.stack([vec[i] for i in ids])
+    for curves, window in ((many, narrow), (few, wide)):
+        hit = total = 0
+        for q in {v for c, v, asks in at if asks}:
+            for v in ids[np.argsort(-(table @ vec[q]), kind="stable")[:21]].tolist():
+                if v != q:
+                    total += 1
+                    hit += any(abs(at[c, v, False] - at[c, q, True]) <= window for c in range(curves))
+        assert hit >= 0.95 * total
