@@ -7,8 +7,8 @@ network table (at most 129 per IP version) and joined on (version, length, maske
 key), an equi-join without ranges, whose rows grow with addresses times lengths.
 The winner of each address is joined back to the flows by the address text; a
 hot address is one row there, and its flows are split by the skew join.  Nothing
-is broadcast unless Spark sees it under its own size threshold, and IPv6 takes
-the same path as IPv4.
+is broadcast but the prefix lengths, and what Spark sees under its own size
+threshold; IPv6 takes the same path as IPv4.
 """
 
 from __future__ import annotations
@@ -47,7 +47,8 @@ def lookup(df: DataFrame, ip_cols: list[str], table: DataFrame, prefix: str = ""
     texts = df.select(F.explode(F.array_distinct(F.array(*ip_cols))).alias("_ip")).distinct()
     ips = texts.withColumn("_key", address_key("_ip")).withColumn("v4", is_v4_key(F.col("_key")))
     lengths = table.select("v4", "bits").distinct()
-    cut = ips.join(lengths, "v4").withColumn("masked", mask_key(F.col("_key"), F.col("bits")))
+    # one row per prefix length and version: 162 at most, so it can go to every task; a join by version would be two keys
+    cut = ips.join(F.broadcast(lengths), "v4").withColumn("masked", mask_key(F.col("_key"), F.col("bits")))
     hits = cut.join(table, ["v4", "bits", "masked"]).groupBy("_ip").agg(F.min("entry").alias("_entry"))
     out = df
     for c in ip_cols:

@@ -14,6 +14,7 @@ from flowlens.operators import aggregate as agg
 from flowlens.operators import enrich as E
 from flowlens.operators import filters as FL
 from flowlens.operators import latest as LT
+from flowlens.operators.rangejoin import lookup, network_table
 from flowlens.plans.catalog import finish, register
 from flowlens.sources import testdata as td
 
@@ -97,6 +98,47 @@ def q_enrich_threat_bidirectional(spark, sf):
                       F.array_join("desk_threat_reasons", "|").alias("desk_threat_reasons"))
 
 
+# a stored list against many addresses: the first line of the list that holds an address wins
+LONG_LIST = f"""
+, bl AS (SELECT ord, value AS net, CAST(split_part(value, '/', 2) AS INT) AS bits,
+           {duck_ipv4_long("split_part(value, '/', 1)")} AS lo,
+           CASE WHEN value LIKE '2001:%' THEN split_part(value, ':', 3) END AS grp
+         FROM lines WHERE value LIKE '%/%' AND value NOT LIKE '#%'),
+ips AS (SELECT ip, {duck_ipv4_long('ip')} AS n, CASE WHEN ip LIKE '2001:%' THEN split_part(ip, ':', 3) END AS grp
+        FROM (SELECT src_ip AS ip FROM flows UNION SELECT dst_ip AS ip FROM flows) u),
+cuts AS (SELECT ip, bits, n - n % CAST(power(2, 32 - bits) AS BIGINT) AS lo
+         FROM ips, (SELECT DISTINCT bits FROM bl WHERE lo IS NOT NULL) b WHERE n IS NOT NULL),
+hits AS (SELECT ip, arg_min(net, ord) AS net FROM (
+           SELECT c.ip, b.net, b.ord FROM cuts c JOIN bl b ON b.bits = c.bits AND b.lo = c.lo
+           UNION ALL SELECT i.ip, b.net, b.ord FROM ips i JOIN bl b ON b.grp = i.grp) h GROUP BY ip)
+"""
+
+
+@register("stored_list_matches", td.with_ctes(LONG_LIST + """
+SELECT f.id, f.src_ip, s.net AS src_net, f.dst_ip, d.net AS dst_net FROM flows f
+LEFT JOIN hits s ON s.ip = f.src_ip LEFT JOIN hits d ON d.ip = f.dst_ip""",
+                                              flows=td.MANY_ADDRESSES_SQL, lines=td.LONG_BLOCKLIST_SQL))
+def q_stored_list_matches(spark, sf):
+    lines = E.blocklist_from_lines(td.long_blocklist(spark, sf), order_col="ord")
+    table = network_table(lines, priority=F.col("ord"), payload=["net"])
+    out = lookup(td.many_addresses(spark, sf), ["src_ip", "dst_ip"], table)
+    return out.select("id", "src_ip", F.col("src_ip_net").alias("src_net"), "dst_ip", F.col("dst_ip_net").alias("dst_net"))
+
+
+@register("stored_list_scores", td.with_ctes(LONG_LIST + f"""
+, s AS (SELECT f.id, (h.ip IS NOT NULL AND NOT {duck_is_private('f.dst_ip')}) AS hit, {_hub_points()} AS pts,
+          {_hub_reason()} AS port_reason FROM flows f LEFT JOIN hits h ON h.ip = f.dst_ip),
+t AS (SELECT id, hit, port_reason, CAST(LEAST(CASE WHEN hit THEN 75 ELSE 0 END + pts, 100) AS INT) AS threat_score FROM s)
+SELECT id, threat_score, CASE WHEN threat_score >= 75 THEN 'high' WHEN threat_score >= 50 THEN 'medium'
+  WHEN threat_score >= 20 THEN 'low' ELSE 'clean' END AS threat_level,
+  concat_ws(',', CASE WHEN hit THEN 'blocklist_hit' END, port_reason) AS threat_reasons FROM t""",
+                                             flows=td.MANY_ADDRESSES_SQL, lines=td.LONG_BLOCKLIST_SQL))
+def q_stored_list_scores(spark, sf):
+    lines = E.blocklist_from_lines(td.long_blocklist(spark, sf), order_col="ord")
+    return E.enrich_threat(td.many_addresses(spark, sf), lines).select(
+        "id", "threat_score", "threat_level", F.array_join("threat_reasons", ",").alias("threat_reasons"))
+
+
 def _bounds(net: str) -> tuple[int, int]:
     n = ipaddress.ip_network(net)
     return int(n.network_address), int(n.broadcast_address)

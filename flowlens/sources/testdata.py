@@ -15,6 +15,34 @@ from pyspark.sql import DataFrame, SparkSession
 TABLES = ("region nation customer supplier part orders lineitem events documents "
           "embeddings pages benchmark labels conversations").split()
 
+
+
+def _quad(n: str) -> str:
+    """The dotted form of a 32-bit number."""
+    parts = [f"CAST(CAST(({n} - {n} % {256 ** i}) / {256 ** i} AS BIGINT) % 256 AS STRING)" for i in (3, 2, 1, 0)]
+    return "CONCAT(" + ", '.', ".join(parts) + ")"
+
+
+# flows from and to many addresses, an eighth of the destinations IPv6: one a line item
+MANY_ADDRESSES_SQL = f"""
+SELECT id, CASE WHEN y % 16 = 3 THEN 'unknown' ELSE {_quad('y')} END AS src_ip,
+  CASE WHEN x % 8 = 0 THEN CONCAT('2001:db8:', CAST(x % 10000 AS STRING), '::', CAST(x % 7 AS STRING)) ELSE {_quad('x')} END AS dst_ip,
+  CAST(CASE WHEN x % 32 = 1 THEN 23 WHEN x % 32 = 2 THEN 9001 ELSE x % 65536 END AS INT) AS dst_port
+FROM (SELECT l_orderkey * 8 + l_linenumber AS id, (l_orderkey * 2654435761 + l_linenumber * 40503) % 4294967296 AS x,
+        (CAST(l_partkey AS BIGINT) * 2246822519) % 4294967296 AS y FROM {{lineitem}}) t
+"""
+
+# a threat list as stored text, one line an order, in order of `ord`: networks of /12 to /28 that overlap and repeat,
+# IPv6 /48, comments, lines that are no network
+LONG_BLOCKLIST_SQL = f"""
+SELECT ord, CASE WHEN ord % 50 = 0 THEN CONCAT('# list of order ', CAST(ord AS STRING)) WHEN ord % 50 = 1 THEN 'host.example'
+  WHEN ord % 50 < 6 THEN CONCAT('2001:db8:', CAST((ord * 7) % 10000 AS STRING), '::/48')
+  ELSE CONCAT({_quad('(z - z % size)')}, '/', CAST(bits AS STRING)) END AS value
+FROM (SELECT ord, z, bits, CAST(POWER(2, 32 - bits) AS BIGINT) AS size
+      FROM (SELECT CAST(o_orderkey AS BIGINT) AS ord, (CAST(o_orderkey AS BIGINT) * 3266489917) % 4294967296 AS z,
+              CAST(12 + (o_orderkey * 5) % 17 AS INT) AS bits FROM {{orders}}) a) b
+"""
+
 # flows: one flow per event (see FIXTURES.md).  Columns the derivation does not
 # know get the flat-table defaults; threat/geo names come from enrichment.
 FLOWS_SQL = """
@@ -185,6 +213,14 @@ def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, AUDIT_SQL, "orders")
 
 
+def many_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derive(spark, sf_dir, MANY_ADDRESSES_SQL, "lineitem")
+
+
+def long_blocklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _derive(spark, sf_dir, LONG_BLOCKLIST_SQL, "orders")
+
+
 def packet_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _derive(spark, sf_dir, PACKETS_SQL, "events")
 
