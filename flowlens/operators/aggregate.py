@@ -43,26 +43,44 @@ def smallest_values(df: DataFrame, keys: list[str], value: str, n: int | None, o
     return v.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias(out))
 
 
-def _pct(c: str, p: float, exact: bool) -> Column:
-    # exact: value->count map per group (partial-aggregated, sized by distinct
-    # latencies, not rows); approx: mergeable GK sketch with bounded memory.
-    return F.percentile(c, p) if exact else F.percentile_approx(c, p, 10000).cast("double")
-
-
 def endpoint_stats(flows: DataFrame, window: str = "1h", as_of=None, k: int | None = None,
                    exact: bool = True) -> DataFrame:
-    """Per (method, path) of HTTP/HTTPS flows: counts, error rate, latency percentiles."""
+    """Per (method, path) of HTTP/HTTPS flows: counts, error rate, latency percentiles.
+
+    ``exact`` percentiles are interpolated between ranks.  The flows are read once,
+    as counts of (endpoint, latency), and the ranks come from running sums over these,
+    so a hot endpoint costs its distinct latencies and can spill.  Otherwise they
+    are off by at most a ten-thousandth of the ranks, from summaries of fixed size.
+    """
     f = since(flows, window, as_of).filter(
         F.col("protocol").isin("HTTP", "HTTPS") & (F.col("http_method") != "")
         & (F.col("http_path") != ""))
-    agg = f.groupBy("http_method", "http_path").agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if((F.col("http_status") >= 200) & (F.col("http_status") < 400)).alias("success_count"),
-        F.count_if(F.col("http_status") >= 400).alias("error_count"),
-        F.avg("duration_ms").alias("avg_latency"),
-        _pct("duration_ms", 0.5, exact).alias("p50"),
-        _pct("duration_ms", 0.95, exact).alias("p95"),
-        _pct("duration_ms", 0.99, exact).alias("p99"))
+    keys, points = ["http_method", "http_path"], {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    ok, error = (F.col("http_status") >= 200) & (F.col("http_status") < 400), F.col("http_status") >= 400
+    if exact:
+        c = f.groupBy(*keys, F.col("duration_ms").alias("_v")).agg(
+            F.count(F.lit(1)).alias("_n"), F.count_if(ok).alias("_ok"), F.count_if(error).alias("_error"))
+        timed = F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0)
+        up_to = Window.partitionBy(*keys).orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        c = c.withColumn("_timed", timed)
+        c = c.withColumn("_upto", F.sum("_timed").over(up_to)).withColumn("_all", F.sum("_timed").over(Window.partitionBy(*keys)))
+        parts = []
+        for name, point in points.items():
+            at = F.lit(point) * (F.col("_all") - 1)
+            parts += [F.max(at).alias(f"_{name}"),
+                      F.min(F.when(F.col("_upto") > F.floor(at), F.col("_v"))).alias(f"_{name}_lo"),
+                      F.min(F.when(F.col("_upto") > F.ceil(at), F.col("_v"))).alias(f"_{name}_hi")]
+        agg = c.groupBy(*keys).agg(
+            F.sum("_n").alias("total"), F.sum("_ok").alias("success_count"), F.sum("_error").alias("error_count"),
+            (F.sum(F.col("_v") * F.col("_timed")) / F.nullif(F.sum("_timed"), F.lit(0))).cast("double").alias("avg_latency"), *parts)
+        for name in points:
+            lo, hi, share = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), F.col(f"_{name}") - F.floor(f"_{name}")
+            agg = agg.withColumn(name, (lo + (hi - lo) * share).cast("double"))
+    else:
+        agg = f.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("total"), F.count_if(ok).alias("success_count"), F.count_if(error).alias("error_count"),
+            F.avg("duration_ms").alias("avg_latency"),
+            *[F.percentile_approx("duration_ms", p, 10000).cast("double").alias(n) for n, p in points.items()])
     agg = agg.withColumn("error_rate", F.col("error_count") / F.col("total") * 100.0)
     return _top(agg, k, F.desc("total"), "http_method", "http_path").select(
         "http_method", "http_path", "total", "success_count", "error_count", "error_rate",

@@ -449,3 +449,35 @@ def test_a_busy_second_of_one_connection_is_many_ranges(spark):
     assert {(r["conn_id"], r["request_seq"], r["response_seq"]) for r in got} == want and len(got) == len(want)
     sums = {r["seq"]: r["n"] for r in SS.running_sum(parts, ["conn_id"], ["ts", "seq"], F.lit(1), "n").filter("conn_id = 1").collect()}
     assert sums == {i: i + 1 for i in range(4000)}
+
+
+def test_endpoint_percentiles_and_approximate_forms(spark):
+    import random
+
+    import numpy as np
+    from flowlens.operators import aggregate as A
+    rng = random.Random(6)
+    t = dt.datetime(2024, 1, 1)
+    lat = {"/hot": [rng.choice((3, 5, 8, rng.randrange(5000))) for _ in range(3000)], "/one": [7], "/two": [4, 9], "/none": [None],
+           "/some": [None, 1, 2, None, 10]}
+    rows = [("HTTP", "GET", p, 200 if i % 3 else 500, v, t, "h", f"10.0.0.{i % 3}", f"d{i}") for p, vs in lat.items() for i, v in enumerate(vs)]
+    f = conform_flows(spark.createDataFrame(rows, "protocol string, http_method string, http_path string, http_status int, "
+                                                  "duration_ms long, ts timestamp, hostname string, src_ip string, dst_ip string"))
+    exact = {r["http_path"]: r for r in A.endpoint_stats(f).collect()}
+    rough = {r["http_path"]: r for r in A.endpoint_stats(f, exact=False).collect()}
+    assert exact.keys() == rough.keys()
+    for path in exact:
+        # the flat table has 0 for a latency that is missing
+        vs = sorted(r["duration_ms"] for r in f.filter(F.col("http_path") == path).select("duration_ms").collect() if r["duration_ms"] is not None)
+        for name, p in (("p50", 50), ("p95", 95), ("p99", 99)):
+            if not vs:
+                assert exact[path][name] is None and rough[path][name] is None
+                continue
+            assert abs(exact[path][name] - np.percentile(vs, p)) < 1e-9
+            below = np.searchsorted(vs, rough[path][name]) / len(vs), np.searchsorted(vs, rough[path][name], "right") / len(vs)
+            assert below[0] - 1 / len(vs) - 1e-4 <= p / 100 <= below[1] + 1 / len(vs) + 1e-4
+        for c in ("total", "success_count", "error_count", "avg_latency"):
+            assert exact[path][c] == rough[path][c]
+    real = {r["src_ip"]: r["unique_destinations"] for r in A.exfil_talkers(f).collect()}
+    near = {r["src_ip"]: r["unique_destinations"] for r in A.exfil_talkers(f, approx=True).collect()}
+    assert real.keys() == near.keys() and all(abs(near[s] - n) <= 0.15 * n for s, n in real.items())
