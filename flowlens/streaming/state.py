@@ -9,6 +9,7 @@ free keys that have gone silent.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -290,15 +291,18 @@ class _Rule(_Ordered):
         for i, j in zip(edges, [*edges[1:], len(times)], strict=True):
             base = [v for us, v in hours.items() if lo[i] <= us <= hi[i]]
             if metric == "anomaly_flow_rate":
-                level = np.array([float(v[0]) for v in base if v[0] > 0])
+                counts = [int(v[0]) for v in base if v[0] > 0]
+                level = np.array(counts, float)
+                # from whole sums, so that a deviation of exactly 1 is 1
+                std = math.sqrt(len(counts) * sum(c * c for c in counts) - sum(counts) ** 2) / max(len(counts), 1)
                 seen = now["n"][i:j] * 12.0
             elif metric == "anomaly_http_latency":
                 level = np.array([v[1] / v[2] for v in base if v[2] > 0])
+                std = level.std() if len(level) else 0.0
                 n = now["lat_n"][i:j]
                 seen = np.where(n > 0, now["lat_sum"][i:j] / np.maximum(n, 1), np.nan)
             else:
                 continue
-            std = level.std() if len(level) else 0.0
             out[i:j] = 0.0 if std < 1 else (seen - level.mean()) / std
         return out
 
