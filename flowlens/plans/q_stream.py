@@ -38,21 +38,28 @@ def fresh(kind: str) -> str:
     return f"{kind}_{uuid.uuid4().hex[:12]}"
 
 
-def in_files(spark, df, order: str, name: str) -> str:
-    """Write a table as files that follow each other in ``order``; a file source reads
-    the oldest file first."""
+#: Rows of one file of a source, at least, before a step in time becomes several files.
+FILE_ROWS = 250_000
+
+
+def in_files(spark, df, order: str, name: str) -> tuple[str, int]:
+    """Write a table as steps that follow each other in ``order``, each as the same number of
+    files, which is returned too; a file source reads the oldest files first."""
     path = J.stream_folder(spark, name, "in")
     at = F.unix_micros(F.col(order).cast("timestamp"))
     lo, hi = df.agg(F.min(at), F.max(at)).first()
     part = F.least(F.floor((at - lo) * FILES / max(hi - lo, 1)), F.lit(FILES - 1))
+    rows = dict(df.groupBy(part.alias("part")).agg(F.count(F.lit(1))).collect())
+    files = max(1, min(rows.get(i, 0) for i in range(FILES)) // FILE_ROWS)
     for i in range(FILES):
-        df.filter(part == i).coalesce(1).write.mode("append").parquet(path)
-    return path
+        step = df.filter(part == i)
+        (step.coalesce(1) if files == 1 else step.repartition(files)).write.mode("append").parquet(path)
+    return path, files
 
 
 def file_stream(spark, df, order: str, name: str):
-    path = in_files(spark, df, order, name)
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    path, files = in_files(spark, df, order, name)
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def flow_stream(spark, sf, name: str):

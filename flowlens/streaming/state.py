@@ -1,10 +1,12 @@
-"""Stream forms of the ordered jobs: keyed state, timers, and a stream-stream join.
-
-Rows may come in any order as long as they are inside the watermark.  A keyed
-processor holds them until the watermark has passed them, then takes them in event
-order, so its answers are those of the batch operator over all that is closed.  What
-a key holds is bounded by the rows of the watermark's delay and by its rule; timers
-free keys that have gone silent.
+"""Stream forms of the ordered jobs: keyed state and timers.
+
+Rows may come in any order as long as they are inside the watermark.  A processor
+holds them until the watermark has passed them, then takes them in event order, so
+its answers are those of the batch operator over all that is closed.  Keys are dealt
+over a fixed number of buckets, and the rows of a bucket are held as Arrow batches and
+taken as arrays: a call of the state store costs as much for a row as for a bucket.
+What a bucket holds is bounded by the rows of the watermark's delay and by its rule;
+timers free keys that have gone silent.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -23,47 +26,84 @@ from flowlens.operators.sessions import ECHO_REPLY, ECHO_REQUEST
 
 #: Arbitrary keyed state needs this store.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Keys share this many states; fixed, as a restarted query must find its keys again.
+BUCKETS = 256
+#: Stands for a null number in the arrays; sorts first, as null does.
+NULL = -(1 << 63)
 
 
 def use_keyed_state(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
 
+def _bucket(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*[F.col(f"`{k}`") for k in keys]), F.lit(BUCKETS)).cast("int")
+
+
+def _number(c: str) -> Column:
+    return F.coalesce(F.col(c).cast("long"), F.lit(NULL))
+
+
 def _ms(micros: int) -> int:
     return micros // 1000
 
 
+def _pack(rows: pd.DataFrame, schema: pa.Schema) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, schema) as out:
+        out.write_table(pa.Table.from_pandas(rows[schema.names], schema=schema, preserve_index=False))
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(parts: list[bytes], schema: pa.Schema) -> pd.DataFrame:
+    tables = [pa.ipc.open_stream(bytes(p)).read_all() for p in parts]
+    return (pa.concat_tables(tables) if tables else schema.empty_table()).to_pandas()
+
+
 class _Ordered(StatefulProcessor):
-    """Holds a key's rows until the watermark has passed them, then gives them to
-    ``take`` in order of (ts, seq).  A timer stands at the oldest held row."""
+    """Holds rows until the watermark is ``lag`` past them (column ``us``), then gives
+    them to ``take``.  A timer stands at the oldest held row."""
 
-    rows_schema = ""
+    schema: pa.Schema
+    lag = 0
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", self.rows_schema)
+        self.held = handle.getListState("held", "rows binary")
+        #: time of the oldest held row: a timer that finds nothing due reads no rows
+        self.oldest = handle.getValueState("oldest", "us long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new: list[tuple] = []
+        new, first = [], None
         for part in rows:
-            new += self.read(part)
-        had = self.held.exists()
+            if len(part):
+                self.begin(part)
+                new.append((_pack(part, self.schema),))
+                low = int(part["us"].min())
+                first = low if first is None else min(first, low)
         if new:
-            self.held.appendList(new) if had else self.held.put(new)
-            self.wake_at(min(r[0] for r in new))
+            self.held.appendList(new)
+            if not self.oldest.exists() or first < self.oldest.get()[0]:
+                self.oldest.update((first,))
+            self.wake_at(first + self.lag)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = sorted(tuple(r) for r in self.held.get()) if self.held.exists() else []
-        due = [r for r in rows if r[0] <= watermark]
-        rest = rows[len(due):]
-        if rest:
-            self.held.put(rest)
-            self.wake_at(rest[0][0])
-        elif rows:
-            self.held.clear()
-        out = self.take(key, due, watermark, bool(rest))
+        due, more = _unpack([], self.schema), self.oldest.exists()
+        if more and self.oldest.get()[0] <= watermark - self.lag:
+            rows = _unpack([r[0] for r in self.held.get()], self.schema)
+            closed = rows["us"].to_numpy() <= watermark - self.lag
+            due, rest = rows[closed], rows[~closed]
+            more = len(rest) > 0
+            if more:
+                self.held.put([(_pack(rest, self.schema),)])
+                self.oldest.update((int(rest["us"].min()),))
+                self.wake_at(int(rest["us"].min()) + self.lag)
+            else:
+                self.held.clear()
+                self.oldest.clear()
+        out = self.take(key, due, watermark, more)
         if out is not None and len(out):
             yield out
 
@@ -74,66 +114,83 @@ class _Ordered(StatefulProcessor):
     def close(self) -> None:
         pass
 
-    def read(self, part: pd.DataFrame) -> list[tuple]:
-        raise NotImplementedError
+    def begin(self, part: pd.DataFrame) -> None:
+        """Sees every new part."""
 
-    def take(self, key, due: list[tuple], watermark: int, more: bool) -> pd.DataFrame | None:
+    def take(self, key, due: pd.DataFrame, watermark: int, more: bool) -> pd.DataFrame | None:
         raise NotImplementedError
 
 
-PAIRS = "{key}, request_seq long, response_seq long, request_ts timestamp, response_ts timestamp, latency_ms long"
+class _Keyed(_Ordered):
+    """A bucket of keys, each with one row of ``kept_schema`` that goes on from batch to batch."""
 
+    kept_schema: pa.Schema
 
-class _PairHttp(_Ordered):
-    """A request opens the connection's slot if it is empty, the next response closes it.
-    A connection that is silent for longer than ``idle`` starts anew."""
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.kept = handle.getValueState("kept", "rows binary")
 
-    rows_schema = "ts long, seq long, response boolean"
+    def before(self) -> pd.DataFrame:
+        return _unpack([self.kept.get()[0]] if self.kept.exists() else [], self.kept_schema)
 
-    def __init__(self, key: str, idle_micros: int):
-        self.key, self.idle = key, idle_micros
+    def keep(self, rows: pd.DataFrame, wake: int) -> None:
+        """``wake`` is how long after its oldest row the bucket is looked through again."""
+        if len(rows):
+            self.kept.update((_pack(rows, self.kept_schema),))
+            self.wake_at(int(rows["us"].min()) + wake + 1000)
+        elif self.kept.exists():
+            self.kept.clear()
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        super().init(handle)
-        #: the open request, if any (seq, ts), and the last row taken
-        self.slot = handle.getValueState("slot", "open boolean, seq long, ts long, last long")
 
-    def read(self, part: pd.DataFrame) -> list[tuple]:
-        return list(zip(part["us"].tolist(), part["seq"].tolist(), part["response"].tolist(), strict=True))
+def _fields(**types: str) -> pa.Schema:
+    return pa.schema([(n, {"long": pa.int64(), "text": pa.string(), "flag": pa.bool_()}[t]) for n, t in types.items()])
 
-    def take(self, key, due: list[tuple], watermark: int, more: bool) -> pd.DataFrame | None:
-        is_open, seq, ts, last = tuple(self.slot.get()) if self.slot.exists() else (False, 0, 0, 0)
-        fresh = not self.slot.exists()
-        out = []
-        for now, number, response in due:
-            if fresh or now - last > self.idle:
-                is_open = False
-            fresh, last = False, now
-            if response and is_open:
-                out.append((key[0], seq, number, ts, now, max((now - ts) // 1000, 0)))
-                is_open = False
-            elif not response and not is_open:
-                is_open, seq, ts = True, number, now
-        if not more and watermark - last > self.idle:
-            self.slot.clear()  # silent for long enough: a later row would start anew in any case
-        else:
-            self.slot.update((is_open, seq, ts, last))
-            if not more:
-                self.wake_at(last + self.idle + 1000)
-        if not out:
+
+class _PairHttp(_Keyed):
+    """A request opens the connection's slot if it is empty, the next response closes it.
+    A connection that is silent for longer than ``idle`` starts anew."""
+
+    schema = _fields(key="text", us="long", seq="long", response="flag")
+    #: the last row taken (us), whether it left the slot closed, and the open request, if any (seq, begun)
+    kept_schema = _fields(key="text", us="long", seq="long", response="flag", begun="long")
+
+    def __init__(self, idle_micros: int):
+        self.idle = idle_micros
+
+    def take(self, key, due: pd.DataFrame, watermark: int, more: bool) -> pd.DataFrame | None:
+        old = self.before()
+        rows = pd.concat([old, due.assign(begun=due["us"])], ignore_index=True)
+        if not len(rows):
             return None
-        df = pd.DataFrame(out, columns=[self.key, "request_seq", "response_seq", "request_ts", "response_ts", "latency_ms"])
-        for c in ("request_ts", "response_ts"):
-            df[c] = pd.to_datetime(df[c], unit="us")
-        return df
+        code = rows.groupby("key", dropna=False, sort=False).ngroup().to_numpy()
+        new = np.arange(len(rows)) >= len(old)
+        order = np.lexsort((rows["response"], rows["seq"], rows["us"], new, code))
+        rows, code = rows.iloc[order], code[order]
+        us, seq, begun = (rows[c].to_numpy() for c in ("us", "seq", "begun"))
+        response = rows["response"].to_numpy(bool)
+        at = np.arange(len(rows))
+        fresh = np.ones(len(rows), bool)
+        fresh[1:] = (code[1:] != code[:-1]) | (us[1:] - us[:-1] > self.idle)
+        # a turn ends with a response; its first row, if not the response itself, is the request that opened the slot
+        turn = fresh.copy()
+        turn[1:] |= response[:-1]
+        head = np.maximum.accumulate(np.where(turn, at, 0))
+        last = np.append(code[1:] != code[:-1], True)
+        # silent for long enough: a later row would start anew in any case
+        left = np.nonzero(last & (watermark - us <= self.idle))[0]
+        self.keep(pd.DataFrame({"key": rows["key"].to_numpy()[left], "us": us[left], "seq": seq[head[left]],
+                                "response": response[left], "begun": begun[head[left]]}), self.idle)
+        end = np.nonzero(response & (head != at))[0]
+        return pd.DataFrame({"key": rows["key"].to_numpy()[end], "request_seq": seq[head[end]], "response_seq": seq[end],
+                             "request_us": begun[head[end]], "response_us": us[end]})
 
 
 def _micros(interval: str) -> int:
-    return int(pd.Timedelta(interval) / pd.Timedelta(microseconds=1))
+    return int(pd.Timedelta(interval.lower()) / pd.Timedelta(microseconds=1))
 
 
 def stream_pair_http(events: DataFrame, key: str = "conn_id", delay: str = "10 minutes", idle: str = "1 hour") -> DataFrame:
-    """``sessions.pair_http`` on a stream of (key, ts, seq, kind).
+    """``sessions.pair_http`` on a stream of (key, ts, seq, kind); the key is of a type that casts to text and back.
 
     Pairs appear once the watermark has passed their response.  Rows later than the
     watermark are dropped, as in every windowed job.  A connection that is silent for
@@ -141,12 +198,16 @@ def stream_pair_http(events: DataFrame, key: str = "conn_id", delay: str = "10 m
     into the silence, and its state is freed by a timer.
     """
     use_keyed_state(events.sparkSession)
-    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-    e = e.select(key, "ts", F.unix_micros("ts").alias("us"), F.col("seq").cast("long").alias("seq"),
-                 F.coalesce(F.col("kind") == "response", F.lit(False)).alias("response"))
-    of_key = f"`{key}` {e.schema[key].dataType.simpleString()}"
-    return e.groupBy(key).transformWithStateInPandas(
-        _PairHttp(key, _micros(idle)), PAIRS.format(key=of_key), "Append", "EventTime")
+    e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).filter(F.col("ts").isNotNull())
+    e = e.select("ts", _bucket(key).alias("bucket"), F.col(f"`{key}`").cast("string").alias("key"), F.unix_micros("ts").alias("us"),
+                 _number("seq").alias("seq"), F.coalesce(F.col("kind") == "response", F.lit(False)).alias("response"))
+    pairs = e.groupBy("bucket").transformWithStateInPandas(
+        _PairHttp(_micros(idle)), "key string, request_seq long, response_seq long, request_us long, response_us long",
+        "Append", "EventTime")
+    return pairs.select(
+        F.col("key").cast(events.schema[key].dataType).alias(key), *[F.nullif(c, F.lit(NULL)).alias(c) for c in ("request_seq", "response_seq")],
+        F.timestamp_micros("request_us").alias("request_ts"), F.timestamp_micros("response_us").alias("response_ts"),
+        F.greatest(F.floor((F.col("response_us") - F.col("request_us")) / 1000), F.lit(0)).cast("long").alias("latency_ms"))
 
 
 def stream_icmp_rtt(icmp: DataFrame, delay: str = "10 minutes", max_rtt: str = "1 hour") -> DataFrame:
@@ -199,7 +260,7 @@ def minute_load(flows: DataFrame, delay: str) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.count_if(http).alias("http"),
         F.count_if(http & (F.col("http_status") >= 400)).alias("http_err"), F.count_if(dns).alias("dns"),
         F.count_if(dns & (F.col("dns_rcode") == 3)).alias("nx"), F.coalesce(F.sum(lat), F.lit(0)).cast("long").alias("lat_sum"),
-        F.count(lat).alias("lat_n")).select(F.window_time("w").alias("ts"), F.unix_micros("w.end").alias("ends"), *_COUNTS)
+        F.count(lat).alias("lat_n")).select(F.window_time("w").alias("ts"), F.unix_micros("w.end").alias("us"), *_COUNTS)
 
 
 class _Rule(_Ordered):
@@ -210,7 +271,8 @@ class _Rule(_Ordered):
     the last one that the watermark has closed.
     """
 
-    rows_schema = "ends long, " + ", ".join(f"{c} long" for c in _COUNTS)
+    schema = _fields(us="long", **dict.fromkeys(_COUNTS, "long"))
+    hours_schema = _fields(us="long", n="long", lat_sum="long", lat_n="long")
 
     def __init__(self, baseline_days: int):
         self.base = 24 * baseline_days * HOUR
@@ -218,32 +280,30 @@ class _Rule(_Ordered):
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
         self.rule = handle.getValueState("rule", RULE)
-        self.minutes = handle.getListState("minutes", self.rows_schema)
-        self.hours = handle.getListState("hours", "us long, n long, lat_sum long, lat_n long")
+        self.minutes = handle.getValueState("minutes", "rows binary")
+        self.hours = handle.getValueState("hours", "rows binary")
         self.at = handle.getValueState("at", "next long, fired long")
 
-    def read(self, part: pd.DataFrame) -> list[tuple]:
-        if len(part) and not self.rule.exists():
+    def begin(self, part: pd.DataFrame) -> None:
+        if not self.rule.exists():
             r = part.iloc[0]
             self.rule.update((r["id"], r["name"], r["metric"], r["condition"], float(r["threshold"]),
                               int(r["window_minutes"]), int(r["cooldown_minutes"])))
-        return [tuple(map(int, r)) for r in part[["ends", *_COUNTS]].itertuples(index=False)]
 
-    def take(self, key, due: list[tuple], watermark: int, more: bool) -> pd.DataFrame | None:
+    def take(self, key, due: pd.DataFrame, watermark: int, more: bool) -> pd.DataFrame | None:
         name, metric, condition, threshold, window, cooldown = tuple(self.rule.get())[1:]
-        first = due[0][0] if due else None
+        first = int(due["us"].min()) if len(due) else None
         nxt, fired = tuple(self.at.get()) if self.at.exists() else (first, -1)
         if nxt is None:
             return None
-        kept = [tuple(r) for r in self.minutes.get()] if self.minutes.exists() else []
-        hours = {r[0]: list(r)[1:] for r in self.hours.get()} if self.hours.exists() else {}
-        for ends, n, _, _, _, _, lat_sum, lat_n in due:
-            h = hours.setdefault((ends - MINUTE) // HOUR * HOUR, [0, 0, 0])
-            h[0], h[1], h[2] = h[0] + n, h[1] + lat_sum, h[2] + lat_n
+        kept = _unpack([self.minutes.get()[0]] if self.minutes.exists() else [], self.schema)
+        hours = _unpack([self.hours.get()[0]] if self.hours.exists() else [], self.hours_schema)
+        of_due = due[["n", "lat_sum", "lat_n"]].assign(us=(due["us"] - MINUTE) // HOUR * HOUR)
+        hours = pd.concat([hours, of_due], ignore_index=True).groupby("us", sort=True, as_index=False).sum()
         until = watermark // MINUTE * MINUTE
         times = np.arange(nxt, until + 1, MINUTE)
-        rows = np.array(kept + due, np.int64).reshape(-1, 1 + len(_COUNTS))
-        value = self._values(metric, window, rows, hours, times)
+        near = pd.concat([kept, due], ignore_index=True).sort_values("us")
+        value = self._values(metric, window, near[self.schema.names].to_numpy(np.int64), hours, times)
         over = {"gt": value > threshold, "lt": value < threshold}.get(condition, np.zeros(len(times), bool))
         out = []
         for i in np.nonzero(over)[0].tolist():
@@ -252,10 +312,12 @@ class _Rule(_Ordered):
                 out.append((key[0], name, metric, float(value[i]), threshold, now, condition, window))
                 fired = now
         nxt = max(nxt, until + MINUTE)
-        left = [r for r in kept + due if r[0] > nxt - max(window, 5) * MINUTE]
-        self.minutes.put(left) if left else self.minutes.clear()
-        whole = [(us, *v) for us, v in sorted(hours.items()) if us >= nxt - self.base]
-        self.hours.put(whole) if whole else self.hours.clear()
+        for state, rows, schema in ((self.minutes, near[near["us"] > nxt - max(window, 5) * MINUTE], self.schema),
+                                    (self.hours, hours[hours["us"] >= nxt - self.base], self.hours_schema)):
+            if len(rows):
+                state.update((_pack(rows, schema),))
+            else:
+                state.clear()
         self.at.update((nxt, fired))
         if not more:
             self.wake_at(nxt)
@@ -265,7 +327,7 @@ class _Rule(_Ordered):
         df["fired_at"] = pd.to_datetime(df["fired_at"], unit="us")
         return df
 
-    def _values(self, metric: str, window: int, rows: np.ndarray, hours: dict, times: np.ndarray) -> np.ndarray:
+    def _values(self, metric: str, window: int, rows: np.ndarray, hours: pd.DataFrame, times: np.ndarray) -> np.ndarray:
         """The metric at each time; nan where it has no value."""
         if not len(times):
             return np.zeros(0)
@@ -288,8 +350,10 @@ class _Rule(_Ordered):
         # the whole hours of the baseline range change with the hour only
         lo, hi = -(-(times - self.base) // HOUR) * HOUR, times // HOUR * HOUR - 2 * HOUR
         edges = np.nonzero(np.diff(lo, prepend=lo[:1] - 1) | np.diff(hi, prepend=hi[:1] - 1))[0]
+        whole = hours[["n", "lat_sum", "lat_n"]].to_numpy(np.int64)
+        start, stop = np.searchsorted(hours["us"], lo, "left"), np.searchsorted(hours["us"], hi, "right")
         for i, j in zip(edges, [*edges[1:], len(times)], strict=True):
-            base = [v for us, v in hours.items() if lo[i] <= us <= hi[i]]
+            base = whole[start[i]:max(start[i], stop[i])].tolist()
             if metric == "anomaly_flow_rate":
                 counts = [int(v[0]) for v in base if v[0] > 0]
                 level = np.array(counts, float)
