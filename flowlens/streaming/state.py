@@ -210,36 +210,64 @@ def stream_pair_http(events: DataFrame, key: str = "conn_id", delay: str = "10 m
         F.greatest(F.floor((F.col("response_us") - F.col("request_us")) / 1000), F.lit(0)).cast("long").alias("latency_ms"))
 
 
+class _Echo(_Keyed):
+    """A reply whose event just before it, of the same key, is a request at most ``lag`` ago, is its answer."""
+
+    KEYS = ["host", "echo_id", "echo_seq"]
+    schema = kept_schema = _fields(host="text", echo_id="text", echo_seq="text", us="long", seq="long", reply="flag")
+
+    def __init__(self, max_rtt_micros: int):
+        self.lag = max_rtt_micros
+
+    def take(self, key, due: pd.DataFrame, watermark: int, more: bool) -> pd.DataFrame | None:
+        old = self.before()
+        rows = pd.concat([old, due], ignore_index=True)
+        if not len(rows):
+            return None
+        code = rows.groupby(self.KEYS, sort=False).ngroup().to_numpy()
+        order = np.lexsort((rows["reply"], rows["seq"], rows["us"], code))
+        us, seq = rows["us"].to_numpy()[order], rows["seq"].to_numpy()[order]
+        code = code[order]
+        # rows that repeat time and number are one event
+        one = np.append((code[1:] != code[:-1]) | (us[1:] != us[:-1]) | (seq[1:] != seq[:-1]), True)
+        order, us, seq, code = order[one], us[one], seq[one], code[one]
+        reply = rows["reply"].to_numpy(bool)[order]
+        at = np.arange(len(code))
+        # an event without a number is before later ones, but not before others of its own time
+        back = np.where((at > 0) & (seq[at - 1] == NULL) & (us[at - 1] == us) & (code[at - 1] == code), at - 2, at - 1)
+        found = (back >= 0) & (code[back] == code) & reply & ~reply[back] & (us - us[back] <= self.lag) & (order >= len(old))
+        last = np.append(code[1:] != code[:-1], True)
+        left = last & (us >= watermark - 2 * self.lag)
+        self.keep(rows.iloc[order[left]], 2 * self.lag)
+        of = rows.iloc[order[found]]
+        return pd.DataFrame({**{k: of[k].to_numpy() for k in self.KEYS}, "request_seq": seq[back[found]], "reply_seq": seq[found],
+                             "rtt_us": us[found] - us[back[found]]})
+
+
 def stream_icmp_rtt(icmp: DataFrame, delay: str = "10 minutes", max_rtt: str = "1 hour") -> DataFrame:
     """``sessions.icmp_rtt`` on a stream, for round trips of at most ``max_rtt``.
 
     A reply takes the latest request since the reply before it, so it has one if the
-    event just before it, of its (host, id, seq), is a request.  Replies join the
-    events of the ``max_rtt`` before them (an interval join: both sides drop what can
-    find no partner any more), and the latest event of each is kept once the
-    watermark has passed the reply.
+    event just before it, of its (host, id, seq), is a request.  Events are taken in
+    order, each once, with the last event of a key as its state; a reply appears once
+    the watermark is ``max_rtt`` past it.
     """
+    use_keyed_state(icmp.sparkSession)
     e = (icmp.filter(F.col("icmp_type").isin(ECHO_REQUEST + ECHO_REPLY))
          .withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
-         .withColumn("is_reply", F.col("icmp_type").isin(ECHO_REPLY))
-         .withColumn("host", F.when(F.col("is_reply"), F.col("dst_ip")).otherwise(F.col("src_ip"))))
-    keys = ["host", "echo_id", "echo_seq"]
-    before = e.select(*[F.col(k).alias(f"b_{k}") for k in keys], F.col("ts").alias("b_ts"), F.col("seq").alias("b_seq"),
-                      F.col("is_reply").alias("b_reply"))
-    reply = e.filter("is_reply").select(*keys, F.col("ts").alias("reply_ts"), F.col("seq").alias("reply_seq"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & (F.col(k) == F.col(f"b_{k}"))
-    earlier = (F.col("b_ts") < F.col("reply_ts")) | ((F.col("b_ts") == F.col("reply_ts")) & (F.col("b_seq") < F.col("reply_seq")))
-    near = (F.col("b_ts") <= F.col("reply_ts")) & (F.col("b_ts") >= F.col("reply_ts") - F.expr(f"INTERVAL {max_rtt}"))
-    met = before.join(reply, same & near & earlier)
-    # one event time goes on: the reply's
-    last = met.select(*keys, "reply_ts", "reply_seq", F.struct(F.unix_micros("b_ts").alias("us"), F.col("b_seq").alias("seq"),
-                                                              F.col("b_reply").alias("reply")).alias("b"))
-    last = last.groupBy(*keys, "reply_ts", "reply_seq").agg(F.max("b").alias("b"))
-    return last.filter(~F.col("b.reply")).select(
-        *keys, F.col("b.seq").alias("request_seq"), "reply_seq",
-        ((F.unix_micros("reply_ts") - F.col("b.us")) / 1000.0).alias("rtt_ms"))
+         .withColumn("reply", F.col("icmp_type").isin(ECHO_REPLY))
+         .withColumn("host", F.when(F.col("reply"), F.col("dst_ip")).otherwise(F.col("src_ip"))))
+    # an event without key or time answers nothing
+    e = e.dropna(subset=["ts", *_Echo.KEYS])
+    types = e.schema
+    e = e.select("ts", _bucket(*_Echo.KEYS).alias("bucket"), *[F.col(k).cast("string").alias(k) for k in _Echo.KEYS],
+                 F.unix_micros("ts").alias("us"), _number("seq").alias("seq"), "reply")
+    met = e.groupBy("bucket").transformWithStateInPandas(
+        _Echo(_micros(max_rtt)), "host string, echo_id string, echo_seq string, request_seq long, reply_seq long, rtt_us long",
+        "Append", "EventTime")
+    return met.select(*[F.col(k).cast(types[k].dataType).alias(k) for k in _Echo.KEYS],
+                      *[F.nullif(c, F.lit(NULL)).alias(c) for c in ("request_seq", "reply_seq")],
+                      (F.col("rtt_us") / 1000.0).alias("rtt_ms"))
 
 
 # ---- alerts -----------------------------------------------------------------
