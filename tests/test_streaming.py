@@ -147,3 +147,33 @@ def test_alert_state_is_bounded_and_silence_is_evaluated(spark, tmp_path):
         ("low", at(m)) for m in (1, 61, 123, 183, 243, 323, 383, 443)]
     held = [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in progress if p["stateOperators"]]
     assert max(held) < 120
+
+
+def test_a_busy_echo_key_holds_one_event(spark, tmp_path):
+    rows = [(i, T0 + dt.timedelta(seconds=i), 8 if i % 2 else 0, *(("10.0.0.1", "9.9.9.9") if i % 2 else ("9.9.9.9", "10.0.0.1")), 1, 1)
+            for i in range(400)]
+    batches = [rows[:200], rows[200:], [(900, at(600), 8, "10.0.0.1", "9.9.9.9", 1, 1)]]
+    got, progress = replay(spark, ST.stream_icmp_rtt, batches, ICMP, tmp_path, "busy")
+    assert sorted((r["request_seq"], r["reply_seq"], r["rtt_ms"]) for r in got) == [(i - 1, i, 1000.0) for i in range(2, 400, 2)]
+    # a join over the longest round trip held all events
+    assert max(sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in progress if p["stateOperators"]) < 10
+
+
+def test_connections_share_the_states_of_their_buckets(spark, tmp_path):
+    batches = [[(2 * i, i, at(0), "request") for i in range(2000)] + [(1, None, at(0), "request")],
+               [(2 * i + 1, i, at(1), "response") for i in range(2000)] + [(3, None, at(1), "response")], [(9000, 1, at(60), "request")]]
+    got, progress = replay(spark, ST.stream_pair_http, batches, PACKETS, tmp_path, "shared")
+    assert sorted((-1 if r["conn_id"] is None else r["conn_id"], r["request_seq"], r["response_seq"], r["latency_ms"]) for r in got) == [
+        (-1, 1, 3, 60_000)] + [(i, 2 * i, 2 * i + 1, 60_000) for i in range(2000)]
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]) <= 3 * ST.BUCKETS
+
+
+def test_a_large_step_is_several_files_of_one_batch(spark, monkeypatch):
+    monkeypatch.setattr(QS, "FILE_ROWS", 10)
+    name = QS.fresh("files")
+    stream = QS.flow_stream(spark, SMALL, name)
+    q = J.append_to(stream.select("id"), J.stream_folder(spark, name, "out"), name, {"availableNow": True})
+    q.awaitTermination()
+    assert len([p for p in q.recentProgress if p["numInputRows"]]) == QS.FILES
+    assert len(spark.read.parquet(J.stream_folder(spark, name, "in")).inputFiles()) > QS.FILES
+    assert spark.read.parquet(J.stream_folder(spark, name, "out")).count() == td.flows(spark, SMALL).count()
