@@ -1,22 +1,31 @@
 """Network join: attach the network (blocklist / geo) that contains an address.
 
 A network is a masked key and a prefix length, so an address lies in it when the
-address, cut to that length, equals it.  Addresses are looked up once each: the
-distinct addresses of the flows are cut to every length that occurs in the
-network table (at most 129 per IP version) and joined on (version, length, masked
-key), an equi-join without ranges, whose rows grow with addresses times lengths.
+address, cut to that length, equals it.  Addresses are looked up once each.
+
+IPv4 addresses and networks meet in groups of the first 16 bits, which hold 65,536
+addresses and 131,071 networks at most; a shorter network goes to each of its groups.
+In the order of a group, the last network of a length before an address is the only
+one of that length that can hold it, so one scan finds all candidates and an address
+is shuffled once, however many lengths the table has.  IPv6 addresses are cut to
+every IPv6 length of the table and joined on (length, masked key).
+
 The winner of each address is joined back to the flows by the address text; a
 hot address is one row there, and its flows are split by the skew join.  Nothing
-is broadcast but the prefix lengths, and what Spark sees under its own size
-threshold; IPv6 takes the same path as IPv4.
+is broadcast but the IPv6 prefix lengths, and what Spark sees under its own size
+threshold.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.ip import address_key, is_v4_key, mask_key, with_cidr
+from flowlens.session import ensure_checkpoint_dir
+
+#: Leading bits that IPv4 groups share.
+GROUP_BITS = 16
 
 
 def network_table(networks: DataFrame, net: str = "net", priority: Column | None = None,
@@ -36,6 +45,31 @@ def network_table(networks: DataFrame, net: str = "net", priority: Column | None
     return n.groupBy("v4", "bits", "masked").agg(F.min(best).alias("entry"))
 
 
+def _low32(key: str) -> Column:
+    return F.conv(F.substring(key, 25, 8), 16, 10).cast("bigint")
+
+
+def _v4_hits(ips: DataFrame, table: DataFrame, lengths: list[int]) -> DataFrame:
+    """(_ip, _entry) of IPv4 addresses (_ip, _key) that a network of ``table`` holds."""
+    rest = 32 - GROUP_BITS
+    nets = table.select((F.col("bits") - 96).alias("_bits"), _low32("masked").alias("_lo"), "entry")
+    nets = nets.select(F.explode(F.sequence(F.shiftright("_lo", rest), F.shiftright("_lo", rest) + F.expr(
+        f"shiftleft(1L, greatest({GROUP_BITS} - _bits, 0))") - 1)).alias("_group"), "_bits", "_lo", "entry")
+    nets = nets.select("_group", F.greatest("_lo", F.shiftleft("_group", rest)).alias("_at"), F.lit(None).cast("string").alias("_ip"),
+                       "_bits", "_lo", "entry")
+    rows = ips.select(F.shiftright(_low32("_key"), rest).alias("_group"), _low32("_key").alias("_at"), "_ip",
+                      F.lit(None).cast("int").alias("_bits"), F.lit(None).cast("bigint").alias("_lo"),
+                      F.lit(None).cast(table.schema["entry"].dataType).alias("entry")).unionByName(nets)
+    upto = (Window.partitionBy("_group").orderBy("_at", F.col("_ip").isNotNull())
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.select("_ip", "_at", *[F.last(F.when(F.col("_bits") == n, F.struct("_lo", "entry")), ignorenulls=True).over(upto)
+                                       .alias(f"_net{n}") for n in lengths])
+    held = [F.when(F.col(f"_net{n}._lo") == F.col("_at") - F.pmod(F.col("_at"), F.lit(1 << (32 - n))), F.col(f"_net{n}.entry"))
+            for n in lengths]
+    best = F.least(*held) if len(held) > 1 else held[0]
+    return rows.filter(F.col("_ip").isNotNull()).select("_ip", best.alias("_entry")).filter(F.col("_entry").isNotNull())
+
+
 def lookup(df: DataFrame, ip_cols: list[str], table: DataFrame, prefix: str = "") -> DataFrame:
     """Left-join the winning entry of ``table`` for each column of ``ip_cols``.
 
@@ -44,12 +78,18 @@ def lookup(df: DataFrame, ip_cols: list[str], table: DataFrame, prefix: str = ""
     distinct addresses.
     """
     payload = [f.name for f in table.schema["entry"].dataType.fields if f.name != "_prio"]
+    ensure_checkpoint_dir(df.sparkSession)
+    table = table.checkpoint()
+    # one row per prefix length and version: 162 at most
+    lengths = table.select("v4", "bits").distinct()
+    v4_lengths = sorted(r["bits"] - 96 for r in lengths.filter("v4").collect())
     texts = df.select(F.explode(F.array_distinct(F.array(*ip_cols))).alias("_ip")).distinct()
     ips = texts.withColumn("_key", address_key("_ip")).withColumn("v4", is_v4_key(F.col("_key")))
-    lengths = table.select("v4", "bits").distinct()
-    # one row per prefix length and version: 162 at most, so it can go to every task; a join by version would be two keys
-    cut = ips.join(F.broadcast(lengths), "v4").withColumn("masked", mask_key(F.col("_key"), F.col("bits")))
-    hits = cut.join(table, ["v4", "bits", "masked"]).groupBy("_ip").agg(F.min("entry").alias("_entry"))
+    cut = (ips.filter(~F.col("v4")).join(F.broadcast(lengths.filter(~F.col("v4")).select("bits")))
+           .withColumn("masked", mask_key(F.col("_key"), F.col("bits"))))
+    hits = cut.join(table.filter(~F.col("v4")).drop("v4"), ["bits", "masked"]).groupBy("_ip").agg(F.min("entry").alias("_entry"))
+    if v4_lengths:
+        hits = hits.unionByName(_v4_hits(ips.filter("v4"), table.filter("v4"), v4_lengths))
     out = df
     for c in ip_cols:
         side = hits.select(F.col("_ip").alias(f"_ip_{c}"),

@@ -481,3 +481,25 @@ def test_endpoint_percentiles_and_approximate_forms(spark):
     real = {r["src_ip"]: r["unique_destinations"] for r in A.exfil_talkers(f).collect()}
     near = {r["src_ip"]: r["unique_destinations"] for r in A.exfil_talkers(f, approx=True).collect()}
     assert real.keys() == near.keys() and all(abs(near[s] - n) <= 0.15 * n for s, n in real.items())
+
+
+def test_lookup_of_nested_networks_shuffles_an_address_once(spark):
+    nets = [f"{ipaddress.ip_network(f'203.0.113.77/{n}', strict=False)}" for n in (0, 7, 12, 15, 16, 17, 24, 31, 32)]
+    nets += ["203.0.113.64/28", "203.2.0.0/15", "2001:db8::/32", "2001:db8:1::/48"]
+    order = {n: (i * 5) % len(nets) for i, n in enumerate(nets)}
+    ips = ["203.0.113.77", "203.0.113.76", "203.0.113.70", "203.0.113.1", "203.0.200.1", "203.1.1.1", "203.3.255.255", "203.15.0.1",
+           "202.1.1.1", "8.8.8.8", "255.255.255.255", "0.0.0.0", "2001:db8:1::5", "2001:db8:2::5", "2002::1", "none", None]
+    table = network_table(spark.createDataFrame(list(order.items()), "net string, o long"), priority=F.col("o"), payload=["net"])
+    out = lookup(spark.createDataFrame([(i,) for i in ips], "ip string"), ["ip"], table)
+
+    def best(text):
+        try:
+            a = ipaddress.ip_address(text)
+        except ValueError:
+            return None
+        held = [n for n in nets if (m := ipaddress.ip_network(n)).version == a.version and a in m]
+        return min(held, key=order.get, default=None)
+
+    assert {r["ip"]: r["ip_net"] for r in out.collect()} == {i: i and best(i) for i in ips}
+    # not once for each prefix length
+    assert "_group" in out._jdf.queryExecution().optimizedPlan().toString()
