@@ -342,9 +342,11 @@ def q_otlp_documents(spark, sf):
             f"scopeSpans:array<struct<scope:struct<name:string,version:string>,spans:array<{span}>>>>>>")
     r = docs.select(F.from_json("document", kind)["resourceSpans"][0].alias("r"))
     r = r.select("r.resource.attributes", F.col("r.scopeSpans")[0].alias("s"))
+    # columns of their own before the explode: a row that kept `s` would carry every span of its document
     r = r.select(F.col("attributes")[0]["value"]["stringValue"].alias("service"),
                  F.col("attributes")[1]["value"]["stringValue"].alias("sdk"), F.col("s.scope.name").alias("scope"),
-                 F.col("s.scope.version").alias("version"), F.explode("s.spans").alias("p"))
+                 F.col("s.scope.version").alias("version"), F.col("s.spans").alias("spans"))
+    r = r.select("service", "sdk", "scope", "version", F.explode("spans").alias("p"))
     text = F.transform("p.attributes", lambda a: F.coalesce(a["value"]["stringValue"], a["value"]["intValue"]))
     return r.select("service", "sdk", "scope", "version", "p.traceId", "p.spanId", "p.name", "p.startTimeUnixNano",
                     F.array_join(F.transform("p.attributes", lambda a: a["key"]), ",").alias("keys"),

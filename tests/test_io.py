@@ -145,3 +145,33 @@ def test_an_uncommitted_pull_is_not_read(spark, tmp_path):
 def test_pull_from_a_missing_folder_is_logged(spark, tmp_path):
     objects, rows, error = take(spark, tmp_path / "none", tmp_path / "out")
     assert (objects, rows) == (0, 0) and error
+
+
+def test_spans_read_back_carry_no_document(spark, tmp_path):
+    from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampNTZType
+
+    from flowlens.plans.q_io import q_otlp_documents
+    start = dt.datetime(2024, 1, 5, 10)
+    rows = 2 * [(i, start + dt.timedelta(seconds=i), None if i % 50 == 7 else i % 9, ("view", "click", "error")[i % 3], 1.5,
+                 None if i % 40 == 3 else f'{{"k": {i % 90}}}') for i in range(1300)]
+    kinds = StructType([StructField("event_id", LongType()), StructField("ts", TimestampNTZType()), StructField("user_id", LongType()),
+                        StructField("event_type", StringType())])
+    events = spark.createDataFrame(rows, kinds.add("value", "double").add("props", "string"))
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    out = q_otlp_documents(spark, str(tmp_path))
+
+    # every span of one busy hour comes back, repeats too, from documents of about 1,000
+    spans = X.to_otel_spans(td.flows(spark, str(tmp_path)), window="30d")
+    assert X.otlp_documents(spans).count() == 3
+    key = ("traceId", "spanId", "name", "startTimeUnixNano")
+    got = sorted(tuple(r) for r in out.select(*key).collect())
+    assert got == sorted(tuple(r) for r in spans.select(*key).collect()) and len(got) > 2000
+    assert len(set(got)) * 2 == len(got)
+    assert {tuple(r) for r in out.select("service", "sdk", "scope", "version").collect()} == {("flowlens", "flowlens-hub", "flowlens-hub", "0.1.0")}
+
+    # a row of the explode has text columns beside its span: with the span list of its document in it, work grows with the list's square
+    plan = out._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "Generate":
+        plan = plan.children().head()
+    kept = plan.requiredChildOutput()
+    assert {kept.apply(i).dataType().simpleString() for i in range(kept.size())} == {"string"}
