@@ -414,8 +414,9 @@ def stream_alerts(flows: DataFrame, rules: DataFrame, delay: str = "10 minutes",
         "id", "name", "metric", "condition", F.col("threshold").cast("double").alias("threshold"),
         F.coalesce(F.nullif("window_minutes", F.lit(0)), F.lit(5)).cast("int").alias("window_minutes"),
         F.coalesce(F.nullif("cooldown_minutes", F.lit(0)), F.lit(15)).cast("int").alias("cooldown_minutes"))
-    # one row a minute for each of the configured rules
-    minutes = minute_load(flows, delay).join(r)
+    # one row a minute for each of the configured rules, which go to every task: a product of partitions would
+    # compute a partition of minutes once for each partition of rules, and so save its state as often
+    minutes = minute_load(flows, delay).join(F.broadcast(r))
     fired = minutes.groupBy("id").transformWithStateInPandas(
         _Rule(baseline_days), EVENTS, "Append", "EventTime", eventTimeColumnName="fired_at")
     return fired.select("rule_id", "rule_name", "metric", "value", "threshold", "fired_at", D.alert_message(

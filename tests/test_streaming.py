@@ -149,6 +149,23 @@ def test_alert_state_is_bounded_and_silence_is_evaluated(spark, tmp_path):
     assert max(held) < 120
 
 
+def test_a_minute_is_saved_once_for_all_rules(spark, tmp_path):
+    rules = spark.createDataFrame([(f"r{i}", "any", "flows_per_minute", "gt", 0.0, 5, 60, True) for i in range(8)], QD.RULES_SCHEMA)
+    rows = [[(f"f{b}-{i}", at(b * 100 + i)) for i in range(20)] for b in range(3)]
+    frames = [[tuple(r) for r in conform_flows(spark.createDataFrame(r, "id string, ts timestamp")).collect()] for r in rows]
+    schema = conform_flows(spark.createDataFrame(rows[0], "id string, ts timestamp")).schema
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    # where the rules don't count as small, each of their partitions had the minutes aggregated, and their state saved, anew
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, progress = replay(spark, lambda s: ST.stream_alerts(s, rules), frames, schema, tmp_path, "once")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert sorted((r["rule_id"], r["fired_at"]) for r in got) == [(f"r{i}", at(m)) for i in range(8) for m in (1, 101, 201)]
+    saved = [o["numRowsUpdated"] for p in progress for o in p["stateOperators"] if o["operatorName"] == "stateStoreSave"]
+    assert saved == [20, 20, 20, 0]
+
+
 def test_a_busy_echo_key_holds_one_event(spark, tmp_path):
     rows = [(i, T0 + dt.timedelta(seconds=i), 8 if i % 2 else 0, *(("10.0.0.1", "9.9.9.9") if i % 2 else ("9.9.9.9", "10.0.0.1")), 1, 1)
             for i in range(400)]
